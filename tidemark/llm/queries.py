@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, hnsw, mixing, pii, quality, simhash, substrings, toxicity
+from tidemark.llm import bpe, hnsw, licenses, mixing, pii, quality, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.query(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.query(spark, table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
+    "op3_licenses": op3_licenses,
     "op4_hnsw": op4_hnsw,
     "op5_quality": op5_quality,
     "op6_byte_bpe": op6_byte_bpe,
