@@ -12,19 +12,18 @@ however long it is.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a worker keeps at most. A full cache is emptied; results don't depend on it.
-CACHE = 150_000
-#: Only pre-tokens up to this many characters are worth keeping.
-CACHED_LENGTH = 64
-SPACE_BEFORE_SPACE = tuple(" " + chr(k) for k in range(0x3001) if regex.match(r"\s", chr(k)))
+#: Pre-tokens whose ids a worker keeps at most, besides those at hand, and characters that are encoded together. Results depend on neither.
+CACHE, TOGETHER = 250_000, 4_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,11 +33,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank. ``first`` is the lowest rank that has any, or -1.
+    """Buckets of positions by rank. ``first`` is the lowest rank that has any, or -1.
 
     Levels of 64-bit words, kept sparsely: bit b of word w of a level says that
     word 64 w + b below it isn't zero (at the lowest level: that this rank's bucket
-    isn't empty). Within a bucket the leftmost position comes first.
+    isn't empty).
     """
 
     def __init__(self) -> None:
@@ -47,17 +46,25 @@ class RankQueue:
         self.mid: dict[int, int] = {}
         self.top = 0
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def _add(self, rank: int, positions: list[int]) -> None:
+        self.buckets[rank] = positions
         a, b = rank >> 6, rank >> 12
         self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
         self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
         self.top |= 1 << b
 
+    def push(self, rank: int, position: int) -> None:
+        if bucket := self.buckets.get(rank):
+            heappush(bucket, position)
+        else:
+            self._add(rank, [position])
+
+    def push_all(self, rank: int, positions: list[int]) -> None:
+        if bucket := self.buckets.get(rank):
+            bucket.extend(positions)
+        else:
+            self._add(rank, positions)
+
     def first(self) -> int:
         if not self.top:
             return -1
@@ -67,26 +74,31 @@ class RankQueue:
         word = self.low[a]
         return a << 6 | (word & -word).bit_length() - 1
 
+    def take(self, rank: int) -> list[int]:
+        """The whole bucket, in no order."""
+        a, b = rank >> 6, rank >> 12
+        self.low[a] &= ~(1 << (rank & 63))
+        if not self.low[a]:
+            self.mid[b] &= ~(1 << (a & 63))
+            if not self.mid[b]:
+                self.top &= ~(1 << b)
+        return self.buckets.pop(rank)
+
     def pop(self, rank: int) -> int:
+        """The leftmost position, of a bucket filled by ``push`` only."""
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            a, b = rank >> 6, rank >> 12
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return position
+        return heappop(bucket) if len(bucket) > 1 else self.take(rank)[0]
 
 
 class Encoder:
-    """``cut_at_spaces`` may be set for a pattern that never goes on past a
-    boundary before a single space; see ``encode``."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_at_spaces: bool = False) -> None:
-        self.ranks, self.split, self.cut_at_spaces = ranks, regex.compile(pattern), cut_at_spaces
-        self.cache: dict[str, bytes] = {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.ranks, self.split = ranks, regex.compile(pattern)
+        self.number, self.packed = Numbers(), []
+        self.byte = np.array([ranks[bytes([k])] for k in range(256)], dtype=np.int32)
+        self.width = max(ranks.values()) + 1
+        pairs = {ranks[t[:k]] * self.width + ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.pairs = np.array(sorted(pairs), dtype=np.int64)
+        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int32)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest rank merges first, the leftmost of equals."""
@@ -120,39 +132,123 @@ class Encoder:
             i = follow[i]
         return ids
 
-    def packed(self, part: str) -> bytes:
-        """Ids of a stretch of text as 32-bit integers, through the cache."""
-        if (known := self.cache.get(part)) is not None:
-            return known
-        ids = [k for piece in self.split.findall(part) for k in self.merge(piece.encode("utf-8", "replace"))]
-        out = b"".join(k.to_bytes(4, "little") for k in ids)
-        if len(part) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[part] = out
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks that pairs of ids merge to, or -1."""
+        if not len(self.pairs):
+            return np.full(len(left), -1)
+        key = left.astype(np.int64) * self.width + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], -1)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens, packed, by one queue over all of them.
+
+        As pre-tokens don't touch each other, all merges of the lowest rank can be
+        done at once. Within a pre-token that is right unless one of them brings up
+        a pair of lower rank, which would have to come before the next; such a
+        pre-token is done anew by itself.
+        """
+        if not pieces:
+            return []
+        n = sum(map(len, pieces))
+        token = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.append(np.repeat(np.arange(len(pieces), dtype=np.int32), np.fromiter(map(len, pieces), np.int64, len(pieces))), np.int32(-1))
+        follow, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        pair, alone, alive = np.full(n + 1, -1, np.int32), np.zeros(len(pieces), bool), np.ones(n, bool)
+        token, queue = np.append(token, np.int32(0)), RankQueue()
+
+        def renew(nodes: np.ndarray) -> np.ndarray:
+            right = follow[nodes]
+            now = np.where(owner[right] == owner[nodes], self.ranks_of(token[nodes], token[right]), -1)
+            pair[nodes] = now
+            some = now >= 0
+            nodes, ranks = nodes[some], now[some]
+            order = np.argsort(ranks, kind="stable")
+            nodes, ranks = nodes[order].tolist(), ranks[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(nodes)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    queue.push_all(int(ranks[a]), nodes[a:b])
+            return now
+
+        renew(np.arange(n))
+        while (rank := queue.first()) >= 0:
+            at = np.unique(np.array(queue.take(rank)))
+            at = at[pair[at] == rank]  # the others are stale
+            if len(at) > 1 and (linked := np.append(False, follow[at[:-1]] == at[1:])).any():
+                begins = np.flatnonzero(~linked)  # in a run of pairs that overlap, every other one merges
+                at = at[(np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = follow[at]
+            after = follow[gone]
+            several = np.append(owner[at[1:]] == owner[at[:-1]], False)
+            if several.any():
+                several[1:] |= several[:-1]
+                touch = np.flatnonzero(after[:-1] == at[1:])
+                between = self.ranks_of(np.full(len(touch), rank), token[after[touch]])
+                alone[owner[at[touch[(between >= 0) & (between < rank)]]]] = True
+            token[at], follow[at], before[after] = rank, after, at
+            pair[gone], alive[gone] = -1, False
+            left = before[at]
+            nodes = np.unique(np.concatenate([left[(left >= 0) & (owner[left] == owner[at])], at]))
+            now = renew(nodes)
+            if several.any() and (early := (now >= 0) & (now < rank)).any():
+                alone[np.intersect1d(owner[nodes[early]], owner[at[several]])] = True
+        ids = token[:-1][alive].astype("<i4").tobytes()
+        ends = [0, *(4 * np.cumsum(np.bincount(owner[:-1][alive], minlength=len(pieces)))).tolist()]
+        out = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        for k in np.flatnonzero(alone).tolist():
+            out[k] = np.array(self.merge(pieces[k]), "<i4").tobytes()
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as 32-bit integers.
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as 32-bit integers. The pre-tokens of ``TOGETHER``
+        characters of text are numbered, new ones are merged together, and each text
+        is put together from its numbers."""
+        some: list[np.ndarray] = []
+        size = 0
+        for text in texts:
+            some.append(np.fromiter(map(self.number.__getitem__, self.split.findall(text)), np.int32))
+            size += len(text) + 1
+            if size >= TOGETHER:
+                yield from self._together(some)
+                some, size = [], 0
+        yield from self._together(some)
+
+    def _together(self, texts: list[np.ndarray]) -> Iterator[bytes]:
+        new = [p.encode("utf-8", "replace") for p in self.number.new]
+        ids = [None if (whole := self.ranks.get(p)) is None else whole.to_bytes(4, "little") for p in new]
+        hard = iter(self.merge_all([p for p, known in zip(new, ids) if known is None]))
+        self.packed += [next(hard) if known is None else known for known in ids]
+        self.number.new = []
+        packed = self.packed
+        for codes in texts:
+            yield b"".join([packed[k] for k in codes.tolist()])
+        if len(packed) > CACHE:
+            self.number, self.packed = Numbers(), []
+
+
+class Numbers(dict):
+    """Numbers strings as they come; ``new`` lists those not yet seen to."""
 
-        If a pre-token neither holds white space after another kind of character
-        nor a single space before white space, then a text can be cut before each
-        of its spaces, as long as none of them stands next to other white space.
-        Most of the stretches between cuts are found in the cache.
-        """
-        if not self.cut_at_spaces or text.endswith(" ") or any(x in text for x in SPACE_BEFORE_SPACE):
-            return b"".join(map(self.packed, self.split.findall(text)))
-        first, *rest = text.split(" ")
-        return self.packed(first) + b"".join([self.packed(" " + x) for x in rest])
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self[text] = k = len(self)
+        self.new.append(text)
+        return k
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str, cut_at_spaces: bool, _last: list = []) -> Encoder:  # noqa: B006  one for each worker process, so that its cache outlives a task
-    if not _last or (_last[0].ranks is not ranks or _last[0].split.pattern != pattern or _last[0].cut_at_spaces != cut_at_spaces):
-        _last[:] = [Encoder(ranks, pattern, cut_at_spaces)]
+def _encoder(ranks: dict[bytes, int], pattern: str, _last: list = []) -> Encoder:  # noqa: B006  one for each worker process, so that what it knows outlives a task
+    if not _last or _last[0].ranks is not ranks or _last[0].split.pattern != pattern:
+        _last[:] = [Encoder(ranks, pattern)]
     return _last[0]
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids", cut_at_spaces: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out`` array<int>: the ids of ``text``, or none for a null or empty one.
 
     ``pattern`` cuts a text to pre-tokens, each of which is encoded by itself;
@@ -164,12 +260,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(shared.value, pattern, cut_at_spaces)
+        encoder = _encoder(shared.value, pattern)
         for texts in batches:
-            parts = [encoder.encode(t.as_py()) if t.is_valid else b"" for t in texts]
-            ends = [0]
-            for p in parts:
-                ends.append(ends[-1] + len(p) // 4)
+            parts = list(encoder.encode(t.as_py() or "" for t in texts))
+            ends = [0, *accumulate(len(p) // 4 for p in parts)]
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))]))
 
     return df.withColumn(out, ids(F.col(text)))
@@ -200,7 +294,7 @@ def n_tokens(ids: str | Column) -> Column:
 def query(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes of each document."""
     ranks = load_ranks(path)
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern, cut_at_spaces=True), ranks)
+    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
     return both.select(
         "doc_id",
         n_tokens("ids").alias("n_tokens"),
