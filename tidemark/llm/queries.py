@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, hnsw, licenses, mixing, pii, quality, simhash, substrings, toxicity
+from tidemark.llm import bpe, hnsw, licenses, mixing, pii, quality, quotes, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.query(spark, table(spark, sf_dir, "conversations"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(spark, table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotes": op1_quotes,
     "op2_source_mix": op2_source_mix,
     "op3_licenses": op3_licenses,
     "op4_hnsw": op4_hnsw,
@@ -60,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_quotes": quotes.SQL,
     "op2_source_mix": mixing.SQL,
 }
