@@ -14,7 +14,9 @@ one, it is chosen by content and needs one position of 40 instead of one of 7.
    occurrence isn't a repeat. Where a content has one context, none is.
 2. What is left are the first occurrences of contexts that share their content, at
    the ends of passages and around edits. Their strings are hashed one by one and
-   sorted, again a bucket at a time.
+   sorted, again a bucket at a time: that of their content, so that the strings
+   of a passage stay together. Where more than ``SPREAD`` contexts share a
+   content, its strings are dealt to all buckets by their own hashes.
 
 Both times tasks first settle what they can by themselves and pass on one row for
 each context or string, so that a passage in a third of all documents makes as
@@ -39,12 +41,15 @@ LENGTH, K = 100, 24
 PLACES = LENGTH - K + 1
 #: Bytes hashed together; rows that a task sorts together; bytes of text for each bucket.
 BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 1_000_000, 16 << 20
+#: Contexts that share one content, above which the strings of that content don't go to one bucket.
+SPREAD = 10_000
 
 U = np.uint64
 STEP = 0x9E3779B97F4A7C15
 BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
 SAMPLE = np.dtype([("content", "<u4"), ("context", "<u8"), ("id", "<i8"), ("tie", "<u2"), ("at", "<u4"), ("n", "u1")])
 STRING = np.dtype([("content", "<u8"), ("id", "<i8"), ("tie", "<u2"), ("at", "<u4")])
+DEALT_STRING = np.dtype([*((k, STRING[k]) for k in STRING.names), ("bucket", "<i4")])
 RUN = np.dtype([("at", "<u4"), ("n", "<u4")])  # strings that start at ``at`` and the next n - 1 bytes
 
 
@@ -145,6 +150,13 @@ def _runs(x: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         yield int(x["id"][first[a]]), int(x["tie"][first[a]]), run[a:b].tobytes()
 
 
+def _packed(column: np.ndarray, steps: bool) -> bytes:
+    """Byte by byte over all numbers, as steps if they come in order, which compresses well."""
+    if steps:
+        column = np.diff(column, prepend=column.dtype.type(0))
+    return np.ascontiguousarray(column).view(np.uint8).reshape(-1, column.dtype.itemsize).T.tobytes()
+
+
 def _dealt(rows: np.ndarray, spare: np.ndarray, bucket: np.ndarray, spare_bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: the rows to sort, and those already known to be repeats."""
     order, other = np.argsort(bucket, kind="stable"), np.argsort(spare_bucket, kind="stable")
@@ -153,21 +165,26 @@ def _dealt(rows: np.ndarray, spare: np.ndarray, bucket: np.ndarray, spare_bucket
         cut = [np.searchsorted(s[o], [b, b + 1]) for s, o in ((bucket, order), (spare_bucket, other))]
         mine, known = rows[order[slice(*cut[0])]], spare[other[slice(*cut[1])]]
         by_text = lambda x: x[np.lexsort([x["at"], x["tie"], x["id"]])]  # noqa: E731  ids in order pack well
-        out.append((int(b), *[b"".join(by_text(x)[k].tobytes() for k in x.dtype.names) for x in (mine, known)]))
+        out.append((int(b), *[b"".join(_packed(y[k], k in STEPS) for k in y.dtype.names) for y in map(by_text, (mine, known))]))
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[k] for r in out], pa.binary()) for k in (1, 2)]], ["bucket", "rows", "known"])
 
 
+STEPS = ("id", "at")
+
+
 def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
     n, at = len(blob) // kind.itemsize, 0
     out = np.zeros(n, kind)
     for k in kind.names:
-        out[k] = np.frombuffer(blob, kind[k], n, at)
+        column = np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * kind[k].itemsize, at).reshape(kind[k].itemsize, n).T).view(kind[k])[:, 0] if n else out[k]
+        out[k] = np.cumsum(column, dtype=kind[k]) if k in STEPS else column
         at += n * kind[k].itemsize
     return out
 
 
 BUCKETED = "bucket int, rows binary, known binary"
-FOUND = "id long, tie int, repeats binary, open binary"
+FOUND = "id long, tie int, bucket int, repeats binary, open binary"
+COLUMNS = ["id", "tie", "bucket", "repeats", "open"]
 
 
 def _sampled(buckets: int):
@@ -203,14 +220,17 @@ def _bucket(content: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(content.astype(U)) % U(buckets)).astype(np.int64)
 
 
-def _of_samples(group: pd.DataFrame) -> pd.DataFrame:
+def _of_samples(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     x, first = _settle(np.concatenate([_unpack(b, SAMPLE) for b in group["rows"]]), ["content", "context"])
     lead = x[first]
-    alone = lead["content"][1:] != lead["content"][:-1]
-    shared = ~(np.append(True, alone) & np.append(alone, True)) if len(lead) else np.zeros(0, bool)
+    sizes = np.unique(lead["content"], return_counts=True)[1]
+    shared = np.repeat(sizes > 1, sizes)
     known = np.concatenate([x[~first], *[_unpack(b, SAMPLE) for b in group["known"]]])
-    out = [(i, t, r, None) for i, t, r in _runs(known, known["n"])] + [(i, t, None, r) for i, t, r in _runs(lead[shared], lead["n"][shared])]
-    return pd.DataFrame(out, columns=["id", "tie", "repeats", "open"])
+    many = np.repeat(sizes > SPREAD, sizes)
+    out = [(i, t, -1, r, None) for i, t, r in _runs(known, known["n"])]
+    for bucket, chosen in ((int(key[0]), lead[shared & ~many]), (-1, lead[shared & many])):
+        out += [(i, t, bucket, None, r) for i, t, r in _runs(chosen, chosen["n"])]
+    return pd.DataFrame(out, columns=COLUMNS)
 
 
 def _strings(buckets: int):
@@ -226,16 +246,20 @@ def _strings(buckets: int):
                 return
             x, first = _settle(np.concatenate(held), ["content"])
             held.clear()
-            bucket = _bucket(x["content"], buckets)
-            yield from _dealt(x[first], x[~first], bucket[first], bucket[~first])
+            bucket, plain = np.where(x["bucket"] < 0, _bucket(x["content"], buckets), x["bucket"]), x[list(STRING.names)]
+            yield from _dealt(plain[first], plain[~first], bucket[first], bucket[~first])
 
         for keys, parts, begins in pieces(rows()):
             hashes, base = Hashes(np.frombuffer(b"".join(parts), np.uint8)), np.cumsum([0, *map(len, parts)])
             for k, (id_, tie, runs) in enumerate(keys):
-                run = np.frombuffer(b"".join(runs), RUN)
-                at = np.concatenate([np.arange(a, a + n) for a, n in run.tolist()])
-                at = at[(at >= begins[k]) & (at + LENGTH <= begins[k] + len(parts[k]))]
-                x = np.zeros(len(at), STRING)
+                run = np.frombuffer(b"".join(r["open"] for r in runs), RUN)
+                bucket = np.repeat([r["bucket"] for r in runs], [len(r["open"]) // RUN.itemsize for r in runs])
+                n = run["n"].astype(np.int64)
+                at = np.repeat(run["at"] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                inside = (at >= begins[k]) & (at + LENGTH <= begins[k] + len(parts[k]))
+                at = at[inside]
+                x = np.zeros(len(at), DEALT_STRING)
+                x["bucket"] = np.repeat(bucket, n)[inside]
                 start = at - begins[k] + base[k]
                 x["content"], x["id"], x["tie"], x["at"] = _mix(hashes.of(start, start + LENGTH)), id_, tie, at
                 held.append(x)
@@ -249,7 +273,7 @@ def _strings(buckets: int):
 def _of_strings(group: pd.DataFrame) -> pd.DataFrame:
     x, first = _settle(np.concatenate([_unpack(b, STRING) for b in group["rows"]]), ["content"])
     known = np.concatenate([x[~first], *[_unpack(b, STRING) for b in group["known"]]])
-    return pd.DataFrame([(i, t, r, None) for i, t, r in _runs(known, np.ones(len(known), np.int64))], columns=["id", "tie", "repeats", "open"])
+    return pd.DataFrame([(i, t, -1, r, None) for i, t, r in _runs(known, np.ones(len(known), np.int64))], columns=COLUMNS)
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -264,7 +288,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     buckets = max(12, math.ceil(size / BUCKET_BYTES))
     found = durable(rows.mapInArrow(_sampled(buckets), BUCKETED).groupBy("bucket").applyInPandas(_of_samples, FOUND))
-    unsure = found.where("open is not null").groupBy("id", "tie").agg(F.collect_list("open").alias("open"))
+    unsure = found.where("open is not null").groupBy("id", "tie").agg(F.collect_list(F.struct("bucket", "open")).alias("open"))
     closer = rows.join(unsure, ["id", "tie"]).select("id", "tie", "data", "open").mapInArrow(_strings(buckets), BUCKETED)
     both = found.where("repeats is not null").unionByName(closer.groupBy("bucket").applyInPandas(_of_strings, FOUND))
     return both.groupBy("id", "tie").agg(F.collect_list("repeats").alias("runs"))
