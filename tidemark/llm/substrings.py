@@ -279,7 +279,7 @@ def _of_strings(group: pd.DataFrame) -> pd.DataFrame:
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """id, tie and data of each row: a null id is the largest one; ``tie`` tells texts of one id apart, by a hash."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("long").alias("id"), F.pmod(F.xxhash64(data), F.lit(1 << 16)).cast("int").alias("tie"), data.alias("data"))
+    return docs.select(F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("long").alias("id"), F.xxhash64(data).bitwiseAND((1 << 16) - 1).cast("int").alias("tie"), data.alias("data"))
 
 
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
