@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import durable
 
 
+#: Links for each partition of a round's table, and partitions at least.
+LINKS, PARTITIONS = 250_000, 16
+
+
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
 
@@ -27,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
-        now = durable(small.where("a <> b").distinct())
+        now = durable(small.where("a <> b").distinct().coalesce(max(PARTITIONS, state[0] // LINKS)))
         before, state = state, _state(now)
         if before == state:
             break
