@@ -248,6 +248,23 @@ def _encoder(ranks: dict[bytes, int], pattern: str, _last: list = []) -> Encoder
     return _last[0]
 
 
+def _ids(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    parts = list(encoder.encode(t.as_py() or "" for t in texts))
+    ends = [0, *accumulate(len(p) // 4 for p in parts)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))]))
+
+
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def _plain(tokens: list[bytes], lists: pa.ListArray) -> pa.Array:
+    return pa.array([b"".join([tokens[k] for k in x.values.to_numpy(zero_copy_only=False).tolist()]) if x.is_valid else b"" for x in lists], pa.binary())
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out`` array<int>: the ids of ``text``, or none for a null or empty one.
 
@@ -262,9 +279,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(shared.value, pattern)
         for texts in batches:
-            parts = list(encoder.encode(t.as_py() or "" for t in texts))
-            ends = [0, *accumulate(len(p) // 4 for p in parts)]
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))]))
+            yield _ids(encoder, texts)
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -278,15 +293,29 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
 
     @F.arrow_udf("binary")
     def plain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = [b""] * (max(shared.value.values(), default=-1) + 1)
-        for token, rank in shared.value.items():
-            tokens[rank] = token
+        tokens = _tokens(shared.value)
         for lists in batches:
-            yield pa.array([b"".join([tokens[k] for k in x.values.to_numpy(zero_copy_only=False).tolist()]) if x.is_valid else b"" for x in lists], pa.binary())
+            yield _plain(tokens, lists)
 
     return df.withColumn(out, plain(F.col(ids)))
 
 
+def encode_and_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode``, in one pass through one Python worker."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, tokens = _encoder(shared.value, pattern), _tokens(shared.value)
+        for texts in batches:
+            lists = _ids(encoder, texts)
+            yield pa.StructArray.from_arrays([lists, _plain(tokens, lists)], ["ids", "decoded"])
+
+    rest = [c for c in df.columns if c not in (ids, decoded)]
+    got = df.withColumn("__both", both(F.col(text)))
+    return got.select(*rest, F.col("__both.ids").alias(ids), F.col("__both.decoded").alias(decoded))
+
+
 def n_tokens(ids: str | Column) -> Column:
     return F.coalesce(F.size(ids), F.lit(0)).cast("long")
 
@@ -294,7 +323,7 @@ def n_tokens(ids: str | Column) -> Column:
 def query(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes of each document."""
     ranks = load_ranks(path)
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
+    both = encode_and_decode(docs.select("doc_id", "text"), ranks, pattern)
     return both.select(
         "doc_id",
         n_tokens("ids").alias("n_tokens"),
