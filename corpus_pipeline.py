@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents but for the text, n_tokens, ids, and whether these decode to the text's bytes."""
     ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
-    both = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, out="__ids"), ranks, "__ids", "__bytes")
+    both = bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, ids="__ids", decoded="__bytes")
     same = F.col("__bytes") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "round_trip")]
     return both.select(*rest, bpe.n_tokens("__ids").alias("n_tokens"), F.col("__ids").alias("ids"), same.alias("round_trip"))
