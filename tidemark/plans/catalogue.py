@@ -2,6 +2,558 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import fracdiff, fractal, spectral, synthetic
+from tidemark.operators import audit, execution, frames, inference, model
+from tidemark.operators import backtest as bt
+from tidemark.plans.oracle import LONG_SCALES, MF_SCALES, ROLL_SCALES, pick, sql
+from tidemark.sources import panels
+from tidemark.streaming import bars as stream
+
 FLAGSHIP = "momentum_sort_backtest"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def broad_class():
+    return F.substring("ticker", 1, 7)
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Whole numbers as long, floats rounded to six places without a negative zero."""
+    def one(name: str, kind: str):
+        if kind in ("int", "smallint", "tinyint"):
+            return F.col(name).cast("long").alias(name)
+        return (F.round(name, 6) + 0.0).alias(name) if kind == "double" else F.col(name)
+
+    return df.select(*[one(n, k) for n, k in df.dtypes])
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def index(s: SparkSession, d: str) -> DataFrame:
+    return panels.index_panel(panels.brand_bars(s, d))
+
+
+def feats(s: SparkSession, d: str) -> DataFrame:
+    return frames.features(index(s, d))
+
+
+def ml_panel(s: SparkSession, d: str) -> DataFrame:
+    return feats(s, d).na.drop(subset=[*model.FEATURES, "target"])
+
+
+def momentum(s: SparkSession, d: str) -> bt.Backtest:
+    x = feats(s, d)
+    return bt.sort_backtest(x.select("ticker", "date", F.col("mom_12_1").alias("factor")), x)
+
+
+def hurst_panel(s: SparkSession, d: str) -> DataFrame:
+    """ticker, i, date, h, vol, cls."""
+    x = feats(s, d)
+    h = fractal.rolling_dfa(x.select("ticker", "i", "r"), 500, 21, ROLL_SCALES)
+    return h.join(x.select("ticker", "i", "date", F.col("vol_252").alias("vol")), ["ticker", "i"]).withColumn("cls", broad_class())
+
+
+def returns_series(s: SparkSession, d: str) -> DataFrame:
+    return fractal.series(frames.with_returns(index(s, d)))
+
+
+# Sources
+
+
+@query(pick("px", "ticker date", "close volume"))
+def daily_bars(s, d):
+    return panels.brand_bars(s, d)
+
+
+@query(pick("nat", "ticker asset_class date", "close volume"))
+def daily_bars_classed(s, d):
+    return panels.nation_bars(s, d)
+
+
+@query(pick("dense", "ticker date", "close"))
+def dense_panel(s, d):
+    return panels.dense(panels.brand_bars(s, d))
+
+
+@query(pick("ret", "ticker date", "lp r"))
+def log_returns(s, d):
+    return frames.with_returns(index(s, d)).select("ticker", "date", "lp", "r")
+
+
+@query(sql("SELECT ticker, date, round(close, 6) + 0.0::DOUBLE AS close FROM px WHERE ticker IN (SELECT ticker FROM px GROUP BY ticker HAVING count(close) >= CAST(floor((SELECT count(DISTINCT date) FROM px) * 0.6::DOUBLE) AS BIGINT))"))
+def coverage_filter(s, d):
+    return frames.covered(panels.brand_bars(s, d).select("ticker", "date", "close"), 0.6)
+
+
+@query("SELECT page_id, CAST(n - 1 AS BIGINT) AS n, field FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a(?: [^<>]*)?>([^<>]*)</a>', 1)) AS f0, generate_subscripts(regexp_extract_all(html, '<a(?: [^<>]*)?>([^<>]*)</a>', 1), 1) AS n, translate(trim(f0), '.', '-') AS field FROM pages)")
+def html_table_extract(s, d):
+    return panels.html_fields(panels.table(s, d, "pages"), "a")
+
+
+@query("SELECT DISTINCT c_mktsegment AS member FROM customer UNION SELECT DISTINCT o_orderpriority FROM orders UNION SELECT DISTINCT p_brand FROM part")
+def universe_union(s, d):
+    parts = [panels.table(s, d, t).select(F.col(c).alias("member")) for t, c in (("customer", "c_mktsegment"), ("orders", "o_orderpriority"), ("part", "p_brand"))]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
+
+
+@query("SELECT c_custkey, coalesce(n_name, 'unknown') AS asset_class FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
+def universe_lookup_default(s, d):
+    classes = panels.table(s, d, "nation").where("n_regionkey < 3").select("n_nationkey", "n_name")
+    return panels.table(s, d, "customer").join(classes, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("asset_class"))
+
+
+@query("SELECT DISTINCT p_type AS fine, CASE WHEN p_type LIKE 'STANDARD%' THEN 'STANDARD' WHEN p_type LIKE 'SMALL %' THEN split_part(p_type, ' ', 1) || ' ' || split_part(p_type, ' ', 2) ELSE split_part(p_type, ' ', 1) END AS broad FROM part")
+def class_map_broad(s, d):
+    words = F.split("p_type", " ")
+    two = F.concat_ws(" ", F.get(words, 0), F.coalesce(F.get(words, 1), F.lit("")))
+    broad = F.when(F.col("p_type").startswith("STANDARD"), "STANDARD").when(F.col("p_type").startswith("SMALL "), two).otherwise(F.get(words, 0))
+    return panels.table(s, d, "part").select(F.col("p_type").alias("fine"), broad.alias("broad")).distinct()
+
+
+# Windows
+
+
+@query(pick("feat", "ticker date", "mom_12_1 ret_1m vol_60 vol_252 target fwd_vol_21"))
+def feature_panel(s, d):
+    return feats(s, d).select("ticker", "date", "mom_12_1", "ret_1m", "vol_60", "vol_252", "target", "fwd_vol_21")
+
+
+@query(pick("panel", "ticker date", "mom_12_1 ret_1m vol_60 vol_252 target"))
+def ml_panel_rows(s, d):
+    return ml_panel(s, d).select("ticker", "date", "mom_12_1", "ret_1m", "vol_60", "vol_252", "target")
+
+
+@query(pick("zsc", "ticker date", "z", "z IS NOT NULL"))
+def rolling_zscore(s, d):
+    return feats(s, d).select("ticker", "date", frames.zscore("ret_1m").alias("z")).where("z is not null")
+
+
+@query(sql("SELECT ticker, date, round(CASE WHEN mom_12_1 IS NOT NULL THEN 0.5::DOUBLE * coalesce(z, 0) + 0.5::DOUBLE * mom_12_1 END, 6) + 0.0::DOUBLE AS blend FROM zsc"))
+def blend_factor(s, d):
+    x = feats(s, d).withColumn("z", frames.zscore("ret_1m"))
+    return x.select("ticker", "date", (0.5 * F.coalesce("z", F.lit(0.0)) + 0.5 * F.col("mom_12_1")).alias("blend"))
+
+
+def _gappy(s, d):
+    grid = panels.brand_bars(s, d).select("date").distinct().crossJoin(panels.brand_bars(s, d).select("ticker").distinct())
+    return grid.join(panels.brand_bars(s, d).where("dayofmonth(date) % 3 = 0").select("ticker", "date", "close"), ["ticker", "date"], "left")
+
+
+_GAPPY = "(SELECT g.ticker, g.date, p.close FROM grid g LEFT JOIN px p ON p.ticker = g.ticker AND p.date = g.date AND day(p.date) % 3 = 0)"
+
+
+@query(sql(f"SELECT ticker, date, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date), 6) AS before, round(first_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS after FROM {_GAPPY}"))
+def asof_fills(s, d):
+    return _gappy(s, d).select("ticker", "date", frames.forward_fill("close").alias("before"), frames.backward_fill("close").alias("after"))
+
+
+# Backtests
+
+
+@query(pick("mom_m", "ticker date", "factor"))
+def month_end_factor(s, d):
+    return bt.month_factor(feats(s, d).select("ticker", "date", F.col("mom_12_1").alias("factor")))
+
+
+@query(pick("mret", "ticker date", "r"))
+def monthly_returns(s, d):
+    return bt.month_returns(feats(s, d))
+
+
+@query(pick("mom_sig", "ticker date", "r factor"))
+def month_grid_shift(s, d):
+    x = feats(s, d)
+    return bt.signals(x.select("ticker", "date", F.col("mom_12_1").alias("factor")), x).select("ticker", "date", "r", "factor")
+
+
+@query(pick("mom_legs", "date ticker leg", "weight"))
+def holdings(s, d):
+    return momentum(s, d).legs
+
+
+@query(pick("mom_bt", "seq date", "long_r short_r ls_r traded turnover net_r"))
+def momentum_sort_backtest(s, d):
+    return bt.net_returns(momentum(s, d).returns)
+
+
+@query(sql("SELECT seq, round(ls_r - coalesce(turnover * 4, 0) * 10 / 1e4, 6) + 0.0::DOUBLE AS net_r FROM mom_bt"))
+def legacy_cost_path(s, d):
+    return bt.net_returns(momentum(s, d).returns.withColumn("traded", F.lit(None).cast("double"))).select("seq", "net_r")
+
+
+def _stats_sql(v, cost):
+    return sql(f"SELECT round(avg({v}) * 12, 6) AS ann_return, round(stddev_samp({v}) * sqrt(12), 6) AS ann_vol, round(avg({v}) * 12 / (stddev_samp({v}) * sqrt(12)), 6) AS sharpe, round(min(dd), 6) + 0.0::DOUBLE AS max_drawdown, round(avg(CAST({v} > 0 AS DOUBLE)), 6) AS hit_rate, count(*) AS n_periods, round(avg(turnover), 6) AS turnover, {cost}::DOUBLE AS cost_bps_per_side FROM (SELECT *, eq / max(eq) OVER (ORDER BY seq) - 1 AS dd FROM (SELECT *, product(1 + {v}) OVER (ORDER BY seq) AS eq FROM mom_bt)) HAVING count(*) >= 2")
+
+
+@query(_stats_sql("ls_r", 0))
+def bt_stats_gross(s, d):
+    return bt.stats(momentum(s, d).returns)
+
+
+@query(_stats_sql("net_r", 10))
+def bt_stats_net(s, d):
+    return bt.stats(bt.net_returns(momentum(s, d).returns), "net_r", 10.0)
+
+
+@query(pick("mom_eq", "seq date", "equity drawdown"))
+def equity_curve(s, d):
+    return bt.equity(momentum(s, d).returns)
+
+
+@query(sql("SELECT leg, ticker AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY leg), 6) AS share FROM mom_legs GROUP BY ALL"))
+def composition_ticker(s, d):
+    return bt.composition(momentum(s, d).legs, "ticker")
+
+
+@query(sql("SELECT leg, substr(ticker, 1, 7) AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY leg), 6) AS share FROM mom_legs GROUP BY ALL"))
+def composition_class(s, d):
+    return bt.composition(momentum(s, d).legs, broad_class())
+
+
+@query(sql("SELECT leg, ticker, n FROM (SELECT leg, ticker, count(*) AS n, row_number() OVER (PARTITION BY leg ORDER BY count(*) DESC, ticker) AS rk FROM mom_legs GROUP BY ALL) WHERE rk <= 3"))
+def leg_top_members(s, d):
+    counted = momentum(s, d).legs.groupBy("leg", "ticker").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("rk", F.row_number().over(W.partitionBy("leg").orderBy(F.desc("n"), "ticker"))).where("rk <= 3").drop("rk")
+
+
+@query(sql("SELECT metric, round(value, 6) + 0.0::DOUBLE AS value FROM (UNPIVOT (SELECT avg(ls_r) AS mean_gross, avg(net_r) AS mean_net, avg(turnover) AS turnover FROM mom_bt) ON mean_gross, mean_net, turnover INTO NAME metric VALUE value)"))
+def stats_unpivot(s, d):
+    x = bt.net_returns(momentum(s, d).returns).agg(F.avg("ls_r").alias("mean_gross"), F.avg("net_r").alias("mean_net"), F.avg("turnover").alias("turnover"))
+    return x.unpivot([], ["mean_gross", "mean_net", "turnover"], "metric", "value")
+
+
+@query(sql("SELECT date, round(max(r) FILTER (WHERE ticker = 'Brand#11'), 6) + 0.0::DOUBLE AS \"Brand#11\", round(max(r) FILTER (WHERE ticker = 'Brand#12'), 6) + 0.0::DOUBLE AS \"Brand#12\" FROM mret GROUP BY date"))
+def panel_pivot(s, d):
+    return bt.month_returns(feats(s, d)).groupBy("date").pivot("ticker", ["Brand#11", "Brand#12"]).agg(F.max("r"))
+
+
+@query(pick("hurst_bt", "seq date", "long_r short_r ls_r traded turnover net_r"))
+def hurst_sort_backtest(s, d):
+    x = hurst_panel(s, d)
+    return bt.net_returns(bt.sort_backtest(x.select("ticker", "date", F.col("h").alias("factor")), feats(s, d)).returns)
+
+
+@query(pick("res", "date ticker cls", "h vol residual"))
+def residualize_fwl(s, d):
+    return bt.residualize(hurst_panel(s, d))
+
+
+@query(sql("SELECT date, count(*) AS n, count(DISTINCT cls) + 1 AS n_params, round(1 - sum(residual * residual) / nullif(var_pop(h) * count(*), 0), 6) + 0.0::DOUBLE AS r2 FROM res GROUP BY date"))
+def r2_class_vol(s, d):
+    x = bt.residualize(hurst_panel(s, d)).groupBy("date")
+    return x.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("cls") + 1).alias("n_params"), (1 - F.try_divide(F.sum(F.col("residual") * F.col("residual")), F.var_pop("h") * F.count(F.lit(1)))).alias("r2"))
+
+
+@query(pick("res_bt", "seq date", "long_r short_r ls_r traded turnover net_r"))
+def residual_sort_backtest(s, d):
+    x = bt.residualize(hurst_panel(s, d))
+    return bt.net_returns(bt.sort_backtest(x.select("ticker", "date", F.col("residual").alias("factor")), feats(s, d)).returns)
+
+
+# Estimators
+
+
+@query(pick("dfa", "ticker", "h"))
+def hurst_dfa_full(s, d):
+    return fractal.dfa(returns_series(s, d), LONG_SCALES)
+
+
+@query(pick("roll", "ticker i", "h"))
+def hurst_dfa_rolling(s, d):
+    return hurst_panel(s, d).select("ticker", "i", "h")
+
+
+@query(sql("SELECT round(avg(h), 6) AS mean, round(stddev_samp(h), 6) AS std, round(quantile_cont(h, 0.05), 6) AS p05, round(quantile_cont(h, 0.95), 6) AS p95, round(max(h) - min(h), 6) AS range, count(*) AS n, count(*) FILTER (WHERE abs(h - 0.5) > 0.05) AS far FROM dfa"))
+def hurst_distribution(s, d):
+    x = fractal.dfa(returns_series(s, d), LONG_SCALES)
+    return x.agg(F.avg("h").alias("mean"), F.stddev_samp("h").alias("std"), F.percentile("h", F.lit(0.05)).alias("p05"), F.percentile("h", F.lit(0.95)).alias("p95"), (F.max("h") - F.min("h")).alias("range"), F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("h") - 0.5) > 0.05).alias("far"))
+
+
+@query(sql("SELECT ticker, round(h, 6) AS h FROM dfa ORDER BY h DESC, ticker LIMIT 5"))
+def hurst_topk(s, d):
+    return fractal.dfa(returns_series(s, d), LONG_SCALES).orderBy(F.desc("h"), "ticker").limit(5)
+
+
+def _rs_sql(nw):
+    return sql(f"SELECT ticker, n, q, round(rs / sqrt(n), 6) AS v, rs / sqrt(n) > 1.862 OR rs / sqrt(n) < 0.809 AS rejects_null_95, round(ln(rs) / ln(n), 6) AS h_implied FROM (SELECT ticker, n, CAST(q AS BIGINT) AS q, rng / s AS rs FROM (SELECT ticker, n, max(y) - min(y) AS rng FROM prof GROUP BY ALL) JOIN {nw} USING (ticker))")
+
+
+@query(_rs_sql("nw"))
+def lo_rs_modified(s, d):
+    return fractal.modified_rs(returns_series(s, d))
+
+
+@query(_rs_sql("nw0"))
+def lo_rs_classic(s, d):
+    return fractal.modified_rs(returns_series(s, d), 0)
+
+
+@query(pick("bandq", "ticker n q", "rho"))
+def andrews_bandwidth(s, d):
+    return fractal.bandwidth(fractal.profile(returns_series(s, d), 100))
+
+
+@query(pick("nw", "ticker q", "s"))
+def newey_west(s, d):
+    x = fractal.profile(returns_series(s, d), 100)
+    return fractal.long_run_std(x, fractal.bandwidth(x))
+
+
+@query(pick("mf_h", "ticker q", "h"))
+def mfdfa_spectrum(s, d):
+    return fractal.spectrum(fractal.mfdfa(returns_series(s, d), MF_SCALES))
+
+
+@query(sql("SELECT ticker, round(max(h) - min(h), 6) + 0.0::DOUBLE AS delta_h FROM mf_h GROUP BY ticker"))
+def mfdfa_delta_h(s, d):
+    return fractal.delta_h(fractal.spectrum(fractal.mfdfa(returns_series(s, d), MF_SCALES)))
+
+
+def _gates(s, d):
+    x = feats(s, d)
+    least = x.agg(F.min("ticker").alias("__t"))
+    one = x.join(least, F.col("ticker") == F.col("__t"), "left_semi")
+    return one.where("i >= 252 and (i - 252) % 21 = 0 and vol_252 is not null and target is not null").select("date", F.col("vol_252").alias("delta_h"), F.col("target").alias("fwd"))
+
+
+@query(pick("causal", "date", "delta_h fwd threshold gated"))
+def regime_gate_causal(s, d):
+    return audit.gate(_gates(s, d))
+
+
+@query(pick("leaky", "date", "delta_h fwd threshold gated"))
+def regime_gate_leaky(s, d):
+    return audit.gate(_gates(s, d), causal=False)
+
+
+@query(sql("SELECT round(corr(delta_h, fwd), 6) + 0.0::DOUBLE AS corr_fwd, round(corr(delta_h, abs(fwd)), 6) + 0.0::DOUBLE AS corr_abs, count(*) AS n FROM gates"))
+def gate_correlations(s, d):
+    return _gates(s, d).agg(F.corr("delta_h", "fwd").alias("corr_fwd"), F.corr("delta_h", F.abs("fwd")).alias("corr_abs"), F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("SELECT a.date, round(a.close, 2) AS lines, round(b.close, 2) AS orders FROM lines_d a JOIN orders_d b USING (date)"))
+def calendar_intersection(s, d):
+    a, b = panels.daily_totals(s, d)
+    return a.join(b.withColumnRenamed("close", "o"), "date").select("date", F.round("close", 2).alias("lines"), F.round("o", 2).alias("orders"))
+
+
+_FFD = "WITH RECURSIVE wt AS (SELECT 0::BIGINT AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4::DOUBLE - (k + 1) + 1) / (k + 1) FROM wt WHERE abs(-w * (0.4::DOUBLE - (k + 1) + 1) / (k + 1)) >= 1e-3)"
+
+
+@query(_FFD + " SELECT k, round(w, 6) AS w FROM wt")
+def ffd_weights(s, d):
+    return fracdiff.weight_table(s, 0.4, 1e-3)
+
+
+def _ffd_sql(final):
+    return _FFD + ", " + sql("SELECT ticker, date, i, lp FROM ret").removeprefix("WITH ").replace("\nSELECT ticker, date, i, lp FROM ret", "") + ", ff AS (SELECT a.ticker, a.date, a.i, sum(wt.w * b.lp) AS y FROM ret a, wt, ret b WHERE b.ticker = a.ticker AND b.i = a.i - wt.k GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM wt)) " + final
+
+
+@query(_ffd_sql("SELECT ticker, date, round(y, 6) + 0.0::DOUBLE AS y FROM ff"))
+def ffd_series(s, d):
+    x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
+    return fracdiff.ffd(x).where("y is not null").select("ticker", "date", "y")
+
+
+@query(_ffd_sql("SELECT ticker, date, round((y - m) / nullif(s, 0), 6) + 0.0::DOUBLE AS z FROM (SELECT *, avg(y) OVER f AS m, stddev_samp(y) OVER f AS s, count(y) OVER f AS c FROM ff WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE c = 252"))
+def ffd_zscore(s, d):
+    x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
+    return fracdiff.ffd(x).where("y is not null").select("ticker", "date", frames.zscore("y").alias("z")).where("z is not null")
+
+
+@query()
+def min_d_adf(s, d):
+    return fracdiff.min_d(frames.with_returns(index(s, d)).select("ticker", "i", F.col("lp").alias("x")))
+
+
+# Intraday
+
+
+@query(pick("hb", "ticker ts", "open high low close volume"))
+def hourly_bars(s, d):
+    return panels.hourly_bars(s, d)
+
+
+@query(pick("shape", "ticker hour n", "abs_ret volume abs_ret_shape volume_shape"))
+def hour_seasonality(s, d):
+    return execution.seasonality(panels.hourly_bars(s, d))
+
+
+@query(sql("SELECT hour, round(avg(abs_ret_shape), 6) AS abs_ret, round(avg(volume_shape), 6) AS volume, count(DISTINCT ticker) AS n FROM shape GROUP BY hour"))
+def hour_seasonality_agg(s, d):
+    return execution.seasonality(panels.hourly_bars(s, d)).groupBy("hour").agg(F.avg("abs_ret_shape").alias("abs_ret"), F.avg("volume_shape").alias("volume"), F.count_distinct("ticker").alias("n"))
+
+
+@query(sql("SELECT hour, round(v, 6) AS volume FROM (SELECT hour, avg(volume_shape) AS v FROM shape GROUP BY hour) ORDER BY round(v, 9) DESC, hour LIMIT 3"))
+def top_hours(s, d):
+    x = execution.seasonality(panels.hourly_bars(s, d)).groupBy("hour").agg(F.avg("volume_shape").alias("volume"))
+    return x.orderBy(F.desc(F.round("volume", 9)), "hour").limit(3)
+
+
+@query(pick("vprof", "ticker hour", "share"))
+def volume_profile(s, d):
+    return execution.volume_profile(execution.halves(panels.hourly_bars(s, d)).where("half = 0"))
+
+
+@query(pick("vwap", "ticker date n", "vwap"))
+def day_vwap(s, d):
+    return execution.day_vwap(panels.hourly_bars(s, d))
+
+
+@query(pick("cost", "ticker date", "uniform vwap_profile avoid_open front_load end_load"))
+def exec_shortfall(s, d):
+    return execution.shortfall(panels.hourly_bars(s, d))
+
+
+@query(sql("SELECT schedule, round(avg(bps), 6) + 0.0::DOUBLE AS mean, round(quantile_cont(bps, 0.5), 6) + 0.0::DOUBLE AS median, round(stddev_samp(bps), 6) AS std, round(quantile_cont(bps, 0.1), 6) AS p10, round(quantile_cont(bps, 0.9), 6) AS p90, count(bps) AS n FROM costl GROUP BY schedule"))
+def exec_summary(s, d):
+    return execution.summary(execution.shortfall(panels.hourly_bars(s, d)))
+
+
+@query(sql("SELECT schedule, round(avg(x), 6) + 0.0::DOUBLE AS mean_diff, round(avg(x) / (stddev_samp(x) / sqrt(count(x))), 6) + 0.0::DOUBLE AS t, count(x) AS n FROM (SELECT l.schedule, c.uniform - l.bps AS x FROM costl l JOIN cost c USING (ticker, date) WHERE l.schedule <> 'uniform') GROUP BY schedule"))
+def exec_paired_t(s, d):
+    return execution.paired_t(execution.shortfall(panels.hourly_bars(s, d)))
+
+
+@query(sql("SELECT ticker, round(avg(uniform - vwap_profile), 6) + 0.0::DOUBLE AS saved FROM cost GROUP BY ticker ORDER BY avg(uniform - vwap_profile) DESC, ticker LIMIT 3"))
+def exec_per_ticker_topk(s, d):
+    x = execution.shortfall(panels.hourly_bars(s, d)).groupBy("ticker").agg(F.avg(F.col("uniform") - F.col("vwap_profile")).alias("saved"))
+    return x.orderBy(F.desc("saved"), "ticker").limit(3)
+
+
+@query()
+def welch_psd(s, d):
+    bars = panels.hourly_bars(s, d).withColumn("r", F.ln("close") - F.lag(F.ln("close")).over(W.partitionBy("ticker").orderBy("ts")))
+    return spectral.psd(fractal.series(bars, "r", "ts"))
+
+
+_STREAM = "SELECT event_type AS ticker, time_bucket(INTERVAL 1 HOUR, ts) AS ts, count(*) AS volume, round(max(value), 6) AS high, round(min(value), 6) AS low FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+
+
+@query(_STREAM)
+def stream_hourly_bars(s, d):
+    return stream.replay(s, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# Inference
+
+
+def _ci_sql(t, v, block):
+    return sql(f"SELECT round((SELECT quantile_cont({v}, 0.025) FROM {t}_s), 6) + 0.0::DOUBLE AS lo, round(sqrt(12) * avg(net_r) / stddev_pop(net_r), 6) + 0.0::DOUBLE AS point, round((SELECT quantile_cont({v}, 0.975) FROM {t}_s), 6) + 0.0::DOUBLE AS hi, count(*) AS n, {block}::DOUBLE AS expected_block FROM bs HAVING count(*) >= 12")
+
+
+@query(_ci_sql("bt1", "s", 1))
+def boot_iid_sharpe(s, d):
+    return inference.sharpe_ci(bt.net_returns(momentum(s, d).returns), "net_r", "seq", 200)
+
+
+@query(_ci_sql("bt3", "s", 3))
+def boot_block_sharpe(s, d):
+    return inference.sharpe_ci(bt.net_returns(momentum(s, d).returns), "net_r", "seq", 200, block=3.0)
+
+
+@query(sql("SELECT round((SELECT quantile_cont(g - s, 0.025) FROM bt3_s), 6) + 0.0::DOUBLE AS lo, round(sqrt(12) * (avg(ls_r) / stddev_pop(ls_r) - avg(net_r) / stddev_pop(net_r)), 6) + 0.0::DOUBLE AS point, round((SELECT quantile_cont(g - s, 0.975) FROM bt3_s), 6) + 0.0::DOUBLE AS hi, count(*) AS n, round((SELECT avg(CAST(g - s > 0 AS DOUBLE)) FROM bt3_s), 6) AS p_gt_0, 3::DOUBLE AS expected_block FROM bs HAVING count(*) >= 12"))
+def boot_paired_diff(s, d):
+    return inference.paired_diff_ci(bt.net_returns(momentum(s, d).returns), "ls_r", "net_r", "seq", 200, block=3.0)
+
+
+# Audits
+
+
+def _rebalances(s, d):
+    return hurst_panel(s, d).withColumn("idx", F.expr("(i - 500) div 21")).select("idx", "ticker", "h")
+
+
+@query(sql("SELECT lag, round(avg(rho), 6) + 0.0::DOUBLE AS rho, count(rho) AS pairs FROM (SELECT lag, idx, corr(ra, rb) AS rho FROM (SELECT lag, idx, rank() OVER (PARTITION BY lag, idx ORDER BY a) + (count(*) OVER (PARTITION BY lag, idx, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY lag, idx ORDER BY b) + (count(*) OVER (PARTITION BY lag, idx, b) - 1) / 2.0::DOUBLE AS rb FROM (SELECT v.lag, (x.i - 500) // 21 AS idx, x.h AS a, y.h AS b FROM roll x, (VALUES (1), (6), (12), (24)) v(lag), roll y WHERE y.ticker = x.ticker AND y.i = x.i + 21 * v.lag)) GROUP BY ALL HAVING count(*) > 20) GROUP BY lag"))
+def rank_persistence(s, d):
+    return audit.rank_persistence(_rebalances(s, d), (1, 6, 12, 24))
+
+
+@query(sql("SELECT round(avg(s), 6) AS mean_std, count(s) AS n FROM (SELECT i, stddev_samp(h) AS s FROM roll GROUP BY i)"))
+def xs_dispersion(s, d):
+    return audit.dispersion(_rebalances(s, d))
+
+
+_SHUF = "(SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY md5('0:' || ticker || ':' || i)) - 1 AS i, x, n FROM prof)"
+
+
+@query(sql(f"SELECT ticker, round(regr_slope(ln(f), ln(s)), 6) AS h FROM (SELECT ticker, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM (SELECT ticker, i, n, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM {_SHUF}), (VALUES {', '.join(f'({x})' for x in LONG_SCALES)}) v(s) WHERE s <= n // 2 AND i < s * (n // s) GROUP BY ALL) GROUP BY ALL) WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4"))
+def shuffle_control(s, d):
+    return fractal.dfa(synthetic.shuffled(returns_series(s, d)), LONG_SCALES)
+
+
+@query(pick("(SELECT ticker, min(date) AS first, max(date) AS last, count(close) AS n, min(date) <= DATE '1995-01-10' AS covered FROM px GROUP BY ticker)", "ticker first last n covered"))
+def coverage_audit(s, d):
+    return audit.coverage(panels.brand_bars(s, d), "1995-01-10")
+
+
+@query()
+def subperiod_audit(s, d):
+    x = audit.subperiods(frames.with_returns(index(s, d)).select("ticker", "date", "r"), [("early", "1995-01-01", "1998-01-01"), ("late", "1998-01-01", "2002-01-01")])
+    return fractal.dfa(fractal.series(x))
+
+
+@query(pick("sets", "rebal train_start train_end last_used n_train n_test", "", "n_test >= 10"))
+def walkforward_train_sets(s, d):
+    return model.train_sets(ml_panel(s, d))
+
+
+@query(sql("SELECT p.date, p.ticker, round(s.intercept + s.slope * p.mom_12_1, 6) + 0.0::DOUBLE AS prediction FROM sets s JOIN panel p ON p.date = s.rebal WHERE s.n_test >= 10"))
+def walkforward_ols(s, d):
+    return model.walk_forward_ols(ml_panel(s, d))
+
+
+@query()
+def walkforward_gbt(s, d):
+    return model.walk_forward_trees(ml_panel(s, d), refit_months=36, trees=8)[0]
+
+
+@query()
+def feature_importance(s, d):
+    return model.walk_forward_trees(ml_panel(s, d), refit_months=36, trees=8)[1]
+
+
+# Generators
+
+
+@query(pick("noise", "series_id i", "r"))
+def gen_white_noise(s, d):
+    return synthetic.white_noise(s, 500, 4)
+
+
+@query(sql("SELECT series_id, i, round(sum(r) OVER (PARTITION BY series_id ORDER BY i), 6) + 0.0::DOUBLE AS x FROM noise"))
+def gen_random_walk(s, d):
+    return synthetic.random_walk(s, 500, 4)
+
+
+@query(sql("SELECT a.series_id, a.i, round(coalesce(sum(b.r * pow(0.5, a.i - b.i)), 0), 6) + 0.0::DOUBLE AS r FROM noise a LEFT JOIN noise b ON b.series_id = a.series_id AND b.i > 0 AND b.i <= a.i GROUP BY ALL"))
+def gen_ar1(s, d):
+    return synthetic.ar1(s, 500, 0.5, 4)
+
+
+@query()
+def gen_fgn(s, d):
+    return synthetic.fgn(s, [(500, 0.3, 1), (500, 0.7, 2)])
+
+
+@query()
+def noise_floor(s, d):
+    x = synthetic.fgn(s, [(n, h, k) for n in (500, 1000) for h in (0.45, 0.5, 0.55) for k in range(10)])
+    named = x.select(F.concat_ws("|", "n", "true_h", "seed").alias("ticker"), "i", "r")
+    h = fractal.dfa(named).select(F.split("ticker", r"\|").alias("p"), "h").select(F.col("p")[0].cast("long").alias("n"), F.col("p")[1].cast("double").alias("true_h"), "h")
+    return h.groupBy("n", "true_h").agg(F.avg("h").alias("mean"), (F.avg("h") - F.first("true_h")).alias("bias"), F.stddev_pop("h").alias("std"))
