@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Asymptotic 5 % point of the Dickey-Fuller t with a constant.
@@ -26,13 +25,12 @@ def weight_table(spark: SparkSession, d: float, tau: float) -> DataFrame:
 def ffd(rows: DataFrame, d: float = 0.4, tau: float = 1e-3) -> DataFrame:
     """rows (ticker, i, x), compacted: adds y, the weighted sum of x and what stands before; null until the weights fit.
 
-    An array of the last values by window frame, zipped with the weights: no rows are multiplied, and the frame is as wide as the weights.
+    Each value is dealt to the places that it counts for, and summed there, in part before the shuffle.
     """
     w = weights(d, tau)
-    frame = W.partitionBy("ticker").orderBy("i").rowsBetween(1 - len(w), 0)
-    last = F.collect_list("x").over(frame)
-    dot = F.aggregate(F.zip_with(last, F.array(*map(F.lit, reversed(w))), lambda x, k: x * k), F.lit(0.0), lambda a, b: a + b)
-    return rows.withColumn("y", F.when(F.count("x").over(frame) == len(w), dot))
+    dealt = rows.where("x is not null").select("ticker", "i", "x", F.posexplode(F.array(*map(F.lit, w))).alias("k", "w"))
+    sums = dealt.groupBy(F.col("ticker").alias("__t"), (F.col("i") + F.col("k")).alias("__i")).agg(F.sum(F.col("w") * F.col("x")).alias("y"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(w)).drop("n")
+    return rows.drop("y").join(sums, (F.col("ticker") == F.col("__t")) & (F.col("i") == F.col("__i")), "left").drop("__t", "__i")
 
 
 def adf_t(x: np.ndarray) -> float:

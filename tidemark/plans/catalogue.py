@@ -21,7 +21,7 @@ ORACLE: dict[str, str] = {}
 
 
 def broad_class():
-    return F.substring("ticker", 1, 7)
+    return F.concat(F.lit("class"), (F.substring("ticker", 7, 9).try_cast("int") % 5).cast("string"))
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -215,17 +215,17 @@ def equity_curve(s, d):
     return bt.equity(momentum(s, d).returns)
 
 
-@query(sql("SELECT leg, ticker AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY leg), 6) AS share FROM mom_legs GROUP BY ALL"))
+@query(sql("SELECT leg, ticker AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY leg), 6) AS share FROM mom_legs GROUP BY leg, ticker"))
 def composition_ticker(s, d):
     return bt.composition(momentum(s, d).legs, "ticker")
 
 
-@query(sql("SELECT leg, substr(ticker, 1, 7) AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY leg), 6) AS share FROM mom_legs GROUP BY ALL"))
+@query(sql("SELECT leg, 'class' || (TRY_CAST(substr(ticker, 7) AS INT) % 5) AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY leg), 6) AS share FROM mom_legs GROUP BY leg, key"))
 def composition_class(s, d):
     return bt.composition(momentum(s, d).legs, broad_class())
 
 
-@query(sql("SELECT leg, ticker, n FROM (SELECT leg, ticker, count(*) AS n, row_number() OVER (PARTITION BY leg ORDER BY count(*) DESC, ticker) AS rk FROM mom_legs GROUP BY ALL) WHERE rk <= 3"))
+@query(sql("SELECT leg, ticker, n FROM (SELECT leg, ticker, count(*) AS n, row_number() OVER (PARTITION BY leg ORDER BY count(*) DESC, ticker) AS rk FROM mom_legs GROUP BY leg, ticker) WHERE rk <= 3"))
 def leg_top_members(s, d):
     counted = momentum(s, d).legs.groupBy("leg", "ticker").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("rk", F.row_number().over(W.partitionBy("leg").orderBy(F.desc("n"), "ticker"))).where("rk <= 3").drop("rk")
@@ -361,7 +361,7 @@ def ffd_weights(s, d):
 
 
 def _ffd_sql(final):
-    return _FFD + ", " + sql("SELECT ticker, date, i, lp FROM ret").removeprefix("WITH ").replace("\nSELECT ticker, date, i, lp FROM ret", "") + ", ff AS (SELECT a.ticker, a.date, a.i, sum(wt.w * b.lp) AS y FROM ret a, wt, ret b WHERE b.ticker = a.ticker AND b.i = a.i - wt.k GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM wt)) " + final
+    return _FFD + ", " + sql("SELECT ticker, date, i, lp FROM ret").removeprefix("WITH ").replace("\nSELECT ticker, date, i, lp FROM ret", "") + ", ff AS (SELECT a.ticker, a.date, a.i, sum(wt.w * b.lp) AS y FROM ret a, wt, ret b WHERE b.ticker = a.ticker AND b.i = a.i - wt.k GROUP BY a.ticker, a.date, a.i HAVING count(*) = (SELECT count(*) FROM wt)) " + final
 
 
 @query(_ffd_sql("SELECT ticker, date, round(y, 6) + 0.0::DOUBLE AS y FROM ff"))
@@ -492,7 +492,7 @@ def xs_dispersion(s, d):
 _SHUF = "(SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY md5('0:' || ticker || ':' || i)) - 1 AS i, x, n FROM prof)"
 
 
-@query(sql(f"SELECT ticker, round(regr_slope(ln(f), ln(s)), 6) AS h FROM (SELECT ticker, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM (SELECT ticker, i, n, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM {_SHUF}), (VALUES {', '.join(f'({x})' for x in LONG_SCALES)}) v(s) WHERE s <= n // 2 AND i < s * (n // s) GROUP BY ALL) GROUP BY ALL) WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4"))
+@query(sql(f"SELECT ticker, round(regr_slope(ln(f), ln(s)), 6) AS h FROM (SELECT ticker, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM (SELECT ticker, i, n, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM {_SHUF}), (VALUES {', '.join(f'({x})' for x in LONG_SCALES)}) v(s) WHERE s <= n // 2 AND i < s * (n // s) GROUP BY ticker, s, i // s) GROUP BY ticker, s) WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4"))
 def shuffle_control(s, d):
     return fractal.dfa(synthetic.shuffled(returns_series(s, d)), LONG_SCALES)
 
@@ -541,7 +541,7 @@ def gen_random_walk(s, d):
     return synthetic.random_walk(s, 500, 4)
 
 
-@query(sql("SELECT a.series_id, a.i, round(coalesce(sum(b.r * pow(0.5, a.i - b.i)), 0), 6) + 0.0::DOUBLE AS r FROM noise a LEFT JOIN noise b ON b.series_id = a.series_id AND b.i > 0 AND b.i <= a.i GROUP BY ALL"))
+@query(sql("SELECT a.series_id, a.i, round(coalesce(sum(b.r * pow(0.5, a.i - b.i)), 0), 6) + 0.0::DOUBLE AS r FROM noise a LEFT JOIN noise b ON b.series_id = a.series_id AND b.i > 0 AND b.i <= a.i GROUP BY a.series_id, a.i"))
 def gen_ar1(s, d):
     return synthetic.ar1(s, 500, 0.5, 4)
 

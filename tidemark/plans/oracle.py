@@ -28,7 +28,7 @@ CTES: dict[str, str] = {
     "nat": "SELECT n_name AS ticker, r_name AS asset_class, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "grid": "SELECT * FROM (SELECT DISTINCT date FROM px) CROSS JOIN (SELECT DISTINCT ticker FROM px)",
     "dense": f"SELECT g.ticker, g.date, last_value(p.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date) AS close FROM grid g LEFT JOIN px p ON p.ticker = g.ticker AND p.date = g.date",
-    "ix": f"SELECT ticker, date, 100 * exp(sum(0.01::DOUBLE * z) OVER {W}) AS close FROM (SELECT *, (close - avg(close) OVER (PARTITION BY ticker)) / stddev_samp(close) OVER (PARTITION BY ticker) AS z FROM dense WHERE close IS NOT NULL)",
+    "ix": f"SELECT ticker, date, 100 * exp(sum(0.01::DOUBLE * z) OVER {W}) AS close FROM (SELECT *, (close - avg(close) OVER (PARTITION BY ticker)) / stddev_samp(close) OVER (PARTITION BY ticker) AS z FROM dense WHERE close IS NOT NULL AND date >= (SELECT max(f) FROM (SELECT min(date) AS f FROM px GROUP BY ticker)))",
     "ret": f"SELECT *, ln(close) AS lp, ln(close) - lag(ln(close)) OVER {W} AS r, row_number() OVER {W} - 1 AS i FROM ix",
     "feat": f"""SELECT *, (lp - lag(lp, 252) OVER {W}) - (lp - lag(lp, 21) OVER {W}) AS mom_12_1, lp - lag(lp, 21) OVER {W} AS ret_1m,
       sqrt(252) * {rolling('stddev_samp', 'r', '59 PRECEDING', 'CURRENT ROW', 60, 'v60').replace(' AS v60', '')} AS vol_60,
@@ -40,30 +40,30 @@ CTES: dict[str, str] = {
     "mret": "SELECT ticker, last_day(date) AS date, coalesce(sum(r), 0) AS r FROM ret GROUP BY ALL",
     "fac_mom": "SELECT ticker, date, mom_12_1 AS factor FROM feat",
     "prof": "SELECT ticker, i, n, x, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n, r - avg(r) OVER (PARTITION BY ticker) AS x FROM ret WHERE r IS NOT NULL) WHERE n >= 100",
-    "dfa_w": f"SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM prof, (VALUES {values(LONG_SCALES)}) v(s) WHERE s <= n // 2 AND i < s * (n // s) GROUP BY ALL",
+    "dfa_w": f"SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM prof, (VALUES {values(LONG_SCALES)}) v(s) WHERE s <= n // 2 AND i < s * (n // s) GROUP BY ticker, s, i // s",
     "dfa_f": "SELECT ticker, s, sqrt(avg(mse)) AS f FROM dfa_w GROUP BY ALL",
     "dfa": "SELECT ticker, regr_slope(ln(f), ln(s)) AS h FROM dfa_f WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4",
     "roll_y": "SELECT ticker, i, y - avg(y) OVER (PARTITION BY ticker) AS y FROM (SELECT ticker, i, sum(coalesce(r - m, 0)) OVER (PARTITION BY ticker ORDER BY i) AS y FROM (SELECT *, avg(r) OVER (PARTITION BY ticker) AS m FROM ret))",
     "roll_w": f"""SELECT e.ticker, e.i AS e, s, y.i - (e.i - 500) AS j, (y.i - (e.i - 500)) // s AS w, y.y
       FROM ret e, (VALUES {values(ROLL_SCALES)}) v(s), roll_y y
       WHERE e.i >= 500 AND (e.i - 500) % 21 = 0 AND y.ticker = e.ticker AND y.i >= e.i - 500 AND y.i < e.i - 500 + s * (500 // s)""",
-    "roll_f": "SELECT ticker, e, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, e, s, w, greatest(regr_syy(y, j) - regr_sxy(y, j) ** 2 / regr_sxx(y, j), 0) / s AS mse FROM roll_w GROUP BY ALL) GROUP BY ALL",
+    "roll_f": "SELECT ticker, e, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, e, s, w, greatest(regr_syy(y, j) - regr_sxy(y, j) ** 2 / regr_sxx(y, j), 0) / s AS mse FROM roll_w GROUP BY ticker, e, s, w) GROUP BY ticker, e, s",
     "roll": "SELECT ticker, e AS i, regr_slope(ln(f), ln(s)) AS h FROM roll_f WHERE f > 0 GROUP BY ALL HAVING count(*) >= 4",
     "fac_hurst": "SELECT ticker, date, h AS factor FROM roll JOIN ret USING (ticker, i)",
-    "rollvol": "SELECT r.ticker, r.i, r.date, r.h, f.vol_252 AS vol, substr(r.ticker, 1, 7) AS cls FROM (SELECT ticker, i, h, date FROM roll JOIN ret USING (ticker, i)) r JOIN feat f USING (ticker, i)",
+    "rollvol": "SELECT r.ticker, r.i, r.date, r.h, f.vol_252 AS vol, 'class' || (TRY_CAST(substr(r.ticker, 7) AS INT) % 5) AS cls FROM (SELECT ticker, i, h, date FROM roll JOIN ret USING (ticker, i)) r JOIN feat f USING (ticker, i)",
     "res1": "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n, count(*) OVER (PARTITION BY date, cls) AS k FROM rollvol WHERE h IS NOT NULL AND vol IS NOT NULL) WHERE n >= 20 AND k >= 2",
     "res2": "SELECT date, ticker, cls, h, vol, h - avg(h) OVER (PARTITION BY date, cls) AS hd, vol - avg(vol) OVER (PARTITION BY date, cls) AS vd FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n2 FROM res1) WHERE n2 >= 20",
     "res": "SELECT *, hd - coalesce(sum(hd * vd) OVER (PARTITION BY date) / nullif(sum(vd * vd) OVER (PARTITION BY date), 0), 0) * vd AS residual FROM res2",
     "fac_res": "SELECT ticker, date, residual AS factor FROM res",
     "band": "SELECT ticker, n, coalesce(least(greatest(sum(x * x1) / nullif(sum(x1 * x1), 0), -0.97), 0.97), 0)::DOUBLE AS rho FROM (SELECT *, CASE WHEN x1_ IS NULL THEN NULL ELSE x1_ END AS x1 FROM (SELECT *, lag(x) OVER (PARTITION BY ticker ORDER BY i) AS x1_ FROM prof)) GROUP BY ALL",
     "bandq": "SELECT *, greatest(1, least(CAST(ceil(1.1447::DOUBLE * pow(4 * rho * rho / pow(1 - rho * rho, 2) * n, 1.0::DOUBLE / 3)) AS BIGINT), n // 4)) AS q FROM band",
-    "nw": "SELECT a.ticker, q.q, sqrt(greatest(sum(CASE WHEN j = 0 THEN 1 ELSE 2 * (1 - j / (q.q + 1.0::DOUBLE)) END * a.x * b.x / a.n), 1e-16)) AS s FROM prof a JOIN bandq q ON q.ticker = a.ticker, range(0, 5000) t(j), prof b WHERE j <= q.q AND b.ticker = a.ticker AND b.i = a.i - j GROUP BY ALL",
+    "nw": "SELECT a.ticker, q.q, sqrt(greatest(sum(CASE WHEN q.j = 0 THEN 1 ELSE 2 * (1 - q.j / (q.q + 1.0::DOUBLE)) END * a.x * b.x / a.n), 1e-16)) AS s FROM prof a JOIN (SELECT ticker, q, unnest(range(0, q + 1)) AS j FROM bandq) q ON q.ticker = a.ticker JOIN prof b ON b.ticker = a.ticker AND b.i = a.i - q.j GROUP BY a.ticker, q.q",
     "nw0": "SELECT ticker, 0 AS q, sqrt(greatest(sum(x * x / n), 1e-16)) AS s FROM prof GROUP BY ALL",
     "mf_x": f"""SELECT *, j // s AS w, j % s - (s - 1) / 2.0::DOUBLE AS u FROM (
       SELECT ticker, i, y, n, s, n // s AS m, d, CASE WHEN d = 0 THEN i ELSE i - (n - (n // s) * s) END AS j
       FROM prof, (VALUES {values(MF_SCALES)}) v(s), (VALUES (0), (1)) t(d) WHERE n >= 200 AND s <= n // 2) WHERE j >= 0 AND j < m * s""",
     "mf_w": "SELECT ticker, s, (sum(yc * yc) - sum(yc * u) ** 2 / (s * (s * s - 1.0::DOUBLE) / 12) - sum(yc * (u * u - (s * s - 1) / 12.0::DOUBLE)) ** 2 / (s::DOUBLE * (s * s - 1) * (s * s - 4) / 180)) / s AS f2 FROM (SELECT *, y - avg(y) OVER (PARTITION BY ticker, s, d, w) AS yc FROM mf_x) GROUP BY ticker, s, d, w",
-    "mf_f": f"SELECT ticker, q, s, pow(avg(pow(f2, q / 2)), 1 / q) AS f FROM mf_w, (VALUES {values(f'{q}::DOUBLE' for q in Q_VALUES)}) v(q) WHERE f2 > 0 GROUP BY ALL HAVING count(*) >= 4",
+    "mf_f": f"SELECT ticker, q, s, pow(avg(pow(f2, q / 2)), 1 / q) AS f FROM mf_w, (VALUES {values(f'{q}::DOUBLE' for q in Q_VALUES)}) v(q) WHERE f2 > 0 GROUP BY ticker, q, s HAVING count(*) >= 4",
     "mf_h": "SELECT ticker, q, regr_slope(ln(f), ln(s)) AS h FROM mf_f WHERE f > 0 GROUP BY ALL HAVING count(*) >= 4",
     "hb": "SELECT event_type AS ticker, date_trunc('hour', ts) AS ts, first(value + 1 ORDER BY ts, event_id) AS open, max(value + 1) AS high, min(value + 1) AS low, last(value + 1 ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2",
     "seas": "SELECT ticker, hour(ts) AS hour, avg(a) AS abs_ret, avg(volume) AS volume, count(*) AS n FROM (SELECT *, abs(ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY ts)) AS a FROM hb) GROUP BY 1, 2",
@@ -78,7 +78,7 @@ CTES: dict[str, str] = {
     "me": "SELECT rebal FROM (SELECT last_day(date) AS m, max(date) AS rebal, lead(last_day(date)) OVER (ORDER BY last_day(date)) AS more FROM panel GROUP BY 1) WHERE more IS NOT NULL",
     "wday": "SELECT d::DATE AS d, row_number() OVER (ORDER BY d) AS k FROM range(DATE '1980-01-01', DATE '2030-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5",
     "win": "SELECT rebal, CAST(rebal - INTERVAL 60 MONTH AS DATE) AS train_start, (SELECT b.d FROM wday b WHERE b.k = (SELECT max(a.k) FROM wday a WHERE a.d < rebal) - 21) AS train_end FROM me",
-    "sets": "SELECT w.*, max(p.date) AS last_used, count(*) AS n_train, (SELECT count(*) FROM panel t WHERE t.date = w.rebal) AS n_test, regr_slope(p.target, p.mom_12_1) AS slope, regr_intercept(p.target, p.mom_12_1) AS intercept FROM win w JOIN panel p ON p.date BETWEEN w.train_start AND w.train_end GROUP BY ALL HAVING count(*) >= 1000",
+    "sets": "SELECT w.*, max(p.date) AS last_used, count(*) AS n_train, (SELECT count(*) FROM panel t WHERE t.date = w.rebal) AS n_test, regr_slope(p.target, p.mom_12_1) AS slope, regr_intercept(p.target, p.mom_12_1) AS intercept FROM win w JOIN panel p ON p.date BETWEEN w.train_start AND w.train_end GROUP BY w.rebal, w.train_start, w.train_end HAVING count(*) >= 1000",
     "lines_d": "SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS close FROM lineitem GROUP BY 1",
     "orders_d": "SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS close FROM orders GROUP BY 1",
     "gaterows": "SELECT date, delta_h, fwd FROM (SELECT a.date, max(r.h) - min(r.h) AS delta_h, any_value(a.fwd) AS fwd FROM (SELECT ticker, i, date, target AS fwd FROM feat) a JOIN roll r USING (ticker, i) WHERE a.fwd IS NOT NULL AND a.ticker IS NOT NULL GROUP BY a.date) WHERE false",

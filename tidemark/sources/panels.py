@@ -61,10 +61,12 @@ def dense(bars: DataFrame) -> DataFrame:
 
 
 def index_panel(bars: DataFrame) -> DataFrame:
-    """An index for each ticker whose returns are its standardised prices over a hundred."""
+    """An index for each ticker whose returns are its standardised prices over a hundred, from the day that all tickers have begun."""
     all_ = W.partitionBy("ticker")
     z = (F.col("close") - F.avg("close").over(all_)) / F.nullif(F.stddev_samp("close").over(all_), F.lit(0.0))
-    scored = dense(bars).where("close is not null").withColumn("z", z)
+    begun = bars.groupBy("ticker").agg(F.min("date").alias("first")).agg(F.max("first").alias("begun"))  # one row
+    common = dense(bars).join(F.broadcast(begun), F.col("date") >= F.col("begun"))
+    scored = common.where("close is not null").withColumn("z", z)
     return scored.select("ticker", "date", (100 * F.exp(F.sum(0.01 * F.col("z")).over(all_.orderBy("date").rowsBetween(W.unboundedPreceding, 0)))).alias("close"))
 
 
