@@ -361,7 +361,7 @@ def ffd_weights(s, d):
 
 
 def _ffd_sql(final):
-    return _FFD + ", " + sql("SELECT ticker, date, i, lp FROM ret").removeprefix("WITH ").replace("\nSELECT ticker, date, i, lp FROM ret", "") + ", ff AS (SELECT a.ticker, a.date, a.i, sum(wt.w * b.lp) AS y FROM ret a, wt, ret b WHERE b.ticker = a.ticker AND b.i = a.i - wt.k GROUP BY a.ticker, a.date, a.i HAVING count(*) = (SELECT count(*) FROM wt)) " + final
+    return _FFD + ", " + sql("SELECT ticker, date, i, lp FROM ret").removeprefix("WITH ").replace("\nSELECT ticker, date, i, lp FROM ret", "") + ", fs AS (SELECT b.ticker, b.i + wt.k AS i, sum(wt.w * b.lp) AS y, count(*) AS n FROM ret b CROSS JOIN wt GROUP BY b.ticker, b.i + wt.k), ff AS (SELECT a.ticker, a.date, a.i, fs.y FROM ret a JOIN fs ON fs.ticker = a.ticker AND fs.i = a.i WHERE fs.n = (SELECT count(*) FROM wt)) " + final
 
 
 @query(_ffd_sql("SELECT ticker, date, round(y, 6) + 0.0::DOUBLE AS y FROM ff"))
