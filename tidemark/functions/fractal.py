@@ -86,7 +86,8 @@ def mfdfa(rows: DataFrame, scales: list[int] | None = None, q_values: tuple[floa
     p = F.col("u") * F.col("u") - (s * s - 1) / 12
     sums = x.groupBy("ticker", "s", "from", "w").agg(F.sum(F.col("yc") * F.col("yc")).alias("yy"), F.sum(F.col("yc") * F.col("u")).alias("yu"), F.sum(F.col("yc") * p).alias("yp"))
     f2 = (F.col("yy") - F.pow("yu", F.lit(2)) / (s * (s * s - 1) / 12) - F.pow("yp", F.lit(2)) / (s * (s * s - 1) * (s * s - 4) / 180)) / s
-    windows = sums.select("ticker", "s", f2.alias("f2")).where("f2 > 0").withColumn("q", F.explode(F.array(*map(F.lit, q_values))))
+    # a window that fits but for rounding has no fluctuation
+    windows = sums.select("ticker", "s", (F.col("yy") / s).alias("raw"), f2.alias("f2")).where("f2 > 1e-12D * raw").withColumn("q", F.explode(F.array(*map(F.lit, q_values))))
     near_zero = F.abs("q") < 1e-12
     f = F.when(near_zero, F.exp(F.avg(F.ln("f2")) / 2)).otherwise(F.pow(F.avg(F.pow("f2", F.col("q") / 2)), 1 / F.nullif("q", F.lit(0.0))))
     return windows.groupBy("ticker", "q", "s").agg(f.alias("f"), F.count(F.lit(1)).alias("k")).where("k >= 4").drop("k")

@@ -62,8 +62,8 @@ CTES: dict[str, str] = {
     "mf_x": f"""SELECT *, j // s AS w, j % s - (s - 1) / 2.0::DOUBLE AS u FROM (
       SELECT ticker, i, y, n, s, n // s AS m, d, CASE WHEN d = 0 THEN i ELSE i - (n - (n // s) * s) END AS j
       FROM prof, (VALUES {values(MF_SCALES)}) v(s), (VALUES (0), (1)) t(d) WHERE n >= 200 AND s <= n // 2) WHERE j >= 0 AND j < m * s""",
-    "mf_w": "SELECT ticker, s, (sum(yc * yc) - sum(yc * u) ** 2 / (s * (s * s - 1.0::DOUBLE) / 12) - sum(yc * (u * u - (s * s - 1) / 12.0::DOUBLE)) ** 2 / (s::DOUBLE * (s * s - 1) * (s * s - 4) / 180)) / s AS f2 FROM (SELECT *, y - avg(y) OVER (PARTITION BY ticker, s, d, w) AS yc FROM mf_x) GROUP BY ticker, s, d, w",
-    "mf_f": f"SELECT ticker, q, s, pow(avg(pow(f2, q / 2)), 1 / q) AS f FROM mf_w, (VALUES {values(f'{q}::DOUBLE' for q in Q_VALUES)}) v(q) WHERE f2 > 0 GROUP BY ticker, q, s HAVING count(*) >= 4",
+    "mf_w": "SELECT ticker, s, (sum(yc * yc) - sum(yc * u) ** 2 / (s * (s * s - 1.0::DOUBLE) / 12) - sum(yc * (u * u - (s * s - 1) / 12.0::DOUBLE)) ** 2 / (s::DOUBLE * (s * s - 1) * (s * s - 4) / 180)) / s AS f2, sum(yc * yc) / s AS raw FROM (SELECT *, y - avg(y) OVER (PARTITION BY ticker, s, d, w) AS yc FROM mf_x) GROUP BY ticker, s, d, w",
+    "mf_f": f"SELECT ticker, q, s, pow(avg(pow(f2, q / 2)), 1 / q) AS f FROM mf_w, (VALUES {values(f'{q}::DOUBLE' for q in Q_VALUES)}) v(q) WHERE f2 > 1e-12::DOUBLE * raw GROUP BY ticker, q, s HAVING count(*) >= 4",
     "mf_h": "SELECT ticker, q, regr_slope(ln(f), ln(s)) AS h FROM mf_f WHERE f > 0 GROUP BY ALL HAVING count(*) >= 4",
     "hb": "SELECT event_type AS ticker, date_trunc('hour', ts) AS ts, first(value + 1 ORDER BY ts, event_id) AS open, max(value + 1) AS high, min(value + 1) AS low, last(value + 1 ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2",
     "seas": "SELECT ticker, hour(ts) AS hour, avg(a) AS abs_ret, avg(volume) AS volume, count(*) AS n FROM (SELECT *, abs(ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY ts)) AS a FROM hb) GROUP BY 1, 2",
