@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.oracle import connect, differences
 from tidemark.functions import fracdiff, fractal, synthetic
 from tidemark.operators import backtest as bt
-from tidemark.operators import inference
+from tidemark.operators import inference, model
 from tidemark.plans import catalogue
 
 FEW = ["daily_bars", "dense_panel", "feature_panel", "momentum_sort_backtest", "bt_stats_net", "hurst_dfa_full", "mfdfa_spectrum", "exec_shortfall", "exec_summary", "stream_hourly_bars", "ffd_series", "gen_ar1", "residualize_fwl"]
@@ -63,3 +63,17 @@ def test_blocks_keep_neighbours(spark):
 def test_embargo_leaves_the_horizon_out(spark, sf):
     for r in catalogue.QUERIES["walkforward_train_sets"](spark, "/root/testdata/sf0.01").collect():
         assert r.last_used <= r.train_end and (r.rebal - r.train_end).days >= 30
+
+
+def test_trees_are_fitted_anew_at_each_month_end(spark, monkeypatch):
+    days = spark.range(700).select(F.expr("date_add(date'1995-01-01', cast(id as int))").alias("date"), F.col("id").alias("i"))
+    rows = days.crossJoin(spark.range(12).select(F.format_string("t%02d", "id").alias("ticker"), F.col("id").alias("k")))
+    noise = lambda j: (F.xxhash64("i", "k", F.lit(j)) % 1000) / 1000.0
+    panel = rows.select("date", "ticker", *[noise(j).alias(f) for j, f in enumerate(model.TREE_FEATURES)]).withColumn("target", F.col("fd_z") + 0.1 * F.col("mom_12_1"))
+    sets, fits, plain = model.train_sets(panel).count(), [], model._learner
+    monkeypatch.setattr(model, "_learner", lambda *a: fits.append(a) or plain(3, *a[1:]))
+    assert model.walk_forward_trees(panel).count() == 12 * sets
+    assert len(fits) == sets > 12 and {a[0] for a in fits} == {100}
+    fits.clear()
+    gains = {r.feature: r.gain for r in model.tree_importances(panel).collect()}
+    assert [a[0] for a in fits] == [200] and list(gains) == list(model.TREE_FEATURES) and max(gains, key=gains.get) == "fd_z"

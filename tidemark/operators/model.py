@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.frames import weekday_before
 
 FEATURES = ("mom_12_1", "ret_1m", "vol_60", "vol_252")
+#: What the trees learn from: also the z-score of the fractionally differenced log price.
+TREE_FEATURES = (*FEATURES, "fd_z")
 
 
 def month_ends(panel: DataFrame) -> DataFrame:
@@ -45,24 +47,50 @@ def walk_forward_ols(panel: DataFrame, feature: str = "mom_12_1", target: str =
     return panel.join(fitted, "date").select("date", "ticker", (F.col("intercept") + F.col("slope") * x).alias("prediction"))
 
 
-def walk_forward_trees(panel: DataFrame, features: tuple[str, ...] = FEATURES, refit_months: int = 1, trees: int = 100, depth: int = 4, least: int = 50, seed: int = 0, **protocol):
-    """Predictions (date, ticker, prediction) of boosted trees, and importances (rebal, feature, gain) of each fit.
+def _learner(trees: int, depth: int, least: int, seed: int):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(labelCol="target", predictionCol="prediction", maxIter=trees, maxDepth=depth, stepSize=0.05, minInstancesPerNode=least, seed=seed)
+
+
+def _assembled(panel: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(panel).select("date", "ticker", "features", "target")
+
+
+def walk_forward_trees(panel: DataFrame, features: tuple[str, ...] = TREE_FEATURES, refit_months: int = 1, trees: int = 100, depth: int = 4, least: int = 50, seed: int = 0, at_once: int = 8, **protocol) -> DataFrame:
+    """date, ticker, prediction of boosted trees.
 
     One distributed fit for every ``refit_months``-th month end; between fits the last model
-    predicts. The driver loops over month ends, which a history has few of.
+    predicts. The driver starts ``at_once`` fits together, as none needs another's result. The
+    panel is kept for all of them.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    from multiprocessing.pool import ThreadPool
+
+    data = _assembled(panel, features).persist()
+    ends = train_sets(panel, **protocol).orderBy("rebal").collect()
+
+    def fit(w):
+        return _learner(trees, depth, least, seed).fit(data.where(F.col("date").between(F.lit(w.train_start), F.lit(w.train_end))))
 
-    spark = panel.sparkSession
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(panel)
-    learner = GBTRegressor(labelCol="target", predictionCol="prediction", maxIter=trees, maxDepth=depth, stepSize=0.05, minInstancesPerNode=least, seed=seed)
-    out, gains, model = None, [], None
-    for k, w in enumerate(train_sets(panel, **protocol).orderBy("rebal").collect()):
-        if k % refit_months == 0:
-            model = learner.fit(data.where(F.col("date").between(F.lit(w.train_start), F.lit(w.train_end))))
-            gains += [(w.rebal, f, float(g)) for f, g in zip(features, model.featureImportances.toArray())]
-        now = model.transform(data.where(F.col("date") == F.lit(w.rebal))).select("date", "ticker", "prediction")
+    with ThreadPool(at_once) as pool:
+        models = pool.map(fit, ends[::refit_months], 1)
+    out = None
+    for k, w in enumerate(ends):
+        now = models[k // refit_months].transform(data.where(F.col("date") == F.lit(w.rebal))).select("date", "ticker", "prediction")
         out = now if out is None else out.unionByName(now)
-    empty = "date date, ticker string, prediction double"
-    return out if out is not None else spark.createDataFrame([], empty), spark.createDataFrame(gains, "rebal date, feature string, gain double")
+    return out if out is not None else panel.sparkSession.createDataFrame([], "date date, ticker string, prediction double")
+
+
+def tree_importances(panel: DataFrame, features: tuple[str, ...] = TREE_FEATURES, trees: int = 200, depth: int = 4, least: int = 20, seed: int = 0) -> DataFrame:
+    """feature, gain by one fit on the whole panel: to look at, not to predict with. No rows for an empty panel."""
+    kind = "feature string, gain double"
+    data = _assembled(panel, features).persist()
+    try:
+        if data.isEmpty():
+            return panel.sparkSession.createDataFrame([], kind)
+        gains = _learner(trees, depth, least, seed).fit(data).featureImportances.toArray()
+    finally:
+        data.unpersist()
+    return panel.sparkSession.createDataFrame([(f, float(g)) for f, g in zip(features, gains)], kind)
