@@ -51,3 +51,22 @@ def test_long_paragraph_and_odd_texts(spark, docs, model):
     rows = licenses.query(spark, docs(ODD + [long]).withColumn("x", F.lit("clash"))).orderBy("doc_id").collect()
     assert [r.n_confirmed for r in rows] == [0] * len(ODD) + [1] and rows[-1].families == "cc-by-nc"
     assert licenses.query(spark, docs([])).count() == 0
+
+
+def test_wrapped_and_several_notices(model):
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License."
+    confirmed = lambda text: [(f["paragraph"], f["family"]) for f in model.of(text)[1] if f["confirmed"]]
+    assert [confirmed(x) for x in (mit, bsd, gpl)] == [[(0, "mit")], [(0, "bsd")], [(0, "gpl")]]
+    assert confirmed("Some title\n\n" + mit + "\n\n" + gpl) == [(1, "mit"), (3, "gpl")]
+    dual = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert confirmed(dual) == [(0, "apache"), (0, "mit")]
+    assert confirmed("word " * 90 + dual + " word" * 90 + " " + " ".join(gpl.split()) + " word" * 30) == [(0, "apache"), (0, "gpl"), (0, "mit")]
+
+
+def test_common_n_grams_are_counted_over_all_documents(spark, docs):
+    texts = ["plain text of no use"] * 300 + ["the terms of the house"] * 700
+    assert {"terms of the", "of the", "terms"} <= licenses.common_grams(docs(texts)) and "use" in licenses.common_grams(docs(texts))
+    assert licenses.common_grams(docs(["Released under the MIT License."] * 9 + ["nothing here"])) == set()
+    assert licenses.common_grams(docs([])) == set()

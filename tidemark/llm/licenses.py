@@ -3,15 +3,19 @@
 A multinomial logistic regression over sparse word 1- to 3-grams names the licence
 family of a paragraph, or none. It is trained on variants of the templates below and on
 paragraphs of the corpus; a temperature, fitted on samples kept apart, calibrates its
-probabilities, that of ``UNKNOWN`` included. What it names is confirmed if the paragraph
-holds four fifths of the 5-word shingles of one of the family's templates.
+probabilities, that of ``UNKNOWN`` included. Where it names any family, the templates of all
+are looked for; a notice is confirmed by four fifths of a template's 5-word shingles.
+
+Notices are often wrapped, and may share a paragraph: lines without a blank one between
+them are read both one by one and joined, and each notice bears the number of the line in
+which it begins.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Set
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,11 +73,40 @@ def grams(words: list[str]) -> list[str]:
     return [*words, *map(" ".join, zip(words, words[1:])), *map(" ".join, zip(words, words[1:], words[2:]))]
 
 
+def grams_within(words: list[str], some: Set[str]) -> list[str]:
+    """The 1- to 3-grams of which all words are among ``some``: most texts have few, which saves making the others."""
+    out, before, last = [], "", ""
+    for w in words:
+        if w not in some:
+            before = last = ""
+            continue
+        out.append(w)
+        if last:
+            out.append(f"{last} {w}")
+            if before:
+                out.append(f"{before} {last} {w}")
+        before, last = last, w
+    return out
+
+
 def paragraphs(text: str | None) -> list[list[str]]:
     """The tokens of each line that has any."""
     return [words for line in (text or "").split("\n") if (words := tokens(line))]
 
 
+def blocks(text: str | None) -> Iterator[list[list[str]]]:
+    """The tokens of lines, those together that no line without tokens parts."""
+    held: list[list[str]] = []
+    for line in (text or "").split("\n"):
+        if words := tokens(line):
+            held.append(words)
+        elif held:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def stretches(words: list[str]) -> Iterator[list[str]]:
     """A paragraph, or overlapping stretches of a longer one."""
     for at in range(0, max(1, len(words) - STRETCH // 2), STRETCH // 2):
@@ -96,6 +129,24 @@ def similarity(words: list[str], family: str) -> float:
     return best
 
 
+def notices(words: list[str], claimed: set[int]) -> Iterator[tuple[str, float, list[int]]]:
+    """Family, similarity and places in the words of each notice that a template confirms, best first. Words are used once; ``claimed`` has those that are."""
+    while True:
+        best = (0.0, 0, "", [])
+        for family, templates in _TEMPLATE_SHINGLES.items():
+            for wanted, length in templates:
+                n, at = min(SHINGLE, length), {}
+                for k, shingle in enumerate(zip(*(words[j:] for j in range(n)))):
+                    if shingle in wanted and shingle not in at and claimed.isdisjoint(range(k, k + n)):
+                        at[shingle] = k
+                if (like := len(at) / len(wanted)) >= CONFIRM and (like, len(at)) > best[:2]:
+                    best = (like, len(at), family, sorted({k + j for k in at.values() for j in range(n)}))
+        if not best[1]:
+            return
+        claimed.update(best[3])
+        yield best[2], best[0], best[3]
+
+
 def _variants(rng: np.random.Generator, words: list[str], around: list[list[str]]) -> list[str]:
     """Some words left out, and sometimes other text before or after."""
     out = [w for w in words if rng.random() > 0.08]
@@ -115,12 +166,15 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
+    def __post_init__(self) -> None:
+        self.words = frozenset(w for g in self.place for w in g.split(" "))
+
     def vector(self, words: list[str]) -> Counter:
-        return Counter(k for g in grams(words) if (k := self.place.get(g)) is not None)
+        return Counter(k for g in grams_within(words, self.words) if (k := self.place.get(g)) is not None)
 
     def probabilities(self, words: list[str]) -> np.ndarray | None:
         """None if no n-gram counts, which leaves UNKNOWN."""
-        if not (some := self.vector(words)):
+        if self.words.isdisjoint(words) or not (some := self.vector(words)):
             return None
         x = np.fromiter(some.values(), float) / np.sqrt(len(words))
         z = (x @ self.weights[list(some)] + self.bias) / self.temperature
@@ -128,30 +182,109 @@ class Model:
         return p / p.sum()
 
     def of(self, text: str | None) -> tuple[int, list[dict]]:
-        """How many paragraphs a text has, and those that hold a notice: the most probable stretch of each."""
-        found, lines = [], paragraphs(text)
-        for number, words in enumerate(lines):
-            named = [(float(p.max()), int(p.argmax())) for part in stretches(words) if (p := self.probabilities(part)) is not None and p.argmax() < len(FAMILIES)]
-            if named:
-                probability, k = max(named)
-                like = similarity(words, FAMILIES[k])
-                found.append({"paragraph": number, "family": FAMILIES[k], "probability": probability, "similarity": like, "confirmed": like >= CONFIRM})
-        return len(lines), found
+        """How many lines with words a text has, and all notices in it: those confirmed, and families named without."""
+        found, n = [], 0
+        for block in blocks(text):
+            found += [{"paragraph": n + line, **rest} for line, rest in self._in_block(block)]
+            n += len(block)
+        return n, found
+
+    def _named(self, words: list[str], base: int) -> list[tuple[int, int, np.ndarray]]:
+        """First and last place, and probabilities, of the stretches that are of some family."""
+        parts = ((base + k * (STRETCH // 2), part, self.probabilities(part)) for k, part in enumerate(stretches(words)))
+        return [(at, at + len(part), p) for at, part, p in parts if p is not None and p.argmax() < len(FAMILIES)]
+
+    def _in_block(self, block: list[list[str]]) -> list[tuple[int, dict]]:
+        begins = np.cumsum([0, *map(len, block)])
+        line_of = lambda k: int(np.searchsorted(begins, k, "right")) - 1
+        words = [w for line in block for w in line]
+        if self.words.isdisjoint(words):
+            return []
+        singly = [x for k, line in enumerate(block) for x in self._named(line, int(begins[k]))]
+        joined = self._named(words, 0) if len(block) > 1 else []
+        areas = [(int(begins[k]), int(begins[k + 1])) for k in sorted({line_of(a) for a, _, _ in singly})]
+        wide: list[list[int]] = []  # a notice may reach beyond the stretches that name it
+        for a, b in sorted((max(0, a - STRETCH), b + STRETCH) for a, b, _ in singly + joined):
+            if wide and a <= wide[-1][1]:
+                wide[-1][1] = max(wide[-1][1], b)
+            else:
+                wide.append([a, b])
+        found: dict[tuple[int, str], dict] = {}
+        claimed: set[int] = set()
+        held: set[tuple[int, str]] = set()
+        for a, b in [*areas, *(wide if len(block) > 1 else [])]:
+            own = {k - a for k in claimed if a <= k < b}
+            for family, like, places in notices(words[a:b], own):
+                lines = {line_of(a + k) for k in places}
+                claimed.update(a + k for k in places)
+                held.update((k, family) for k in lines)
+                near = [p for c, d, p in singly + joined if c < a + places[-1] + 1 and d > a + places[0]] or [p for *_, p in singly + joined]
+                item = {"family": family, "probability": max(float(p[FAMILIES.index(family)]) for p in near), "similarity": like, "confirmed": True}
+                found.setdefault((line_of(a + places[0]), family), item)
+        for a, b, p in singly + joined:
+            family, lines = FAMILIES[int(p.argmax())], range(line_of(a), line_of(b - 1) + 1)
+            if not any((k, family) in held for k in lines):
+                held.update((k, family) for k in lines)
+                text = words[a:b] if len(lines) > 1 else block[lines[0]]
+                found[lines[0], family] = {"family": family, "probability": float(p.max()), "similarity": similarity(text, family), "confirmed": False}
+        return [(line, item) for (line, _), item in sorted(found.items())]
 
 
 FAMILIES = sorted(TEMPLATES)
 
 
-def fit_texts(corpus: list[list[str]], rounds: int = 250, ridge: float = 1e-4) -> Model:
-    """Trained on template variants, the sentences in OTHER, and paragraphs of the corpus that no template confirms."""
+CANDIDATES = frozenset(g for texts in TEMPLATES.values() for t in texts for g in grams(tokens(t)))
+_CANDIDATE_WORDS = frozenset(g for g in CANDIDATES if " " not in g)
+
+
+_FIRST = frozenset(s for templates in _TEMPLATE_SHINGLES.values() for wanted, n in templates if n >= SHINGLE for s in wanted)
+_SHORT = [min(wanted) for templates in _TEMPLATE_SHINGLES.values() for wanted, n in templates if n < SHINGLE]
+
+
+def _plain(words: list[str]) -> bool:
+    if _FIRST.isdisjoint(shingles(words)) and not any(set(s) <= set(words) for s in _SHORT):
+        return True
+    return not any(similarity(words, f) >= CONFIRM for f in FAMILIES)
+
+
+def gram_counts(texts: Iterable[str | None]) -> tuple[int, Counter]:
+    """The number of stretches that no template confirms, and of those with each n-gram of the templates."""
+    total, counts = 0, Counter()
+    for text in texts:
+        for words in (part for line in paragraphs(text) for part in stretches(line)):
+            some = _CANDIDATE_WORDS.intersection(words)
+            if len(some) >= 3 and not _plain(words):  # no template has fewer words
+                continue
+            total += 1
+            if some:
+                counts.update(CANDIDATES.intersection(grams_within(words, _CANDIDATE_WORDS)))
+    return total, counts
+
+
+def common_grams(docs: DataFrame) -> set[str]:
+    """The n-grams of templates that are in over 1 % of all stretches of all documents but for notices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, counts = 0, Counter()
+        for b in batches:
+            n, some = gram_counts(t.as_py() for t in b.column(0))
+            total += n
+            counts.update(some)
+        yield pa.RecordBatch.from_arrays([pa.array(["", *counts]), pa.array([total, *counts.values()], pa.int64())], ["gram", "n"])
+
+    n = {r.gram: r.n for r in docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    return {g for g, k in n.items() if g and k > 0.01 * n[""]}
+
+
+def fit_texts(corpus: list[list[str]], common: set[str], rounds: int = 250, ridge: float = 1e-4) -> Model:
+    """Trained on template variants, the sentences in OTHER, and paragraphs of the corpus that no template confirms; n-grams in ``common`` don't count."""
     rng = np.random.default_rng(11)
-    plain = [w for w in corpus if not any(similarity(w, f) >= CONFIRM for f in FAMILIES)]
+    plain = [w for w in corpus if _plain(w)]
     known = [(tokens(t), k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
     rows = [(w, k) for w, k in known for _ in range(5)] + [(_variants(rng, w, plain), k) for w, k in known for _ in range(VARIANTS)]
     rows += [(w, len(FAMILIES)) for w in plain[:PARAGRAPHS]] + [(tokens(t), len(FAMILIES)) for t in OTHER for _ in range(10)]
     rows = [(w, k) for w, k in rows if w]
-    common = {g for g, n in Counter(g for w in plain for g in set(w)).items() if n > 0.01 * len(plain)}
-    vocabulary = sorted({g for w, _ in known for g in grams(w)} - common)
+    vocabulary = sorted(CANDIDATES - common)
     model = Model({g: i for i, g in enumerate(vocabulary)}, np.zeros((len(vocabulary), len(FAMILIES) + 1)), np.zeros(len(FAMILIES) + 1))
     x, y = np.zeros((len(rows), len(vocabulary)), np.float32), np.array([k for _, k in rows])
     for i, (words, _) in enumerate(rows):
@@ -179,13 +312,13 @@ def fit_texts(corpus: list[list[str]], rounds: int = 250, ridge: float = 1e-4) -
 
 
 def fit(docs: DataFrame) -> Model:
-    """Other text comes from the DOCUMENTS documents whose text has the smallest hash, of up to DOCUMENT_CHARS characters each."""
+    """Other text comes from the DOCUMENTS documents whose text has the smallest hash, of up to DOCUMENT_CHARS characters each; which n-grams are too common is counted over all documents."""
     some = docs.where(F.length("text") <= DOCUMENT_CHARS).select("text").orderBy(F.xxhash64("text"), "text").limit(DOCUMENTS).collect()
-    return fit_texts([w for r in some for line in paragraphs(r.text) for w in stretches(line)])
+    return fit_texts([w for r in some for line in paragraphs(r.text) for w in stretches(line)], common_grams(docs))
 
 
 def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences") -> DataFrame:
-    """Adds ``out`` struct: n_paragraphs, and ``found``, an array with the paragraph, family, probability, similarity and confirmed of each notice.
+    """Adds ``out`` struct: n_paragraphs (lines with words), and ``found``, an array with the paragraph it begins in, family, probability, similarity and confirmed of each notice.
 
     Null and empty texts have no paragraphs. All other columns stay; there is no shuffle. The model, of a fixed size, is broadcast.
     """
