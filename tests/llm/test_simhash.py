@@ -100,3 +100,9 @@ def test_null_ids_and_one_kept(spark, docs):
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).where("doc_id is not null").collect()) == [(1, "a b c d e"), (3, "quite another text here")]
     assert simhash.keep_one(df).count() == 4 and simhash.query(spark, df).count() == 6
     assert simhash.query(spark, docs([])).count() == 0
+
+
+def test_keep_one_of_each_group_where_texts_share_an_id(spark, docs):
+    a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
+    rows = simhash.keep_one(docs([(1, a, "s"), (1, b, "s"), (1, b, "s"), (2, a, "s"), (3, b, "s"), (None, a, "s")])).collect()
+    assert sorted((r.doc_id or 9, r.text) for r in rows) == [(1, a), (1, b), (9, a)]

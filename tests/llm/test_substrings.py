@@ -55,3 +55,17 @@ def test_ids_null_or_repeated(spark, docs):
     rows = substrings.query(spark, docs([(1, a, "s"), (1, a, "s"), (1, b, "s"), (2, b + a, "s"), (None, a, "s")])).collect()
     assert sorted((r.doc_id or 9, r.n_bytes, r.n_removed) for r in rows) == [(1, len(a), 0)] * 2 + [(1, len(b), 0), (2, len(a + b), len(a + b)), (9, len(a), len(a))]
     assert substrings.query(spark, docs([])).count() == 0
+
+
+def test_thousands_of_texts_without_an_id(spark, docs):
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, texts = make(150), [make(rng.randrange(1, 40)) for _ in range(4000)]
+    plain = [None, *(x + chr(0x4E00 + k) + passage for k, x in enumerate(texts[:50]))]  # bytes before the passage differ
+    rows = substrings.query(spark, docs([(None, x, "s") for x in dict.fromkeys(texts[50:] + plain)])).collect()
+    assert len({(r.n_bytes, r.kept_sha256) for r in rows}) > 3000
+    assert sorted(r.n_removed for r in rows if r.n_removed) == [150] * 49
+    long = [make(300) for _ in range(3000)]
+    got = substrings.remove(docs([(None, x, "s") for x in long]).unionByName(docs([(5, long[0], "s")]))).collect()
+    assert sorted(r.n_removed for r in got) == [0] * 3000 + [300]
+    assert {bytes(r.kept).decode() for r in got if r.n_removed == 0} == {*long[1:], long[0]}

@@ -99,20 +99,26 @@ def group(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     text counts as one without words, which all have fingerprint 0. Null ids are passed over by the
     smallest one, which is null if there is no other.
     """
-    rows = durable(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp"))
+    return _grouped(df, text, doc_id).select("doc_id", "fp", "component_id")
+
+
+def _grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """As ``group``, with ``hash`` of the text and ``root`` of the group: two groups have one component_id where texts share an id."""
+    rows = durable(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp", F.xxhash64("text").alias("hash")))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(nodes.select("fp")))
     rooted = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return rows.join(of, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    of = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id", "root")
+    return rows.join(of, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id", "hash", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest id, with all columns. Rows with one id
-    are one document; rows without an id all stay, as none can be named."""
-    kept = group(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    some = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, that with the smallest id, with all columns. Rows alike in id and text
+    are one document; of different texts of the smallest id in one group that with the least hash stays. Rows without an id all stay, as none can be named."""
+    kept = _grouped(docs).where("doc_id = component_id").groupBy("root").agg(F.first("component_id").alias("__id"), F.min("hash").alias("__kept"))
+    hashed = docs.where("doc_id is not null").withColumn("__hash", F.xxhash64("text"))
+    some = hashed.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
     return some.unionByName(docs.where("doc_id is null"))
 
 

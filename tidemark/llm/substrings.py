@@ -47,8 +47,8 @@ SPREAD = 10_000
 U = np.uint64
 STEP = 0x9E3779B97F4A7C15
 BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
-SAMPLE = np.dtype([("content", "<u4"), ("context", "<u8"), ("id", "<i8"), ("tie", "<u2"), ("at", "<u4"), ("n", "u1")])
-STRING = np.dtype([("content", "<u8"), ("id", "<i8"), ("tie", "<u2"), ("at", "<u4")])
+SAMPLE = np.dtype([("content", "<u4"), ("context", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1")])
+STRING = np.dtype([("content", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<u4")])
 DEALT_STRING = np.dtype([*((k, STRING[k]) for k in STRING.names), ("bucket", "<i4")])
 RUN = np.dtype([("at", "<u4"), ("n", "<u4")])  # strings that start at ``at`` and the next n - 1 bytes
 
@@ -183,7 +183,7 @@ def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
 
 
 BUCKETED = "bucket int, rows binary, known binary"
-FOUND = "id long, tie int, bucket int, repeats binary, open binary"
+FOUND = "id long, tie long, bucket int, repeats binary, open binary"
 COLUMNS = ["id", "tie", "bucket", "repeats", "open"]
 
 
@@ -206,7 +206,7 @@ def _sampled(buckets: int):
         for keys, parts, begins in pieces(rows()):
             owner, at, n, content, context = samples(parts)
             x = np.zeros(len(owner), SAMPLE)
-            ids, ties = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.uint16)
+            ids, ties = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
             x["content"], x["context"], x["id"], x["tie"], x["at"], x["n"] = content >> U(16) & U(0xFFFFFFFF), context, ids[owner], ties[owner], at + begins[owner], n
             held.append(x)
             if sum(map(len, held)) >= FLUSH:
@@ -277,9 +277,9 @@ def _of_strings(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """id, tie and data of each row: a null id is the largest one; ``tie`` tells texts of one id apart, by a hash."""
+    """id, tie and data of each row: a null id is the largest one; ``tie`` tells texts of one id apart, by a 64-bit hash."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("long").alias("id"), F.xxhash64(data).bitwiseAND((1 << 16) - 1).cast("int").alias("tie"), data.alias("data"))
+    return docs.select(F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("long").alias("id"), F.xxhash64(data).alias("tie"), data.alias("data"))
 
 
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
