@@ -77,3 +77,9 @@ def test_trees_are_fitted_anew_at_each_month_end(spark, monkeypatch):
     fits.clear()
     gains = {r.feature: r.gain for r in model.tree_importances(panel).collect()}
     assert [a[0] for a in fits] == [200] and list(gains) == list(model.TREE_FEATURES) and max(gains, key=gains.get) == "fd_z"
+
+
+def test_stream_reads_a_table_of_several_part_files(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want, got = (sorted(map(tuple, catalogue.QUERIES["stream_hourly_bars"](spark, str(d)).collect())) for d in (sf, tmp_path))
+    assert want and got == want

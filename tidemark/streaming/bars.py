@@ -18,8 +18,11 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 def replay(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """The bars that a stream over the stored events emits, written by the stream as Parquet and read again."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    events = reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a stream reads folders, the glob is for names of files
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
