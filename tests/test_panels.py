@@ -83,3 +83,11 @@ def test_stream_reads_a_table_of_several_part_files(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     want, got = (sorted(map(tuple, catalogue.QUERIES["stream_hourly_bars"](spark, str(d)).collect())) for d in (sf, tmp_path))
     assert want and got == want
+
+
+def test_differencing_has_the_whole_memory(spark):
+    x = [float((k * 7919) % 101) for k in range(1600)]
+    rows = spark.createDataFrame([("a", k, v) for k, v in enumerate(x)], "ticker string, i long, x double")
+    w = np.array(fracdiff.weights(0.4, 1e-5))
+    got = [r.y for r in fracdiff.ffd(rows).where("y is not null").orderBy("i").collect()]
+    assert len(w) > 1400 and np.allclose(got, np.convolve(x, w, mode="valid"))

@@ -22,7 +22,7 @@ def weight_table(spark: SparkSession, d: float, tau: float) -> DataFrame:
     return spark.createDataFrame(list(enumerate(weights(d, tau))), "k long, w double")
 
 
-def ffd(rows: DataFrame, d: float = 0.4, tau: float = 1e-3) -> DataFrame:
+def ffd(rows: DataFrame, d: float = 0.4, tau: float = 1e-5) -> DataFrame:
     """rows (ticker, i, x), compacted: adds y, the weighted sum of x and what stands before; null until the weights fit.
 
     Each value is dealt to the places that it counts for, and summed there, in part before the shuffle.
@@ -53,7 +53,7 @@ def adf_t(x: np.ndarray) -> float:
     return float(b[1] / se)
 
 
-def min_d(rows: DataFrame, grid: tuple[float, ...] = tuple(round(0.05 * k, 2) for k in range(21)), tau: float = 1e-3) -> DataFrame:
+def min_d(rows: DataFrame, grid: tuple[float, ...] = tuple(round(0.05 * k, 2) for k in range(21)), tau: float = 1e-5) -> DataFrame:
     """ticker, min_d: the least d of the grid whose differenced series is stationary at 5 %; null if none is, or under 200 values.
     One Arrow group is one ticker's history."""
 

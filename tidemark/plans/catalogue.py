@@ -373,11 +373,24 @@ def _ffd_sql(final):
 @query(_ffd_sql("SELECT ticker, date, round(y, 6) + 0.0::DOUBLE AS y FROM ff"))
 def ffd_series(s, d):
     x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
-    return fracdiff.ffd(x).where("y is not null").select("ticker", "date", "y")
+    return fracdiff.ffd(x, tau=1e-3).where("y is not null").select("ticker", "date", "y")
 
 
 @query(_ffd_sql("SELECT ticker, date, round((y - m) / nullif(s, 0), 6) + 0.0::DOUBLE AS z FROM (SELECT *, avg(y) OVER f AS m, stddev_samp(y) OVER f AS s, count(y) OVER f AS c FROM ff WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE c = 252"))
 def ffd_zscore(s, d):
+    x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
+    return fracdiff.ffd(x, tau=1e-3).where("y is not null").select("ticker", "date", frames.zscore("y").alias("z")).where("z is not null")
+
+
+@query()
+def ffd_series_whole(s, d):
+    """With all weights down to 1e-5, where the SQL of ffd_series stops at 1e-3."""
+    x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
+    return fracdiff.ffd(x).where("y is not null").select("ticker", "date", "y")
+
+
+@query()
+def ffd_zscore_whole(s, d):
     x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
     return fracdiff.ffd(x).where("y is not null").select("ticker", "date", frames.zscore("y").alias("z")).where("z is not null")
 
