@@ -91,3 +91,10 @@ def test_differencing_has_the_whole_memory(spark):
     w = np.array(fracdiff.weights(0.4, 1e-5))
     got = [r.y for r in fracdiff.ffd(rows).where("y is not null").orderBy("i").collect()]
     assert len(w) > 1400 and np.allclose(got, np.convolve(x, w, mode="valid"))
+
+
+def test_noise_floor_has_two_hundred_seeds(spark, sf, monkeypatch):
+    asked, plain = [], synthetic.fgn
+    monkeypatch.setattr(synthetic, "fgn", lambda s, series: asked.extend(series) or plain(s, series[:1]))
+    assert catalogue.QUERIES["noise_floor"](spark, sf).count() == 1
+    assert len(set(asked)) == 1200

@@ -572,7 +572,7 @@ def gen_fgn(s, d):
 
 @query()
 def noise_floor(s, d):
-    x = synthetic.fgn(s, [(n, h, k) for n in (500, 1000) for h in (0.45, 0.5, 0.55) for k in range(10)])
+    x = synthetic.fgn(s, [(n, h, k) for n in (500, 1000) for h in (0.45, 0.5, 0.55) for k in range(200)])
     named = x.select(F.concat_ws("|", "n", "true_h", "seed").alias("ticker"), "i", "r")
     h = fractal.dfa(named).select(F.split("ticker", r"\|").alias("p"), "h").select(F.col("p")[0].cast("long").alias("n"), F.col("p")[1].cast("double").alias("true_h"), "h")
     return h.groupBy("n", "true_h").agg(F.avg("h").alias("mean"), (F.avg("h") - F.first("true_h")).alias("bias"), F.stddev_pop("h").alias("std"))
