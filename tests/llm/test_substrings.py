@@ -69,3 +69,18 @@ def test_thousands_of_texts_without_an_id(spark, docs):
     got = substrings.remove(docs([(None, x, "s") for x in long]).unionByName(docs([(5, long[0], "s")]))).collect()
     assert sorted(r.n_removed for r in got) == [0] * 3000 + [300]
     assert {bytes(r.kept).decode() for r in got if r.n_removed == 0} == {*long[1:], long[0]}
+
+
+def test_cover_brings_any_two_places_together():
+    for a in range(substrings.PERIOD):
+        for b in range(substrings.PERIOD):
+            assert any((a + d) % substrings.PERIOD in substrings.COVER and (b + d) % substrings.PERIOD in substrings.COVER for d in range(substrings.PERIOD))
+
+
+def test_a_content_in_thousands_of_contexts(spark, docs, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 16)
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [make(rng.randrange(60)) + "-" * rng.randrange(40, 70) + make(rng.randrange(60)) for _ in range(3000)]
+    texts += [texts[k] + make(9) for k in range(0, 600, 3)]
+    compare(docs(texts))

@@ -1,26 +1,28 @@
 """Removing long byte strings that occur before, over a whole corpus.
 
-A byte goes if it is in a string of ``LENGTH`` bytes that also starts earlier. That
-takes, for the suffix at every byte, whether its first LENGTH bytes are those of an
-earlier suffix. Suffixes aren't sorted as rows, of which there would be one for each byte.
-A sample of positions stands for them: like a difference cover, it has, for
-any two equal strings of LENGTH bytes, positions at the same place in both; unlike
-one, it is chosen by content and needs one position of 40 instead of one of 7.
-(The sample position of a string is where its K-byte substring of least hash starts.)
-
-1. Each sample position is a row: its content, and a rank of its context, the
-   hash of all the bytes that its strings cover. Rows are sorted one bucket of
-   contents at a time. Where content and context agree, all strings do, and only the first
-   occurrence isn't a repeat. Where a content has one context, none is.
-2. What is left are the first occurrences of contexts that share their content, at
-   the ends of passages and around edits. Their strings are hashed one by one and
-   sorted, again a bucket at a time: that of their content, so that the strings
-   of a passage stay together. Where more than ``SPREAD`` contexts share a
-   content, its strings are dealt to all buckets by their own hashes.
-
-Both times tasks first settle what they can by themselves and pass on one row for
-each context or string, so that a passage in a third of all documents makes as
-many rows as there are tasks. A task holds ``FLUSH`` rows, or a bucket's.
+A byte goes if it is in a string of ``LENGTH`` bytes that also starts earlier: for the
+suffix at every byte, whether its first LENGTH bytes are those of an earlier suffix.
+Suffixes are sorted by buckets, with ranks of a difference cover:
+
+1. The cover sample. ``COVER`` is a perfect difference set modulo ``PERIOD``: for any two places
+   some d < PERIOD brings both to places whose remainders are in the set. So two equal strings
+   have cover places d bytes after their starts, and the W = LENGTH - PERIOD + 1 bytes there,
+   still within both strings, agree as well. Only cover places, eight of 57, are sorted, a bucket of
+   contents (those W bytes) at a time, and ranked by content and then by context: all bytes
+   of the strings that can use the place. A content alone in the corpus clears its place.
+   Places of one rank have equal strings all along, and all but the first repeat it: long
+   ties, such as those of copied texts, end here, without a look at their suffixes.
+2. The suffixes that the ranks leave open: strings on the first place of a rank whose content has
+   other ranks too (ends of passages, edits), unless another cover place has settled them.
+   They are dealt to buckets by their own bytes and sorted a bucket at a time.
+
+Both times a task holds ``FLUSH`` rows, or one bucket's, whatever the size of the corpus. Tasks
+first settle what they can by themselves and pass on one row for each rank or string,
+so that a passage in a third of all documents makes as many rows as there are tasks. Of a
+content with over ``HOT`` contexts in one task (a line of dashes), which is sure to
+have several, only the first go on to the buckets; the rest are left open at once.
+
+Contents, contexts and strings are compared by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -31,26 +33,29 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable
 
-#: Bytes of a string; bytes of a sample's content; content places in a string.
-LENGTH, K = 100, 24
-PLACES = LENGTH - K + 1
+#: Bytes of a string.
+LENGTH = 100
+# A perfect difference set of order 7. Every remainder but 0 is the difference of just one pair.
+COVER, PERIOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
+#: Bytes at a cover place that are in every string that has it within its first PERIOD bytes.
+W = LENGTH - PERIOD + 1
 #: Bytes hashed together; rows that a task sorts together; bytes of text for each bucket.
-BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 1_000_000, 16 << 20
-#: Contexts that share one content, above which the strings of that content don't go to one bucket.
-SPREAD = 10_000
+BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 1_000_000, 12 << 20
+#: Contexts of one content that a task sends to be ranked at a time.
+HOT = 256
 
 U = np.uint64
 STEP = 0x9E3779B97F4A7C15
 BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
-SAMPLE = np.dtype([("content", "<u4"), ("context", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1")])
+PLACE = np.dtype([("content", "<u4"), ("context", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1")])
 STRING = np.dtype([("content", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<u4")])
-DEALT_STRING = np.dtype([*((k, STRING[k]) for k in STRING.names), ("bucket", "<i4")])
 RUN = np.dtype([("at", "<u4"), ("n", "<u4")])  # strings that start at ``at`` and the next n - 1 bytes
+TEXT_RUN = np.dtype([("id", "<i8"), ("tie", "<i8"), ("at", "<u4"), ("n", "<u4")])
 
 
 def _powers(base: int, n: int, _known: dict = {}) -> np.ndarray:  # noqa: B006  once for each process
@@ -74,35 +79,33 @@ class Hashes:
         np.cumsum(BYTE[data] * _powers(STEP, n)[:n], out=self.sums[1:])
         self.back = _powers(pow(STEP, -1, 1 << 64), n + 1)
 
-    def of(self, start: np.ndarray | slice, stop: np.ndarray | slice) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.back[start if not isinstance(start, slice) else slice(start.start, start.stop)]
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.sums[stop] - self.sums[start]) * self.back[start]
 
 
-def samples(parts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For runs of strings with one sample position: part, first start in the part, number of starts, content and context."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    n = len(data)
-    if n < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
-    hashes = Hashes(data)
-    content = _mix(hashes.of(slice(0, n - K + 1), slice(K, n + 1)))
-    least, place, width = (content >> U(32)).astype(np.uint32), np.arange(n - K + 1, dtype=np.int32), 1
-    while width < PLACES:  # the least of twice as many places, the leftmost of equals
-        step = min(width, PLACES - width)
-        left = least[:-step] <= least[step:]
-        least, place = np.where(left, least[:-step], least[step:]), np.where(left, place[:-step], place[step:])
-        width += step
-    ends = np.cumsum([len(p) for p in parts])
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[: len(place)]
-    start = np.flatnonzero(np.arange(len(place)) + LENGTH <= ends[owner])
-    if not len(start):
+def _cover(n: int, _known: list = []) -> np.ndarray:  # noqa: B006  once for each process
+    """The cover places below n."""
+    if not _known or _known[0][-1] < n:
+        periods = max(n, BUFFER) // PERIOD + 2
+        _known[:] = [(np.arange(periods)[:, None] * PERIOD + np.array(COVER)).ravel()]
+    return _known[0][: np.searchsorted(_known[0], n)]
+
+
+def places(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each cover place: part, first start in the part of a string that uses it, number of starts, content and context."""
+    some = [(k, len(p), at) for (k, p), at in zip(enumerate(parts), np.cumsum([0, *map(len, parts)])) if len(p) >= LENGTH]
+    if not some:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
-    place, owner = place[start], owner[start]
-    first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])))
-    count = np.diff(np.append(first, len(start)))
-    start, place, owner = start[first], place[first].astype(np.int64), owner[first]
-    context = _mix(hashes.of(start, start + count + LENGTH - 1) + U(0xC2B2AE3D27D4EB4F) * (place - start).astype(U) + U(0x165667B19E3779F9) * count.astype(U))
-    return owner, start - (ends - [len(p) for p in parts])[owner], count, content[place], context
+    hashes = Hashes(np.frombuffer(b"".join(parts), np.uint8))
+    each = [_cover(n - W + 1) for _, n, _ in some]
+    owner, size, base = (np.repeat(np.array([s[j] for s in some], np.int64), [len(e) for e in each]) for j in range(3))
+    q = np.concatenate(each)
+    first = np.maximum(q - PERIOD + 1, 0)
+    count = np.minimum(q, size - LENGTH) - first + 1
+    content = _mix(hashes.of(base + q, base + q + W))
+    context = hashes.of(base + first, base + first + count + LENGTH - 1)
+    context = _mix(context + U(0xC2B2AE3D27D4EB4F) * (q - first).astype(U) + U(0x165667B19E3779F9) * count.astype(U))
+    return owner, first, count, content, context
 
 
 def pieces(rows: Iterable[tuple]) -> Iterator[tuple[list[tuple], list[bytes], np.ndarray]]:
@@ -126,50 +129,55 @@ def _settle(x: np.ndarray, same: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by what makes them the same and then by place; whether a row is the first of its kind. A row that comes again, as its document does, is dropped."""
     if not len(x):
         return x, np.zeros(0, bool)
-    x = x[np.lexsort([x[k] for k in ("at", "tie", "id", *reversed(same))])]
+    x = x[np.lexsort([x[k] for k in reversed(same)])]
     first = np.append(True, np.any([x[k][1:] != x[k][:-1] for k in same], axis=0))
+    group = np.cumsum(first) - 1
+    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    if not len(several):
+        return x, first
+    y = x[several]
+    x[several] = y[np.lexsort([y["at"], y["tie"], y["id"], group[several]])]
     lead = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
     own = first | np.any([x[k] != x[k][lead] for k in ("id", "tie", "at")], axis=0)
     return x[own], first[own]
 
 
-def _runs(x: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """By text: runs of strings, those that touch joined."""
-    if not len(x):
-        return
+def _joined(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of strings by text and place, those that touch or overlap joined."""
     order = np.lexsort([x["at"], x["tie"], x["id"]])
-    x, n = x[order], n[order].astype(np.int64)
+    x, at, end = x[order], x["at"][order].astype(np.int64), (x["at"].astype(np.int64) + n)[order]
+    if not len(x):
+        return np.zeros(0, TEXT_RUN)
     new = np.append(True, (x["id"][1:] != x["id"][:-1]) | (x["tie"][1:] != x["tie"][:-1]))
-    begin = new | np.append(True, x["at"][1:] > x["at"][:-1] + n[:-1])
-    first = np.flatnonzero(begin)
-    run = np.zeros(len(first), RUN)
-    run["at"] = x["at"][first]
-    run["n"] = np.maximum.reduceat(x["at"] + n, first) - run["at"]
-    texts = np.flatnonzero(new[first])
-    for a, b in zip(texts, [*texts[1:], len(first)]):
-        yield int(x["id"][first[a]]), int(x["tie"][first[a]]), run[a:b].tobytes()
-
-
-def _packed(column: np.ndarray, steps: bool) -> bytes:
-    """Byte by byte over all numbers, as steps if they come in order, which compresses well."""
-    if steps:
-        column = np.diff(column, prepend=column.dtype.type(0))
-    return np.ascontiguousarray(column).view(np.uint8).reshape(-1, column.dtype.itemsize).T.tobytes()
-
-
-def _dealt(rows: np.ndarray, spare: np.ndarray, bucket: np.ndarray, spare_bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket: the rows to sort, and those already known to be repeats."""
-    order, other = np.argsort(bucket, kind="stable"), np.argsort(spare_bucket, kind="stable")
-    out = []
-    for b in np.union1d(bucket, spare_bucket):
-        cut = [np.searchsorted(s[o], [b, b + 1]) for s, o in ((bucket, order), (spare_bucket, other))]
-        mine, known = rows[order[slice(*cut[0])]], spare[other[slice(*cut[1])]]
-        by_text = lambda x: x[np.lexsort([x["at"], x["tie"], x["id"]])]  # noqa: E731  ids in order pack well
-        out.append((int(b), *[b"".join(_packed(y[k], k in STEPS) for k in y.dtype.names) for y in map(by_text, (mine, known))]))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[k] for r in out], pa.binary()) for k in (1, 2)]], ["bucket", "rows", "known"])
+    shift = np.cumsum(new) << 33  # places are under 2^32
+    reach = np.maximum.accumulate(end + shift)
+    first = np.flatnonzero(np.append(True, (at + shift)[1:] > reach[:-1]))
+    out = np.zeros(len(first), TEXT_RUN)
+    out["id"], out["tie"], out["at"] = x["id"][first], x["tie"][first], at[first]
+    out["n"] = np.append(reach[first[1:] - 1], reach[-1]) - shift[first] - at[first]
+    return out
+
+
+def _by_text(runs: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    texts = np.flatnonzero(np.append(True, (runs["id"][1:] != runs["id"][:-1]) | (runs["tie"][1:] != runs["tie"][:-1]))) if len(runs) else []
+    for a, b in zip(texts, [*texts[1:], len(runs)]):
+        own = np.zeros(b - a, RUN)
+        own["at"], own["n"] = runs["at"][a:b], runs["n"][a:b]
+        yield int(runs["id"][a]), int(runs["tie"][a]), own.tobytes()
 
 
-STEPS = ("id", "at")
+STEPS = ("id", "tie", "at")
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Column by column and byte by byte over all rows, places as steps from the one before, which compresses well."""
+    out = []
+    for k in rows.dtype.names:
+        column = np.ascontiguousarray(rows[k])
+        if k in STEPS:
+            column = np.diff(column, prepend=column.dtype.type(0))
+        out.append(column.view(np.uint8).reshape(-1, column.dtype.itemsize).T.tobytes())
+    return b"".join(out)
 
 
 def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
@@ -182,12 +190,43 @@ def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-BUCKETED = "bucket int, rows binary, known binary"
-FOUND = "id long, tie long, bucket int, repeats binary, open binary"
-COLUMNS = ["id", "tie", "bucket", "repeats", "open"]
+def _together(blobs: Iterable[bytes], kind: np.dtype) -> np.ndarray:
+    some = [_unpack(b, kind) for b in blobs if b]
+    return np.concatenate(some) if some else np.zeros(0, kind)
 
 
-def _sampled(buckets: int):
+def _dealt(rows: np.ndarray, bucket: np.ndarray, buckets: int, known: np.ndarray, unsure: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: the rows to sort, and the runs that are known to be repeats, or left open, without it; these are dealt by their ids."""
+    def cuts(of: np.ndarray, x: np.ndarray) -> dict[int, bytes]:
+        order = np.lexsort([x["at"], x["tie"], x["id"], of])
+        x, of = x[order], of[order]
+        edges = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+        return {int(of[a]): _packed(x[a:b]) for a, b in zip(edges, [*edges[1:], len(of)])}
+
+    own = [cuts(bucket, rows), *(cuts(x["id"] % buckets, x) for x in (known, unsure))]
+    keys = sorted(set().union(*own))
+    columns = [pa.array([part.get(b, b"") for b in keys], pa.binary()) for part in own]
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *columns], ["bucket", "rows", "known", "unsure"])
+
+
+BUCKETED = "bucket int, rows binary, known binary, unsure binary"
+FOUND = "id long, tie long, repeats binary, unsure binary"
+
+
+def _found(known: list[np.ndarray], unsure: list[np.ndarray]) -> pd.DataFrame:
+    out = []
+    for k, runs in enumerate((known, unsure)):
+        runs = np.concatenate(runs)
+        out += [(i, t, *((r, None) if k == 0 else (None, r))) for i, t, r in _by_text(_joined(runs, runs["n"]))]
+    return pd.DataFrame(out, columns=["id", "tie", "repeats", "unsure"])
+
+
+def _as_runs(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    return _joined(x, np.broadcast_to(np.asarray(n, np.int64), len(x)))
+
+
+def _ranked(buckets: int):
+    """Cover places of the texts, dealt to buckets by content."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
@@ -196,16 +235,19 @@ def _sampled(buckets: int):
         held: list[np.ndarray] = []
 
         def settled() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            x, first = _settle(np.concatenate(held), ["content", "context"])
+            x, first = _settle(np.concatenate(held) if held else np.zeros(0, PLACE), ["content", "context"])
             held.clear()
-            bucket = _bucket(x["content"], buckets)
-            yield from _dealt(x[first], x[~first], bucket[first], bucket[~first])
+            if len(x):
+                lead, again = x[first], x[~first]
+                start = np.flatnonzero(np.append(True, lead["content"][1:] != lead["content"][:-1]))
+                many = np.arange(len(lead)) - np.repeat(start, np.diff(np.append(start, len(lead)))) >= HOT
+                known, unsure = _as_runs(again, again["n"]), _as_runs(lead[many], lead[many]["n"])
+                lead = lead[~many]
+                yield from _dealt(lead, _bucket(lead["content"], buckets), buckets, known, unsure)
 
         for keys, parts, begins in pieces(rows()):
-            owner, at, n, content, context = samples(parts)
-            x = np.zeros(len(owner), SAMPLE)
+            owner, at, n, content, context = places(parts)
+            x = np.zeros(len(owner), PLACE)
             ids, ties = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
             x["content"], x["context"], x["id"], x["tie"], x["at"], x["n"] = content >> U(16) & U(0xFFFFFFFF), context, ids[owner], ties[owner], at + begins[owner], n
             held.append(x)
@@ -220,48 +262,54 @@ def _bucket(content: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(content.astype(U)) % U(buckets)).astype(np.int64)
 
 
-def _of_samples(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    x, first = _settle(np.concatenate([_unpack(b, SAMPLE) for b in group["rows"]]), ["content", "context"])
-    lead = x[first]
-    sizes = np.unique(lead["content"], return_counts=True)[1]
-    shared = np.repeat(sizes > 1, sizes)
-    known = np.concatenate([x[~first], *[_unpack(b, SAMPLE) for b in group["known"]]])
-    many = np.repeat(sizes > SPREAD, sizes)
-    out = [(i, t, -1, r, None) for i, t, r in _runs(known, known["n"])]
-    for bucket, chosen in ((int(key[0]), lead[shared & ~many]), (-1, lead[shared & many])):
-        out += [(i, t, bucket, None, r) for i, t, r in _runs(chosen, chosen["n"])]
-    return pd.DataFrame(out, columns=COLUMNS)
+def _rank(group: pd.DataFrame) -> pd.DataFrame:
+    x, first = _settle(_together(group["rows"], PLACE), ["content", "context"])
+    known, unsure = ([_together(group[k], TEXT_RUN)] for k in ("known", "unsure"))
+    if len(x):
+        lead, again = x[first], x[~first]
+        sizes = np.unique(lead["content"], return_counts=True)[1]
+        shared = lead[np.repeat(sizes > 1, sizes)]
+        known.append(_as_runs(again, again["n"]))
+        unsure.append(_as_runs(shared, shared["n"]))
+    return _found(known, unsure)
+
+
+def _within(runs: np.ndarray, begin: int, n: int) -> np.ndarray:
+    """Which of the n places from ``begin`` are starts in the runs."""
+    edge = np.zeros(n + 1, np.int32)
+    at = runs["at"].astype(np.int64) - begin
+    np.add.at(edge, np.clip(at, 0, n), 1)
+    np.add.at(edge, np.clip(at + runs["n"], 0, n), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def _strings(buckets: int):
+def _suffixes(buckets: int):
+    """The suffixes that are left open, dealt to buckets by their first LENGTH bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 2)))
+                for id_, tie, data, repeats, unsure in zip(*(b.column(k).to_pylist() for k in range(5))):
+                    yield id_, tie, *(np.frombuffer(b"".join(r), RUN) for r in (repeats, unsure)), data
 
         held: list[np.ndarray] = []
 
         def settled() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            x, first = _settle(np.concatenate(held), ["content"])
+            x, first = _settle(np.concatenate(held) if held else np.zeros(0, STRING), ["content"])
             held.clear()
-            bucket, plain = np.where(x["bucket"] < 0, _bucket(x["content"], buckets), x["bucket"]), x[list(STRING.names)]
-            yield from _dealt(plain[first], plain[~first], bucket[first], bucket[~first])
+            if len(x):
+                lead = x[first]
+                yield from _dealt(lead, _bucket(lead["content"], buckets), buckets, _as_runs(x[~first], 1), np.zeros(0, TEXT_RUN))
 
         for keys, parts, begins in pieces(rows()):
             hashes, base = Hashes(np.frombuffer(b"".join(parts), np.uint8)), np.cumsum([0, *map(len, parts)])
-            for k, (id_, tie, runs) in enumerate(keys):
-                run = np.frombuffer(b"".join(r["open"] for r in runs), RUN)
-                bucket = np.repeat([r["bucket"] for r in runs], [len(r["open"]) // RUN.itemsize for r in runs])
-                n = run["n"].astype(np.int64)
-                at = np.repeat(run["at"] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                inside = (at >= begins[k]) & (at + LENGTH <= begins[k] + len(parts[k]))
-                at = at[inside]
-                x = np.zeros(len(at), DEALT_STRING)
-                x["bucket"] = np.repeat(bucket, n)[inside]
-                start = at - begins[k] + base[k]
-                x["content"], x["id"], x["tie"], x["at"] = _mix(hashes.of(start, start + LENGTH)), id_, tie, at
+            for k, (id_, tie, repeats, unsure) in enumerate(keys):
+                n = len(parts[k]) - LENGTH + 1
+                if n < 1:
+                    continue
+                at = np.flatnonzero(_within(unsure, begins[k], n) & ~_within(repeats, begins[k], n))
+                x = np.zeros(len(at), STRING)
+                start = at + base[k]
+                x["content"], x["id"], x["tie"], x["at"] = _mix(hashes.of(start, start + LENGTH)), id_, tie, at + begins[k]
                 held.append(x)
             if sum(map(len, held)) >= FLUSH:
                 yield from settled()
@@ -270,10 +318,9 @@ def _strings(buckets: int):
     return run
 
 
-def _of_strings(group: pd.DataFrame) -> pd.DataFrame:
-    x, first = _settle(np.concatenate([_unpack(b, STRING) for b in group["rows"]]), ["content"])
-    known = np.concatenate([x[~first], *[_unpack(b, STRING) for b in group["known"]]])
-    return pd.DataFrame([(i, t, -1, r, None) for i, t, r in _runs(known, np.ones(len(known), np.int64))], columns=COLUMNS)
+def _sorted(group: pd.DataFrame) -> pd.DataFrame:
+    x, first = _settle(_together(group["rows"], STRING), ["content"])
+    return _found([_together(group["known"], TEXT_RUN), _as_runs(x[~first], 1)], [np.zeros(0, TEXT_RUN)])
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -287,10 +334,10 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     rows = keyed(docs, text, doc_id)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     buckets = max(12, math.ceil(size / BUCKET_BYTES))
-    found = durable(rows.mapInArrow(_sampled(buckets), BUCKETED).groupBy("bucket").applyInPandas(_of_samples, FOUND))
-    unsure = found.where("open is not null").groupBy("id", "tie").agg(F.collect_list(F.struct("bucket", "open")).alias("open"))
-    closer = rows.join(unsure, ["id", "tie"]).select("id", "tie", "data", "open").mapInArrow(_strings(buckets), BUCKETED)
-    both = found.where("repeats is not null").unionByName(closer.groupBy("bucket").applyInPandas(_of_strings, FOUND))
+    found = durable(rows.mapInArrow(_ranked(buckets), BUCKETED).groupBy("bucket").applyInPandas(_rank, FOUND))
+    unsure = found.groupBy("id", "tie").agg(F.collect_list("repeats").alias("repeats"), F.collect_list("unsure").alias("unsure")).where(F.size("unsure") > 0)
+    closer = rows.join(unsure, ["id", "tie"]).select("id", "tie", "data", "repeats", "unsure").mapInArrow(_suffixes(buckets), BUCKETED)
+    both = found.where("repeats is not null").unionByName(closer.groupBy("bucket").applyInPandas(_sorted, FOUND))
     return both.groupBy("id", "tie").agg(F.collect_list("repeats").alias("runs"))
 
 
