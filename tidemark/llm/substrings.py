@@ -22,7 +22,7 @@ so that a passage in a third of all documents makes as many rows as there are ta
 content with over ``HOT`` contexts in one task (a line of dashes), which is sure to
 have several, only the first go on to the buckets; the rest are left open at once.
 
-Contents, contexts and strings are compared by 64-bit hashes of their bytes.
+Places are compared by 32 bits of a hash of the content and 48 of one of the context, strings by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,17 +45,14 @@ COVER, PERIOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
 #: Bytes at a cover place that are in every string that has it within its first PERIOD bytes.
 W = LENGTH - PERIOD + 1
 #: Bytes hashed together; rows that a task sorts together; bytes of text for each bucket.
-BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 1_000_000, 12 << 20
+BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 1_000_000, 16 << 20
 #: Contexts of one content that a task sends to be ranked at a time.
 HOT = 256
 
 U = np.uint64
 STEP = 0x9E3779B97F4A7C15
 BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
-PLACE = np.dtype([("content", "<u4"), ("context", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1")])
-STRING = np.dtype([("content", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<u4")])
 RUN = np.dtype([("at", "<u4"), ("n", "<u4")])  # strings that start at ``at`` and the next n - 1 bytes
-TEXT_RUN = np.dtype([("id", "<i8"), ("tie", "<i8"), ("at", "<u4"), ("n", "<u4")])
 
 
 def _powers(base: int, n: int, _known: dict = {}) -> np.ndarray:  # noqa: B006  once for each process
@@ -125,104 +122,134 @@ def pieces(rows: Iterable[tuple]) -> Iterator[tuple[list[tuple], list[bytes], np
         yield keys, parts, np.array(begins)
 
 
-def _settle(x: np.ndarray, same: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by what makes them the same and then by place; whether a row is the first of its kind. A row that comes again, as its document does, is dropped."""
-    if not len(x):
-        return x, np.zeros(0, bool)
-    x = x[np.lexsort([x[k] for k in reversed(same)])]
-    first = np.append(True, np.any([x[k][1:] != x[k][:-1] for k in same], axis=0))
-    group = np.cumsum(first) - 1
-    several = np.flatnonzero(np.bincount(group)[group] > 1)
-    if not len(several):
-        return x, first
-    y = x[several]
-    x[several] = y[np.lexsort([y["at"], y["tie"], y["id"], group[several]])]
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
-    own = first | np.any([x[k] != x[k][lead] for k in ("id", "tie", "at")], axis=0)
-    return x[own], first[own]
-
-
-def _joined(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Runs of strings by text and place, those that touch or overlap joined."""
-    order = np.lexsort([x["at"], x["tie"], x["id"]])
-    x, at, end = x[order], x["at"][order].astype(np.int64), (x["at"].astype(np.int64) + n)[order]
-    if not len(x):
-        return np.zeros(0, TEXT_RUN)
-    new = np.append(True, (x["id"][1:] != x["id"][:-1]) | (x["tie"][1:] != x["tie"][:-1]))
-    shift = np.cumsum(new) << 33  # places are under 2^32
-    reach = np.maximum.accumulate(end + shift)
-    first = np.flatnonzero(np.append(True, (at + shift)[1:] > reach[:-1]))
-    out = np.zeros(len(first), TEXT_RUN)
-    out["id"], out["tie"], out["at"] = x["id"][first], x["tie"][first], at[first]
-    out["n"] = np.append(reach[first[1:] - 1], reach[-1]) - shift[first] - at[first]
-    return out
-
-
-def _by_text(runs: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    texts = np.flatnonzero(np.append(True, (runs["id"][1:] != runs["id"][:-1]) | (runs["tie"][1:] != runs["tie"][:-1]))) if len(runs) else []
-    for a, b in zip(texts, [*texts[1:], len(runs)]):
-        own = np.zeros(b - a, RUN)
-        own["at"], own["n"] = runs["at"][a:b], runs["n"][a:b]
-        yield int(runs["id"][a]), int(runs["tie"][a]), own.tobytes()
-
-
-STEPS = ("id", "tie", "at")
+def _documents(ids: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's number in order, and the ids and ties by number."""
+    order = np.lexsort([ties, ids])
+    ids, ties = ids[order], ties[order]
+    new = np.append(True, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])) if len(ids) else np.zeros(0, bool)
+    number = np.zeros(len(ids), np.int32)
+    number[order] = np.cumsum(new) - 1
+    return number, ids[new], ties[new]
 
 
-def _packed(rows: np.ndarray) -> bytes:
-    """Column by column and byte by byte over all rows, places as steps from the one before, which compresses well."""
-    out = []
-    for k in rows.dtype.names:
-        column = np.ascontiguousarray(rows[k])
-        if k in STEPS:
-            column = np.diff(column, prepend=column.dtype.type(0))
-        out.append(column.view(np.uint8).reshape(-1, column.dtype.itemsize).T.tobytes())
+def _settle(key: np.ndarray, rest: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of (key, rest) and then by place; whether a row is the first of its kind. A row that comes again, as its document does, is left out."""
+    order = np.argsort(key)
+    first = np.append(True, key[order[1:]] != key[order[:-1]]) if len(key) else np.zeros(0, bool)
+    several = np.flatnonzero(~(first & np.append(first[1:], True)))
+    if not len(several):
+        return order, first
+    o = order[several]
+    o = o[np.lexsort([at[o], doc[o], rest[o], key[o]])]
+    new = np.append(True, (key[o[1:]] != key[o[:-1]]) | (rest[o[1:]] != rest[o[:-1]]))
+    order[several], first[several] = o, new
+    lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
+    keep = np.ones(len(order), bool)
+    keep[several] = new | (doc[o] != doc[lead]) | (at[o] != at[lead])
+    return order[keep], first[keep]
+
+
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]  # document, first start, number of starts
+
+
+def _joined(doc: np.ndarray, at: np.ndarray, n: np.ndarray | int) -> Runs:
+    """Runs by document and place, those that touch or overlap joined."""
+    order = np.lexsort([at, doc])
+    doc, at, n = doc[order], at[order].astype(np.int64), np.broadcast_to(n, len(doc))[order].astype(np.int64)
+    if not len(doc):
+        return doc, at, n
+    shift = doc.astype(np.int64) << 32  # places are under 2^32
+    reach = np.maximum.accumulate(at + n + shift)
+    first = np.flatnonzero(np.append(True, ((at + shift)[1:] > reach[:-1]) | (doc[1:] != doc[:-1])))
+    return doc[first], at[first], np.append(reach[first[1:] - 1], reach[-1]) - shift[first] - at[first]
+
+
+def _planes(column: np.ndarray, kind: str, width: int) -> bytes:
+    """The numbers byte by byte over all of them, lowest first, which compresses well."""
+    return np.ascontiguousarray(column, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)[:, :width].T.tobytes()
+
+
+#: Columns of a row that are packed, with their type and the bytes that they need: places of the cover, suffixes, and runs.
+PLACE = (("content", "<u4", 4), ("context", "<u8", 6), ("at", "<u4", 4), ("n", "<u4", 1))
+SUFFIX = (("key", "<u8", 8), ("at", "<u4", 4))
+SPAN = (("at", "<u4", 4), ("n", "<u4", 4))
+
+
+def _packed(kind: tuple, columns: dict[str, np.ndarray], doc: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> bytes:
+    """Rows of one document stand together: the documents, the rows of each, and the columns; places as steps."""
+    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    own = doc[start]
+    out = [np.array([len(start), len(doc)], "<u4").tobytes(), _planes(np.diff(ids[own], prepend=0), "<i8", 8), _planes(ties[own], "<i8", 8), _planes(np.diff(np.append(start, len(doc))), "<u4", 4)]
+    for name, dtype, width in kind:
+        column = columns[name]
+        out.append(_planes(np.diff(column.astype(np.uint32), prepend=np.uint32(0)) if name == "at" else column, dtype, width))
     return b"".join(out)
 
 
-def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
-    n, at = len(blob) // kind.itemsize, 0
-    out = np.zeros(n, kind)
-    for k in kind.names:
-        column = np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * kind[k].itemsize, at).reshape(kind[k].itemsize, n).T).view(kind[k])[:, 0] if n else out[k]
-        out[k] = np.cumsum(column, dtype=kind[k]) if k in STEPS else column
-        at += n * kind[k].itemsize
-    return out
-
-
-def _together(blobs: Iterable[bytes], kind: np.dtype) -> np.ndarray:
-    some = [_unpack(b, kind) for b in blobs if b]
-    return np.concatenate(some) if some else np.zeros(0, kind)
-
-
-def _dealt(rows: np.ndarray, bucket: np.ndarray, buckets: int, known: np.ndarray, unsure: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket: the rows to sort, and the runs that are known to be repeats, or left open, without it; these are dealt by their ids."""
-    def cuts(of: np.ndarray, x: np.ndarray) -> dict[int, bytes]:
-        order = np.lexsort([x["at"], x["tie"], x["id"], of])
-        x, of = x[order], of[order]
+def _together(kind: tuple, blobs: Iterable[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of all blobs, the document of each row, and ids and ties of the documents."""
+    parts: dict[str, list[np.ndarray]] = {k: [] for k in ("id", "tie", "count", *(name for name, _, _ in kind))}
+    for blob in blobs:
+        if not blob:
+            continue
+        n_docs, n = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+        place = 8
+        for name, dtype, width, many in [("id", "<i8", 8, n_docs), ("tie", "<i8", 8, n_docs), ("count", "<u4", 4, n_docs), *((*c, n) for c in kind)]:
+            column = np.zeros((many, np.dtype(dtype).itemsize), np.uint8)
+            column[:, :width] = np.frombuffer(blob, np.uint8, many * width, place).reshape(width, many).T
+            column = column.view(dtype)[:, 0]
+            place += many * width
+            parts[name].append(np.cumsum(column, dtype=column.dtype) if name in ("id", "at") else column)
+    kinds = {"id": "<i8", "tie": "<i8", "count": "<u4"} | {name: dtype for name, dtype, _ in kind}
+    whole = {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in parts.items()}
+    number, ids, ties = _documents(whole.pop("id"), whole.pop("tie"))
+    return whole, np.repeat(number, whole.pop("count")), ids, ties
+
+
+def _dealt(kind: tuple, columns: dict, doc: np.ndarray, bucket: np.ndarray, buckets: int, known: Runs, unsure: Runs, ids: np.ndarray, ties: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: the rows to sort, and the runs that are known to be repeats, or left open, without it; these are dealt by their documents."""
+    def cuts(kind: tuple, columns: dict, doc: np.ndarray, of: np.ndarray) -> dict[int, bytes]:
+        order = np.argsort(of.astype(np.uint16) if buckets < 1 << 16 else of, kind="stable")
+        of = of[order]
         edges = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
-        return {int(of[a]): _packed(x[a:b]) for a, b in zip(edges, [*edges[1:], len(of)])}
+        return {int(of[a]): _packed(kind, {k: c[order[a:b]] for k, c in columns.items()}, doc[order[a:b]], ids, ties) for a, b in zip(edges, [*edges[1:], len(of)])}
 
-    own = [cuts(bucket, rows), *(cuts(x["id"] % buckets, x) for x in (known, unsure))]
+    own = [cuts(kind, columns, doc, bucket), *(cuts(SPAN, {"at": at, "n": n}, d, ids[d] % buckets) for d, at, n in (known, unsure))]
     keys = sorted(set().union(*own))
-    columns = [pa.array([part.get(b, b"") for b in keys], pa.binary()) for part in own]
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *columns], ["bucket", "rows", "known", "unsure"])
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array([part.get(b, b"") for b in keys], pa.binary()) for part in own]], ["bucket", "rows", "known", "unsure"])
 
 
 BUCKETED = "bucket int, rows binary, known binary, unsure binary"
 FOUND = "id long, tie long, repeats binary, unsure binary"
+NO_RUNS = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _found(known: list[np.ndarray], unsure: list[np.ndarray]) -> pd.DataFrame:
-    out = []
-    for k, runs in enumerate((known, unsure)):
-        runs = np.concatenate(runs)
-        out += [(i, t, *((r, None) if k == 0 else (None, r))) for i, t, r in _by_text(_joined(runs, runs["n"]))]
-    return pd.DataFrame(out, columns=["id", "tie", "repeats", "unsure"])
+def _found(known: Runs, unsure: Runs, ids: np.ndarray, ties: np.ndarray) -> pd.DataFrame:
+    """A row for each document with runs of a kind."""
+    parts = []
+    for name, (doc, at, n) in (("repeats", known), ("unsure", unsure)):
+        run = np.zeros(len(doc), RUN)
+        run["at"], run["n"] = at, n
+        blob, start = run.tobytes(), np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        edges = (8 * np.append(start, len(doc))).tolist()
+        parts.append(pd.DataFrame({"id": ids[doc[start]], "tie": ties[doc[start]], name: pd.Series([blob[a:b] for a, b in zip(edges, edges[1:])], dtype=object)}))
+    return pd.concat(parts).reindex(columns=["id", "tie", "repeats", "unsure"]).astype({"repeats": object, "unsure": object}).where(lambda x: x.notna(), None)
 
 
-def _as_runs(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-    return _joined(x, np.broadcast_to(np.asarray(n, np.int64), len(x)))
+def _spans(group: pd.DataFrame, name: str, ids: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The group's runs after other documents (ids, ties): their documents' numbers go on from there."""
+    columns, doc, more_ids, more_ties = _together(SPAN, group[name])
+    return doc + len(ids), columns["at"].astype(np.int64), columns["n"].astype(np.int64), np.append(ids, more_ids), np.append(ties, more_ties)
+
+
+def _bucket(content: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mix(content.astype(U)) % U(buckets)).astype(np.int64)
+
+
+def _gathered(data: list[tuple], n: int) -> list[np.ndarray]:
+    out = [np.concatenate(c) if data else np.zeros(0, np.int64) for c in zip(*data)] if data else [np.zeros(0, np.int64)] * n
+    data.clear()
+    return out
 
 
 def _ranked(buckets: int):
@@ -232,46 +259,56 @@ def _ranked(buckets: int):
             for b in batches:
                 yield from zip(*(b.column(k).to_pylist() for k in range(3)))
 
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
+        texts: list[tuple] = []
+        size = 0
 
         def settled() -> Iterator[pa.RecordBatch]:
-            x, first = _settle(np.concatenate(held) if held else np.zeros(0, PLACE), ["content", "context"])
-            held.clear()
-            if len(x):
-                lead, again = x[first], x[~first]
-                start = np.flatnonzero(np.append(True, lead["content"][1:] != lead["content"][:-1]))
-                many = np.arange(len(lead)) - np.repeat(start, np.diff(np.append(start, len(lead)))) >= HOT
-                known, unsure = _as_runs(again, again["n"]), _as_runs(lead[many], lead[many]["n"])
-                lead = lead[~many]
-                yield from _dealt(lead, _bucket(lead["content"], buckets), buckets, known, unsure)
+            if not held:
+                return
+            number, ids, ties = _documents(*_gathered(texts, 2))
+            owner, at, n, content, context = _gathered(held, 5)
+            doc = number[owner]
+            key, context = content | context >> U(32), context >> U(16)
+            order, first = _settle(key, context & U(0xFFFF), doc, at)
+            lead, again = order[first], order[~first]
+            own = key[lead] >> U(32)
+            start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            many = np.arange(len(lead)) - np.repeat(start, np.diff(np.append(start, len(lead)))) >= HOT
+            known, unsure = (_joined(doc[x], at[x], n[x]) for x in (again, lead[many]))
+            lead = np.sort(lead[~many])
+            own = (key[lead] >> U(32)).astype(np.uint32)
+            columns = {"content": own, "context": context[lead], "at": at[lead], "n": n[lead]}
+            yield from _dealt(PLACE, columns, doc[lead], _bucket(own, buckets), buckets, known, unsure, ids, ties)
 
         for keys, parts, begins in pieces(rows()):
             owner, at, n, content, context = places(parts)
-            x = np.zeros(len(owner), PLACE)
-            ids, ties = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
-            x["content"], x["context"], x["id"], x["tie"], x["at"], x["n"] = content >> U(16) & U(0xFFFFFFFF), context, ids[owner], ties[owner], at + begins[owner], n
-            held.append(x)
-            if sum(map(len, held)) >= FLUSH:
+            before = sum(len(t[0]) for t in texts)
+            texts.append((np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)))
+            held.append((owner + before, (at + begins[owner]).astype(np.uint32), n.astype(np.uint8), content & U(0xFFFFFFFF00000000), context))
+            size += len(owner)
+            if size >= FLUSH:
                 yield from settled()
+                size = 0
         yield from settled()
 
     return run
 
 
-def _bucket(content: np.ndarray, buckets: int) -> np.ndarray:
-    return (_mix(content.astype(U)) % U(buckets)).astype(np.int64)
-
-
 def _rank(group: pd.DataFrame) -> pd.DataFrame:
-    x, first = _settle(_together(group["rows"], PLACE), ["content", "context"])
-    known, unsure = ([_together(group[k], TEXT_RUN)] for k in ("known", "unsure"))
-    if len(x):
-        lead, again = x[first], x[~first]
-        sizes = np.unique(lead["content"], return_counts=True)[1]
-        shared = lead[np.repeat(sizes > 1, sizes)]
-        known.append(_as_runs(again, again["n"]))
-        unsure.append(_as_runs(shared, shared["n"]))
-    return _found(known, unsure)
+    x, doc, ids, ties = _together(PLACE, group["rows"])
+    n = x["n"].astype(np.int64)
+    key = x["content"].astype(U) << U(32) | x["context"] >> U(16)
+    order, first = _settle(key, x["context"] & U(0xFFFF), doc, x["at"])
+    lead, again = order[first], order[~first]
+    own = key[lead] >> U(32)
+    edge = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+    shared = lead[~(edge & np.append(edge[1:], True))]
+    runs = []
+    for name, mine in (("known", again), ("unsure", shared)):
+        d, at, count, ids, ties = _spans(group, name, ids, ties)
+        runs.append(_joined(np.append(doc[mine], d), np.append(x["at"][mine].astype(np.int64), at), np.append(n[mine], count)))
+    return _found(*runs, ids, ties)
 
 
 def _within(runs: np.ndarray, begin: int, n: int) -> np.ndarray:
@@ -291,36 +328,46 @@ def _suffixes(buckets: int):
                 for id_, tie, data, repeats, unsure in zip(*(b.column(k).to_pylist() for k in range(5))):
                     yield id_, tie, *(np.frombuffer(b"".join(r), RUN) for r in (repeats, unsure)), data
 
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
+        texts: list[tuple] = []
+        size = 0
 
         def settled() -> Iterator[pa.RecordBatch]:
-            x, first = _settle(np.concatenate(held) if held else np.zeros(0, STRING), ["content"])
-            held.clear()
-            if len(x):
-                lead = x[first]
-                yield from _dealt(lead, _bucket(lead["content"], buckets), buckets, _as_runs(x[~first], 1), np.zeros(0, TEXT_RUN))
+            if not held:
+                return
+            number, ids, ties = _documents(*_gathered(texts, 2))
+            owner, at, key = _gathered(held, 3)
+            doc = number[owner]
+            order, first = _settle(key, np.zeros(len(key), np.uint8), doc, at)
+            lead, again = np.sort(order[first]), order[~first]
+            yield from _dealt(SUFFIX, {"key": key[lead], "at": at[lead]}, doc[lead], _bucket(key[lead], buckets), buckets, _joined(doc[again], at[again], 1), NO_RUNS, ids, ties)
 
         for keys, parts, begins in pieces(rows()):
             hashes, base = Hashes(np.frombuffer(b"".join(parts), np.uint8)), np.cumsum([0, *map(len, parts)])
-            for k, (id_, tie, repeats, unsure) in enumerate(keys):
+            before = sum(len(t[0]) for t in texts)
+            texts.append((np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)))
+            for k, (_, _, repeats, unsure) in enumerate(keys):
                 n = len(parts[k]) - LENGTH + 1
                 if n < 1:
                     continue
                 at = np.flatnonzero(_within(unsure, begins[k], n) & ~_within(repeats, begins[k], n))
-                x = np.zeros(len(at), STRING)
                 start = at + base[k]
-                x["content"], x["id"], x["tie"], x["at"] = _mix(hashes.of(start, start + LENGTH)), id_, tie, at + begins[k]
-                held.append(x)
-            if sum(map(len, held)) >= FLUSH:
+                held.append((np.full(len(at), before + k, np.int32), (at + begins[k]).astype(np.uint32), _mix(hashes.of(start, start + LENGTH))))
+                size += len(at)
+            if size >= FLUSH:
                 yield from settled()
+                size = 0
         yield from settled()
 
     return run
 
 
 def _sorted(group: pd.DataFrame) -> pd.DataFrame:
-    x, first = _settle(_together(group["rows"], STRING), ["content"])
-    return _found([_together(group["known"], TEXT_RUN), _as_runs(x[~first], 1)], [np.zeros(0, TEXT_RUN)])
+    x, doc, ids, ties = _together(SUFFIX, group["rows"])
+    order, first = _settle(x["key"], np.zeros(len(doc), np.uint8), doc, x["at"])
+    again = order[~first]
+    d, at, n, ids, ties = _spans(group, "known", ids, ties)
+    return _found(_joined(np.append(doc[again], d), np.append(x["at"][again].astype(np.int64), at), np.append(np.ones(len(again), np.int64), n)), NO_RUNS, ids, ties)
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -367,7 +414,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
     A null text counts as empty, and texts of less than LENGTH bytes keep all. Documents stand in the order of their ids, null last;
     different texts of one id in an order of their own. Rows alike in id and text are one
-    document, and have the same result. Strings are compared by 64-bit hashes.
+    document, and have the same result. Strings are compared by hashes.
     """
     rows = keyed(docs, text, doc_id)
     got = rows.join(repeats(docs, text, doc_id), ["id", "tie"], "left").withColumn("x", F.arrow_udf(_without, "struct<kept:binary,n_removed:long,n_spans:long>")("data", "runs"))
