@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect garbage, on which Spark removes the shuffle files of plans that nothing refers to any more, such as those before a checkpoint."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rewritten(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet, and read again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"

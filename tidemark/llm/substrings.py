@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, free_shuffles
 
 #: Bytes of a string.
 LENGTH = 100
@@ -382,6 +382,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     buckets = max(12, math.ceil(size / BUCKET_BYTES))
     found = durable(rows.mapInArrow(_ranked(buckets), BUCKETED).groupBy("bucket").applyInPandas(_rank, FOUND))
+    free_shuffles(docs.sparkSession)  # the places of the cover are some three times the input
     unsure = found.groupBy("id", "tie").agg(F.collect_list("repeats").alias("repeats"), F.collect_list("unsure").alias("unsure")).where(F.size("unsure") > 0)
     closer = rows.join(unsure, ["id", "tie"]).select("id", "tie", "data", "repeats", "unsure").mapInArrow(_suffixes(buckets), BUCKETED)
     both = found.where("repeats is not null").unionByName(closer.groupBy("bucket").applyInPandas(_sorted, FOUND))
