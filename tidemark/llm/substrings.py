@@ -14,7 +14,8 @@ Suffixes are sorted by buckets, with ranks of a difference cover:
    ties, such as those of copied texts, end here, without a look at their suffixes.
 2. The suffixes that the ranks leave open: strings on the first place of a rank whose content has
    other ranks too (ends of passages, edits), unless another cover place has settled them.
-   They are dealt to buckets by their own bytes and sorted a bucket at a time.
+   They are dealt to buckets by their own bytes (the least hash of K of them, which neighbours
+   mostly share, so that their places pack well) and sorted a bucket at a time.
 
 Both times a task holds ``FLUSH`` rows, or one bucket's, whatever the size of the corpus. Tasks
 first settle what they can by themselves and pass on one row for each rank or string,
@@ -33,10 +34,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, free_shuffles
+from tidemark.llm.common import free_shuffles, rewritten
 
 #: Bytes of a string.
 LENGTH = 100
@@ -44,8 +46,12 @@ LENGTH = 100
 COVER, PERIOD = (0, 1, 3, 13, 32, 36, 43, 52), 57
 #: Bytes at a cover place that are in every string that has it within its first PERIOD bytes.
 W = LENGTH - PERIOD + 1
+#: Bytes whose least hash in a string says the string's bucket.
+K = 24
 #: Bytes hashed together; rows that a task sorts together; bytes of text for each bucket.
 BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 1_000_000, 16 << 20
+#: Suffix buckets are sorted in so many turns, of which each reads the texts anew: less disk at a time.
+TURNS = 2
 #: Contexts of one content that a task sends to be ranked at a time.
 HOT = 256
 
@@ -76,6 +82,16 @@ class Hashes:
         np.cumsum(BYTE[data] * _powers(STEP, n)[:n], out=self.sums[1:])
         self.back = _powers(pow(STEP, -1, 1 << 64), n + 1)
 
+    def least(self) -> np.ndarray:
+        """For each string of LENGTH bytes the least hash of K of its bytes."""
+        n = len(self.sums) - 1
+        least, width, places = (_mix((self.sums[K:] - self.sums[:-K]) * self.back[: n - K + 1]) >> U(32)).astype(np.uint32), 1, LENGTH - K + 1
+        while width < places:  # of twice as many places
+            step = min(width, places - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        return least
+
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * self.back[start]
 
@@ -320,13 +336,13 @@ def _within(runs: np.ndarray, begin: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _suffixes(buckets: int):
-    """The suffixes that are left open, dealt to buckets by their first LENGTH bytes."""
+def _suffixes(buckets: int, turn: int):
+    """The suffixes that are left open and whose buckets' turn it is, dealt to buckets by their first LENGTH bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for id_, tie, data, repeats, unsure in zip(*(b.column(k).to_pylist() for k in range(5))):
-                    yield id_, tie, *(np.frombuffer(b"".join(r), RUN) for r in (repeats, unsure)), data
+                    yield id_, tie, *(np.frombuffer(b"".join(r), RUN) for r in (repeats, unsure)), zstandard.decompress(data)
 
         held: list[tuple] = []
         texts: list[tuple] = []
@@ -336,23 +352,25 @@ def _suffixes(buckets: int):
             if not held:
                 return
             number, ids, ties = _documents(*_gathered(texts, 2))
-            owner, at, key = _gathered(held, 3)
+            owner, at, key, bucket = _gathered(held, 4)
             doc = number[owner]
             order, first = _settle(key, np.zeros(len(key), np.uint8), doc, at)
             lead, again = np.sort(order[first]), order[~first]
-            yield from _dealt(SUFFIX, {"key": key[lead], "at": at[lead]}, doc[lead], _bucket(key[lead], buckets), buckets, _joined(doc[again], at[again], 1), NO_RUNS, ids, ties)
+            yield from _dealt(SUFFIX, {"key": key[lead], "at": at[lead]}, doc[lead], bucket[lead], buckets, _joined(doc[again], at[again], 1), NO_RUNS, ids, ties)
 
         for keys, parts, begins in pieces(rows()):
             hashes, base = Hashes(np.frombuffer(b"".join(parts), np.uint8)), np.cumsum([0, *map(len, parts)])
-            before = sum(len(t[0]) for t in texts)
+            before, least = sum(len(t[0]) for t in texts), hashes.least() if base[-1] >= LENGTH else None
             texts.append((np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)))
             for k, (_, _, repeats, unsure) in enumerate(keys):
                 n = len(parts[k]) - LENGTH + 1
                 if n < 1:
                     continue
                 at = np.flatnonzero(_within(unsure, begins[k], n) & ~_within(repeats, begins[k], n))
+                bucket = _bucket(least[at + base[k]], buckets)
+                at, bucket = at[bucket % TURNS == turn], bucket[bucket % TURNS == turn]
                 start = at + base[k]
-                held.append((np.full(len(at), before + k, np.int32), (at + begins[k]).astype(np.uint32), _mix(hashes.of(start, start + LENGTH))))
+                held.append((np.full(len(at), before + k, np.int32), (at + begins[k]).astype(np.uint32), _mix(hashes.of(start, start + LENGTH)), bucket))
                 size += len(at)
             if size >= FLUSH:
                 yield from settled()
@@ -376,24 +394,39 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.select(F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("long").alias("id"), F.xxhash64(data).alias("tie"), data.alias("data"))
 
 
+def _compressed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    coder = zstandard.ZstdCompressor(level=1)
+    for data in batches:
+        yield pa.array([coder.compress(x.as_py()) for x in data], pa.binary())
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The rows with the texts compressed, for the shuffle."""
+    return rows.withColumn("data", F.arrow_udf(_compressed, "binary")("data"))
+
+
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """id, tie and runs of the strings that occur earlier, for each text that has any."""
     rows = keyed(docs, text, doc_id)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     buckets = max(12, math.ceil(size / BUCKET_BYTES))
-    found = durable(rows.mapInArrow(_ranked(buckets), BUCKETED).groupBy("bucket").applyInPandas(_rank, FOUND))
+    found = rewritten(rows.mapInArrow(_ranked(buckets), BUCKETED).groupBy("bucket").applyInPandas(_rank, FOUND))
     free_shuffles(docs.sparkSession)  # the places of the cover are some three times the input
     unsure = found.groupBy("id", "tie").agg(F.collect_list("repeats").alias("repeats"), F.collect_list("unsure").alias("unsure")).where(F.size("unsure") > 0)
-    closer = rows.join(unsure, ["id", "tie"]).select("id", "tie", "data", "repeats", "unsure").mapInArrow(_suffixes(buckets), BUCKETED)
-    both = found.where("repeats is not null").unionByName(closer.groupBy("bucket").applyInPandas(_sorted, FOUND))
+    joined = packed(rows).join(unsure, ["id", "tie"]).select("id", "tie", "data", "repeats", "unsure")
+    both = found.where("repeats is not null")
+    for turn in range(TURNS):
+        both = both.unionByName(rewritten(joined.mapInArrow(_suffixes(buckets, turn), BUCKETED).groupBy("bucket").applyInPandas(_sorted, FOUND)))
+        free_shuffles(docs.sparkSession)
     return both.groupBy("id", "tie").agg(F.collect_list("repeats").alias("runs"))
 
 
 def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for data, runs in batches:
-        kept, removed, spans = [], [], []
+        size, kept, removed, spans = [], [], [], []
         for text, blobs in zip(data, runs):
-            text = text.as_py()
+            text = zstandard.decompress(text.as_py())
+            size.append(len(text))
             if not blobs.is_valid:
                 kept.append(text)
                 removed.append(0)
@@ -407,7 +440,7 @@ def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             removed.append(int(gone.sum()))
             spans.append(int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]))
-        yield pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["kept", "n_removed", "n_spans"])
+        yield pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["n_bytes", "kept", "n_removed", "n_spans"])
 
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -417,10 +450,10 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     different texts of one id in an order of their own. Rows alike in id and text are one
     document, and have the same result. Strings are compared by hashes.
     """
-    rows = keyed(docs, text, doc_id)
-    got = rows.join(repeats(docs, text, doc_id), ["id", "tie"], "left").withColumn("x", F.arrow_udf(_without, "struct<kept:binary,n_removed:long,n_spans:long>")("data", "runs"))
+    rows = packed(keyed(docs, text, doc_id))
+    got = rows.join(repeats(docs, text, doc_id), ["id", "tie"], "left").withColumn("x", F.arrow_udf(_without, "struct<n_bytes:long,kept:binary,n_removed:long,n_spans:long>")("data", "runs"))
     back = F.when(F.col("id") != (1 << 63) - 1, F.col("id")).alias("doc_id")
-    return got.select(back, F.octet_length("data").cast("long").alias("n_bytes"), "x.n_removed", "x.n_spans", "x.kept")
+    return got.select(back, "x.n_bytes", "x.n_removed", "x.n_spans", "x.kept")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
