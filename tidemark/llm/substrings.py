@@ -49,7 +49,7 @@ W = LENGTH - PERIOD + 1
 #: Bytes whose least hash in a string says the string's bucket.
 K = 24
 #: Bytes hashed together; rows that a task sorts together; bytes of text for each bucket.
-BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 1_000_000, 16 << 20
+BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 400_000, 12 << 20
 #: Suffix buckets are sorted in so many turns, of which each reads the texts anew: less disk at a time.
 TURNS = 2
 #: Contexts of one content that a task sends to be ranked at a time.
