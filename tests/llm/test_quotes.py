@@ -46,10 +46,10 @@ def test_links_nested_quotes(rows):
     got, want = rows(MAIL)
     assert got == want
     at = {r[:2]: r for r in got if r[2] != "d2"}
-    assert at[1, 1][3:] == ("I agree.", 1, 1, 0, 0, 1)
-    assert at[1, 2][3:] == ("So do I.", 2, 2, 1, 0, 2)
+    assert at[1, 1][3:] == ("I agree.", 1, 1, 0, 0, 1, 1)
+    assert at[1, 2][3:] == ("So do I.", 2, 2, 1, 0, 2, 2)
     assert at[1, 3][6] == 0 and at[1, 4][6] is None
-    assert at[1, 5][6:] == (3, 0, 2)
+    assert at[1, 5][6:] == (3, 0, 2, 4)
     assert at[1, 5][3] == "On we go:\nnot an attribution"
     assert at[2, 2][6] == 0 and at[2, 3][6] == 0
     assert at[3, 1][6] is None
@@ -67,7 +67,7 @@ def test_long_chain(rows):
     messages = [(1, i, "r", f"> words of {i - 1}\nwords of {i}") for i in range(40)]
     got, want = rows(messages)
     assert got == want
-    assert [r[-1] for r in got] == list(range(40)) and {r[-2] for r in got} == {0}
+    assert [r[-1] for r in got] == [r[-2] for r in got] == list(range(40)) and {r[-3] for r in got} == {0}
 
 
 def test_empty_and_clashing_columns(spark):
@@ -76,3 +76,39 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, 0, "a", "x", "old", 5), (1, 1, "a", "> x", "old", 5)], SCHEMA + ", thread string, conversation long")
     got = {r.turn: r for r in quotes.link(df).collect()}
     assert got[1].thread == 0 and got[1].conversation == 5
+
+
+ENDS = ["  lead\r> b  ", " x\u2028> y ", "\u2028first", "> \u2028first", ">\u2028first", "a\x85> b", "On x wrote:\u2028\n> a", "On x wrote:\r\n> lead", "> x\u2029> y\nown", "\u2029"]
+
+
+def test_only_line_feeds_end_lines(rows):
+    got, want = rows([(1, i, "r", t) for i, t in enumerate(ENDS)] + [(2, i, "r", t) for i, t in enumerate(["\u2028lead", "> \u2028lead\nmine", "plain\r> x"])])
+    assert got == want
+    assert {r[:2]: r for r in got}[2, 1][5:7] == (1, 0)
+
+
+def test_thousands_of_random_threads(rows):
+    import random
+
+    rng, messages = random.Random(3), []
+    for c in range(250):
+        lines: list[list[str]] = []
+        for t in range(rng.randrange(1, 16)):
+            own = [f"Line {rng.randrange(40)} of {c} " + rng.choice(["stays", "goes  on", "ENDS here"]) for _ in range(rng.randrange(1, 4))]
+            quoted = []
+            for _ in range(rng.randrange(3) if t else 0):
+                back = rng.choice(lines)
+                quoted += [rng.choice(["> ", ">> ", "> > ", " >"]) + x for x in rng.sample(back, rng.randrange(1, len(back) + 1))] + rng.choice([[], [""], ["reply " + str(rng.randrange(30))]])
+            lines.append(own)
+            messages.append((c, t * rng.choice([1, 1, 3000]), "r", "\n".join(rng.choice([[], ["On day x wrote:"]]) + quoted + own)))
+    got, want = rows(messages)
+    assert got == want
+    assert sum(r[6] is not None for r in got) > 800 and max(r[8] for r in got) > 4 and max(r[9] for r in got) > 6
+
+
+def test_a_walk_goes_from_each_message_to_its_replies(rows):
+    texts = {0: "root", 1: "> root\na", 2: "> root\nb", 3: "> a\nc", 4: "> a\nd", 5: "> c\ne", 6: "> b\nf", 7: "alone"}
+    got, want = rows([(1, t, "r", x) for t, x in texts.items()])
+    assert got == want
+    order = [r[1] for r in sorted(got, key=lambda r: (r[7], r[9]))]
+    assert order == [0, 1, 3, 5, 4, 2, 6, 7]

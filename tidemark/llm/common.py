@@ -51,6 +51,14 @@ def rewritten(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """The name, with as many underscores after it as it takes to be none of the tables' columns (case aside)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | Column) -> Column:
     """The words of a text as an array; none for a null text."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

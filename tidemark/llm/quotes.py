@@ -6,8 +6,10 @@ line by line, as a reply may quote part of a paragraph. Passages and lines are
 normalised (case of A-Z, white space, so that wrapped lines don't matter) and hashed,
 and joined by conversation and hash to the first message that has them in its own
 words. A message replies to the earlier one that most of its shallowest linked
-quotes come from. The chain of replies gives each message its thread and its
-depth; by (thread, turn) a conversation is in the order of its replies.
+quotes come from. The chain of replies gives each message its thread, its depth and
+its position: the place in a walk through the thread that goes from each message to its
+replies in their order, so that by (thread, position) a conversation reads as it was answered.
+Only line feeds end lines.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, two_level_sum
 from tidemark.llm.pii import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,8 +41,8 @@ def passages(text: Column) -> Column:
     depth, without blank lines and attributions. Level 0 is the message's own."""
     marked = F.transform(F.split(text, "\n", -1), lambda x: F.concat(F.repeat(F.lit(">"), _depth(x)), F.lit(MARK), _normal(F.regexp_replace(x, SIGNS, ""))))
     joined = F.array_join(marked, "\n")
-    own = F.regexp_replace(joined, rf"(?m)^{MARK}{ATTRIBUTION}\n(?=>)", "")
-    spaced = F.regexp_replace(F.regexp_replace(own, rf"(?m)^>*{MARK}$", ""), rf"(?m)^(>*){MARK}([^\n]+)\n(?!\1{MARK})", rf"$1{MARK}$2" + "\n\n")
+    own = F.regexp_replace(joined, rf"(?md)^{MARK}{ATTRIBUTION}\n(?=>)", "")
+    spaced = F.regexp_replace(F.regexp_replace(own, rf"(?md)^>*{MARK}$", ""), rf"(?md)^(>*){MARK}([^\n]+)\n(?!\1{MARK})", rf"$1{MARK}$2" + "\n\n")
     runs = F.filter(F.split(spaced, "\n{2,}", -1), lambda p: F.length(F.trim(F.translate(p, "\n", " "))) > 0)
 
     def run(p: Column) -> Column:
@@ -71,19 +73,44 @@ def replies(linked: DataFrame) -> DataFrame:
     return votes.groupBy("conversation", "turn").agg(best.alias("parent"), F.sum("n").alias("n_links"))
 
 
-def threads(replied: DataFrame) -> DataFrame:
-    """Adds thread (the turn that a chain of parents ends at) and depth (its length).
+def _summed_upwards(replied: DataFrame, value: str) -> DataFrame:
+    """Adds thread (the turn that a chain of parents ends at), depth (its length) and ``sum`` of ``value`` along it, its own included.
 
     Pointers are doubled: rounds grow as the logarithm of the longest chain, and the
     driver sees one count a round. A parent is always earlier, so chains end.
     """
-    now = durable(replied.select("*", F.col("parent").alias("thread"), F.lit(1).cast("long").alias("depth")))
+    now = durable(replied.select("*", F.col("parent").alias("thread"), F.lit(1).cast("long").alias("depth"), F.col(value).alias("sum")))
+    on = (F.col("conversation") == F.col("__c")) & (F.col("thread") == F.col("__t"))
     while True:
-        up = now.select(F.col("conversation").alias("__c"), F.col("turn").alias("__t"), F.col("thread").alias("__up"), F.col("depth").alias("__more"))
-        if not now.join(up, (F.col("conversation") == F.col("__c")) & (F.col("thread") == F.col("__t")), "left_semi").limit(1).count():
+        up = now.select(F.col("conversation").alias("__c"), F.col("turn").alias("__t"), F.col("thread").alias("__up"), F.col("depth").alias("__more"), F.col("sum").alias("__sum"))
+        if not now.join(up, on, "left_semi").limit(1).count():
             return now
-        on = (F.col("conversation") == F.col("__c")) & (F.col("thread") == F.col("__t"))
-        now = durable(now.join(up, on, "left").select("conversation", "turn", "parent", "n_links", F.coalesce("__up", "thread").alias("thread"), (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth")))
+        longer = now.join(up, on, "left").select(*replied.columns, F.coalesce("__up", "thread").alias("thread"), *[(F.col(c) + F.coalesce(m, F.lit(0))).alias(c) for c, m in (("depth", "__more"), ("sum", "__sum"))])
+        now = durable(longer)
+
+
+def _sizes(replied: DataFrame) -> DataFrame:
+    """Adds ``size``: the message and all that follow from it. In round k a message has counted those less than 2^k replies away, and adds what the ones 2^k away have."""
+    now = durable(replied.select("*", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("size")))
+    at = (F.col("conversation") == F.col("__c")) & (F.col("turn") == F.col("__t"))
+    while now.where("jump is not null").limit(1).count():
+        below = now.where("jump is not null").groupBy(F.col("conversation").alias("__c"), F.col("jump").alias("__t")).agg(F.sum("size").alias("__size"))
+        up = now.select(F.col("conversation").alias("__c2"), F.col("turn").alias("__t2"), F.col("jump").alias("__up"))
+        grown = now.join(below, at, "left").join(up, (F.col("conversation") == F.col("__c2")) & (F.col("jump") == F.col("__t2")), "left")
+        now = durable(grown.select(*replied.columns, F.col("__up").alias("jump"), (F.col("size") + F.coalesce("__size", F.lit(0))).alias("size")))
+    return now.drop("jump")
+
+
+def threads(replied: DataFrame) -> DataFrame:
+    """Adds thread, depth, and position: the messages of the thread that stand before, in a walk from each to its replies by turn.
+
+    That is, summed along the chain, one and the sizes of the earlier replies to the same message. These are
+    summed in two levels, as one message may have any number of replies.
+    """
+    sized = _sizes(replied).withColumn("chunk", F.floor(F.col("turn") / 4096))
+    ahead = two_level_sum(sized, ["conversation", "parent"], "chunk", ["turn"], "size", "ahead")
+    step = ahead.select("conversation", "turn", "parent", "n_links", (1 + F.col("ahead")).cast("long").alias("step"))
+    return _summed_upwards(step, "step").select("conversation", "turn", "parent", "n_links", "thread", "depth", F.col("sum").alias("position"))
 
 
 def without_quotes(text: Column) -> Column:
@@ -92,12 +119,12 @@ def without_quotes(text: Column) -> Column:
     def own(lines: Column) -> Column:
         def keep(x: Column, i: Column) -> Column:
             follows = F.get(lines, i + 1).rlike(SIGNS)
-            names = F.coalesce(follows, F.lit(False)) & _normal(x).rlike(f"^{ATTRIBUTION}$")
+            names = F.coalesce(follows, F.lit(False)) & _normal(x).rlike(rf"^{ATTRIBUTION}\z")
             return ~x.rlike(SIGNS) & ~names
 
         return F.regexp_replace(F.array_join(F.filter(lines, keep), "\n"), r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
 
-    return F.when(text.rlike(rf"(?m){SIGNS}"), let(F.split(text, "\n", -1), own)).otherwise(text)
+    return F.when(text.rlike(rf"(?md){SIGNS}"), let(F.split(text, "\n", -1), own)).otherwise(text)
 
 
 def n_quotes(text: Column) -> Column:
@@ -107,15 +134,16 @@ def n_quotes(text: Column) -> Column:
 def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """The messages, ``text`` without quotes, with n_quotes (quoted passages), n_links (quoted passages and
     lines whose origin was found), parent (turn replied to, or null), thread (turn that the chain of replies
-    starts with; its own if it replies to none) and depth (replies up to that).
+    starts with; its own if it replies to none), depth (replies up to that) and position (messages of the
+    thread before it, 0 for the first).
 
-    Rows that agree in conversation and turn are parts of one message: they share parent, thread and depth. A
+    Rows that agree in conversation and turn are parts of one message: they share parent, thread, depth and position. A
     row without conversation or turn is linked to nothing. Null and empty texts quote nothing. Other
-    columns stay, but for those named as the added ones, which are replaced. Ordered by conversation, thread and turn, a conversation
+    columns stay, but for those named as the added ones, which are replaced. Ordered by conversation, thread and position, a conversation
     reads in the order of its replies. A conversation may hold any part of all rows: every join is by
     conversation and turn, or conversation and hash with one row on one side.
     """
-    added = ("n_quotes", "n_links", "parent", "thread", "depth")
+    added = ("n_quotes", "n_links", "parent", "thread", "depth", "position")
     base = messages.drop(*added)
     plain = base.select(F.col(conversation).alias("conversation"), F.col(turn).alias("turn"), F.col(text).alias("text"))
     found = threads(replies(links(plain))).select(F.col("conversation").alias("__c"), F.col("turn").alias("__t"), *added[1:])
@@ -127,6 +155,7 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
         "parent",
         F.coalesce("thread", F.col(turn)).alias("thread"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("position", F.lit(0)).cast("long").alias("position"),
     )
 
 
@@ -170,13 +199,24 @@ chain AS (
   UNION ALL
   SELECT c.conv_id, c.turn, r.parent, c.depth + 1 FROM chain c JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.up),
 tops AS (SELECT conv_id, turn, min(up) AS thread, max(depth) AS depth FROM chain GROUP BY ALL),
+sizes AS (
+  SELECT r.conv_id, r.turn, r.parent, 1 + count(c.turn) AS size FROM replies r
+  LEFT JOIN chain c ON c.conv_id = r.conv_id AND c.up = r.turn GROUP BY ALL),
+steps AS (
+  SELECT *, 1 + coalesce(sum(size) OVER (PARTITION BY conv_id, parent ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS step
+  FROM sizes),
+positions AS (
+  SELECT s.conv_id, s.turn, any_value(s.step) + coalesce(sum(u.step), 0) AS position FROM steps s
+  JOIN chain c ON c.conv_id = s.conv_id AND c.turn = s.turn LEFT JOIN steps u ON u.conv_id = c.conv_id AND u.turn = c.up GROUP BY ALL),
 own AS (
   SELECT rid, max(level) AS most, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT attribution) AS reply FROM marked GROUP BY rid),
 quotes AS (SELECT rid, count(*) AS n_quotes FROM paragraphs WHERE level > 0 GROUP BY rid)
 SELECT s.conv_id, s.turn, s.role,
   CASE WHEN own.most > 0 THEN regexp_replace(coalesce(own.reply, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') ELSE s.text END AS text,
   coalesce(q.n_quotes, 0) AS n_quotes, CAST(coalesce(r.n_links, 0) AS BIGINT) AS n_links, r.parent,
-  coalesce(t.thread, s.turn) AS thread, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth
+  coalesce(t.thread, s.turn) AS thread, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth,
+  CAST(coalesce(p.position, 0) AS BIGINT) AS position
 FROM src s LEFT JOIN own ON own.rid = s.rid LEFT JOIN quotes q ON q.rid = s.rid
 LEFT JOIN replies r ON r.conv_id = s.conv_id AND r.turn = s.turn LEFT JOIN tops t ON t.conv_id = s.conv_id AND t.turn = s.turn
+LEFT JOIN positions p ON p.conv_id = s.conv_id AND p.turn = s.turn
 """
