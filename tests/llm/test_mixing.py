@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,33 +8,34 @@ from tidemark.llm import mixing
 from tidemark.llm.common import table
 
 
-def oracle(df):
+def oracle(df, block=1024):
     con = duckdb.connect()
     con.register("documents", df.toArrow())
-    return sorted(con.execute(mixing.SQL).fetchall(), key=str)
+    return sorted(con.execute(mixing.SQL.replace("1024", str(block)).replace("1023", str(block - 1))).fetchall(), key=str)
 
 
 def got(df, **how):
-    return sorted((tuple(r) for r in mixing.mix(df, **how).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str)
+    return sorted((tuple(r) for r in mixing.mix(df, **how).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots").collect()), key=str)
 
 
 def test_as_sql(spark, sf):
     df = table(spark, sf, "documents")
-    assert got(df) == got(df, block=7) == oracle(df)
+    assert got(df) == oracle(df)
+    assert got(df, block=50) == oracle(df, 50)
 
 
 @pytest.mark.parametrize("rows", [[], [None], ["", None], ["a b c"], ODD])
 def test_odd_texts(spark, docs, rows):
     df = docs(rows).withColumn("size", F.lit("clash"))
-    assert got(df, block=16) == oracle(df.drop("size"))
+    assert got(df, block=16) == oracle(df.drop("size"), 16)
 
 
 def test_sources_null_tied_hot_and_repeated_rows(spark, docs):
     rows = [(i, "w " * (i % 9 + 1), None if i % 7 == 0 else "hot" if i % 3 else f"s{i % 11}") for i in range(500)]
     df = docs(rows + rows[:40] + [(None, "no id", "s1"), (None, "no id", "s1")])
     rows = got(df, block=8)
-    assert rows == oracle(df)
-    assert all(taken <= 2 * size for _, size, _, _, taken in rows)
+    assert rows == oracle(df, 8)
+    assert all(taken <= 2 * size for _, size, _, _, taken, _, _ in rows)
     for x in mixing.mix(df, block=8).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("a")).collect():
         assert 0 <= x.a - x.t < 1
 
@@ -59,3 +61,19 @@ def test_mixed_documents_hold_the_words_taken(spark, sf):
     assert out.columns == df.columns
     found = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.sum(mixing.n_words("text")).alias("n")).collect()}
     assert found == wanted
+
+
+def test_mixed_documents_stand_by_slot_and_take_any_columns(spark, sf):
+    clash = table(spark, sf, "documents").withColumns({c: F.lit("x") for c in ("__n", "__part", "__id", "__source", "__size", "__taken", "slot", "__slot")})
+    out = mixing.mixed_documents(clash, block=16, slot="at")
+    rows = out.select("at", "source", "doc_id", F.spark_partition_id().alias("p")).collect()
+    assert out.drop("at").columns == clash.columns
+    assert [r["at"] for r in rows] == sorted(r["at"] for r in rows)
+    first = {r.doc_id: r.first_slot for r in mixing.mix(clash, block=16).collect() if r.taken}
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.doc_id, r["at"])
+    assert all(seen[d] >= first[d] for d in seen) and np.mean([seen[d] == first[d] for d in seen]) > 0.9
+    firsts = [r.source for r in rows[: len(rows) // 4]]
+    shares = {s: sum(r.source == s for r in rows) / len(rows) for s in {r.source for r in rows}}
+    assert all(abs(firsts.count(s) / len(firsts) - share) < 0.2 for s, share in shares.items())

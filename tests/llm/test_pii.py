@@ -71,3 +71,10 @@ def test_redact(spark, docs):
 
 def test_empty(spark, docs):
     assert pii.query(spark, docs([])).count() == 0
+
+
+def test_secrets_have_no_longest_length(spark, docs):
+    got = [r.spans for r in pii.query(spark, docs(["secret=" + "a1" * n for n in (5, 95, 120, 50_000)] + [None])).orderBy("doc_id").collect()]
+    assert got == ["", *(f"secret:7:{7 + 2 * n}" for n in (95, 120, 50_000)), ""]
+    rows = pii.query(spark, docs([(None, "a@b.cc", "s"), (None, "a@b.cc", "s"), (1, "a@b.cc", "s"), (1, "a@b.cc", "s")])).collect()
+    assert [r.spans for r in rows] == ["email:0:6"] * 4

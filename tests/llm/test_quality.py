@@ -74,3 +74,9 @@ def test_estimate_as_numpy(spark):
 
 def test_empty(spark, docs):
     assert quality.query(spark, docs([])).count() == 0
+
+
+def test_columns_of_the_same_names_give_way(spark, docs):
+    df = docs(["a b c d e f g h i j k l.", "", None]).withColumns({c: F.lit("x") for c in ("n_words", "votes", "p_good", "__w", "n_lines")})
+    got = quality.judge(df.unionByName(df)).orderBy("doc_id").collect()
+    assert [r.n_words for r in got] == [12, 12, 0, 0, 0, 0] and all(0 < r.p_good < 1 for r in got)

@@ -63,7 +63,7 @@ def test_odd_texts_and_chains_of_copies(spark, docs):
     compare(docs(texts).withColumn("fp", F.lit("clash")))
 
 
-@pytest.mark.parametrize("groups", [5, 6, 7])
+@pytest.mark.parametrize("groups", [5, 6, 8, 12])
 def test_links_as_brute_force(spark, groups):
     rng = random.Random(groups)
     some = [rng.getrandbits(64) for _ in range(150)] + [0, 2**64 - 1, 2**63]
@@ -73,7 +73,8 @@ def test_links_as_brute_force(spark, groups):
                 x ^= 1 << b
             some.append(x)
     u = np.array(sorted(set(some)), np.uint64).view(np.int64)
-    got = [tuple(r) for r in simhash.links(spark.createDataFrame([(int(x),) for x in u], "fp long"), groups=groups).collect()]
+    nodes = spark.createDataFrame([(k, int(x)) for k, x in enumerate(u)], "least long, fp long")
+    got = [tuple(sorted((r.a.fp, r.b.fp))) for r in simhash.links(nodes, groups=groups).collect()]
     want = {(int(min(a, b)), int(max(a, b))) for i, a in enumerate(u) for b in u[i + 1 :] if np.bitwise_count(np.uint64(int(a) & (2**64 - 1)) ^ np.uint64(int(b) & (2**64 - 1))) <= 4}
     assert len(got) == len(set(got)) and set(got) == want
 
@@ -106,3 +107,10 @@ def test_keep_one_of_each_group_where_texts_share_an_id(spark, docs):
     a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
     rows = simhash.keep_one(docs([(1, a, "s"), (1, b, "s"), (1, b, "s"), (2, a, "s"), (3, b, "s"), (None, a, "s")])).collect()
     assert sorted((r.doc_id or 9, r.text) for r in rows) == [(1, a), (1, b), (9, a)]
+
+
+def test_groups_grow_with_the_fingerprints_and_names_may_clash(spark, docs):
+    assert [simhash.groups_for(n) for n in (0, 1 << 21, (1 << 21) + 1, 1 << 30)] == [6, 6, 8, 12]
+    df = docs(["a b c d e", "a b c d e", None]).withColumns({c: F.lit("x") for c in ("__id", "__hash", "__kept", "root", "least")})
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [0, 2]

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free
+
 #: Pre-tokens whose ids a worker keeps at most, besides those at hand, and characters that are encoded together. Results depend on neither.
 CACHE, TOGETHER = 250_000, 4_000_000
 
@@ -312,8 +314,9 @@ def encode_and_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text
             yield pa.StructArray.from_arrays([lists, _plain(tokens, lists)], ["ids", "decoded"])
 
     rest = [c for c in df.columns if c not in (ids, decoded)]
-    got = df.withColumn("__both", both(F.col(text)))
-    return got.select(*rest, F.col("__both.ids").alias(ids), F.col("__both.decoded").alias(decoded))
+    out = free("__both", df)
+    got = df.withColumn(out, both(F.col(text)))
+    return got.select(*rest, F.col(out)["ids"].alias(ids), F.col(out)["decoded"].alias(decoded))
 
 
 def n_tokens(ids: str | Column) -> Column:

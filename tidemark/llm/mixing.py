@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, n_words, two_level_sum, words
+from tidemark.llm.common import durable, free, n_words, two_level_sum, words
 
 #: Weights of the sources in code point order, repeating; share of all words to take; how often a source may repeat.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
@@ -79,55 +79,94 @@ def schedule(sources: DataFrame, slots: int, block: int) -> DataFrame:
     return ranked.select("sid", "slot", "rank", number.alias("block"), limit.alias("limit"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many of a document's words the mix takes, repeats counted.
+def _source_of(sources: DataFrame, *more: str) -> DataFrame:
+    return sources.select(F.col("source").alias("__source"), *more)
 
-    A null or empty text has no words and is not taken. A null source is a source,
-    the last one; a null id is shuffled as an empty one. Rows alike in all columns are
-    rows of their own. Only doc_id, text and source are read. The counts of each
-    source are exact: floor(target) words.
+
+def pieces(docs: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """sid, doc_id, source, size, start, slot, from, to: the words that each slot takes of each document, counted from its first word.
+
+    ``docs`` has doc_id, source and size. A source's shuffled documents are cut into blocks, and its r-th slot takes
+    its r-th block; so a document has a piece for each slot of each block that it reaches into.
     """
-    spark = docs.sparkSession
-    sized = durable(docs.select("doc_id", "source", n_words("text").alias("size")))
-    sources = durable(plan(targets(sized, weights, share, repeats), block))
     slots, rows = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
     bits = min(28, (rows.bit_length() + 1) // 2)
-    of = sources.select(F.col("source").alias("__source"), "sid")
-    some = sized.where("size > 0").join(of, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("key", shuffled("doc_id"))
+    some = docs.where("size > 0").join(_source_of(sources, "sid"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("key", shuffled("doc_id"))
     some = some.withColumn("chunk", F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("long"), 28 - bits))
     placed = two_level_sum(some, ["sid"], "chunk", ["key", "doc_id", "size"], "size", "start")
-    pieces = placed.select("sid", "doc_id", "source", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
+    cut = placed.select("sid", "doc_id", "source", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     begins = F.greatest(F.col("start"), F.col("block") * block)
-    ends = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.coalesce("limit", F.lit(0)))
-    each = pieces.join(schedule(sources, slots, block), ["sid", "block"], "left").withColumn("part", F.greatest(F.lit(0).cast("long"), ends - begins))
-    took = each.groupBy("sid", "start", "doc_id", "source", "size").agg(F.sum("part").alias("taken"))
-    none = sized.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    both = took.select("doc_id", "source", "size", "taken").unionByName(none)
-    of = sources.select(F.col("source").alias("__source"), "source_size", "target")
-    return both.join(of, F.col("source").eqNullSafe(F.col("__source"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    ends = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("limit"))
+    each = cut.join(schedule(sources, slots, block), ["sid", "block"]).where(ends > begins)
+    return each.select("sid", "doc_id", "source", "size", "start", "slot", (begins - F.col("start")).alias("from"), (ends - F.col("start")).alias("to"))
+
+
+def _prepared(docs: DataFrame, weights: tuple[int, ...], share: float, repeats: int, block: int) -> tuple[DataFrame, DataFrame]:
+    sized = durable(docs.select("doc_id", "source", n_words("text").alias("size")))
+    return sized, durable(plan(targets(sized, weights, share, repeats), block))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_slot, n_slots: how many of a document's words the mix takes, repeats counted, and
+    the first and the number of the slots that take them.
+
+    A null or empty text has no words and is not taken. A null source is a source,
+    the last one; a null id is shuffled as an empty one. Rows alike in all columns are
+    rows of their own. Only doc_id, text and source are read. The counts of each
+    source are exact: floor(target) words.
+    """
+    sized, sources = _prepared(docs, weights, share, repeats, block)
+    took = pieces(sized, sources, block).groupBy("sid", "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"), *[F.first(c).alias(c) for c in ("doc_id", "source", "size")])
+    # those that no slot takes, by number: rows alike in these columns needn't be told apart
+    same = ("doc_id", "source", "size")
+    left = sized.groupBy(*same).agg(F.count(F.lit(1)).alias("rows")).join(took.groupBy(*[F.col(c).alias(f"__{c}") for c in same]).agg(F.count(F.lit(1)).alias("took")), _and(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same), "left")
+    none = left.withColumn("n", (F.col("rows") - F.coalesce("took", F.lit(0))).cast("int")).where("n > 0").select(*same, F.explode(F.array_repeat(F.lit(0).cast("long"), F.col("n"))).alias("taken"))
+    none = none.select(*same, "taken", F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("n_slots"))
+    both = took.select(*none.columns).unionByName(none)
+    named = both.join(_source_of(sources, "source_size", "target"), F.col("source").eqNullSafe(F.col("__source")))
+    return named.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots")
+
+
+def _and(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, slot: str | None = None) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns, sorted by slot, so that files and partitions follow the mix.
 
+    Each pass over a source takes a document once, and its copy stands at the first slot of that pass that takes words of it.
     Whole passes give whole copies; a last, partial pass gives a copy with the first
     words only, joined by single spaces (at most one document of a source). Where rows
-    agree in doc_id, source and size, their words are shared out evenly.
+    agree in doc_id, source and size, their words are shared out evenly. ``slot`` names a column to add with the slot.
     """
-    took = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("__taken")).where("__taken > 0")
-    took = took.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__taken")
-    got = docs.withColumn("__n", n_words("text")).join(took, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    passes, rest = F.floor(F.col("__taken") / F.col("__size")).cast("int"), (F.col("__taken") % F.col("__size")).cast("int")
-    got = got.withColumn("__part", F.explode(F.concat(F.array_repeat(F.lit(0), passes), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
-    cut = F.when(F.col("__part") > 0, F.array_join(F.slice(words("text"), F.lit(1), F.col("__part")), " ")).otherwise(F.col("text"))
-    got = got.withColumn("text", cut)
+    sized, sources = _prepared(docs, weights, share, repeats, block)
+    each = pieces(sized, sources, block)
+    # the k-th time that a document's first word is taken begins its k-th copy
+    copies = each.groupBy("doc_id", "source", "size").agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.count_distinct("start").alias("rows"), F.array_sort(F.collect_list(F.when(F.col("from") == 0, F.col("slot")))).alias("slots"))
+    n, cut, at, id_, source, size, slots = (free(x, docs) for x in ("__n", "__part", "__at", "__id", "__source", "__size", "__slots"))
+    took = copies.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.floor(F.col("taken") / F.col("rows")).alias(n), F.col("slots").alias(slots), F.col("rows").alias(at)).where(F.col(n) > 0)
+    counted = free("__words", docs)
+    got = docs.withColumn(counted, n_words("text")).join(took, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(counted) == F.col(size)))
+    passes, rest = F.floor(F.col(n) / F.col(size)).cast("int"), (F.col(n) % F.col(size)).cast("int")
+    parts = F.concat(F.array_repeat(F.lit(0), passes), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    placed = F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.coalesce(F.get(F.col(slots), (i * F.col(at)).cast("int")), F.element_at(F.col(slots), -1)).alias("slot")))
+    got = got.withColumn(cut, F.explode(placed))
+    part = F.col(cut)["part"]
+    text = F.when(part > 0, F.array_join(F.slice(words("text"), F.lit(1), part), " ")).otherwise(F.col("text"))
+    columns = {c: F.col(c) for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.when(F.col("__part") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return got.select(*docs.columns)
+        columns["n_chars"] = F.when(part > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    by = free("__slot", docs)
+    out = got.select(*[x.alias(c) for c, x in columns.items()], F.col(cut)["slot"].alias(by))
+    out = out.repartitionByRange(by, "doc_id").sortWithinPartitions(by, "doc_id")
+    return out.withColumnRenamed(by, slot) if slot else out.drop(by)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 SQL = r"""
@@ -153,9 +192,32 @@ placed AS (
   SELECT *, coalesce(CAST(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start
   FROM sized),
 takes AS (
-  SELECT p.doc_id, p.size, a.source_size, a.target, p.start,
+  SELECT p.doc_id, p.source, p.size, a.source_size, a.target, p.start,
          CASE WHEN a.source_size > 0 THEN CAST(floor(a.target) AS BIGINT) // a.source_size ELSE 0 END AS passes,
          CASE WHEN a.source_size > 0 THEN CAST(floor(a.target) AS BIGINT) % a.source_size ELSE 0 END AS over
-  FROM placed p JOIN aims a ON p.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, over - start)) AS BIGINT) AS taken FROM takes
+  FROM placed p JOIN aims a ON p.source IS NOT DISTINCT FROM a.source),
+needs AS (
+  SELECT source, any_value(source_size) AS source_size, any_value(passes) AS passes, any_value(over) AS over,
+         (any_value(source_size) + 1023) // 1024 AS blocks, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid
+  FROM takes GROUP BY source),
+dealt AS (
+  SELECT *, passes * blocks + (over + 1023) // 1024 AS slots,
+         coalesce(sum(passes * blocks + (over + 1023) // 1024) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM needs),
+bits AS (SELECT greatest(2, CASE WHEN sum(slots) > 1 THEN length(bin(CAST(sum(slots) - 1 AS BIGINT))) ELSE 0 END) AS m, CAST(coalesce(sum(slots), 0) AS BIGINT) AS n FROM dealt),
+cells AS (SELECT unnest(range(n)) AS cell, m FROM bits),
+turned AS (SELECT cell, CAST(sum(((cell >> i) & 1) << (m - 1 - i)) AS BIGINT) AS slot FROM (SELECT cell, m, unnest(range(m)) AS i FROM cells) GROUP BY cell),
+ranked AS (
+  SELECT d.*, t.slot, row_number() OVER (PARTITION BY d.sid ORDER BY t.slot) - 1 AS rank
+  FROM turned t JOIN dealt d ON t.cell >= d.first AND t.cell < d.first + d.slots),
+slotted AS (
+  SELECT source, slot, rank % blocks AS block, CASE WHEN rank // blocks >= passes THEN least(1024, over - (rank % blocks) * 1024) ELSE 1024 END AS most FROM ranked),
+each_block AS (SELECT *, unnest(range(start // 1024, (start + size - 1) // 1024 + 1)) AS block FROM takes WHERE size > 0),
+used AS (
+  SELECT e.doc_id, e.source, e.size, e.start, min(s.slot) AS first_slot, count(*) AS n_slots
+  FROM each_block e JOIN slotted s ON s.source IS NOT DISTINCT FROM e.source AND s.block = e.block
+  WHERE least(e.start + e.size, e.block * 1024 + s.most) > greatest(e.start, e.block * 1024) GROUP BY ALL)
+SELECT t.doc_id, t.size, t.source_size, t.target, CAST(t.passes * t.size + greatest(0, least(t.size, t.over - t.start)) AS BIGINT) AS taken,
+       u.first_slot, coalesce(u.n_slots, 0) AS n_slots
+FROM takes t LEFT JOIN used u ON u.source IS NOT DISTINCT FROM t.source AND u.start = t.start AND u.size = t.size AND u.doc_id IS NOT DISTINCT FROM t.doc_id
 """

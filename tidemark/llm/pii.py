@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free
+
 #: Code points before a proposal in which context words count, and the score from which an added span is reported.
 NEAR, ACCEPT = 48, 0.6
 
@@ -89,7 +91,7 @@ KINDS = (
     ),
     Kind("local_phone", r"(?<![0-9+A-Za-z])(?:\(0?[0-9]{2,4}\) ?|0[0-9]{2,4}[ /-])[0-9]{3,4}[ -]?[0-9]{3,5}(?![0-9A-Za-z])", lambda t: t.rlike(r"[0-9][ /)-]{1,2}[0-9]{3}"), lambda v: F.length(_digits(v)).between(9, 15), False, 0.2, 0.1, r"(?i)\b(?:tel|telephone|phone|call|mobile|cell|fax|telefon|teléfono|téléphone|anruf)\b", 0.4),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda v: ~v.rlike(r"^(?:000|666|9)|-00-|-0000$"), False, 0.2, 0.2, r"(?i)\b(?:ssn|social security|id number)\b", 0.3),
-    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,200}+(?![A-Za-z0-9_+/-])", lambda t: t.rlike(r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"' ]{0,2}[=:]"), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"), False, 0.1, 0.2, r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"' ]{0,2}[=:][\"' ]{0,2}$", 0.4),
+    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}+(?![A-Za-z0-9_+/-])", lambda t: t.rlike(r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"' ]{0,2}[=:]"), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"), False, 0.1, 0.2, r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"' ]{0,2}[=:][\"' ]{0,2}$", 0.4),
 )
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
@@ -140,7 +142,8 @@ def spans_of(kind: Kind, text: Column) -> Column:
 def find(df: DataFrame, kinds: tuple[Kind, ...] = KINDS, text: str = "text", out: str = "spans") -> DataFrame:
     """Adds ``out``: the spans found, by kind as listed and then by start; none in a null or empty text.
 
-    Spans of different kinds may overlap. All other columns stay, but for one named ``out``.
+    Spans of different kinds may overlap. All other columns stay, but for one named ``out``. Only the text counts: rows with a null id, and rows that come again, are
+    rows like any other. Context raises the score of added kinds; base kinds are confirmed by their checks alone and have score 1.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     return df.withColumn(out, F.concat(*[spans_of(k, whole) for k in kinds]))
@@ -148,7 +151,8 @@ def find(df: DataFrame, kinds: tuple[Kind, ...] = KINDS, text: str = "text", out
 
 def redact(df: DataFrame, kinds: tuple[Kind, ...] = KINDS, text: str = "text") -> DataFrame:
     """Replaces each span by its kind in brackets; of overlapping ones the first names the whole. Null texts stay null."""
-    spans = F.array_sort(F.col("__spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    found = free("__spans", df)
+    spans = F.array_sort(F.col(found), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
     def add(state: Column, s: Column) -> Column:
         new = s["start"] >= state["at"]
@@ -157,7 +161,7 @@ def redact(df: DataFrame, kinds: tuple[Kind, ...] = KINDS, text: str = "text") -
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     rebuilt = F.aggregate(spans, start, add, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col(text), s["at"] + 1, F.length(text))))
-    return find(df, kinds, text, "__spans").withColumn(text, F.when(F.size("__spans") > 0, rebuilt).otherwise(F.col(text))).drop("__spans")
+    return find(df, kinds, text, found).withColumn(text, F.when(F.size(found) > 0, rebuilt).otherwise(F.col(text))).drop(found)
 
 
 def told(spans: Column) -> Column:

@@ -31,6 +31,10 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+#: Columns that are added, and those made on the way: a table's own of these names give way.
+ADDED = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_marks", "n_ends", "n_distinct", "votes", "p_good", "__t", "__w", "__lines", "__h", "__five", "__again", "__sorted", "__twice", "__at"}
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Counts of the whole text, for each row of ``docs``: n_words, word_chars, n_symbols,
     n_lines (with a word), n_dup_lines, n_repeat_words, n_letters, n_upper, n_marks (! and ?), n_ends (lines with a word that end a sentence), n_distinct (words).
@@ -38,7 +42,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text counts as empty. Equal 5-word windows are found by 64-bit hashes of their words;
     in a text of a million words two windows share one by chance once in 10^7.
     """
-    others = [c for c in docs.columns if c != "__t"]
+    others = [c for c in docs.columns if c.lower() not in ADDED]
     t = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("__t"))
     t = t.select(*others, "__t", words("__t").alias("__w"), F.filter(F.split("__t", "\n"), lambda x: x.rlike(WORD)).alias("__lines"))
     counts = {
@@ -153,6 +157,7 @@ def estimate(seen: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[float
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Adds the features, ``votes`` and ``p_good`` to all columns of ``docs`` but the text.
 
+    Columns of the names that are added are replaced; a null id is a row like any other, and rows that come again are judged again.
     Features are computed once and kept in the shared checkpoint folder. An empty table has no votes and gives no rows.
     """
     told = durable(features(docs, text).drop(text).withColumn("votes", votes(rules)))

@@ -6,9 +6,9 @@ never more than the Hamming distance of their fingerprints. With the bits of eac
 segment sorted (01 and 10 alike), the distance of two points is the number of
 bits in which they differ, so that a point is one long.
 
-The coordinates form ``GROUPS`` groups. Points within distance d differ in at most d
+The coordinates form groups. Points within distance d differ in at most d
 groups, and agree wholly in the others: they share a cell of the grid over some
-``GROUPS`` - d of the groups. Fingerprints are joined by cell, and pairs within the
+all but d of the groups. Fingerprints are joined by cell, and pairs within the
 distance are verified on the fingerprints, both as conditions of the join.
 """
 
@@ -23,12 +23,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, free
 from tidemark.llm.graph import components
 
 SHINGLE, SEED = 4, 42
 #: Bits in which linked fingerprints differ at most; groups of segments that make the grid.
-DISTANCE, GROUPS = 4, 6
+DISTANCE = 4
+#: Groups of segments that make the grid, and the number of fingerprints up to which they do: more groups make more and smaller cells.
+GROUPS = ((6, 1 << 21), (8, 1 << 28), (12, None))
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
 ODD_BITS = 0x5555555555555555
 
 
@@ -72,12 +76,16 @@ def _masks(groups: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
-    """Pairs (a, b) with a < b of distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits, each once."""
+def groups_for(n: int) -> int:
+    return next(g for g, most in GROUPS if most is None or n <= most)
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS[0][0]) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits, each pair once. A node is (least, fp), with the column ``least``."""
     masks = _masks(groups)
     chosen = list(combinations(range(groups), groups - distance))
     cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col("point").bitwiseAND(F.lit(sum(masks[g] for g in part))).alias("cell")) for k, part in enumerate(chosen)])
-    placed = fps.select("fp", embedding(F.col("fp")).alias("point")).select("fp", "point", F.explode(cells).alias("c")).select("fp", "point", "c.k", "c.cell")
+    placed = fps.select("least", "fp", embedding(F.col("fp")).alias("point")).select("least", "fp", "point", F.explode(cells).alias("c")).select("least", "fp", "point", "c.k", "c.cell")
     a, b = placed.alias("a"), placed.alias("b")
     apart = F.col("a.point").bitwiseXOR(F.col("b.point"))
     first = F.lit(len(chosen))  # the first cell that the two share
@@ -89,7 +97,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> Dat
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
         & (first == F.col("a.k"))
     )
-    return a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return a.join(b, near).select(F.struct("a.least", "a.fp").alias("a"), F.struct("b.least", "b.fp").alias("b"))
 
 
 def group(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -105,20 +113,21 @@ def group(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
 def _grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """As ``group``, with ``hash`` of the text and ``root`` of the group: two groups have one component_id where texts share an id."""
     rows = durable(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp", F.xxhash64("text").alias("hash")))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = components(links(nodes.select("fp")))
-    rooted = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id", "root")
-    return rows.join(of, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id", "hash", "root")
+    # nodes are ordered by their smallest id, none last, so that a component's least node has the component's smallest id
+    nodes = durable(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(NO_ID)).alias("least")))
+    linked = components(links(nodes, groups=groups_for(nodes.count())))
+    rooted = nodes.join(linked, F.col("fp") == F.col("node.fp"), "left").select(F.col("fp").alias("__fp"), F.coalesce("root", F.struct("least", "fp")).alias("root"))
+    smallest = F.when(F.col("root.least") != NO_ID, F.col("root.least")).alias("component_id")
+    return rows.join(rooted, F.col("fp") == F.col("__fp")).select("doc_id", "fp", smallest, "hash", F.col("root.fp").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, that with the smallest id, with all columns. Rows alike in id and text
     are one document; of different texts of the smallest id in one group that with the least hash stays. Rows without an id all stay, as none can be named."""
-    kept = _grouped(docs).where("doc_id = component_id").groupBy("root").agg(F.first("component_id").alias("__id"), F.min("hash").alias("__kept"))
-    hashed = docs.where("doc_id is not null").withColumn("__hash", F.xxhash64("text"))
-    some = hashed.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    id_, least, own = (free(x, docs) for x in ("__id", "__kept", "__hash"))
+    kept = _grouped(docs).where("doc_id = component_id").groupBy("root").agg(F.first("component_id").alias(id_), F.min("hash").alias(least))
+    hashed = docs.where("doc_id is not null").withColumn(own, F.xxhash64("text"))
+    some = hashed.join(kept, (F.col("doc_id") == F.col(id_)) & (F.col(own) == F.col(least)), "left_semi").dropDuplicates(["doc_id", own]).drop(own)
     return some.unionByName(docs.where("doc_id is null"))
 
 
