@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, pii, simhash, toxicity
-from tidemark.llm.common import rewritten, table
+from tidemark.llm.common import free, rewritten, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="__score").where("__score < 0.5").select(*docs.columns)
+    score = free("__score", docs)
+    return toxicity.score(docs, model, out=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +48,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents but for the text, n_tokens, ids, and whether these decode to the text's bytes."""
     ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
-    both = bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, ids="__ids", decoded="__bytes")
-    same = F.col("__bytes") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    ids, decoded = free("__ids", docs), free("__bytes", docs)
+    both = bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, ids=ids, decoded=decoded)
+    same = F.col(decoded) == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "round_trip")]
-    return both.select(*rest, bpe.n_tokens("__ids").alias("n_tokens"), F.col("__ids").alias("ids"), same.alias("round_trip"))
+    return both.select(*rest, bpe.n_tokens(ids).alias("n_tokens"), F.col(ids).alias("ids"), same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
