@@ -69,3 +69,12 @@ def test_walk_is_much_shorter_than_a_scan():
     ids, _ = graph.search(x[:100], 10, 32)
     aug = x[:100] @ x.T
     assert np.mean([len(set(a) & set(np.argsort(-b)[:10])) for a, b in zip(ids, aug)]) > 9
+
+
+def test_recall_of_inserted_nodes():
+    x = np.random.default_rng(4).normal(size=(8192, 48))
+    assert hnsw.EXACT < 8192 <= hnsw.SHARD
+    ids, score = hnsw.Graph.build(x).search(x[::40], 20)
+    want = np.argsort(-(x[::40] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(ids, want)]) > 0.95
+    assert np.allclose(score, np.einsum("ijk,ik->ij", x[ids], x[::40]), atol=1e-12)
