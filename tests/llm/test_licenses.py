@@ -70,3 +70,30 @@ def test_common_n_grams_are_counted_over_all_documents(spark, docs):
     assert {"terms of the", "of the", "terms"} <= licenses.common_grams(docs(texts)) and "use" in licenses.common_grams(docs(texts))
     assert licenses.common_grams(docs(["Released under the MIT License."] * 9 + ["nothing here"])) == set()
     assert licenses.common_grams(docs([])) == set()
+
+
+#: Notices as they stand in files, none of which is a template.
+FILES = {
+    "mit": "Copyright (c) 2020 The Authors\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the 'Software'), to deal\nin the Software without restriction",
+    "isc": " * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n * copyright notice and this permission notice appear in all copies.",
+    "agpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General Public License as published by\n# the Free Software Foundation, either version 3 of the License",
+    "gpl": "/* This program is free software: you can redistribute it and/or modify\n   it under the terms of the GNU General Public License as published by\n   the Free Software Foundation, version 3. */",
+    "bsl": "// Permission is hereby granted, free of charge, to any person or organization\n// obtaining a copy of the software and accompanying documentation covered by\n// this license (the 'Software') to use",
+    "epl": "This program and the accompanying materials\nare made available under the terms of the Eclipse Public License 2.0\nwhich is available at the site",
+    "unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.",
+    "apache": "# SPDX-License-Identifier: Apache-2.0\nimport os",
+}
+
+
+def test_notices_as_they_stand_in_files():
+    model = licenses.fit_texts([licenses.tokens(t) for t in licenses.OTHER] * 3, set())
+    for family, text in FILES.items():
+        assert {f["family"] for f in model.of(text)[1] if f["confirmed"]} == {family}, (family, model.of(text))
+    for text in licenses.OTHER:
+        assert not [f for f in model.of(text)[1] if f["confirmed"]]
+
+
+def test_ids_null_repeated_and_long_texts(spark, docs):
+    long = "plain words go on and on. " * 4000 + "\n\nReleased under the MIT License."
+    rows = licenses.query(spark, docs([(None, long, "s"), (None, long, "s"), (1, long, "s"), (1, long, "s"), (2, None, "s")])).collect()
+    assert sorted((r.doc_id or 0, r.families) for r in rows) == [(0, "mit")] * 2 + [(1, "mit")] * 2 + [(2, "")]

@@ -30,25 +30,40 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Released under the Apache 2.0 license.",
+        "SPDX-License-Identifier: Apache-2.0",
+    ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
+        "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause",
+    ],
+    "bsl": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0",
     ],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal public domain dedication.", "This work is dedicated to the public domain under CC0."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal public domain dedication.", "This work is dedicated to the public domain under CC0.", "SPDX-License-Identifier: CC0-1.0"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0"],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Licensed under the GPL, version 2 or later.",
+        "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License.", "This project is licensed under the MIT license."],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License.", "This project is licensed under the MIT license.", "SPDX-License-Identifier: MIT"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved. No part of this work may be reproduced without written permission.", "Copyright by the authors. All rights reserved.", "All rights reserved.", "This document is confidential and proprietary and may not be distributed."],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
 }
 # Uses of the same words that are no notice.
 OTHER = [
@@ -60,6 +75,8 @@ OTHER = [
 PARAGRAPHS, VARIANTS, DOCUMENTS, DOCUMENT_CHARS = 3000, 60, 400, 50_000
 #: Words in a shingle, and the part of a template's shingles that confirms it.
 SHINGLE, CONFIRM = 5, 0.8
+#: Calibrated probability from which a stretch is of a family; below it is unknown.
+SURE = 0.5
 #: A longer paragraph is looked at in overlapping stretches of so many words.
 STRETCH = 24
 TOKEN = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -192,7 +209,7 @@ class Model:
     def _named(self, words: list[str], base: int) -> list[tuple[int, int, np.ndarray]]:
         """First and last place, and probabilities, of the stretches that are of some family."""
         parts = ((base + k * (STRETCH // 2), part, self.probabilities(part)) for k, part in enumerate(stretches(words)))
-        return [(at, at + len(part), p) for at, part, p in parts if p is not None and p.argmax() < len(FAMILIES)]
+        return [(at, at + len(part), p) for at, part, p in parts if p is not None and p[:-1].max() >= SURE]
 
     def _in_block(self, block: list[list[str]]) -> list[tuple[int, dict]]:
         begins = np.cumsum([0, *map(len, block)])
@@ -222,7 +239,7 @@ class Model:
                 item = {"family": family, "probability": max(float(p[FAMILIES.index(family)]) for p in near), "similarity": like, "confirmed": True}
                 found.setdefault((line_of(a + places[0]), family), item)
         for a, b, p in singly + joined:
-            family, lines = FAMILIES[int(p.argmax())], range(line_of(a), line_of(b - 1) + 1)
+            family, lines = FAMILIES[int(p[:-1].argmax())], range(line_of(a), line_of(b - 1) + 1)
             if not any((k, family) in held for k in lines):
                 held.update((k, family) for k in lines)
                 text = words[a:b] if len(lines) > 1 else block[lines[0]]
@@ -253,7 +270,7 @@ def gram_counts(texts: Iterable[str | None]) -> tuple[int, Counter]:
     for text in texts:
         for words in (part for line in paragraphs(text) for part in stretches(line)):
             some = _CANDIDATE_WORDS.intersection(words)
-            if len(some) >= 3 and not _plain(words):  # no template has fewer words
+            if len(some) >= 2 and not _plain(words):  # no template has fewer words
                 continue
             total += 1
             if some:
@@ -311,16 +328,21 @@ def fit_texts(corpus: list[list[str]], common: set[str], rounds: int = 250, ridg
     return model
 
 
-def fit(docs: DataFrame) -> Model:
-    """Other text comes from the DOCUMENTS documents whose text has the smallest hash, of up to DOCUMENT_CHARS characters each; which n-grams are too common is counted over all documents."""
-    some = docs.where(F.length("text") <= DOCUMENT_CHARS).select("text").orderBy(F.xxhash64("text"), "text").limit(DOCUMENTS).collect()
+def fit(docs: DataFrame, sample: int = DOCUMENTS, longest: int = DOCUMENT_CHARS) -> Model:
+    """Other text comes from the ``sample`` texts with the smallest hashes, of up to ``longest`` characters each; which n-grams are too common is counted over all documents.
+
+    Only hashes are sorted; the few texts are then fetched by theirs, copies once.
+    """
+    hashed = docs.where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("hash"))
+    least = hashed.select("hash").distinct().orderBy("hash").limit(sample)  # of bounded size
+    some = hashed.join(F.broadcast(least), "hash", "left_semi").dropDuplicates(["hash"]).orderBy("hash").select("text").collect()
     return fit_texts([w for r in some for line in paragraphs(r.text) for w in stretches(line)], common_grams(docs))
 
 
 def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences") -> DataFrame:
     """Adds ``out`` struct: n_paragraphs (lines with words), and ``found``, an array with the paragraph it begins in, family, probability, similarity and confirmed of each notice.
 
-    Null and empty texts have no paragraphs. All other columns stay; there is no shuffle. The model, of a fixed size, is broadcast.
+    Null and empty texts have no paragraphs; ids don't count, and rows that come again are read again. All other columns stay; there is no shuffle. The model, of a fixed size, is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     item = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])

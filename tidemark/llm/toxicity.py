@@ -166,11 +166,11 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, longest: int = SAMPLE_CHARS) -> Model:
     """A model from labelled documents (doc_id, text) outside the held-out fifth.
 
     Of each class the ``sample`` ids with the smallest hashes are taken; this
-    bounds what comes to the driver. Rows with null labels or texts teach nothing.
+    bounds what comes to the driver, as does ``longest``: longer texts teach nothing, though all are scored. Rows with null ids, labels or texts teach nothing either.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).alias("__label"))
     n, toxic = known.agg(F.count(F.lit(1)), F.count_if(F.col("__label") == 1)).first()
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
-        .where(F.length("text") <= SAMPLE_CHARS)
+        .where(F.length("text") <= longest)
         .select("__label", "text", F.xxhash64("doc_id").alias("at"))
         .orderBy("at", "text")
         .limit(2 * sample)
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out`` double, 0 to 1, from the whole text alone. A null text counts as empty.
 
-    All other columns stay, but for one named ``out``. There is no shuffle.
+    All other columns stay, but for one named ``out``. There is no shuffle. Rows with a null id, and rows that come again, are scored like any other.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
