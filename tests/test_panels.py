@@ -70,13 +70,13 @@ def test_trees_are_fitted_anew_at_each_month_end(spark, monkeypatch):
     rows = days.crossJoin(spark.range(12).select(F.format_string("t%02d", "id").alias("ticker"), F.col("id").alias("k")))
     noise = lambda j: (F.xxhash64("i", "k", F.lit(j)) % 1000) / 1000.0
     panel = rows.select("date", "ticker", *[noise(j).alias(f) for j, f in enumerate(model.TREE_FEATURES)]).withColumn("target", F.col("fd_z") + 0.1 * F.col("mom_12_1"))
-    sets, fits, plain = model.train_sets(panel).count(), [], model._learner
-    monkeypatch.setattr(model, "_learner", lambda *a: fits.append(a) or plain(3, *a[1:]))
-    assert model.walk_forward_trees(panel).count() == 12 * sets
-    assert len(fits) == sets > 12 and {a[0] for a in fits} == {100}
-    fits.clear()
+    sets = model.train_sets(panel).count()
+    got = model.walk_forward_trees(panel, trees=10).join(panel.select("date", "ticker", "fd_z"), ["date", "ticker"])
+    assert got.count() == 12 * sets and sets > 12 and got.agg(F.corr("prediction", "fd_z")).first()[0] > 0.9
+    asked, plain = [], model._learner
+    monkeypatch.setattr(model, "_learner", lambda *a: asked.append(a) or plain(3, *a[1:]))
     gains = {r.feature: r.gain for r in model.tree_importances(panel).collect()}
-    assert [a[0] for a in fits] == [200] and list(gains) == list(model.TREE_FEATURES) and max(gains, key=gains.get) == "fd_z"
+    assert [a[0] for a in asked] == [200] and list(gains) == list(model.TREE_FEATURES) and max(gains, key=gains.get) == "fd_z"
 
 
 def test_stream_reads_a_table_of_several_part_files(spark, sf, tmp_path):
@@ -98,3 +98,29 @@ def test_noise_floor_has_two_hundred_seeds(spark, sf, monkeypatch):
     monkeypatch.setattr(synthetic, "fgn", lambda s, series: asked.extend(series) or plain(s, series[:1]))
     assert catalogue.QUERIES["noise_floor"](spark, sf).count() == 1
     assert len(set(asked)) == 1200
+
+
+def test_each_backtest_scans_the_fact_table_once(spark, sf):
+    for name in ("hurst_sort_backtest", "bt_stats_net", "boot_block_sharpe"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") == 0 and plan.count("Scan parquet") <= 4, name
+
+
+def test_trees_without_an_embargo_know_the_future(spark):
+    """A target that overlaps the prediction's day is learnt where no embargo keeps it out."""
+    from tidemark.operators.trees import boosted
+
+    rng = np.random.default_rng(0)
+    x, noise = rng.normal(size=(4000, 3)), rng.normal(size=4000)
+    known = boosted(x, x[:, 0] ** 2 + 0.1 * noise, x[:500], 100, 4, 50, 0.05, 64)
+    blind = boosted(x[500:], noise[500:], x[:500], 100, 4, 50, 0.05, 64)
+    assert np.corrcoef(known, x[:500, 0] ** 2)[0, 1] > 0.95 and abs(np.corrcoef(blind, noise[:500])[0, 1]) < 0.15
+
+
+def test_rolling_spectra_are_those_of_the_windows(spark):
+    noise = synthetic.white_noise(spark, 300, 2).select(F.format_string("t|%d", "series_id").alias("ticker"), "i", "r")
+    got = {(r.ticker, r.i): r for r in fractal.rolling_mfdfa(noise, 220, 40).collect()}
+    assert set(got) == {(f"t|{k}", i) for k in (0, 1) for i in (220, 260)}
+    one = noise.where("ticker = 't|1' and i >= 40 and i < 260").select("ticker", (F.col("i") - 40).alias("i"), "r")
+    want = fractal.spectrum(fractal.mfdfa(one, fractal.mfdfa_scales(220)))
+    assert abs(fractal.delta_h(want).first().delta_h - got["t|1", 260].delta_h) < 1e-9

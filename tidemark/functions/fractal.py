@@ -154,6 +154,23 @@ def rolling_dfa(panel: DataFrame, lookback: int = 500, step: int = 21, scales: l
     return fs.groupBy("ticker", F.col("end").alias("i")).agg(F.regr_slope(F.ln("f"), F.ln("s")).alias("h"), F.count(F.lit(1)).alias("k")).where("k >= 4").select("ticker", "i", "h")
 
 
+def rolling_mfdfa(panel: DataFrame, lookback: int = 500, step: int = 21, scales: list[int] | None = None) -> DataFrame:
+    """ticker, i, delta_h, h2: width of the multifractal spectrum, and h at q = 2, of the ``lookback`` returns before row i, for
+    i = lookback, lookback + step, ... where at least four fifths of them have a value.
+
+    panel (ticker, i, r) has no gaps. Each row goes to the lookback / step windows that it is in; each window is a series of its own.
+    """
+    x = panel.select("ticker", "i", "r", F.max("i").over(_series()).alias("last"))
+    k = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("i") - lookback) / step) + 1), F.least(F.floor(F.col("i") / step), F.floor((F.col("last") - lookback) / step)))
+    possible = F.greatest(F.lit(0).cast("long"), F.floor((F.col("i") - lookback) / step) + 1) <= F.least(F.floor(F.col("i") / step), F.floor((F.col("last") - lookback) / step))
+    each = x.where(possible).select("ticker", "i", "r", F.explode(k).alias("k")).select(F.concat_ws("|", "ticker", (lookback + step * F.col("k")).cast("string")).alias("ticker"), "i", "r")
+    whole = series(each, "r", "i").withColumn("n", F.count(F.lit(1)).over(_series())).where(F.col("n") >= 0.8 * lookback).drop("n")
+    spectra = spectrum(mfdfa(whole, scales or mfdfa_scales(lookback)))
+    got = spectra.groupBy("ticker").agg((F.max("h") - F.min("h")).alias("delta_h"), F.max(F.when(F.col("q") == 2, F.col("h"))).alias("h2"))
+    at = F.substring_index("ticker", "|", -1)
+    return got.select(F.expr("substring(ticker, 1, length(ticker) - length(substring_index(ticker, '|', -1)) - 1)").alias("ticker"), at.cast("long").alias("i"), "delta_h", "h2")
+
+
 def rolling_apply(panel: DataFrame, fn, lookback: int, step: int = 21) -> DataFrame:
     """ticker, i, value: ``fn`` (a numpy array to a float) of the lookback rows before row i; null where a fifth of
     them lack a value or it raises. Each series is one Arrow group, as long as one ticker's history."""

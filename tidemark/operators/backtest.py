@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.frames import percentile_rank
+from tidemark.sources.kept import kept
 
 
 @dataclass
 class Backtest:
-    """Lazy tables. legs: date, ticker, leg (L or S), weight. returns: seq, date, long_r, short_r, ls_r, traded, turnover."""
+    """legs: date, ticker, leg (L or S), weight. returns: seq, date, long_r, short_r, ls_r, traded, turnover."""
 
     legs: DataFrame
     returns: DataFrame
@@ -59,14 +60,14 @@ def sort_backtest(factor: DataFrame, daily: DataFrame, n_quantiles: int = 5, min
     Skipped months emit no row, and the next turnover is against the last book held. The first
     book is free. traded is the sum of weight changes; turnover half of it over the gross book.
     """
-    sided = legs(signals(factor, daily), n_quantiles, min_names)
+    sided = kept(legs(signals(factor, daily), n_quantiles, min_names))  # of which months, books and changes are made
     months = _numbered(sided.groupBy("date").agg(F.avg(F.when(F.col("leg") == "L", F.col("r"))).alias("long_r"), F.avg(F.when(F.col("leg") == "S", F.col("r"))).alias("short_r"), F.sum(F.abs("weight")).alias("gross")))
     held = sided.join(months.select("date", "seq"), "date").select("seq", "ticker", "weight")
     # a weight enters in its month, and leaves in the next: changes are sums by (month, ticker)
     moves = held.unionByName(held.select((F.col("seq") + 1).alias("seq"), "ticker", (-F.col("weight")).alias("weight")))
     traded = moves.groupBy("seq", "ticker").agg(F.sum("weight").alias("d")).groupBy("seq").agg(F.sum(F.abs("d")).alias("traded")).where("seq > 1")
     out = months.join(traded, "seq", "left")
-    return Backtest(sided.select("date", "ticker", "leg", "weight"), out.select("seq", "date", "long_r", "short_r", (F.col("long_r") - F.col("short_r")).alias("ls_r"), "traded", (F.col("traded") / 2 / F.col("gross")).alias("turnover")))
+    return Backtest(sided.select("date", "ticker", "leg", "weight"), kept(out.select("seq", "date", "long_r", "short_r", (F.col("long_r") - F.col("short_r")).alias("ls_r"), "traded", (F.col("traded") / 2 / F.col("gross")).alias("turnover"))))
 
 
 def net_returns(returns: DataFrame, cost_bps: float = 10.0) -> DataFrame:

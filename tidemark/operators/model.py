@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.frames import weekday_before
+from tidemark.operators.trees import boosted
 
 FEATURES = ("mom_12_1", "ret_1m", "vol_60", "vol_252")
 #: What the trees learn from: also the z-score of the fractionally differenced log price.
@@ -59,28 +60,24 @@ def _assembled(panel: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(panel).select("date", "ticker", "features", "target")
 
 
-def walk_forward_trees(panel: DataFrame, features: tuple[str, ...] = TREE_FEATURES, refit_months: int = 1, trees: int = 100, depth: int = 4, least: int = 50, seed: int = 0, at_once: int = 8, **protocol) -> DataFrame:
-    """date, ticker, prediction of boosted trees.
+def walk_forward_trees(panel: DataFrame, features: tuple[str, ...] = TREE_FEATURES, trees: int = 100, depth: int = 4, least: int = 50, rate: float = 0.05, bins: int = 64, **protocol) -> DataFrame:
+    """date, ticker, prediction of trees that are boosted anew for each month end.
 
-    One distributed fit for every ``refit_months``-th month end; between fits the last model
-    predicts. The driver starts ``at_once`` fits together, as none needs another's result. The
-    panel is kept for all of them.
+    A month end is one Arrow group: the rows of its training window, five years of the panel, and those of its
+    day. So all month ends are fitted side by side, and each row goes to the 60 windows that it is in.
     """
-    from multiprocessing.pool import ThreadPool
-
-    data = _assembled(panel, features).persist()
-    ends = train_sets(panel, **protocol).orderBy("rebal").collect()
-
-    def fit(w):
-        return _learner(trees, depth, least, seed).fit(data.where(F.col("date").between(F.lit(w.train_start), F.lit(w.train_end))))
-
-    with ThreadPool(at_once) as pool:
-        models = pool.map(fit, ends[::refit_months], 1)
-    out = None
-    for k, w in enumerate(ends):
-        now = models[k // refit_months].transform(data.where(F.col("date") == F.lit(w.rebal))).select("date", "ticker", "prediction")
-        out = now if out is None else out.unionByName(now)
-    return out if out is not None else panel.sparkSession.createDataFrame([], "date date, ticker string, prediction double")
+    sets = train_sets(panel, **protocol).select("rebal", "train_start", "train_end")
+    rows = panel.select("date", "ticker", *features, "target")
+    known = by_window(rows, sets).select("rebal", *rows.columns, F.lit(True).alias("known"))
+    asked = rows.join(sets.select("rebal"), F.col("date") == F.col("rebal")).select("rebal", *rows.columns, F.lit(False).alias("known"))
+
+    def one(pdf):
+        pdf = pdf.sort_values(["date", "ticker"])
+        train, test = pdf[pdf["known"]], pdf[~pdf["known"]]
+        x, y, at = (part[list(columns)].to_numpy(float) for part, columns in ((train, features), (train, ["target"]), (test, features)))
+        return test[["date", "ticker"]].assign(prediction=boosted(x, y[:, 0], at, trees, depth, least, rate, bins))
+
+    return known.unionByName(asked).groupBy("rebal").applyInPandas(one, "date date, ticker string, prediction double")
 
 
 def tree_importances(panel: DataFrame, features: tuple[str, ...] = TREE_FEATURES, trees: int = 200, depth: int = 4, least: int = 20, seed: int = 0) -> DataFrame:

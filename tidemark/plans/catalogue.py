@@ -13,9 +13,12 @@ from tidemark.operators import audit, execution, frames, inference, model
 from tidemark.operators import backtest as bt
 from tidemark.plans.oracle import LONG_SCALES, MF_SCALES, ROLL_SCALES, pick, sql
 from tidemark.sources import panels
+from tidemark.sources.kept import kept
 from tidemark.streaming import bars as stream
 
 FLAGSHIP = "momentum_sort_backtest"
+#: Draws of a bootstrap; the SQL makes as many.
+DRAWS = 5000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -44,12 +47,17 @@ def query(oracle: str | None = None):
     return register
 
 
+def bars(s: SparkSession, d: str) -> DataFrame:
+    """The daily bars: the only scan of the fact table, whatever a query makes of them."""
+    return kept(panels.brand_bars(s, d))
+
+
 def index(s: SparkSession, d: str) -> DataFrame:
-    return panels.index_panel(panels.brand_bars(s, d))
+    return panels.index_panel(bars(s, d))
 
 
 def feats(s: SparkSession, d: str) -> DataFrame:
-    return frames.features(index(s, d))
+    return kept(frames.features(index(s, d)))
 
 
 def ml_panel(s: SparkSession, d: str) -> DataFrame:
@@ -57,8 +65,12 @@ def ml_panel(s: SparkSession, d: str) -> DataFrame:
 
 
 def tree_panel(s: SparkSession, d: str) -> DataFrame:
+    return tree_panel_of(feats(s, d))
+
+
+def tree_panel_of(feats: DataFrame) -> DataFrame:
     """The panel with fd_z. Weights and z-score together need over 1,700 rows of a ticker, more than the least of 500 that published practice asks for."""
-    x = fracdiff.ffd(feats(s, d).withColumnRenamed("lp", "x"), tau=1e-5).withColumn("fd_z", frames.zscore("y"))
+    x = fracdiff.ffd(feats.withColumnRenamed("lp", "x"), tau=1e-5).withColumn("fd_z", frames.zscore("y"))
     return x.na.drop(subset=[*model.TREE_FEATURES, "target"])
 
 
@@ -69,13 +81,16 @@ def momentum(s: SparkSession, d: str) -> bt.Backtest:
 
 def hurst_panel(s: SparkSession, d: str) -> DataFrame:
     """ticker, i, date, h, vol, cls."""
-    x = feats(s, d)
+    return with_hurst(feats(s, d))
+
+
+def with_hurst(x: DataFrame) -> DataFrame:
     h = fractal.rolling_dfa(x.select("ticker", "i", "r"), 500, 21, ROLL_SCALES)
     return h.join(x.select("ticker", "i", "date", F.col("vol_252").alias("vol")), ["ticker", "i"]).withColumn("cls", broad_class())
 
 
 def returns_series(s: SparkSession, d: str) -> DataFrame:
-    return fractal.series(frames.with_returns(index(s, d)))
+    return kept(fractal.series(frames.with_returns(index(s, d))))
 
 
 # Sources
@@ -93,7 +108,7 @@ def daily_bars_classed(s, d):
 
 @query(pick("dense", "ticker date", "close"))
 def dense_panel(s, d):
-    return panels.dense(panels.brand_bars(s, d))
+    return panels.dense(bars(s, d))
 
 
 @query(pick("ret", "ticker date", "lp r"))
@@ -103,7 +118,7 @@ def log_returns(s, d):
 
 @query(sql("SELECT ticker, date, round(close, 6) + 0.0::DOUBLE AS close FROM px WHERE ticker IN (SELECT ticker FROM px GROUP BY ticker HAVING count(close) >= CAST(floor((SELECT count(DISTINCT date) FROM px) * 0.6::DOUBLE) AS BIGINT))"))
 def coverage_filter(s, d):
-    return frames.covered(panels.brand_bars(s, d).select("ticker", "date", "close"), 0.6)
+    return frames.covered(bars(s, d).select("ticker", "date", "close"), 0.6)
 
 
 @query("SELECT page_id, CAST(n - 1 AS BIGINT) AS n, field FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a(?: [^<>]*)?>([^<>]*)</a>', 1)) AS f0, generate_subscripts(regexp_extract_all(html, '<a(?: [^<>]*)?>([^<>]*)</a>', 1), 1) AS n, translate(trim(f0), '.', '-') AS field FROM pages)")
@@ -156,11 +171,12 @@ def blend_factor(s, d):
 
 
 def _gappy(s, d):
-    grid = panels.brand_bars(s, d).select("date").distinct().crossJoin(panels.brand_bars(s, d).select("ticker").distinct())
-    return grid.join(panels.brand_bars(s, d).where("dayofmonth(date) % 3 = 0").select("ticker", "date", "close"), ["ticker", "date"], "left")
+    """Each brand on every day, with the gaps that it really has."""
+    x = bars(s, d)
+    return x.select("date").distinct().crossJoin(x.select("ticker").distinct()).join(x.select("ticker", "date", "close"), ["ticker", "date"], "left")
 
 
-_GAPPY = "(SELECT g.ticker, g.date, p.close FROM grid g LEFT JOIN px p ON p.ticker = g.ticker AND p.date = g.date AND day(p.date) % 3 = 0)"
+_GAPPY = "(SELECT g.ticker, g.date, p.close FROM grid g LEFT JOIN px p ON p.ticker = g.ticker AND p.date = g.date)"
 
 
 @query(sql(f"SELECT ticker, date, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date), 6) AS before, round(first_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS after FROM {_GAPPY}"))
@@ -243,15 +259,16 @@ def stats_unpivot(s, d):
     return x.unpivot([], ["mean_gross", "mean_net", "turnover"], "metric", "value")
 
 
-@query(sql("SELECT date, round(max(r) FILTER (WHERE ticker = 'Brand#11'), 6) + 0.0::DOUBLE AS \"Brand#11\", round(max(r) FILTER (WHERE ticker = 'Brand#12'), 6) + 0.0::DOUBLE AS \"Brand#12\" FROM mret GROUP BY date"))
+@query(sql("SELECT * FROM (PIVOT (SELECT date, ticker, round(r, 6) + 0.0::DOUBLE AS r FROM mret) ON ticker USING max(r) GROUP BY date)"))
 def panel_pivot(s, d):
-    return bt.month_returns(feats(s, d)).groupBy("date").pivot("ticker", ["Brand#11", "Brand#12"]).agg(F.max("r"))
+    """All tickers as columns."""
+    return kept(bt.month_returns(feats(s, d))).groupBy("date").pivot("ticker").agg(F.max("r"))
 
 
 @query(pick("hurst_bt", "seq date", "long_r short_r ls_r traded turnover net_r"))
 def hurst_sort_backtest(s, d):
-    x = hurst_panel(s, d)
-    return bt.net_returns(bt.sort_backtest(x.select("ticker", "date", F.col("h").alias("factor")), feats(s, d)).returns)
+    x = feats(s, d)
+    return bt.net_returns(bt.sort_backtest(with_hurst(x).select("ticker", "date", F.col("h").alias("factor")), x).returns)
 
 
 @query(pick("res", "date ticker cls", "h vol residual"))
@@ -267,8 +284,9 @@ def r2_class_vol(s, d):
 
 @query(pick("res_bt", "seq date", "long_r short_r ls_r traded turnover net_r"))
 def residual_sort_backtest(s, d):
-    x = bt.residualize(hurst_panel(s, d))
-    return bt.net_returns(bt.sort_backtest(x.select("ticker", "date", F.col("residual").alias("factor")), feats(s, d)).returns)
+    x = feats(s, d)
+    residual = bt.residualize(with_hurst(x)).select("ticker", "date", F.col("residual").alias("factor"))
+    return bt.net_returns(bt.sort_backtest(residual, x).returns)
 
 
 # Estimators
@@ -330,11 +348,18 @@ def mfdfa_delta_h(s, d):
     return fractal.delta_h(fractal.spectrum(fractal.mfdfa(returns_series(s, d), MF_SCALES)))
 
 
+@query(sql("SELECT split_part(ticker, '|', 1) AS ticker, CAST(split_part(ticker, '|', 2) AS BIGINT) AS i, round(delta_h, 6) + 0.0::DOUBLE AS delta_h, round(h2, 6) AS h2 FROM rmf"))
+def rolling_mfdfa(s, d):
+    return fractal.rolling_mfdfa(feats(s, d))
+
+
 def _gates(s, d):
+    """date, delta_h, fwd of the first ticker: the width of the spectrum over the rows up to a day, and the return of the 21 rows after it."""
     x = feats(s, d)
     least = x.agg(F.min("ticker").alias("__t"))
-    one = x.join(least, F.col("ticker") == F.col("__t"), "left_semi")
-    return one.where("i >= 252 and (i - 252) % 21 = 0 and vol_252 is not null and target is not null").select("date", F.col("vol_252").alias("delta_h"), F.col("target").alias("fwd"))
+    one = kept(x.join(F.broadcast(least), F.col("ticker") == F.col("__t"), "left_semi"))
+    widths = fractal.rolling_mfdfa(one).select("ticker", (F.col("i") - 1).alias("i"), "delta_h")
+    return kept(one.join(widths, ["ticker", "i"]).where("delta_h is not null and target is not null").select("date", "delta_h", F.col("target").alias("fwd")))
 
 
 @query(pick("causal", "date", "delta_h fwd threshold gated"))
@@ -478,17 +503,17 @@ def _ci_sql(t, v, block):
 
 @query(_ci_sql("bt1", "s", 1))
 def boot_iid_sharpe(s, d):
-    return inference.sharpe_ci(bt.net_returns(momentum(s, d).returns), "net_r", "seq", 200)
+    return inference.sharpe_ci(bt.net_returns(momentum(s, d).returns), "net_r", "seq", DRAWS)
 
 
 @query(_ci_sql("bt3", "s", 3))
 def boot_block_sharpe(s, d):
-    return inference.sharpe_ci(bt.net_returns(momentum(s, d).returns), "net_r", "seq", 200, block=3.0)
+    return inference.sharpe_ci(bt.net_returns(momentum(s, d).returns), "net_r", "seq", DRAWS, block=3.0)
 
 
 @query(sql("SELECT round((SELECT quantile_cont(g - s, 0.025) FROM bt3_s), 6) + 0.0::DOUBLE AS lo, round(sqrt(12) * (avg(ls_r) / stddev_pop(ls_r) - avg(net_r) / stddev_pop(net_r)), 6) + 0.0::DOUBLE AS point, round((SELECT quantile_cont(g - s, 0.975) FROM bt3_s), 6) + 0.0::DOUBLE AS hi, count(*) AS n, round((SELECT avg(CAST(g - s > 0 AS DOUBLE)) FROM bt3_s), 6) AS p_gt_0, 3::DOUBLE AS expected_block FROM bs HAVING count(*) >= 12"))
 def boot_paired_diff(s, d):
-    return inference.paired_diff_ci(bt.net_returns(momentum(s, d).returns), "ls_r", "net_r", "seq", 200, block=3.0)
+    return inference.paired_diff_ci(bt.net_returns(momentum(s, d).returns), "ls_r", "net_r", "seq", DRAWS, block=3.0)
 
 
 # Audits
@@ -498,9 +523,9 @@ def _rebalances(s, d):
     return hurst_panel(s, d).withColumn("idx", F.expr("(i - 500) div 21")).select("idx", "ticker", "h")
 
 
-@query(sql("SELECT lag, round(avg(rho), 6) + 0.0::DOUBLE AS rho, count(rho) AS pairs FROM (SELECT lag, idx, corr(ra, rb) AS rho FROM (SELECT lag, idx, rank() OVER (PARTITION BY lag, idx ORDER BY a) + (count(*) OVER (PARTITION BY lag, idx, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY lag, idx ORDER BY b) + (count(*) OVER (PARTITION BY lag, idx, b) - 1) / 2.0::DOUBLE AS rb FROM (SELECT v.lag, (x.i - 500) // 21 AS idx, x.h AS a, y.h AS b FROM roll x, (VALUES (1), (6), (12), (24)) v(lag), roll y WHERE y.ticker = x.ticker AND y.i = x.i + 21 * v.lag)) GROUP BY ALL HAVING count(*) > 20) GROUP BY lag"))
+@query(sql("SELECT lag, round(avg(rho), 6) + 0.0::DOUBLE AS rho, count(rho) AS pairs FROM (SELECT lag, idx, corr(ra, rb) AS rho FROM (SELECT lag, idx, rank() OVER (PARTITION BY lag, idx ORDER BY a) + (count(*) OVER (PARTITION BY lag, idx, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY lag, idx ORDER BY b) + (count(*) OVER (PARTITION BY lag, idx, b) - 1) / 2.0::DOUBLE AS rb FROM (SELECT v.lag, (x.i - 500) // 21 AS idx, x.h AS a, y.h AS b FROM roll x, (VALUES (1), (6), (12), (24), (36), (48)) v(lag), roll y WHERE y.ticker = x.ticker AND y.i = x.i + 21 * v.lag)) GROUP BY ALL HAVING count(*) > 20) GROUP BY lag"))
 def rank_persistence(s, d):
-    return audit.rank_persistence(_rebalances(s, d), (1, 6, 12, 24))
+    return audit.rank_persistence(_rebalances(s, d), (1, 6, 12, 24, 36, 48))
 
 
 @query(sql("SELECT round(avg(s), 6) AS mean_std, count(s) AS n FROM (SELECT i, stddev_samp(h) AS s FROM roll GROUP BY i)"))
@@ -539,12 +564,20 @@ def walkforward_ols(s, d):
 
 @query()
 def walkforward_gbt(s, d):
-    return model.walk_forward_trees(tree_panel(s, d))
+    return model.walk_forward_trees(kept(tree_panel(s, d)))
+
+
+@query()
+def gbt_sort_backtest(s, d):
+    """The predictions traded: those of a month end are the next month's signal."""
+    x = feats(s, d)
+    made = model.walk_forward_trees(kept(tree_panel_of(x))).withColumnRenamed("prediction", "factor")
+    return bt.net_returns(bt.sort_backtest(made, x).returns)
 
 
 @query()
 def feature_importance(s, d):
-    return model.tree_importances(tree_panel(s, d))
+    return model.tree_importances(kept(tree_panel(s, d)))
 
 
 # Generators

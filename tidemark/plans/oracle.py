@@ -82,7 +82,7 @@ CTES: dict[str, str] = {
     "lines_d": "SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS close FROM lineitem GROUP BY 1",
     "orders_d": "SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS close FROM orders GROUP BY 1",
     "gaterows": "SELECT date, delta_h, fwd FROM (SELECT a.date, max(r.h) - min(r.h) AS delta_h, any_value(a.fwd) AS fwd FROM (SELECT ticker, i, date, target AS fwd FROM feat) a JOIN roll r USING (ticker, i) WHERE a.fwd IS NOT NULL AND a.ticker IS NOT NULL GROUP BY a.date) WHERE false",
-    "gates": "SELECT date, vol_252 AS delta_h, target AS fwd FROM feat WHERE ticker = (SELECT min(ticker) FROM ix) AND i >= 252 AND (i - 252) % 21 = 0 AND vol_252 IS NOT NULL AND target IS NOT NULL",
+    "gates": "SELECT f.date, m.delta_h, f.target AS fwd FROM rmf m JOIN feat f ON m.ticker = f.ticker || '|' || (f.i + 1) WHERE f.ticker = (SELECT min(ticker) FROM ix) AND m.delta_h IS NOT NULL AND f.target IS NOT NULL",
     "causal": "SELECT *, CASE WHEN rn <= 40 OR delta_h <= threshold THEN fwd ELSE 0 END AS gated FROM (SELECT *, row_number() OVER (ORDER BY date) AS rn, median(delta_h) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS threshold FROM gates)",
     "leaky": "SELECT *, CASE WHEN delta_h <= threshold THEN fwd ELSE 0 END AS gated FROM (SELECT *, median(delta_h) OVER () AS threshold FROM gates)",
     "noise": f"SELECT id // 500 AS series_id, id % 500 AS i, sqrt(-2 * ln({unit(chr(39) + 'a:' + chr(39) + ' || (id // 500) || ' + chr(39) + ':' + chr(39) + ' || (id % 500)')})) * cos(2 * pi() * {unit(chr(39) + 'b:' + chr(39) + ' || (id // 500) || ' + chr(39) + ':' + chr(39) + ' || (id % 500)')}) AS r FROM range(0, 2000) t(id)",
@@ -109,12 +109,20 @@ for _name in ("mom", "hurst", "res"):
     backtest(_name)
 
 
+ROLL_MF_SCALES = mfdfa_scales(500)
+CTES["rprof"] = "SELECT *, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM (SELECT p.ticker || '|' || e.i AS ticker, row_number() OVER (PARTITION BY p.ticker, e.i ORDER BY p.i) - 1 AS i, count(*) OVER (PARTITION BY p.ticker, e.i) AS n, p.r - avg(p.r) OVER (PARTITION BY p.ticker, e.i) AS x FROM ret e JOIN ret p ON p.ticker = e.ticker AND p.i >= e.i - 500 AND p.i < e.i WHERE e.i >= 500 AND (e.i - 500) % 21 = 0 AND p.r IS NOT NULL) WHERE n >= 400"
+CTES["rmf_x"] = CTES["mf_x"].replace("prof", "rprof").replace(values(MF_SCALES), values(ROLL_MF_SCALES))
+for _k in "wfh":
+    CTES[f"rmf_{_k}"] = CTES[f"mf_{_k}"].replace("mf_", "rmf_")
+CTES["rmf"] = "SELECT ticker, max(h) - min(h) AS delta_h, max(h) FILTER (WHERE q = 2) AS h2 FROM rmf_h GROUP BY ticker"
+
+
 def boot(block: float) -> None:
     n = f"bt{int(block)}"
     CTES["bs"] = "SELECT seq - 1 AS k, net_r, ls_r, count(*) OVER () AS n FROM mom_bt"
     start = f"CAST(floor({unit(chr(39) + '0:' + chr(39) + ' || rep || ' + chr(39) + ':' + chr(39) + ' || k')} * n) AS BIGINT)"
     again = f"k = 0 OR {unit(chr(39) + 'r:0:' + chr(39) + ' || rep || ' + chr(39) + ':' + chr(39) + ' || k')} < 1.0::DOUBLE / {block}"
-    CTES[f"{n}_i"] = f"SELECT rep, k AS place, n, {start} AS st, {again} AS again FROM bs, range(0, 200) t(rep)"
+    CTES[f"{n}_i"] = f"SELECT rep, k AS place, n, {start} AS st, {again} AS again FROM bs, range(0, 5000) t(rep)"
     CTES[f"{n}_d"] = f"SELECT rep, place, st AS k FROM {n}_i" if block <= 1 else f"SELECT rep, place, (lst.st + place - lst.place) % n AS k FROM (SELECT *, last_value(CASE WHEN again THEN {{'place': place, 'st': st}} END IGNORE NULLS) OVER (PARTITION BY rep ORDER BY place) AS lst FROM {n}_i)"
     CTES[f"{n}_s"] = f"SELECT rep, sqrt(12) * avg(net_r) / nullif(stddev_pop(net_r), 0) AS s, sqrt(12) * avg(ls_r) / nullif(stddev_pop(ls_r), 0) AS g FROM {n}_d d JOIN bs USING (k) GROUP BY rep"
 

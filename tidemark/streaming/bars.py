@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.kept import shared_folder
+
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """ticker, ts, volume, high, low of each hour once the watermark has passed it. State is one row for each open hour and ticker."""
@@ -23,12 +24,7 @@ def replay(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
     events = reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a stream reads folders, the glob is for names of files
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="stream-")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = hourly(events).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/out")
     query.awaitTermination()
     return spark.read.schema("ticker string, ts timestamp, volume long, high double, low double").parquet(f"{at}/out")
