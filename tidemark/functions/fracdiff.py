@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Asymptotic 5 % point of the Dickey-Fuller t with a constant.
 ADF_5 = -2.86
+#: Rows of a ticker that are differenced together, or as many as there are weights, if more.
+BLOCK = 4096
 
 
 def weights(d: float, tau: float = 1e-5, most: int = 10_000) -> list[float]:
@@ -25,12 +27,26 @@ def weight_table(spark: SparkSession, d: float, tau: float) -> DataFrame:
 def ffd(rows: DataFrame, d: float = 0.4, tau: float = 1e-5) -> DataFrame:
     """rows (ticker, i, x), compacted: adds y, the weighted sum of x and what stands before; null until the weights fit.
 
-    Each value is dealt to the places that it counts for, and summed there, in part before the shuffle.
+    A ticker's rows are cut into blocks. A block and the values just before it, as many as there are weights, are one
+    Arrow group, so that a value goes to one or two of them.
     """
-    w = weights(d, tau)
-    dealt = rows.where("x is not null").select("ticker", "i", "x", F.posexplode(F.array(*map(F.lit, w))).alias("k", "w"))
-    sums = dealt.groupBy(F.col("ticker").alias("__t"), (F.col("i") + F.col("k")).alias("__i")).agg(F.sum(F.col("w") * F.col("x")).alias("y"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(w)).drop("n")
-    return rows.drop("y").join(sums, (F.col("ticker") == F.col("__t")) & (F.col("i") == F.col("__i")), "left").drop("__t", "__i")
+    w = np.array(weights(d, tau))
+    ahead, size = len(w) - 1, max(BLOCK, len(w))
+    blocks = F.sequence(F.floor(F.col("i") / size), F.floor((F.col("i") + ahead) / size))
+    dealt = rows.where("x is not null").select("ticker", "i", "x", F.explode(blocks).alias("block"))
+
+    def one(pdf):
+        import pandas as pd
+
+        begin = int(pdf["block"].iloc[0]) * size
+        x = np.full(size + ahead, np.nan)
+        x[pdf["i"].to_numpy() - begin + ahead] = pdf["x"].to_numpy(float)
+        y = np.convolve(x, w, mode="valid")
+        k = np.flatnonzero(np.isfinite(y))
+        return pd.DataFrame({"__t": pdf["ticker"].iloc[0], "__i": begin + k, "y": y[k]})
+
+    made = dealt.groupBy("ticker", "block").applyInPandas(one, "__t string, __i long, y double")
+    return rows.drop("y").join(made, (F.col("ticker") == F.col("__t")) & (F.col("i") == F.col("__i")), "left").drop("__t", "__i")
 
 
 def adf_t(x: np.ndarray) -> float:
