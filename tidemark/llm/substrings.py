@@ -50,6 +50,8 @@ W = LENGTH - PERIOD + 1
 K = 24
 #: Bytes hashed together; rows that a task sorts together; bytes of text for each bucket.
 BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 400_000, 12 << 20
+#: Buckets at least: about as many as a text has cover places, so that a text's places are as scattered in a small corpus as in a large one.
+BUCKETS = 512
 #: Suffix buckets are sorted in so many turns, of which each reads the texts anew: less disk at a time.
 TURNS = 2
 #: Contexts of one content that a task sends to be ranked at a time.
@@ -140,7 +142,7 @@ def pieces(rows: Iterable[tuple]) -> Iterator[tuple[list[tuple], list[bytes], np
 
 def _documents(ids: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each document's number in order, and the ids and ties by number."""
-    order = np.lexsort([ties, ids])
+    order = np.lexsort([ties, ids]) if ties.any() else np.argsort(ids, kind="stable")
     ids, ties = ids[order], ties[order]
     new = np.append(True, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])) if len(ids) else np.zeros(0, bool)
     number = np.zeros(len(ids), np.int32)
@@ -180,59 +182,62 @@ def _joined(doc: np.ndarray, at: np.ndarray, n: np.ndarray | int) -> Runs:
     return doc[first], at[first], np.append(reach[first[1:] - 1], reach[-1]) - shift[first] - at[first]
 
 
-def _planes(column: np.ndarray, kind: str, width: int) -> bytes:
-    """The numbers byte by byte over all of them, lowest first, which compresses well."""
-    return np.ascontiguousarray(column, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)[:, :width].T.tobytes()
-
-
-#: Columns of a row that are packed, with their type and the bytes that they need: places of the cover, suffixes, and runs.
+#: Columns of a row that are packed, with their type and the bytes that they need, lowest first: places of the cover, suffixes, and runs.
 PLACE = (("content", "<u4", 4), ("context", "<u8", 6), ("at", "<u4", 4), ("n", "<u4", 1))
 SUFFIX = (("key", "<u8", 8), ("at", "<u4", 4))
 SPAN = (("at", "<u4", 4), ("n", "<u4", 4))
 
 
-def _packed(kind: tuple, columns: dict[str, np.ndarray], doc: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> bytes:
-    """Rows of one document stand together: the documents, the rows of each, and the columns; places as steps."""
-    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    own = doc[start]
-    out = [np.array([len(start), len(doc)], "<u4").tobytes(), _planes(np.diff(ids[own], prepend=0), "<i8", 8), _planes(ties[own], "<i8", 8), _planes(np.diff(np.append(start, len(doc))), "<u4", 4)]
-    for name, dtype, width in kind:
-        column = columns[name]
-        out.append(_planes(np.diff(column.astype(np.uint32), prepend=np.uint32(0)) if name == "at" else column, dtype, width))
-    return b"".join(out)
+#: Before them stand the id, as the step from the row before, and the tie.
+OWN = (("id", "<u8", 8), ("tie", "<u8", 8))
+
+
+def _cells(kind: tuple, columns: dict[str, np.ndarray], doc: np.ndarray, of: np.ndarray, keys: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> pa.Array:
+    """The rows of each bucket in ``keys`` as bytes: all first bytes, then all second bytes and so on, which compresses well."""
+    order = np.argsort(of.astype(np.uint16) if not len(keys) or keys[-1] < 1 << 16 else of, kind="stable")
+    begin = np.searchsorted(of[order], keys)
+    n = np.diff(np.append(begin, len(of)))
+    own, leads = doc[order], begin[n > 0]
+    id_ = ids[own].view(U)
+    step = np.diff(id_, prepend=U(0))
+    step[leads] = id_[leads]
+    size = sum(width for *_, width in OWN + kind)
+    data = np.zeros(size * len(of), np.uint8)
+    at, rows, place = np.arange(len(of)) + np.repeat((size - 1) * begin, n), np.repeat(n, n), 0
+    for (_, dtype, width), column in zip(OWN + kind, (step, ties[own], *(columns[name][order] for name, *_ in kind))):
+        raw = np.ascontiguousarray(column).astype(dtype, copy=False).view(np.uint8).reshape(-1, np.dtype(dtype).itemsize)
+        for k in range(width):
+            if raw[:, k].any():
+                data[at + (place + k) * rows] = raw[:, k]
+        place += width
+    edges = (size * np.append(begin, len(of))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(edges), pa.py_buffer(data)])
 
 
 def _together(kind: tuple, blobs: Iterable[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The columns of all blobs, the document of each row, and ids and ties of the documents."""
-    parts: dict[str, list[np.ndarray]] = {k: [] for k in ("id", "tie", "count", *(name for name, _, _ in kind))}
-    for blob in blobs:
-        if not blob:
-            continue
-        n_docs, n = (int(x) for x in np.frombuffer(blob, "<u4", 2))
-        place = 8
-        for name, dtype, width, many in [("id", "<i8", 8, n_docs), ("tie", "<i8", 8, n_docs), ("count", "<u4", 4, n_docs), *((*c, n) for c in kind)]:
-            column = np.zeros((many, np.dtype(dtype).itemsize), np.uint8)
-            column[:, :width] = np.frombuffer(blob, np.uint8, many * width, place).reshape(width, many).T
-            column = column.view(dtype)[:, 0]
-            place += many * width
-            parts[name].append(np.cumsum(column, dtype=column.dtype) if name in ("id", "at") else column)
-    kinds = {"id": "<i8", "tie": "<i8", "count": "<u4"} | {name: dtype for name, dtype, _ in kind}
-    whole = {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in parts.items()}
-    number, ids, ties = _documents(whole.pop("id"), whole.pop("tie"))
-    return whole, np.repeat(number, whole.pop("count")), ids, ties
+    size = sum(width for *_, width in OWN + kind)
+    parts = [np.frombuffer(blob, np.uint8).reshape(size, -1) for blob in blobs if blob]
+    data = np.concatenate(parts, axis=1) if parts else np.zeros((size, 0), np.uint8)
+    whole, place = {}, 0
+    for name, dtype, width in OWN + kind:
+        column = np.zeros((data.shape[1], np.dtype(dtype).itemsize), np.uint8)
+        column[:, :width] = data[place : place + width].T
+        whole[name] = column.reshape(-1).view(dtype)
+        place += width
+    n = np.array([p.shape[1] for p in parts], np.int64)
+    sums, begin = np.cumsum(whole["id"], dtype=U), np.cumsum(n) - n
+    id_, tie = (sums - np.repeat(sums[begin] - whole.pop("id")[begin], n)).view(np.int64), whole.pop("tie").view(np.int64)
+    new = np.append(True, (id_[1:] != id_[:-1]) | (tie[1:] != tie[:-1]))[: len(id_)]
+    number, ids, ties = _documents(id_[new], tie[new])
+    return whole, np.repeat(number, np.diff(np.append(np.flatnonzero(new), len(id_)))), ids, ties
 
 
 def _dealt(kind: tuple, columns: dict, doc: np.ndarray, bucket: np.ndarray, buckets: int, known: Runs, unsure: Runs, ids: np.ndarray, ties: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: the rows to sort, and the runs that are known to be repeats, or left open, without it; these are dealt by their documents."""
-    def cuts(kind: tuple, columns: dict, doc: np.ndarray, of: np.ndarray) -> dict[int, bytes]:
-        order = np.argsort(of.astype(np.uint16) if buckets < 1 << 16 else of, kind="stable")
-        of = of[order]
-        edges = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
-        return {int(of[a]): _packed(kind, {k: c[order[a:b]] for k, c in columns.items()}, doc[order[a:b]], ids, ties) for a, b in zip(edges, [*edges[1:], len(of)])}
-
-    own = [cuts(kind, columns, doc, bucket), *(cuts(SPAN, {"at": at, "n": n}, d, ids[d] % buckets) for d, at, n in (known, unsure))]
-    keys = sorted(set().union(*own))
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array([part.get(b, b"") for b in keys], pa.binary()) for part in own]], ["bucket", "rows", "known", "unsure"])
+    parts = [(kind, columns, doc, bucket), *((SPAN, {"at": at, "n": n}, d, ids[d] % buckets) for d, at, n in (known, unsure))]
+    keys = np.unique(np.concatenate([of for *_, of in parts]))
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[_cells(*part, keys, ids, ties) for part in parts]], ["bucket", "rows", "known", "unsure"])
 
 
 BUCKETED = "bucket int, rows binary, known binary, unsure binary"
@@ -389,9 +394,11 @@ def _sorted(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """id, tie and data of each row: a null id is the largest one; ``tie`` tells texts of one id apart, by a 64-bit hash."""
+    """id, tie and data of each row: a null id is the largest one; ``tie`` tells texts of one id apart, by a 64-bit hash. It is 0 where no id comes twice."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("long").alias("id"), F.xxhash64(data).alias("tie"), data.alias("data"))
+    rows = docs.select(F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("long").alias("id"), data.alias("data"))
+    alone = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return rows.select("id", (F.lit(0) if alone else F.xxhash64("data")).cast("long").alias("tie"), "data")
 
 
 def _compressed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -405,19 +412,18 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("data", F.arrow_udf(_compressed, "binary")("data"))
 
 
-def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """id, tie and runs of the strings that occur earlier, for each text that has any."""
-    rows = keyed(docs, text, doc_id)
+def repeats(rows: DataFrame) -> DataFrame:
+    """id, tie and runs of the strings that occur earlier, for each text of ``keyed`` rows that has any."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-    buckets = max(12, math.ceil(size / BUCKET_BYTES))
+    buckets = max(BUCKETS, math.ceil(size / BUCKET_BYTES))
     found = rewritten(rows.mapInArrow(_ranked(buckets), BUCKETED).groupBy("bucket").applyInPandas(_rank, FOUND))
-    free_shuffles(docs.sparkSession)  # the places of the cover are some three times the input
+    free_shuffles(rows.sparkSession)  # the places of the cover are some three times the input
     unsure = found.groupBy("id", "tie").agg(F.collect_list("repeats").alias("repeats"), F.collect_list("unsure").alias("unsure")).where(F.size("unsure") > 0)
     joined = packed(rows).join(unsure, ["id", "tie"]).select("id", "tie", "data", "repeats", "unsure")
     both = found.where("repeats is not null")
     for turn in range(TURNS):
         both = both.unionByName(rewritten(joined.mapInArrow(_suffixes(buckets, turn), BUCKETED).groupBy("bucket").applyInPandas(_sorted, FOUND)))
-        free_shuffles(docs.sparkSession)
+        free_shuffles(rows.sparkSession)
     return both.groupBy("id", "tie").agg(F.collect_list("repeats").alias("runs"))
 
 
@@ -450,8 +456,8 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     different texts of one id in an order of their own. Rows alike in id and text are one
     document, and have the same result. Strings are compared by hashes.
     """
-    rows = packed(keyed(docs, text, doc_id))
-    got = rows.join(repeats(docs, text, doc_id), ["id", "tie"], "left").withColumn("x", F.arrow_udf(_without, "struct<n_bytes:long,kept:binary,n_removed:long,n_spans:long>")("data", "runs"))
+    rows = keyed(docs, text, doc_id)
+    got = packed(rows).join(repeats(rows), ["id", "tie"], "left").withColumn("x", F.arrow_udf(_without, "struct<n_bytes:long,kept:binary,n_removed:long,n_spans:long>")("data", "runs"))
     back = F.when(F.col("id") != (1 << 63) - 1, F.col("id")).alias("doc_id")
     return got.select(back, "x.n_bytes", "x.n_removed", "x.n_spans", "x.kept")
 
