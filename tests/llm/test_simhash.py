@@ -114,3 +114,10 @@ def test_groups_grow_with_the_fingerprints_and_names_may_clash(spark, docs):
     df = docs(["a b c d e", "a b c d e", None]).withColumns({c: F.lit("x") for c in ("__id", "__hash", "__kept", "root", "least")})
     got = simhash.keep_one(df)
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_rows_of_hot_and_other_fingerprints(spark, docs, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", hot)  # none hot; those with a third of the rows
+    words = "a b c d e f g h i j k l m n o p".split()
+    compare(docs(["same words in this text here"] * 9 + [" ".join(words[k:]) for k in range(9)] + [None, ""]))
