@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tests.oracle import connect, differences
 from tidemark.functions import fracdiff, fractal, synthetic
 from tidemark.operators import backtest as bt
-from tidemark.operators import inference, model
+from tidemark.operators import audit, frames, inference, model
 from tidemark.plans import catalogue
+from tidemark.sources import panels
 
-FEW = ["daily_bars", "dense_panel", "feature_panel", "momentum_sort_backtest", "bt_stats_net", "hurst_dfa_full", "mfdfa_spectrum", "exec_shortfall", "exec_summary", "stream_hourly_bars", "ffd_series", "gen_ar1", "residualize_fwl"]
+FEW = ["daily_bars", "dense_panel", "feature_panel", "momentum_sort_backtest", "bt_stats_net", "hurst_dfa_full", "mfdfa_spectrum", "exec_shortfall", "exec_summary", "stream_hourly_bars", "ffd_series", "gen_ar1", "residualize_fwl", "welch_psd", "mean_psd", "series_alignment", "hurst_class_summary", "band_breaches", "shuffle_means", "rank_persistence"]
 
 
 @pytest.mark.parametrize("name", FEW)
@@ -97,7 +98,7 @@ def test_noise_floor_has_two_hundred_seeds(spark, sf, monkeypatch):
     asked, plain = [], synthetic.fgn
     monkeypatch.setattr(synthetic, "fgn", lambda s, series: asked.extend(series) or plain(s, series[:1]))
     assert catalogue.QUERIES["noise_floor"](spark, sf).count() == 1
-    assert len(set(asked)) == 1200
+    assert len(set(asked)) == 3000 and {n for n, _, _ in asked} == {500, 1000, 2000, 4000, 5300}
 
 
 def test_each_backtest_scans_the_fact_table_once(spark, sf):
@@ -124,3 +125,54 @@ def test_rolling_spectra_are_those_of_the_windows(spark):
     one = noise.where("ticker = 't|1' and i >= 40 and i < 260").select("ticker", (F.col("i") - 40).alias("i"), "r")
     want = fractal.spectrum(fractal.mfdfa(one, fractal.mfdfa_scales(220)))
     assert abs(fractal.delta_h(want).first().delta_h - got["t|1", 260].delta_h) < 1e-9
+
+
+def test_short_periods_are_left_out_and_the_rest_has_its_noise(spark):
+    days = spark.range(900).select(F.lit("t").alias("ticker"), F.expr("date_add(date'2000-01-01', cast(id as int))").alias("date"), synthetic.normal(F.lit("s"), "id").alias("r"))
+    edges = [("whole", "2000-01-01", "2002-12-31"), ("short", "2000-01-01", "2000-10-25"), ("year", "2000-01-01", "2000-12-31")]
+    got = {r.ticker: r for r in audit.subperiod_significance(days, edges, seeds=30).collect()}
+    assert {k: r.n for k, r in got.items()} == {"t|whole": 900, "t|year": 366}
+    assert 0 < got["t|whole"].noise < got["t|year"].noise
+    for r in got.values():
+        assert r.significant == (abs(r.h - 0.5) > 1.96 * r.noise)
+    empty = audit.subperiod_significance(days.where("false"), edges)
+    assert empty.count() == 0
+
+
+def test_validation_tells_short_from_long_memory(spark):
+    known = synthetic.fgn(spark, [(1000, h, k) for h in (0.3, 0.7) for k in range(5)])
+    got = {(r.series, r.estimator): r for r in audit.validation(known, synthetic.white_noise(spark, 1000, 20), synthetic.ar1(spark, 1000, 0.5, 20)).collect()}
+    assert len(got) == 6 and got["fractional noise 0.3", "dfa"].mean < 0.45 and got["fractional noise 0.7", "dfa"].mean > 0.6
+    # lags take the inflation by short memory out of the range
+    assert got["short memory", "classical range"].mean > got["short memory", "modified range"].mean
+    assert got["white noise", "modified range"].rejections <= 5 and got["white noise", "modified range"].n == 20
+
+
+def test_windows_with_a_fifth_missing_have_no_h(spark):
+    noise = synthetic.white_noise(spark, 400, 1).select(F.lit("t").alias("ticker"), "i", "r")
+    holes = noise.withColumn("r", F.when((F.col("i") < 200) | (F.col("i") >= 250), F.col("r")))
+    whole = {r.i for r in fractal.rolling_dfa(noise, 200, 40).collect()}
+    got = {r.i for r in fractal.rolling_dfa(holes, 200, 40).collect()}
+    want = {i for i in whole if sum(200 <= k < 250 for k in range(i - 200, i)) <= 40}
+    assert whole == {200, 240, 280, 320, 360} and got == want == {200, 240}
+
+
+def test_series_are_aligned_by_their_keys(spark):
+    day = lambda rows: spark.createDataFrame(rows, "date string, close double")
+    got = frames.align("date", "close", a=day([("1", 1.0), ("2", None)]), b=day([("2", 5.0), ("3", 6.0)]), c=day([]))
+    assert sorted(map(tuple, got.collect())) == [("1", 1.0, None, None), ("2", None, 5.0, None), ("3", None, 6.0, None)]
+
+
+def test_prices_come_back_from_their_sinks(spark, tmp_path):
+    days = spark.range(500).select(F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") % 2 + 1).cast("int")).alias("ticker"), F.expr("date_add(date'2000-01-01', cast(id as int))").alias("date"), F.col("id").cast("double").alias("close"), F.lit(2.0).alias("volume"))
+    panels.save_bars(days, f"{tmp_path}/bars")
+    got = panels.load_prices(spark, f"{tmp_path}/bars", "2000-01-02", "2001-01-01", ["b"])
+    assert got.columns == ["ticker", "date", "close"] and sorted(r.close for r in got.collect()) == [float(k) for k in range(1, 367, 2)]
+    assert {r.close for r in panels.load_prices(spark, f"{tmp_path}/bars", "2000-01-01", "2009-01-01", field="volume").collect()} == {2.0}
+    panels.save_csv(got, f"{tmp_path}/csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == got.count()
+
+
+def test_report_names_gross_and_net(spark, sf):
+    text = bt.report(catalogue.momentum(spark, "/root/testdata/sf0.01"), "momentum")
+    assert text.splitlines()[0] == "momentum" and "gross: return" in text and "net: return" in text

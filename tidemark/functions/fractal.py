@@ -132,7 +132,8 @@ def modified_rs(rows: DataFrame, q: int | None = None) -> DataFrame:
 
 
 def rolling_dfa(panel: DataFrame, lookback: int = 500, step: int = 21, scales: list[int] | None = None) -> DataFrame:
-    """ticker, i, h: DFA of the ``lookback`` returns before row i, for i = lookback, lookback + step, ...
+    """ticker, i, h: DFA of the ``lookback`` returns before row i, for i = lookback, lookback + step, ... where at least
+    four fifths of them have a value; a missing one counts as the mean.
 
     panel (ticker, i, r) has no gaps. A trend taken out of a window makes it indifferent to lines added
     to the profile, so that running sums over the whole series give each window's error at its two ends.
@@ -140,14 +141,15 @@ def rolling_dfa(panel: DataFrame, lookback: int = 500, step: int = 21, scales: l
     scales = scales or dfa_scales(lookback)
     x = panel.withColumn("x", F.col("r") - F.avg("r").over(_series())).withColumn("y", F.sum(F.coalesce("x", F.lit(0.0))).over(_up_to()))
     x = x.withColumn("y", F.col("y") - F.avg("y").over(_series()))
-    sums = x.select("ticker", "i", F.sum("y").over(_up_to()).alias("a"), F.sum(F.col("y") * F.col("y")).over(_up_to()).alias("b"), F.sum(F.col("y") * F.col("i")).over(_up_to()).alias("c"), F.count("r").over(_up_to()).alias("k"))
-    ends = panel.where((F.col("i") >= lookback) & ((F.col("i") - lookback) % step == 0)).select("ticker", F.col("i").alias("end"), F.explode(F.array(*map(F.lit, scales))).alias("s"))
+    sums = x.select("ticker", "i", F.sum("y").over(_up_to()).alias("a"), F.sum(F.col("y") * F.col("y")).over(_up_to()).alias("b"), F.sum(F.col("y") * F.col("i")).over(_up_to()).alias("c"))
+    held = panel.withColumn("have", F.count("r").over(_series().orderBy("i").rowsBetween(-lookback, -1)))
+    ends = held.where((F.col("i") >= lookback) & ((F.col("i") - lookback) % step == 0) & (F.col("have") >= 0.8 * lookback)).select("ticker", F.col("i").alias("end"), F.explode(F.array(*map(F.lit, scales))).alias("s"))
     cuts = ends.withColumn("w", F.explode(F.sequence(F.lit(0), F.expr(f"cast({lookback} div s as int)")))).select("ticker", "end", "s", "w", (F.col("end") - lookback + F.col("w") * F.col("s") - 1).alias("at"))
     met = cuts.join(sums.withColumnRenamed("i", "at"), ["ticker", "at"], "left")
     before = W.partitionBy("ticker", "end", "s").orderBy("w")
     d = {k: F.coalesce(F.col(k), F.lit(0.0)) - F.coalesce(F.lag(k).over(before), F.lit(0.0)) for k in ("a", "b", "c")}
     s, mid = F.col("s").cast("double"), F.col("at") - (F.col("s") - 1) / 2.0
-    met = met.select("ticker", "end", "s", "w", "at", *[v.alias(f"d{k}") for k, v in d.items()], F.col("k"), F.lag("k").over(before).alias("k0")).where("w > 0")
+    met = met.select("ticker", "end", "s", "w", "at", *[v.alias(f"d{k}") for k, v in d.items()]).where("w > 0")
     cross = F.col("dc") - mid * F.col("da")
     mse = F.greatest((F.col("db") - F.col("da") * F.col("da") / s - cross * cross / (s * (s * s - 1) / 12)) / s, F.lit(0.0))
     fs = met.select("ticker", "end", "s", mse.alias("mse")).groupBy("ticker", "end", "s").agg(F.sqrt(F.avg("mse")).alias("f")).where("f > 0")

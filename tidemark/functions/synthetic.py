@@ -58,7 +58,13 @@ def fgn(spark: SparkSession, settings: list[tuple[int, float, int]]) -> DataFram
     return spark.createDataFrame(settings, "n long, true_h double, seed long").groupBy("n", "true_h", "seed").applyInPandas(one, schema)
 
 
-def shuffled(rows: DataFrame, rep: int = 0) -> DataFrame:
-    """rows (ticker, i, r) with each ticker's returns in another order, drawn by hash."""
-    order = W.partitionBy("ticker").orderBy(F.md5(F.concat_ws(":", F.lit(rep).cast("string"), "ticker", F.col("i").cast("string")).cast("binary")))
-    return rows.select("ticker", (F.row_number().over(order) - 1).cast("long").alias("i"), "r")
+def shuffles(rows: DataFrame, reps: int) -> DataFrame:
+    """rows (ticker, i, r) with each ticker's returns in ``reps`` other orders, drawn by hash; ticker becomes ticker|rep."""
+    order = W.partitionBy("ticker", "rep").orderBy(F.md5(F.concat_ws(":", F.col("rep").cast("string"), "ticker", F.col("i").cast("string")).cast("binary")))
+    x = rows.select("ticker", "i", "r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    return x.select(F.concat_ws("|", "ticker", F.col("rep").cast("string")).alias("ticker"), (F.row_number().over(order) - 1).cast("long").alias("i"), "r")
+
+
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows (ticker, i, r) with each ticker's returns in one other order."""
+    return shuffles(rows, 1).withColumn("ticker", F.expr("substring(ticker, 1, length(ticker) - 2)"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-
 def by_ticker():
     return W.partitionBy("ticker").orderBy("date")
 
@@ -77,3 +77,10 @@ def weekday_before(date: str | Column, k: int) -> Column:
     whole, rest = k // 5, k % 5
     back = 7 * whole + rest + F.when(day - rest < 0, 2).otherwise(0)
     return F.date_sub(start, back.cast("int"))
+
+
+def align(key: str, value: str, **series: DataFrame) -> DataFrame:
+    """One row for each key of any series, with a column for each series: null where it has none. Keys are unique
+    within a series. However many they are, one union and one aggregation align them."""
+    parts = [df.select(key, *[(F.col(value) if k == name else F.lit(None)).cast("double").alias(k) for k in series]) for name, df in series.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy(key).agg(*[F.max(k).alias(k) for k in series])

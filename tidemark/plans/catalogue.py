@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fracdiff, fractal, spectral, synthetic
 from tidemark.operators import audit, execution, frames, inference, model
 from tidemark.operators import backtest as bt
-from tidemark.plans.oracle import LONG_SCALES, MF_SCALES, ROLL_SCALES, pick, sql
+from tidemark.plans.oracle import LONG_SCALES, MF_SCALES, ROLL_SCALES, normal_sql, pick, sql
 from tidemark.sources import panels
 from tidemark.sources.kept import kept
 from tidemark.streaming import bars as stream
@@ -282,6 +282,12 @@ def r2_class_vol(s, d):
     return x.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("cls") + 1).alias("n_params"), (1 - F.try_divide(F.sum(F.col("residual") * F.col("residual")), F.var_pop("h") * F.count(F.lit(1)))).alias("r2"))
 
 
+@query(sql("SELECT round(avg(r2), 6) + 0.0::DOUBLE AS r2, count(*) AS n FROM (SELECT date, 1 - sum(residual * residual) / nullif(var_pop(h) * count(*), 0) AS r2 FROM res GROUP BY date ORDER BY date DESC LIMIT 20)"))
+def r2_last_rebalances(s, d):
+    """Mean R2 of class and volatility over the last 20 rebalances."""
+    return r2_class_vol(s, d).orderBy(F.desc("date")).limit(20).agg(F.avg("r2").alias("r2"), F.count(F.lit(1)).alias("n"))
+
+
 @query(pick("res_bt", "seq date", "long_r short_r ls_r traded turnover net_r"))
 def residual_sort_backtest(s, d):
     x = feats(s, d)
@@ -313,6 +319,28 @@ def hurst_topk(s, d):
     return fractal.dfa(returns_series(s, d), LONG_SCALES).orderBy(F.desc("h"), "ticker").limit(5)
 
 
+def _dfa_sql(source, scales):
+    """SQL for ticker, h of a source with ticker, i, n, x."""
+    return f"(SELECT ticker, regr_slope(ln(f), ln(s)) AS h FROM (SELECT ticker, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM (SELECT ticker, i, n, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM {source}), (VALUES {', '.join(f'({x})' for x in scales)}) v(s) WHERE s <= n // 2 AND i < s * (n // s) GROUP BY ticker, s, i // s) GROUP BY ticker, s) WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4)"
+
+
+@query(sql("SELECT 'class' || (TRY_CAST(substr(ticker, 7) AS INT) % 5) AS cls, count(*) AS n, round(avg(h), 6) AS h_mean, round(stddev_samp(h), 6) AS h_std FROM dfa GROUP BY cls"))
+def hurst_class_summary(s, d):
+    x = fractal.dfa(returns_series(s, d), LONG_SCALES).groupBy(broad_class().alias("cls"))
+    return x.agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("h_mean"), F.stddev_samp("h").alias("h_std"))
+
+
+@query(sql("SELECT ticker, round(CASE WHEN count(r) >= 20 THEN stddev_pop(r) * sqrt(252) END, 6) AS ann_vol FROM ret GROUP BY ticker"))
+def annual_vol(s, d):
+    return frames.with_returns(index(s, d)).groupBy("ticker").agg(fractal.annual_vol("r").alias("ann_vol"))
+
+
+@query(sql("SELECT ticker, i, round(value, 6) AS value FROM (SELECT ticker, i, stddev_pop(r) OVER (PARTITION BY ticker ORDER BY i ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS value FROM ret) WHERE i >= 500 AND (i - 500) % 21 = 0"))
+def rolling_factor(s, d):
+    """Any function of a window's returns as a factor; here their standard deviation."""
+    return fractal.rolling_apply(frames.with_returns(index(s, d)), lambda x: x.std(), 500)
+
+
 def _rs_sql(nw):
     return sql(f"SELECT ticker, n, q, round(rs / sqrt(n), 6) AS v, rs / sqrt(n) > 1.862 OR rs / sqrt(n) < 0.809 AS rejects_null_95, round(ln(rs) / ln(n), 6) AS h_implied FROM (SELECT ticker, n, CAST(q AS BIGINT) AS q, rng / s AS rs FROM (SELECT ticker, n, max(y) - min(y) AS rng FROM prof GROUP BY ALL) JOIN {nw} USING (ticker))")
 
@@ -383,6 +411,12 @@ def calendar_intersection(s, d):
     return a.join(b.withColumnRenamed("close", "o"), "date").select("date", F.round("close", 2).alias("lines"), F.round("o", 2).alias("orders"))
 
 
+@query(sql("SELECT date, round(a.close, 2) AS lines, round(b.close, 2) AS orders FROM lines_d a FULL JOIN orders_d b USING (date)"))
+def series_alignment(s, d):
+    lines, orders = panels.daily_totals(s, d)
+    return frames.align("date", "close", lines=lines, orders=orders).select("date", F.round("lines", 2).alias("lines"), F.round("orders", 2).alias("orders"))
+
+
 _FFD = "WITH RECURSIVE wt AS (SELECT 0::BIGINT AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4::DOUBLE - (k + 1) + 1) / (k + 1) FROM wt WHERE abs(-w * (0.4::DOUBLE - (k + 1) + 1) / (k + 1)) >= 1e-3)"
 
 
@@ -480,12 +514,17 @@ def exec_per_ticker_topk(s, d):
     return x.orderBy(F.desc("saved"), "ticker").limit(3)
 
 
-@query()
+@query(pick("psd", "ticker", "freq psd"))
 def welch_psd(s, d):
     bars = panels.hourly_bars(s, d).withColumn("r", F.ln("close") - F.lag(F.ln("close")).over(W.partitionBy("ticker").orderBy("ts")))
     return spectral.psd(fractal.series(bars, "r", "ts"))
 
 
+@query(sql("SELECT round(freq, 6) + 0.0::DOUBLE AS freq, round(avg(psd), 6) + 0.0::DOUBLE AS psd, count(*) AS n FROM psd GROUP BY freq"))
+def mean_psd(s, d):
+    return welch_psd(s, d).groupBy("freq").agg(F.avg("psd").alias("psd"), F.count(F.lit(1)).alias("n"))
+
+
 _STREAM = "SELECT event_type AS ticker, time_bucket(INTERVAL 1 HOUR, ts) AS ts, count(*) AS volume, round(max(value), 6) AS high, round(min(value), 6) AS low FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
 
 
@@ -523,9 +562,11 @@ def _rebalances(s, d):
     return hurst_panel(s, d).withColumn("idx", F.expr("(i - 500) div 21")).select("idx", "ticker", "h")
 
 
-@query(sql("SELECT lag, round(avg(rho), 6) + 0.0::DOUBLE AS rho, count(rho) AS pairs FROM (SELECT lag, idx, corr(ra, rb) AS rho FROM (SELECT lag, idx, rank() OVER (PARTITION BY lag, idx ORDER BY a) + (count(*) OVER (PARTITION BY lag, idx, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY lag, idx ORDER BY b) + (count(*) OVER (PARTITION BY lag, idx, b) - 1) / 2.0::DOUBLE AS rb FROM (SELECT v.lag, (x.i - 500) // 21 AS idx, x.h AS a, y.h AS b FROM roll x, (VALUES (1), (6), (12), (24), (36), (48)) v(lag), roll y WHERE y.ticker = x.ticker AND y.i = x.i + 21 * v.lag)) GROUP BY ALL HAVING count(*) > 20) GROUP BY lag"))
+@query(sql("SELECT lag, lag * 21::BIGINT AS lag_days, round(greatest(0, 1 - lag * 21 / 500.0::DOUBLE), 6) AS window_overlap, round(avg(rho), 6) + 0.0::DOUBLE AS rho, count(rho) AS pairs FROM (SELECT lag, idx, corr(ra, rb) AS rho FROM (SELECT lag, idx, rank() OVER (PARTITION BY lag, idx ORDER BY a) + (count(*) OVER (PARTITION BY lag, idx, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY lag, idx ORDER BY b) + (count(*) OVER (PARTITION BY lag, idx, b) - 1) / 2.0::DOUBLE AS rb FROM (SELECT v.lag, (x.i - 500) // 21 AS idx, x.h AS a, y.h AS b FROM roll x, (VALUES (1), (6), (12), (24), (36), (48)) v(lag), roll y WHERE y.ticker = x.ticker AND y.i = x.i + 21 * v.lag)) GROUP BY ALL HAVING count(*) > 20) GROUP BY lag"))
 def rank_persistence(s, d):
-    return audit.rank_persistence(_rebalances(s, d), (1, 6, 12, 24, 36, 48))
+    """From a lag of 24 on the two windows share no day."""
+    x = audit.rank_persistence(_rebalances(s, d), (1, 6, 12, 24, 36, 48))
+    return x.select("lag", (F.col("lag") * F.lit(21).cast("long")).alias("lag_days"), F.greatest(F.lit(0.0), 1 - F.col("lag") * 21 / 500.0).alias("window_overlap"), "rho", "pairs")
 
 
 @query(sql("SELECT round(avg(s), 6) AS mean_std, count(s) AS n FROM (SELECT i, stddev_samp(h) AS s FROM roll GROUP BY i)"))
@@ -533,10 +574,48 @@ def xs_dispersion(s, d):
     return audit.dispersion(_rebalances(s, d))
 
 
-_SHUF = "(SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY md5('0:' || ticker || ':' || i)) - 1 AS i, x, n FROM prof)"
+#: DFA of white noise as long as a rolling window, 200 series: what the estimator makes of nothing.
+FLOOR_SERIES = 200
+_NOISE = "(SELECT id // 500 AS ticker, id % 500 AS i, 500 AS n, e - avg(e) OVER (PARTITION BY id // 500) AS x FROM (SELECT id, " + normal_sql("id // 500", "id % 500") + f" AS e FROM range(0, {500 * FLOOR_SERIES}) t(id)))"
+_FLOOR = f"(SELECT stddev_pop(h) AS noise FROM {_dfa_sql(_NOISE, ROLL_SCALES)})"
 
 
-@query(sql(f"SELECT ticker, round(regr_slope(ln(f), ln(s)), 6) AS h FROM (SELECT ticker, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM (SELECT ticker, i, n, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM {_SHUF}), (VALUES {', '.join(f'({x})' for x in LONG_SCALES)}) v(s) WHERE s <= n // 2 AND i < s * (n // s) GROUP BY ticker, s, i // s) GROUP BY ticker, s) WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4"))
+def _floor(s):
+    """One row with noise, the standard deviation of h over series of white noise."""
+    x = synthetic.white_noise(s, 500, FLOOR_SERIES).select(F.col("series_id").cast("string").alias("ticker"), "i", "r")
+    return fractal.dfa(x, ROLL_SCALES).agg(F.stddev_pop("h").alias("noise"))
+
+
+@query(sql(f"SELECT ticker, count(*) AS windows, round(avg(h), 6) AS mean, round(stddev_samp(h), 6) AS std, round(any_value(noise), 6) AS noise, count(*) FILTER (WHERE abs(h - 0.5) > 1.96 * noise) AS breaches, round(avg(CAST(abs(h - 0.5) > 1.96 * noise AS DOUBLE)), 6) AS share FROM roll, {_FLOOR} GROUP BY ticker"))
+def band_breaches(s, d):
+    """Rolling windows whose h is beyond what noise alone gives in 95 of 100 cases."""
+    return audit.breaches(hurst_panel(s, d), _floor(s))
+
+
+@query(sql(f"SELECT round(any_value(o), 6) AS observed, round(any_value(noise), 6) AS noise, round(sqrt(greatest(any_value(o) ** 2 - any_value(noise) ** 2, 0)), 6) AS implied FROM (SELECT avg(s) AS o FROM (SELECT i, stddev_samp(h) AS s FROM roll GROUP BY i)), {_FLOOR}"))
+def implied_dispersion(s, d):
+    """What of the dispersion between tickers is left when the estimator's own noise is taken out."""
+    return audit.implied_dispersion(audit.dispersion(_rebalances(s, d)), _floor(s))
+
+
+def _shuffled_sql(reps):
+    return f"(SELECT ticker || '|' || rep AS ticker, row_number() OVER (PARTITION BY ticker, rep ORDER BY md5(rep || ':' || ticker || ':' || i)) - 1 AS i, x, n FROM prof, range({reps}) t(rep))"
+
+
+#: Shuffles of a ticker that are averaged.
+SHUFFLES = 3
+
+
+@query(sql(f"SELECT ticker, round(any_value(r), 6) AS h_real, round(avg(h), 6) AS h_shuffled, round(max(h) FILTER (WHERE rep = '0'), 6) AS h_single FROM (SELECT dfa.ticker, dfa.h AS r, g.h, split_part(g.ticker, '|', 2) AS rep FROM dfa JOIN {_dfa_sql(_shuffled_sql(SHUFFLES), LONG_SCALES)} g ON split_part(g.ticker, '|', 1) = dfa.ticker) GROUP BY ticker"))
+def shuffle_means(s, d):
+    """h of the returns in their order, its mean over shuffles, and that of one shuffle, whose spread over tickers is the noise."""
+    x = returns_series(s, d)
+    made = fractal.dfa(synthetic.shuffles(x, SHUFFLES), LONG_SCALES).select(F.substring_index("ticker", "|", 1).alias("ticker"), F.substring_index("ticker", "|", -1).alias("rep"), F.col("h").alias("g"))
+    means = made.groupBy("ticker").agg(F.avg("g").alias("h_shuffled"), F.max(F.when(F.col("rep") == "0", F.col("g"))).alias("h_single"))
+    return fractal.dfa(x, LONG_SCALES).join(means, "ticker").select("ticker", F.col("h").alias("h_real"), "h_shuffled", "h_single")
+
+
+@query(sql(f"SELECT split_part(ticker, '|', 1) AS ticker, round(h, 6) AS h FROM {_dfa_sql(_shuffled_sql(1), LONG_SCALES)}"))
 def shuffle_control(s, d):
     return fractal.dfa(synthetic.shuffled(returns_series(s, d)), LONG_SCALES)
 
@@ -548,8 +627,8 @@ def coverage_audit(s, d):
 
 @query()
 def subperiod_audit(s, d):
-    x = audit.subperiods(frames.with_returns(index(s, d)).select("ticker", "date", "r"), [("early", "1995-01-01", "1998-01-01"), ("late", "1998-01-01", "2002-01-01")])
-    return fractal.dfa(fractal.series(x))
+    periods = [("early", "1995-01-01", "1998-01-01"), ("late", "1998-01-01", "2002-01-01")]
+    return audit.subperiod_significance(frames.with_returns(index(s, d)).select("ticker", "date", "r"), periods)
 
 
 @query(pick("sets", "rebal train_start train_end last_used n_train n_test", "", "n_test >= 10"))
@@ -605,7 +684,14 @@ def gen_fgn(s, d):
 
 @query()
 def noise_floor(s, d):
-    x = synthetic.fgn(s, [(n, h, k) for n in (500, 1000) for h in (0.45, 0.5, 0.55) for k in range(200)])
+    x = synthetic.fgn(s, [(n, h, k) for n in (500, 1000, 2000, 4000, 5300) for h in (0.45, 0.5, 0.55) for k in range(200)])
     named = x.select(F.concat_ws("|", "n", "true_h", "seed").alias("ticker"), "i", "r")
     h = fractal.dfa(named).select(F.split("ticker", r"\|").alias("p"), "h").select(F.col("p")[0].cast("long").alias("n"), F.col("p")[1].cast("double").alias("true_h"), "h")
     return h.groupBy("n", "true_h").agg(F.avg("h").alias("mean"), (F.avg("h") - F.first("true_h")).alias("bias"), F.stddev_pop("h").alias("std"))
+
+
+@query()
+def estimator_validation(s, d):
+    """What the estimators make of series whose memory is known."""
+    long = synthetic.fgn(s, [(4000, h, k) for h in (0.3, 0.5, 0.6, 0.7, 0.8) for k in range(20)])
+    return audit.validation(long, synthetic.white_noise(s, 2000, 50), synthetic.ar1(s, 2000, 0.5, 50))

@@ -23,6 +23,12 @@ def unit(key: str) -> str:
     return f"((CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
+def normal_sql(series: str, i: str) -> str:
+    """The noise of ``synthetic.normal`` for two expressions."""
+    key = f" || ({series}) || ':' || ({i})"
+    return f"sqrt(-2 * ln({unit(chr(39) + 'a:' + chr(39) + key)})) * cos(2 * pi() * {unit(chr(39) + 'b:' + chr(39) + key)})"
+
+
 CTES: dict[str, str] = {
     "px": "SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "nat": "SELECT n_name AS ticker, r_name AS asset_class, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
@@ -79,6 +85,12 @@ CTES: dict[str, str] = {
     "wday": "SELECT d::DATE AS d, row_number() OVER (ORDER BY d) AS k FROM range(DATE '1980-01-01', DATE '2030-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5",
     "win": "SELECT rebal, CAST(rebal - INTERVAL 60 MONTH AS DATE) AS train_start, (SELECT b.d FROM wday b WHERE b.k = (SELECT max(a.k) FROM wday a WHERE a.d < rebal) - 21) AS train_end FROM me",
     "sets": "SELECT w.*, max(p.date) AS last_used, count(*) AS n_train, (SELECT count(*) FROM panel t WHERE t.date = w.rebal) AS n_test, regr_slope(p.target, p.mom_12_1) AS slope, regr_intercept(p.target, p.mom_12_1) AS intercept FROM win w JOIN panel p ON p.date BETWEEN w.train_start AND w.train_end GROUP BY w.rebal, w.train_start, w.train_end HAVING count(*) >= 1000",
+    "psd_x": "SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n, abs(r) AS x FROM (SELECT ticker, ts, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY ts) AS r FROM hb) WHERE isfinite(r)",
+    "psd_l": "SELECT *, l - l // 2 AS step FROM (SELECT *, least(256, n // 2) AS l FROM psd_x WHERE n > 128)",
+    "psd_s": "SELECT ticker, k, i - k * step AS j, l, x - avg(x) OVER (PARTITION BY ticker, k) AS x FROM (SELECT *, unnest([i // step - 1, i // step]) AS k FROM psd_l) WHERE k >= 0 AND k * step + l <= n AND i - k * step < l",
+    "psd_w": "SELECT ticker, k, l, j, x * (0.5 - 0.5 * cos(2 * pi() * j / l)) AS x, sum((0.5 - 0.5 * cos(2 * pi() * j / l)) ** 2) OVER (PARTITION BY ticker, k) AS power FROM psd_s",
+    "psd_f": "SELECT ticker, k, l, f, (sum(x * cos(2 * pi() * f * j / l)) ** 2 + sum(x * sin(2 * pi() * f * j / l)) ** 2) / any_value(power) * CASE WHEN f = 0 OR 2 * f = l THEN 1 ELSE 2 END AS p FROM psd_w, range(0, 129) t(f) WHERE f <= l // 2 GROUP BY ticker, k, l, f",
+    "psd": "SELECT ticker, f / l AS freq, avg(p) AS psd FROM psd_f GROUP BY ticker, f, l",
     "lines_d": "SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS close FROM lineitem GROUP BY 1",
     "orders_d": "SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS close FROM orders GROUP BY 1",
     "gaterows": "SELECT date, delta_h, fwd FROM (SELECT a.date, max(r.h) - min(r.h) AS delta_h, any_value(a.fwd) AS fwd FROM (SELECT ticker, i, date, target AS fwd FROM feat) a JOIN roll r USING (ticker, i) WHERE a.fwd IS NOT NULL AND a.ticker IS NOT NULL GROUP BY a.date) WHERE false",
