@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +91,21 @@ def two_level_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str],
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     got = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, on, "inner")
     return got.withColumn(out, F.col("__inside") + F.col("__ahead")).drop("__inside", "__ahead", "__chunk", *[f"__k{i}" for i in range(len(keys))])
+
+
+#: Bytes of texts that are scanned at once; a longer text is scanned alone.
+SLICE = 1 << 21
+
+
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows a to b of an array of strings, with their bytes as they lie in the Arrow buffer and the edges between them. A null is empty."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    edges = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + most, side="right")) - 1)
+        yield a, b, data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
+        a = b

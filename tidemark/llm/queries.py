@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, hnsw, licenses, mixing, pii, quality, quotes, simhash, substrings, toxicity
+from tidemark.llm import bpe, hnsw, hosts, infill, interactions, licenses, mixing, pii, quality, quotes, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.query(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.query(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotes": op1_quotes,
     "op2_source_mix": op2_source_mix,
@@ -62,9 +74,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_infill": op11_infill,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_url_trust": op13_url_trust,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quotes": quotes.SQL,
     "op2_source_mix": mixing.SQL,
+    "op11_infill": infill.SQL,
+    "op12_filter_audit": interactions.SQL,
+    "op13_url_trust": hosts.SQL,
 }
