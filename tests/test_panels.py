@@ -70,14 +70,14 @@ def test_trees_are_fitted_anew_at_each_month_end(spark, monkeypatch):
     days = spark.range(700).select(F.expr("date_add(date'1995-01-01', cast(id as int))").alias("date"), F.col("id").alias("i"))
     rows = days.crossJoin(spark.range(12).select(F.format_string("t%02d", "id").alias("ticker"), F.col("id").alias("k")))
     noise = lambda j: (F.xxhash64("i", "k", F.lit(j)) % 1000) / 1000.0
-    panel = rows.select("date", "ticker", *[noise(j).alias(f) for j, f in enumerate(model.TREE_FEATURES)]).withColumn("target", F.col("fd_z") + 0.1 * F.col("mom_12_1"))
+    panel = rows.select("date", "ticker", *[noise(j).alias(f) for j, f in enumerate(model.FEATURES)]).withColumn("target", F.col("fd_z") + 0.1 * F.col("mom_12_1"))
     sets = model.train_sets(panel).count()
     got = model.walk_forward_trees(panel, trees=10).join(panel.select("date", "ticker", "fd_z"), ["date", "ticker"])
     assert got.count() == 12 * sets and sets > 12 and got.agg(F.corr("prediction", "fd_z")).first()[0] > 0.9
     asked, plain = [], model._learner
     monkeypatch.setattr(model, "_learner", lambda *a: asked.append(a) or plain(3, *a[1:]))
     gains = {r.feature: r.gain for r in model.tree_importances(panel).collect()}
-    assert [a[0] for a in asked] == [200] and list(gains) == list(model.TREE_FEATURES) and max(gains, key=gains.get) == "fd_z"
+    assert [a[0] for a in asked] == [200] and list(gains) == list(model.FEATURES) and max(gains, key=gains.get) == "fd_z"
 
 
 def test_stream_reads_a_table_of_several_part_files(spark, sf, tmp_path):

@@ -21,8 +21,15 @@ class Backtest:
 
 
 def month_returns(daily: DataFrame) -> DataFrame:
-    """ticker, date (month end), r: sums of daily log returns, 0.0 for a month without any."""
-    return daily.groupBy("ticker", F.last_day("date").alias("date")).agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("r"))
+    """ticker, date (month end), r: sums of daily log returns, for each ticker and each month from the panel's first to its last: 0.0 for a month without any.
+
+    The grid is the product of two dimensions, months and tickers.
+    """
+    sums = daily.groupBy("ticker", F.last_day("date").alias("date")).agg(F.sum("r").alias("r"))
+    span = sums.agg(F.min("date").alias("a"), F.max("date").alias("b")).where("a is not null")
+    months = span.select(F.explode(F.expr("sequence(trunc(a, 'MM'), b, interval 1 month)")).alias("m")).select(F.last_day("m").alias("date"))
+    grid = months.crossJoin(sums.select("ticker").distinct())
+    return grid.join(sums, ["ticker", "date"], "left").select("ticker", "date", F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 def month_factor(factor: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Row-wise windows over a long panel (ticker, date, ...)."""
+"""Row-wise windows over a long panel (ticker, date, ...), in blocks of rows, so that one long series is many tasks."""
 
 from __future__ import annotations
 
@@ -9,51 +9,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def by_ticker():
-    return W.partitionBy("ticker").orderBy("date")
+from tidemark.functions.blocked import halo, in_blocks, inside, numbered, own, scans
 
 
 def rolling(value: str | Column, first: int, last: int, of: Callable[[Column], Column]) -> Column:
-    """``of`` over rows first..last from the current one; null unless all of them are there and have a value."""
+    """``of`` over rows first..last from the current one, among rows with a halo; null unless all of them are there and have a value."""
     value = F.col(value) if isinstance(value, str) else value
-    rows = by_ticker().rowsBetween(first, last)
+    rows = inside().rowsBetween(first, last)
     return F.when(F.count(value).over(rows) == last - first + 1, of(value).over(rows))
 
 
-def zscore(value: str | Column, n: int = 252) -> Column:
-    value = F.col(value) if isinstance(value, str) else value
-    return F.try_divide(value - rolling(value, 1 - n, 0, F.avg), rolling(value, 1 - n, 0, F.stddev_samp))
+def zscored(rows: DataFrame, value: str, out: str, n: int = 252) -> DataFrame:
+    """Adds ``out`` to rows (ticker, i, ...): a value less the mean of the ``n`` up to it, by their standard deviation."""
+    x = halo(rows.withColumn("__v", F.col(value)), before=n - 1)
+    score = F.try_divide(F.col("__v") - rolling("__v", 1 - n, 0, F.avg), rolling("__v", 1 - n, 0, F.stddev_samp))
+    return own(x.withColumn(out, score)).drop("__v")
 
 
-def forward_fill(value: str) -> Column:
-    return F.last(value, ignorenulls=True).over(by_ticker().rowsBetween(W.unboundedPreceding, 0))
+def filled(rows: DataFrame, value: str, before: str, after: str) -> DataFrame:
+    """Adds to rows (ticker, i, ...) the last value up to a row and the next one from it on."""
+    return scans(in_blocks(rows), **{before: ("last", value), after: ("next", value)}).drop("block")
 
 
-def backward_fill(value: str) -> Column:
-    return F.first(value, ignorenulls=True).over(by_ticker().rowsBetween(0, W.unboundedFollowing))
+def _logged(prices: DataFrame, order: str = "date") -> DataFrame:
+    """With lp, and numbered by i where that isn't known yet."""
+    logged = prices.withColumn("lp", F.when(F.col("close") > 0, F.ln("close")))
+    return logged if "i" in prices.columns else numbered(logged, order)
 
 
-def with_returns(prices: DataFrame) -> DataFrame:
+def with_returns(prices: DataFrame, order: str = "date") -> DataFrame:
     """Adds lp (log price), r (log return to the row before) and i (row number from 0)."""
-    logged = prices.withColumn("lp", F.when(F.col("close") > 0, F.ln("close")))
-    return logged.withColumn("r", F.col("lp") - F.lag("lp").over(by_ticker())).withColumn("i", (F.row_number().over(by_ticker()) - 1).cast("long"))
+    x = halo(_logged(prices, order), before=1)
+    return own(x.withColumn("r", F.col("lp") - F.lag("lp").over(inside())))
 
 
 def features(prices: DataFrame) -> DataFrame:
-    """mom_12_1, ret_1m, vol_60, vol_252, target (next 21 rows) and fwd_vol_21 of each row, from one sort by ticker."""
-    x = with_returns(prices)
-    back = lambda k: F.lag("lp", k).over(by_ticker())
+    """mom_12_1, ret_1m, vol_60, vol_252, target (next 21 rows) and fwd_vol_21 of each row, from one sort by ticker and block."""
+    x = halo(_logged(prices), before=253, after=21).withColumn("r", F.col("lp") - F.lag("lp").over(inside()))
+    back = lambda k: F.lag("lp", k).over(inside())
     year = F.sqrt(F.lit(252.0))
-    return x.select(
-        "ticker", "date", "close", "lp", "r", "i",
+    made = x.select(
+        "ticker", "date", "close", "lp", "r", "i", "block",
         ((F.col("lp") - back(252)) - (F.col("lp") - back(21))).alias("mom_12_1"),
         (F.col("lp") - back(21)).alias("ret_1m"),
         (rolling("r", -59, 0, F.stddev_samp) * year).alias("vol_60"),
         (rolling("r", -251, 0, F.stddev_samp) * year).alias("vol_252"),
-        (F.lead("lp", 21).over(by_ticker()) - F.col("lp")).alias("target"),
+        (F.lead("lp", 21).over(inside()) - F.col("lp")).alias("target"),
         (rolling("r", 1, 21, F.stddev_samp) * year).alias("fwd_vol_21"),
     )
+    return own(made)
 
 
 def percentile_rank(value: str, *keys: str) -> Column:

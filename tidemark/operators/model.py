@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.frames import weekday_before
 from tidemark.operators.trees import boosted
 
-FEATURES = ("mom_12_1", "ret_1m", "vol_60", "vol_252")
-#: What the trees learn from: also the z-score of the fractionally differenced log price.
-TREE_FEATURES = (*FEATURES, "fd_z")
+#: The last is the z-score of the fractionally differenced log price.
+FEATURES = ("mom_12_1", "ret_1m", "vol_60", "vol_252", "fd_z")
 
 
 def month_ends(panel: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def _assembled(panel: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(panel).select("date", "ticker", "features", "target")
 
 
-def walk_forward_trees(panel: DataFrame, features: tuple[str, ...] = TREE_FEATURES, trees: int = 100, depth: int = 4, least: int = 50, rate: float = 0.05, bins: int = 64, **protocol) -> DataFrame:
+def walk_forward_trees(panel: DataFrame, features: tuple[str, ...] = FEATURES, trees: int = 100, depth: int = 4, least: int = 50, rate: float = 0.05, bins: int = 64, **protocol) -> DataFrame:
     """date, ticker, prediction of trees that are boosted anew for each month end.
 
     A month end is one Arrow group: the rows of its training window, five years of the panel, and those of its
@@ -80,7 +79,7 @@ def walk_forward_trees(panel: DataFrame, features: tuple[str, ...] = TREE_FEATUR
     return known.unionByName(asked).groupBy("rebal").applyInPandas(one, "date date, ticker string, prediction double")
 
 
-def tree_importances(panel: DataFrame, features: tuple[str, ...] = TREE_FEATURES, trees: int = 200, depth: int = 4, least: int = 20, seed: int = 0) -> DataFrame:
+def tree_importances(panel: DataFrame, features: tuple[str, ...] = FEATURES, trees: int = 200, depth: int = 4, least: int = 20, seed: int = 0) -> DataFrame:
     """feature, gain by one fit on the whole panel: to look at, not to predict with. No rows for an empty panel."""
     kind = "feature string, gain double"
     data = _assembled(panel, features).persist()

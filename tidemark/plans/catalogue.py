@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fracdiff, fractal, spectral, synthetic
 from tidemark.operators import audit, execution, frames, inference, model
 from tidemark.operators import backtest as bt
-from tidemark.plans.oracle import LONG_SCALES, MF_SCALES, ROLL_SCALES, normal_sql, pick, sql
+from tidemark.plans.oracle import normal_sql, pick, scales_sql, sql
 from tidemark.sources import panels
 from tidemark.sources.kept import kept
 from tidemark.streaming import bars as stream
@@ -60,18 +60,17 @@ def feats(s: SparkSession, d: str) -> DataFrame:
     return kept(frames.features(index(s, d)))
 
 
-def ml_panel(s: SparkSession, d: str) -> DataFrame:
-    return feats(s, d).na.drop(subset=[*model.FEATURES, "target"])
+def with_fd_z(feats: DataFrame) -> DataFrame:
+    """Weights and z-score together need over 1,700 rows of a ticker, more than the least of 500 that published practice asks for."""
+    return frames.zscored(fracdiff.ffd(feats.withColumnRenamed("lp", "x"), tau=1e-5), "y", "fd_z")
 
 
-def tree_panel(s: SparkSession, d: str) -> DataFrame:
-    return tree_panel_of(feats(s, d))
+def panel_of(feats: DataFrame) -> DataFrame:
+    return with_fd_z(feats).na.drop(subset=[*model.FEATURES, "target"])
 
 
-def tree_panel_of(feats: DataFrame) -> DataFrame:
-    """The panel with fd_z. Weights and z-score together need over 1,700 rows of a ticker, more than the least of 500 that published practice asks for."""
-    x = fracdiff.ffd(feats.withColumnRenamed("lp", "x"), tau=1e-5).withColumn("fd_z", frames.zscore("y"))
-    return x.na.drop(subset=[*model.TREE_FEATURES, "target"])
+def ml_panel(s: SparkSession, d: str) -> DataFrame:
+    return kept(panel_of(feats(s, d)))
 
 
 def momentum(s: SparkSession, d: str) -> bt.Backtest:
@@ -85,7 +84,7 @@ def hurst_panel(s: SparkSession, d: str) -> DataFrame:
 
 
 def with_hurst(x: DataFrame) -> DataFrame:
-    h = fractal.rolling_dfa(x.select("ticker", "i", "r"), 500, 21, ROLL_SCALES)
+    h = fractal.rolling_dfa(x.select("ticker", "i", "r"), 500, 21)
     return h.join(x.select("ticker", "i", "date", F.col("vol_252").alias("vol")), ["ticker", "i"]).withColumn("cls", broad_class())
 
 
@@ -149,39 +148,34 @@ def class_map_broad(s, d):
 # Windows
 
 
-@query(pick("feat", "ticker date", "mom_12_1 ret_1m vol_60 vol_252 target fwd_vol_21"))
+@query(pick("featz", "ticker date", "mom_12_1 ret_1m vol_60 vol_252 fd_z target fwd_vol_21"))
 def feature_panel(s, d):
-    return feats(s, d).select("ticker", "date", "mom_12_1", "ret_1m", "vol_60", "vol_252", "target", "fwd_vol_21")
+    return with_fd_z(feats(s, d)).select("ticker", "date", "mom_12_1", "ret_1m", "vol_60", "vol_252", "fd_z", "target", "fwd_vol_21")
 
 
-@query(pick("panel", "ticker date", "mom_12_1 ret_1m vol_60 vol_252 target"))
+@query(pick("panel", "ticker date", "mom_12_1 ret_1m vol_60 vol_252 fd_z target"))
 def ml_panel_rows(s, d):
-    return ml_panel(s, d).select("ticker", "date", "mom_12_1", "ret_1m", "vol_60", "vol_252", "target")
+    return panel_of(feats(s, d)).select("ticker", "date", *model.FEATURES, "target")
 
 
 @query(pick("zsc", "ticker date", "z", "z IS NOT NULL"))
 def rolling_zscore(s, d):
-    return feats(s, d).select("ticker", "date", frames.zscore("ret_1m").alias("z")).where("z is not null")
+    return frames.zscored(feats(s, d), "ret_1m", "z").where("z is not null").select("ticker", "date", "z")
 
 
 @query(sql("SELECT ticker, date, round(CASE WHEN mom_12_1 IS NOT NULL THEN 0.5::DOUBLE * coalesce(z, 0) + 0.5::DOUBLE * mom_12_1 END, 6) + 0.0::DOUBLE AS blend FROM zsc"))
 def blend_factor(s, d):
-    x = feats(s, d).withColumn("z", frames.zscore("ret_1m"))
+    x = frames.zscored(feats(s, d), "ret_1m", "z")
     return x.select("ticker", "date", (0.5 * F.coalesce("z", F.lit(0.0)) + 0.5 * F.col("mom_12_1")).alias("blend"))
 
 
-def _gappy(s, d):
-    """Each brand on every day, with the gaps that it really has."""
-    x = bars(s, d)
-    return x.select("date").distinct().crossJoin(x.select("ticker").distinct()).join(x.select("ticker", "date", "close"), ["ticker", "date"], "left")
-
-
 _GAPPY = "(SELECT g.ticker, g.date, p.close FROM grid g LEFT JOIN px p ON p.ticker = g.ticker AND p.date = g.date)"
 
 
 @query(sql(f"SELECT ticker, date, round(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date), 6) AS before, round(first_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS after FROM {_GAPPY}"))
 def asof_fills(s, d):
-    return _gappy(s, d).select("ticker", "date", frames.forward_fill("close").alias("before"), frames.backward_fill("close").alias("after"))
+    """Each brand on every day, with the gaps that it really has."""
+    return frames.filled(panels.grid(bars(s, d)), "close", "before", "after").select("ticker", "date", "before", "after")
 
 
 # Backtests
@@ -259,7 +253,10 @@ def stats_unpivot(s, d):
     return x.unpivot([], ["mean_gross", "mean_net", "turnover"], "metric", "value")
 
 
-@query(sql("SELECT * FROM (PIVOT (SELECT date, ticker, round(r, 6) + 0.0::DOUBLE AS r FROM mret) ON ticker USING max(r) GROUP BY date)"))
+_BRANDS = [f"Brand#{k}" for k in range(1, 26)]
+
+
+@query(sql("SELECT date, " + ", ".join(f"max(round(r, 6) + 0.0::DOUBLE) FILTER (WHERE ticker = '{b}') AS \"{b}\"" for b in _BRANDS) + " FROM mret GROUP BY date"))
 def panel_pivot(s, d):
     """All tickers as columns."""
     return kept(bt.month_returns(feats(s, d))).groupBy("date").pivot("ticker").agg(F.max("r"))
@@ -300,7 +297,7 @@ def residual_sort_backtest(s, d):
 
 @query(pick("dfa", "ticker", "h"))
 def hurst_dfa_full(s, d):
-    return fractal.dfa(returns_series(s, d), LONG_SCALES)
+    return fractal.dfa(returns_series(s, d))
 
 
 @query(pick("roll", "ticker i", "h"))
@@ -310,23 +307,29 @@ def hurst_dfa_rolling(s, d):
 
 @query(sql("SELECT round(avg(h), 6) AS mean, round(stddev_samp(h), 6) AS std, round(quantile_cont(h, 0.05), 6) AS p05, round(quantile_cont(h, 0.95), 6) AS p95, round(max(h) - min(h), 6) AS range, count(*) AS n, count(*) FILTER (WHERE abs(h - 0.5) > 0.05) AS far FROM dfa"))
 def hurst_distribution(s, d):
-    x = fractal.dfa(returns_series(s, d), LONG_SCALES)
+    x = fractal.dfa(returns_series(s, d))
     return x.agg(F.avg("h").alias("mean"), F.stddev_samp("h").alias("std"), F.percentile("h", F.lit(0.05)).alias("p05"), F.percentile("h", F.lit(0.95)).alias("p95"), (F.max("h") - F.min("h")).alias("range"), F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("h") - 0.5) > 0.05).alias("far"))
 
 
 @query(sql("SELECT ticker, round(h, 6) AS h FROM dfa ORDER BY h DESC, ticker LIMIT 5"))
 def hurst_topk(s, d):
-    return fractal.dfa(returns_series(s, d), LONG_SCALES).orderBy(F.desc("h"), "ticker").limit(5)
+    return fractal.dfa(returns_series(s, d)).orderBy(F.desc("h"), "ticker").limit(5)
 
 
-def _dfa_sql(source, scales):
+def _dfa_sql(source):
     """SQL for ticker, h of a source with ticker, i, n, x."""
-    return f"(SELECT ticker, regr_slope(ln(f), ln(s)) AS h FROM (SELECT ticker, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM (SELECT ticker, i, n, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM {source}), (VALUES {', '.join(f'({x})' for x in scales)}) v(s) WHERE s <= n // 2 AND i < s * (n // s) GROUP BY ticker, s, i // s) GROUP BY ticker, s) WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4)"
+    return f"(WITH src AS {source}, scl AS ({scales_sql('src', 10, 20, 1)}) SELECT ticker, regr_slope(ln(f), ln(s)) AS h FROM (SELECT ticker, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM (SELECT ticker, i, n, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM src) JOIN scl USING (ticker, n) WHERE i < s * (n // s) GROUP BY ticker, s, i // s) GROUP BY ticker, s) WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4)"
+
+
+@query(pick("dfa2", "ticker", "h"))
+def hurst_dfa_quadratic(s, d):
+    """Windows detrended by parabolas."""
+    return fractal.dfa(returns_series(s, d), order=2)
 
 
 @query(sql("SELECT 'class' || (TRY_CAST(substr(ticker, 7) AS INT) % 5) AS cls, count(*) AS n, round(avg(h), 6) AS h_mean, round(stddev_samp(h), 6) AS h_std FROM dfa GROUP BY cls"))
 def hurst_class_summary(s, d):
-    x = fractal.dfa(returns_series(s, d), LONG_SCALES).groupBy(broad_class().alias("cls"))
+    x = fractal.dfa(returns_series(s, d)).groupBy(broad_class().alias("cls"))
     return x.agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("h_mean"), F.stddev_samp("h").alias("h_std"))
 
 
@@ -368,12 +371,12 @@ def newey_west(s, d):
 
 @query(pick("mf_h", "ticker q", "h"))
 def mfdfa_spectrum(s, d):
-    return fractal.spectrum(fractal.mfdfa(returns_series(s, d), MF_SCALES))
+    return fractal.spectrum(fractal.mfdfa(returns_series(s, d)))
 
 
 @query(sql("SELECT ticker, round(max(h) - min(h), 6) + 0.0::DOUBLE AS delta_h FROM mf_h GROUP BY ticker"))
 def mfdfa_delta_h(s, d):
-    return fractal.delta_h(fractal.spectrum(fractal.mfdfa(returns_series(s, d), MF_SCALES)))
+    return fractal.delta_h(fractal.spectrum(fractal.mfdfa(returns_series(s, d))))
 
 
 @query(sql("SELECT split_part(ticker, '|', 1) AS ticker, CAST(split_part(ticker, '|', 2) AS BIGINT) AS i, round(delta_h, 6) + 0.0::DOUBLE AS delta_h, round(h2, 6) AS h2 FROM rmf"))
@@ -425,33 +428,25 @@ def ffd_weights(s, d):
     return fracdiff.weight_table(s, 0.4, 1e-3)
 
 
-def _ffd_sql(final):
-    return _FFD + ", " + sql("SELECT ticker, date, i, lp FROM ret").removeprefix("WITH ").replace("\nSELECT ticker, date, i, lp FROM ret", "") + ", fs AS (SELECT b.ticker, b.i + wt.k AS i, sum(wt.w * b.lp) AS y, count(*) AS n FROM ret b CROSS JOIN wt GROUP BY b.ticker, b.i + wt.k), ff AS (SELECT a.ticker, a.date, a.i, fs.y FROM ret a JOIN fs ON fs.ticker = a.ticker AND fs.i = a.i WHERE fs.n = (SELECT count(*) FROM wt)) " + final
+_FFD_Y = sql("SELECT ticker, date, round(y, 6) + 0.0::DOUBLE AS y FROM ffd_all WHERE y IS NOT NULL")
+_FFD_Z = sql("SELECT ticker, date, round(fd_z, 6) + 0.0::DOUBLE AS z FROM ffd_z WHERE fd_z IS NOT NULL")
 
 
-@query(_ffd_sql("SELECT ticker, date, round(y, 6) + 0.0::DOUBLE AS y FROM ff"))
+@query(_FFD_Y)
 def ffd_series(s, d):
+    """With all weights down to 1e-5."""
     x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
-    return fracdiff.ffd(x, tau=1e-3).where("y is not null").select("ticker", "date", "y")
+    return fracdiff.ffd(x).where("y is not null").select("ticker", "date", "y")
 
 
-@query(_ffd_sql("SELECT ticker, date, round((y - m) / nullif(s, 0), 6) + 0.0::DOUBLE AS z FROM (SELECT *, avg(y) OVER f AS m, stddev_samp(y) OVER f AS s, count(y) OVER f AS c FROM ff WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE c = 252"))
+@query(_FFD_Z)
 def ffd_zscore(s, d):
     x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
-    return fracdiff.ffd(x, tau=1e-3).where("y is not null").select("ticker", "date", frames.zscore("y").alias("z")).where("z is not null")
+    return frames.zscored(fracdiff.ffd(x), "y", "z").where("z is not null").select("ticker", "date", "z")
 
 
-@query()
-def ffd_series_whole(s, d):
-    """With all weights down to 1e-5, where the SQL of ffd_series stops at 1e-3."""
-    x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
-    return fracdiff.ffd(x).where("y is not null").select("ticker", "date", "y")
-
-
-@query()
-def ffd_zscore_whole(s, d):
-    x = frames.with_returns(index(s, d)).withColumnRenamed("lp", "x")
-    return fracdiff.ffd(x).where("y is not null").select("ticker", "date", frames.zscore("y").alias("z")).where("z is not null")
+QUERIES["ffd_series_whole"], ORACLE["ffd_series_whole"] = QUERIES["ffd_series"], _FFD_Y
+QUERIES["ffd_zscore_whole"], ORACLE["ffd_zscore_whole"] = QUERIES["ffd_zscore"], _FFD_Z
 
 
 @query()
@@ -516,8 +511,7 @@ def exec_per_ticker_topk(s, d):
 
 @query(pick("psd", "ticker", "freq psd"))
 def welch_psd(s, d):
-    bars = panels.hourly_bars(s, d).withColumn("r", F.ln("close") - F.lag(F.ln("close")).over(W.partitionBy("ticker").orderBy("ts")))
-    return spectral.psd(fractal.series(bars, "r", "ts"))
+    return spectral.psd(fractal.series(frames.with_returns(panels.hourly_bars(s, d), "ts")))
 
 
 @query(sql("SELECT round(freq, 6) + 0.0::DOUBLE AS freq, round(avg(psd), 6) + 0.0::DOUBLE AS psd, count(*) AS n FROM psd GROUP BY freq"))
@@ -577,13 +571,13 @@ def xs_dispersion(s, d):
 #: DFA of white noise as long as a rolling window, 200 series: what the estimator makes of nothing.
 FLOOR_SERIES = 200
 _NOISE = "(SELECT id // 500 AS ticker, id % 500 AS i, 500 AS n, e - avg(e) OVER (PARTITION BY id // 500) AS x FROM (SELECT id, " + normal_sql("id // 500", "id % 500") + f" AS e FROM range(0, {500 * FLOOR_SERIES}) t(id)))"
-_FLOOR = f"(SELECT stddev_pop(h) AS noise FROM {_dfa_sql(_NOISE, ROLL_SCALES)})"
+_FLOOR = f"(SELECT stddev_pop(h) AS noise FROM {_dfa_sql(_NOISE)})"
 
 
 def _floor(s):
     """One row with noise, the standard deviation of h over series of white noise."""
     x = synthetic.white_noise(s, 500, FLOOR_SERIES).select(F.col("series_id").cast("string").alias("ticker"), "i", "r")
-    return fractal.dfa(x, ROLL_SCALES).agg(F.stddev_pop("h").alias("noise"))
+    return fractal.dfa(x).agg(F.stddev_pop("h").alias("noise"))
 
 
 @query(sql(f"SELECT ticker, count(*) AS windows, round(avg(h), 6) AS mean, round(stddev_samp(h), 6) AS std, round(any_value(noise), 6) AS noise, count(*) FILTER (WHERE abs(h - 0.5) > 1.96 * noise) AS breaches, round(avg(CAST(abs(h - 0.5) > 1.96 * noise AS DOUBLE)), 6) AS share FROM roll, {_FLOOR} GROUP BY ticker"))
@@ -606,18 +600,18 @@ def _shuffled_sql(reps):
 SHUFFLES = 3
 
 
-@query(sql(f"SELECT ticker, round(any_value(r), 6) AS h_real, round(avg(h), 6) AS h_shuffled, round(max(h) FILTER (WHERE rep = '0'), 6) AS h_single FROM (SELECT dfa.ticker, dfa.h AS r, g.h, split_part(g.ticker, '|', 2) AS rep FROM dfa JOIN {_dfa_sql(_shuffled_sql(SHUFFLES), LONG_SCALES)} g ON split_part(g.ticker, '|', 1) = dfa.ticker) GROUP BY ticker"))
+@query(sql(f"SELECT ticker, round(any_value(r), 6) AS h_real, round(avg(h), 6) AS h_shuffled, round(max(h) FILTER (WHERE rep = '0'), 6) AS h_single FROM (SELECT dfa.ticker, dfa.h AS r, g.h, split_part(g.ticker, '|', 2) AS rep FROM dfa JOIN {_dfa_sql(_shuffled_sql(SHUFFLES))} g ON split_part(g.ticker, '|', 1) = dfa.ticker) GROUP BY ticker"))
 def shuffle_means(s, d):
     """h of the returns in their order, its mean over shuffles, and that of one shuffle, whose spread over tickers is the noise."""
     x = returns_series(s, d)
-    made = fractal.dfa(synthetic.shuffles(x, SHUFFLES), LONG_SCALES).select(F.substring_index("ticker", "|", 1).alias("ticker"), F.substring_index("ticker", "|", -1).alias("rep"), F.col("h").alias("g"))
+    made = fractal.dfa(synthetic.shuffles(x, SHUFFLES)).select(F.substring_index("ticker", "|", 1).alias("ticker"), F.substring_index("ticker", "|", -1).alias("rep"), F.col("h").alias("g"))
     means = made.groupBy("ticker").agg(F.avg("g").alias("h_shuffled"), F.max(F.when(F.col("rep") == "0", F.col("g"))).alias("h_single"))
-    return fractal.dfa(x, LONG_SCALES).join(means, "ticker").select("ticker", F.col("h").alias("h_real"), "h_shuffled", "h_single")
+    return fractal.dfa(x).join(means, "ticker").select("ticker", F.col("h").alias("h_real"), "h_shuffled", "h_single")
 
 
-@query(sql(f"SELECT split_part(ticker, '|', 1) AS ticker, round(h, 6) AS h FROM {_dfa_sql(_shuffled_sql(1), LONG_SCALES)}"))
+@query(sql(f"SELECT split_part(ticker, '|', 1) AS ticker, round(h, 6) AS h FROM {_dfa_sql(_shuffled_sql(1))}"))
 def shuffle_control(s, d):
-    return fractal.dfa(synthetic.shuffled(returns_series(s, d)), LONG_SCALES)
+    return fractal.dfa(synthetic.shuffled(returns_series(s, d)))
 
 
 @query(pick("(SELECT ticker, min(date) AS first, max(date) AS last, count(close) AS n, min(date) <= DATE '1995-01-10' AS covered FROM px GROUP BY ticker)", "ticker first last n covered"))
@@ -643,20 +637,20 @@ def walkforward_ols(s, d):
 
 @query()
 def walkforward_gbt(s, d):
-    return model.walk_forward_trees(kept(tree_panel(s, d)))
+    return model.walk_forward_trees(ml_panel(s, d))
 
 
 @query()
 def gbt_sort_backtest(s, d):
     """The predictions traded: those of a month end are the next month's signal."""
     x = feats(s, d)
-    made = model.walk_forward_trees(kept(tree_panel_of(x))).withColumnRenamed("prediction", "factor")
+    made = model.walk_forward_trees(kept(panel_of(x))).withColumnRenamed("prediction", "factor")
     return bt.net_returns(bt.sort_backtest(made, x).returns)
 
 
 @query()
 def feature_importance(s, d):
-    return model.tree_importances(kept(tree_panel(s, d)))
+    return model.tree_importances(ml_panel(s, d))
 
 
 # Generators

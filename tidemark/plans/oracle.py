@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from tidemark.functions.fractal import Q_VALUES, dfa_scales, mfdfa_scales
+from tidemark.functions.fractal import Q_VALUES
 
 W = "(PARTITION BY ticker ORDER BY date)"
-LONG_SCALES, ROLL_SCALES, MF_SCALES = dfa_scales(2400), dfa_scales(500), mfdfa_scales(2400)
 
 
 def values(xs) -> str:
@@ -29,6 +29,13 @@ def normal_sql(series: str, i: str) -> str:
     return f"sqrt(-2 * ln({unit(chr(39) + 'a:' + chr(39) + key)})) * cos(2 * pi() * {unit(chr(39) + 'b:' + chr(39) + key)})"
 
 
+def scales_sql(source: str, low: int, count: int, order: int) -> str:
+    """ticker, n, s: the window lengths of each series of a source, by its own length."""
+    a, last = f"{math.log10(low)!r}::DOUBLE", count - 1
+    grid = f"CASE WHEN k = {last} THEN pow(10.0::DOUBLE, log10(m::DOUBLE)) ELSE pow(10.0::DOUBLE, {a} + k * ((log10(m::DOUBLE) - {a}) / {last}.0::DOUBLE)) END"
+    return f"SELECT DISTINCT ticker, n, s FROM (SELECT ticker, n, CAST(floor({grid}) AS BIGINT) AS s FROM (SELECT DISTINCT ticker, n, greatest(n // 4, {low}) AS m FROM {source}), range(0, {count}) u(k)) WHERE s > {2 * (order + 1)} AND s <= n // 2"
+
+
 CTES: dict[str, str] = {
     "px": "SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "nat": "SELECT n_name AS ticker, r_name AS asset_class, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
@@ -42,19 +49,26 @@ CTES: dict[str, str] = {
       lead(lp, 21) OVER {W} - lp AS target,
       sqrt(252) * {rolling('stddev_samp', 'r', '1 FOLLOWING', '21 FOLLOWING', 21, 'v').replace(' AS v', '')} AS fwd_vol_21 FROM ret""",
     "zsc": f"SELECT *, (ret_1m - m) / nullif(s, 0) AS z FROM (SELECT *, {rolling('avg', 'ret_1m', '251 PRECEDING', 'CURRENT ROW', 252, 'm')}, {rolling('stddev_samp', 'ret_1m', '251 PRECEDING', 'CURRENT ROW', 252, 's')} FROM feat)",
-    "panel": "SELECT * FROM feat WHERE mom_12_1 IS NOT NULL AND ret_1m IS NOT NULL AND vol_60 IS NOT NULL AND vol_252 IS NOT NULL AND target IS NOT NULL",
-    "mret": "SELECT ticker, last_day(date) AS date, coalesce(sum(r), 0) AS r FROM ret GROUP BY ALL",
+    "ffd_w": "SELECT k, w FROM (SELECT j AS k, product(CASE WHEN j = 0 THEN 1.0::DOUBLE ELSE (j - 1 - 0.4::DOUBLE) / j END) OVER (ORDER BY j) AS w FROM range(0, 10000) t(j)) WHERE abs(w) >= 1e-5",
+    "ffd_y": "SELECT ticker, i, sum(w * lp) AS y FROM (SELECT ticker, i + k AS i, w, lp FROM ret, ffd_w) GROUP BY ticker, i HAVING count(*) = (SELECT count(*) FROM ffd_w)",
+    "ffd_all": "SELECT r.*, y FROM ret r LEFT JOIN ffd_y USING (ticker, i)",
+    "ffd_z": f"SELECT ticker, date, i, y, (y - m) / nullif(s, 0) AS fd_z FROM (SELECT *, {rolling('avg', 'y', '251 PRECEDING', 'CURRENT ROW', 252, 'm')}, {rolling('stddev_samp', 'y', '251 PRECEDING', 'CURRENT ROW', 252, 's')} FROM ffd_all)",
+    "featz": "SELECT feat.*, fd_z FROM feat JOIN ffd_z USING (ticker, date)",
+    "panel": "SELECT * FROM featz WHERE mom_12_1 IS NOT NULL AND ret_1m IS NOT NULL AND vol_60 IS NOT NULL AND vol_252 IS NOT NULL AND fd_z IS NOT NULL AND target IS NOT NULL",
+    "months": "SELECT last_day(CAST(unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS DATE)) AS date FROM (SELECT min(date) AS a, max(date) AS b FROM ret)",
+    "mret": "SELECT t.ticker, m.date, coalesce(sum(r), 0) AS r FROM months m CROSS JOIN (SELECT DISTINCT ticker FROM ret) t LEFT JOIN ret ON ret.ticker = t.ticker AND last_day(ret.date) = m.date GROUP BY ALL",
     "fac_mom": "SELECT ticker, date, mom_12_1 AS factor FROM feat",
     "prof": "SELECT ticker, i, n, x, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n, r - avg(r) OVER (PARTITION BY ticker) AS x FROM ret WHERE r IS NOT NULL) WHERE n >= 100",
-    "dfa_w": f"SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM prof, (VALUES {values(LONG_SCALES)}) v(s) WHERE s <= n // 2 AND i < s * (n // s) GROUP BY ticker, s, i // s",
+    "dfa_s": scales_sql("prof", 10, 20, 1),
+    "dfa_w": "SELECT ticker, s, i // s AS w, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM prof JOIN dfa_s USING (ticker, n) WHERE i < s * (n // s) GROUP BY ticker, s, i // s",
     "dfa_f": "SELECT ticker, s, sqrt(avg(mse)) AS f FROM dfa_w GROUP BY ALL",
     "dfa": "SELECT ticker, regr_slope(ln(f), ln(s)) AS h FROM dfa_f WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4",
-    "roll_y": "SELECT ticker, i, y - avg(y) OVER (PARTITION BY ticker) AS y FROM (SELECT ticker, i, sum(coalesce(r - m, 0)) OVER (PARTITION BY ticker ORDER BY i) AS y FROM (SELECT *, avg(r) OVER (PARTITION BY ticker) AS m FROM ret))",
-    "roll_w": f"""SELECT e.ticker, e.i AS e, s, y.i - (e.i - 500) AS j, (y.i - (e.i - 500)) // s AS w, y.y
-      FROM ret e, (VALUES {values(ROLL_SCALES)}) v(s), roll_y y
-      WHERE e.i >= 500 AND (e.i - 500) % 21 = 0 AND y.ticker = e.ticker AND y.i >= e.i - 500 AND y.i < e.i - 500 + s * (500 // s)""",
-    "roll_f": "SELECT ticker, e, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, e, s, w, greatest(regr_syy(y, j) - regr_sxy(y, j) ** 2 / regr_sxx(y, j), 0) / s AS mse FROM roll_w GROUP BY ticker, e, s, w) GROUP BY ticker, e, s",
-    "roll": "SELECT ticker, e AS i, regr_slope(ln(f), ln(s)) AS h FROM roll_f WHERE f > 0 GROUP BY ALL HAVING count(*) >= 4",
+    "roll_s": scales_sql("rprof", 10, 20, 1),
+    "roll_f": "SELECT ticker, s, sqrt(avg(mse)) AS f FROM (SELECT ticker, s, greatest(regr_syy(y, i) - regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) / s AS mse FROM rprof JOIN roll_s USING (ticker, n) WHERE i < s * (n // s) GROUP BY ticker, s, i // s) GROUP BY ticker, s",
+    "roll": "SELECT split_part(ticker, '|', 1) AS ticker, CAST(split_part(ticker, '|', 2) AS BIGINT) AS i, regr_slope(ln(f), ln(s)) AS h FROM roll_f WHERE f > 0 GROUP BY ALL HAVING count(*) >= 4",
+    "dfa2_s": scales_sql("prof", 10, 20, 2),
+    "dfa2_w": "SELECT ticker, s, (sum(yc * yc) - sum(yc * u) ** 2 / (s * (s * s - 1.0::DOUBLE) / 12) - sum(yc * (u * u - (s * s - 1) / 12.0::DOUBLE)) ** 2 / (s::DOUBLE * (s * s - 1) * (s * s - 4) / 180)) / s AS mse FROM (SELECT ticker, s, i // s AS w, i % s - (s - 1) / 2.0::DOUBLE AS u, y - avg(y) OVER (PARTITION BY ticker, s, i // s) AS yc FROM prof JOIN dfa2_s USING (ticker, n) WHERE i < s * (n // s)) GROUP BY ticker, s, w",
+    "dfa2": "SELECT ticker, regr_slope(ln(f), ln(s)) AS h FROM (SELECT ticker, s, sqrt(avg(greatest(mse, 0))) AS f FROM dfa2_w GROUP BY ALL) WHERE f > 0 GROUP BY ticker HAVING count(*) >= 4",
     "fac_hurst": "SELECT ticker, date, h AS factor FROM roll JOIN ret USING (ticker, i)",
     "rollvol": "SELECT r.ticker, r.i, r.date, r.h, f.vol_252 AS vol, 'class' || (TRY_CAST(substr(r.ticker, 7) AS INT) % 5) AS cls FROM (SELECT ticker, i, h, date FROM roll JOIN ret USING (ticker, i)) r JOIN feat f USING (ticker, i)",
     "res1": "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n, count(*) OVER (PARTITION BY date, cls) AS k FROM rollvol WHERE h IS NOT NULL AND vol IS NOT NULL) WHERE n >= 20 AND k >= 2",
@@ -65,9 +79,10 @@ CTES: dict[str, str] = {
     "bandq": "SELECT *, greatest(1, least(CAST(ceil(1.1447::DOUBLE * pow(4 * rho * rho / pow(1 - rho * rho, 2) * n, 1.0::DOUBLE / 3)) AS BIGINT), n // 4)) AS q FROM band",
     "nw": "SELECT a.ticker, q.q, sqrt(greatest(sum(CASE WHEN q.j = 0 THEN 1 ELSE 2 * (1 - q.j / (q.q + 1.0::DOUBLE)) END * a.x * b.x / a.n), 1e-16)) AS s FROM prof a JOIN (SELECT ticker, q, unnest(range(0, q + 1)) AS j FROM bandq) q ON q.ticker = a.ticker JOIN prof b ON b.ticker = a.ticker AND b.i = a.i - q.j GROUP BY a.ticker, q.q",
     "nw0": "SELECT ticker, 0 AS q, sqrt(greatest(sum(x * x / n), 1e-16)) AS s FROM prof GROUP BY ALL",
-    "mf_x": f"""SELECT *, j // s AS w, j % s - (s - 1) / 2.0::DOUBLE AS u FROM (
+    "mf_s": scales_sql("prof", 20, 12, 2),
+    "mf_x": """SELECT *, j // s AS w, j % s - (s - 1) / 2.0::DOUBLE AS u FROM (
       SELECT ticker, i, y, n, s, n // s AS m, d, CASE WHEN d = 0 THEN i ELSE i - (n - (n // s) * s) END AS j
-      FROM prof, (VALUES {values(MF_SCALES)}) v(s), (VALUES (0), (1)) t(d) WHERE n >= 200 AND s <= n // 2) WHERE j >= 0 AND j < m * s""",
+      FROM prof JOIN mf_s USING (ticker, n), (VALUES (0), (1)) t(d) WHERE n >= 200) WHERE j >= 0 AND j < m * s""",
     "mf_w": "SELECT ticker, s, (sum(yc * yc) - sum(yc * u) ** 2 / (s * (s * s - 1.0::DOUBLE) / 12) - sum(yc * (u * u - (s * s - 1) / 12.0::DOUBLE)) ** 2 / (s::DOUBLE * (s * s - 1) * (s * s - 4) / 180)) / s AS f2, sum(yc * yc) / s AS raw FROM (SELECT *, y - avg(y) OVER (PARTITION BY ticker, s, d, w) AS yc FROM mf_x) GROUP BY ticker, s, d, w",
     "mf_f": f"SELECT ticker, q, s, pow(avg(pow(f2, q / 2)), 1 / q) AS f FROM mf_w, (VALUES {values(f'{q}::DOUBLE' for q in Q_VALUES)}) v(q) WHERE f2 > 1e-12::DOUBLE * raw GROUP BY ticker, q, s HAVING count(*) >= 4",
     "mf_h": "SELECT ticker, q, regr_slope(ln(f), ln(s)) AS h FROM mf_f WHERE f > 0 GROUP BY ALL HAVING count(*) >= 4",
@@ -121,11 +136,9 @@ for _name in ("mom", "hurst", "res"):
     backtest(_name)
 
 
-ROLL_MF_SCALES = mfdfa_scales(500)
 CTES["rprof"] = "SELECT *, sum(x) OVER (PARTITION BY ticker ORDER BY i) AS y FROM (SELECT p.ticker || '|' || e.i AS ticker, row_number() OVER (PARTITION BY p.ticker, e.i ORDER BY p.i) - 1 AS i, count(*) OVER (PARTITION BY p.ticker, e.i) AS n, p.r - avg(p.r) OVER (PARTITION BY p.ticker, e.i) AS x FROM ret e JOIN ret p ON p.ticker = e.ticker AND p.i >= e.i - 500 AND p.i < e.i WHERE e.i >= 500 AND (e.i - 500) % 21 = 0 AND p.r IS NOT NULL) WHERE n >= 400"
-CTES["rmf_x"] = CTES["mf_x"].replace("prof", "rprof").replace(values(MF_SCALES), values(ROLL_MF_SCALES))
-for _k in "wfh":
-    CTES[f"rmf_{_k}"] = CTES[f"mf_{_k}"].replace("mf_", "rmf_")
+for _k in "sxwfh":
+    CTES[f"rmf_{_k}"] = CTES[f"mf_{_k}"].replace("mf_", "rmf_").replace("prof", "rprof")
 CTES["rmf"] = "SELECT ticker, max(h) - min(h) AS delta_h, max(h) FILTER (WHERE q = 2) AS h2 FROM rmf_h GROUP BY ticker"
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocked import in_blocks, numbered, scans
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,24 +51,34 @@ def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("n_name").alias("ticker"), F.col("r_name").alias("asset_class"), "date").agg(F.avg(F.try_divide("l_extendedprice", "l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
 
 
-def dense(bars: DataFrame) -> DataFrame:
-    """Every ticker on every day of the shared calendar, close carried forward.
+def grid(bars: DataFrame) -> DataFrame:
+    """ticker, date, i, close: every ticker on every day of the shared calendar, with the gaps that it has; i counts the days.
 
     The grid is the product of two dimensions, days and tickers, which is the result's own size.
     """
-    grid = bars.select("date").distinct().crossJoin(bars.select("ticker").distinct())
-    filled = F.last("close", ignorenulls=True).over(W.partitionBy("ticker").orderBy("date").rowsBetween(W.unboundedPreceding, 0))
-    return grid.join(bars.select("ticker", "date", "close"), ["ticker", "date"], "left").select("ticker", "date", filled.alias("close"))
+    days = numbered(bars.select("date").distinct(), "date", keys=())
+    return days.crossJoin(bars.select("ticker").distinct()).join(bars.select("ticker", "date", "close"), ["ticker", "date"], "left").select("ticker", "date", "i", "close")
+
+
+def _filled(bars: DataFrame) -> DataFrame:
+    return scans(in_blocks(grid(bars)), close=("last", "close"))
+
+
+def dense(bars: DataFrame) -> DataFrame:
+    """Every ticker on every day of the shared calendar, close carried forward."""
+    return _filled(bars).select("ticker", "date", "close")
 
 
 def index_panel(bars: DataFrame) -> DataFrame:
-    """An index for each ticker whose returns are its standardised prices over a hundred, from the day that all tickers have begun."""
-    all_ = W.partitionBy("ticker")
-    z = (F.col("close") - F.avg("close").over(all_)) / F.nullif(F.stddev_samp("close").over(all_), F.lit(0.0))
+    """ticker, date, i, close: an index for each ticker whose returns are its standardised prices over a hundred, from the day that all tickers have begun.
+
+    The running sum of scores comes from that of prices; a ticker whose price never moves has none.
+    """
     begun = bars.groupBy("ticker").agg(F.min("date").alias("first")).agg(F.max("first").alias("begun"))  # one row
-    common = dense(bars).join(F.broadcast(begun), F.col("date") >= F.col("begun"))
-    scored = common.where("close is not null").withColumn("z", z)
-    return scored.select("ticker", "date", (100 * F.exp(F.sum(0.01 * F.col("z")).over(all_.orderBy("date").rowsBetween(W.unboundedPreceding, 0)))).alias("close"))
+    common = _filled(bars).join(F.broadcast(begun), F.col("date") >= F.col("begun")).where("close is not null")
+    x = scans(common.select("ticker", "block", "date", "i", "close"), sum=("sum", "close"), k=("count", "close"), mean=("mean", "close"), std=("std", "close"))
+    score = (F.col("sum") - F.col("k") * F.col("mean")) / F.nullif("std", F.lit(0.0))
+    return x.select("ticker", "date", (F.col("k") - 1).alias("i"), (100 * F.exp(0.01 * score)).alias("close"))
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
