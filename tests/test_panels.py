@@ -35,14 +35,6 @@ def test_dfa_recovers_h_and_matches_polyfit(spark):
     assert abs(np.polyfit(np.log(scales), np.log(fs), 1)[0] - got["0.5|0"]) < 1e-9
 
 
-def test_weights_and_min_d(spark):
-    assert fracdiff.weights(0.0) == [1.0]
-    assert fracdiff.weights(1.0)[:2] == [1.0, -1.0]
-    walk = synthetic.random_walk(spark, 600, 1).select(F.lit("w").alias("ticker"), "i", "x")
-    noise = synthetic.white_noise(spark, 600, 1).select(F.lit("n").alias("ticker"), "i", F.col("r").alias("x"))
-    got = {r.ticker: r.min_d for r in fracdiff.min_d(walk.unionByName(noise)).collect()}
-    assert got["n"] == 0.0 and got["w"] is not None and got["w"] > 0
-
 
 def test_costs_are_charged_on_notional(spark):
     rows = spark.createDataFrame([(1, 0.01, None, None), (2, 0.02, 4.0, 1.0), (3, 0.0, 2.0, 0.5)], "seq long, ls_r double, traded double, turnover double")

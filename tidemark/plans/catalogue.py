@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from tidemark.functions import fracdiff, fractal, spectral, synthetic
 from tidemark.operators import audit, execution, frames, inference, model
 from tidemark.operators import backtest as bt
 from tidemark.plans.oracle import normal_sql, pick, scales_sql, sql
-from tidemark.sources import panels
-from tidemark.sources.kept import kept
+from tidemark.sources import cache, markup, panels
+from tidemark.sources.kept import kept, shared_folder
 from tidemark.streaming import bars as stream
 
 FLAGSHIP = "momentum_sort_backtest"
@@ -125,6 +126,46 @@ def html_table_extract(s, d):
     return panels.html_fields(panels.table(s, d, "pages"), "a")
 
 
+_LOADS = (("close", "1995-01-01", "1995-06-30"), ("volume", "1995-01-01", "1995-06-30"), ("close", "1994-10-01", "1995-12-31"), ("close", "1995-02-01", "1995-03-01"))
+_WANTED = [("close", "1995-01-01", "1995-06-30"), ("volume", "1995-01-01", "1995-06-30"), ("close", "1994-10-01", "1994-12-31"), ("close", "1995-07-01", "1995-12-31")]
+
+
+def _loaded(s, d):
+    """The requests of _LOADS, one after the other, through a cache that begins empty: the rows of each, and the gaps that it read."""
+    root, all_bars = f"{shared_folder(s)}/cache-{uuid.uuid4().hex}", bars(s, d)
+    return [cache.load(s, root, cache.requests(s, all_bars, *asked), cache.from_bars(all_bars)) for asked in _LOADS]
+
+
+@query(sql("SELECT ticker, date, round(close, 6) + 0.0::DOUBLE AS close FROM px WHERE date BETWEEN DATE '1994-10-01' AND DATE '1995-12-31'"))
+def price_cache(s, d):
+    """A request that what is held covers in part."""
+    return _loaded(s, d)[2][0].select("ticker", "date", F.col("value").alias("close"))
+
+
+@query(sql("SELECT field, start, CAST(last AS DATE) AS last, count(*) AS tickers FROM (SELECT DISTINCT ticker FROM px), (VALUES " + ", ".join(f"('{f}', DATE '{a}', DATE '{b}')" for f, a, b in _WANTED) + ") v(field, start, last) GROUP BY ALL"))
+def price_cache_reads(s, d):
+    """What was asked of the source in all: no day of a field twice."""
+    read = [gaps for _, gaps in _loaded(s, d)]
+    return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3]).groupBy("field", "start", F.col("end").alias("last")).agg(F.count(F.lit(1)).alias("tickers"))
+
+
+def _directory(s, d):
+    """page_id, html: each 200 customers as a web page of two tables; a segment is one cell beside all its customers."""
+    x = panels.table(s, d, "customer").select(F.expr("c_custkey div 200").alias("page_id"), "c_mktsegment", "c_name")
+    lines = x.groupBy("page_id", "c_mktsegment").agg(F.array_sort(F.collect_list("c_name")).alias("names"))
+    cells = F.transform("names", lambda name, k: F.concat(F.lit("<tr>"), F.when(k == 0, F.concat(F.lit("<td rowspan='"), F.size("names").cast("string"), F.lit("'>"), F.col("c_mktsegment"), F.lit("</td>"))).otherwise(F.lit("")), F.lit("<td><a href='#'>"), name, F.lit("</a>.&amp;</td></tr>\n")))
+    made = lines.select("page_id", F.struct("c_mktsegment", F.array_join(cells, "").alias("rows")).alias("part")).groupBy("page_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return made.select("page_id", F.concat(F.lit("<h1>x</h1><table><tr><td>no head</td></tr></table><TABLE class=t><tr><th>Sector</th><th>Symbol</th></tr>"), F.array_join(F.transform("parts", lambda p: p["rows"]), ""), F.lit("</TABLE>")).alias("html"))
+
+
+@query("SELECT c_custkey // 200 AS page_id, 1::BIGINT AS n, row_number() OVER (PARTITION BY c_custkey // 200 ORDER BY c_mktsegment, c_name) AS row, c_name || '-&' AS value, c_mktsegment AS sector FROM customer")
+def html_table_column(s, d):
+    """Two columns of a table by the names over them."""
+    cells = markup.tables(_directory(s, d))
+    sector = markup.column(cells, "Sector").withColumnRenamed("value", "sector")
+    return markup.column(cells, "Symbol").join(sector, ["page_id", "n", "row"])
+
+
 @query("SELECT DISTINCT c_mktsegment AS member FROM customer UNION SELECT DISTINCT o_orderpriority FROM orders UNION SELECT DISTINCT p_brand FROM part")
 def universe_union(s, d):
     parts = [panels.table(s, d, t).select(F.col(c).alias("member")) for t, c in (("customer", "c_mktsegment"), ("orders", "o_orderpriority"), ("part", "p_brand"))]
@@ -449,6 +490,12 @@ QUERIES["ffd_series_whole"], ORACLE["ffd_series_whole"] = QUERIES["ffd_series"],
 QUERIES["ffd_zscore_whole"], ORACLE["ffd_zscore_whole"] = QUERIES["ffd_zscore"], _FFD_Z
 
 
+@query()
+def adf_by_order(s, d):
+    """The test behind the least order: lags by AIC, t and p-value of each ticker and d."""
+    return fracdiff.adf(frames.with_returns(index(s, d)).select("ticker", "i", F.col("lp").alias("x")))
+
+
 @query()
 def min_d_adf(s, d):
     return fracdiff.min_d(frames.with_returns(index(s, d)).select("ticker", "i", F.col("lp").alias("x")))
