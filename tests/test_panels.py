@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.oracle import connect, differences
 from tidemark.functions import fracdiff, fractal, synthetic
 from tidemark.operators import backtest as bt
-from tidemark.operators import audit, frames, inference, model
+from tidemark.operators import audit, frames, model
 from tidemark.plans import catalogue
 from tidemark.sources import panels
 
@@ -44,15 +44,6 @@ def test_costs_are_charged_on_notional(spark):
     assert np.allclose([r.net_r for r in bt.net_returns(legacy, 10.0).orderBy("seq").collect()], net)
 
 
-def test_blocks_keep_neighbours(spark):
-    rows = inference.numbered(spark.range(60).select("id"), "id")
-    near = []
-    for block in (1.0, 10.0):
-        d = {(r.rep, r.place): r.k for r in inference.draws(rows, 20, block).collect()}
-        near.append(np.mean([(d[r, p] + 1) % 60 == d[r, p + 1] for r in range(20) for p in range(59)]))
-    assert near[0] < 0.1 and near[1] > 0.5
-
-
 def test_embargo_leaves_the_horizon_out(spark, sf):
     for r in catalogue.QUERIES["walkforward_train_sets"](spark, "/root/testdata/sf0.01").collect():
         assert r.last_used <= r.train_end and (r.rebal - r.train_end).days >= 30

@@ -9,20 +9,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import fractal, synthetic
+from tidemark.functions.blocked import numbered
+from tidemark.functions.ordered import expanding_median
+from tidemark.sources.kept import kept
 
 
 def gate(rows: DataFrame, causal: bool = True, warm_up: int = 40) -> DataFrame:
     """rows (date, delta_h, fwd): gated is fwd where delta_h is at most the threshold, else 0.
 
     The causal threshold is the median of the rows before, and the first ``warm_up`` rows are in; the leaky
-    one is the median of all rows, kept to show what hindsight earns. One row for each month of one series.
+    one is the median of all rows, kept to show what hindsight earns. Rows of one series, each with a delta_h and a date of its own.
     """
-    by = W.orderBy("date")
-    x = rows.withColumn("rn", F.row_number().over(by))
-    frame = by.rowsBetween(W.unboundedPreceding, -1) if causal else W.partitionBy()
-    x = x.withColumn("threshold", F.percentile("delta_h", F.lit(0.5)).over(frame))
-    inside = F.col("delta_h") <= F.col("threshold")
-    inside = (F.col("rn") <= warm_up) | inside if causal else inside
+    x = kept(numbered(rows, "date", keys=()))
+    if causal:
+        x = expanding_median(x, "delta_h", "threshold")
+        inside = (F.col("i") < warm_up) | (F.col("delta_h") <= F.col("threshold"))
+    else:
+        x = x.crossJoin(F.broadcast(x.agg(F.percentile("delta_h", F.lit(0.5)).alias("threshold"))))  # one row
+        inside = F.col("delta_h") <= F.col("threshold")
     return x.select("date", "delta_h", "fwd", "threshold", F.when(inside, F.col("fwd")).otherwise(0.0).alias("gated"))
 
 

@@ -143,12 +143,14 @@ CTES["rmf"] = "SELECT ticker, max(h) - min(h) AS delta_h, max(h) FILTER (WHERE q
 
 
 def boot(block: float) -> None:
+    """Runs of neighbours, written out draw by draw."""
     n = f"bt{int(block)}"
     CTES["bs"] = "SELECT seq - 1 AS k, net_r, ls_r, count(*) OVER () AS n FROM mom_bt"
-    start = f"CAST(floor({unit(chr(39) + '0:' + chr(39) + ' || rep || ' + chr(39) + ':' + chr(39) + ' || k')} * n) AS BIGINT)"
-    again = f"k = 0 OR {unit(chr(39) + 'r:0:' + chr(39) + ' || rep || ' + chr(39) + ':' + chr(39) + ' || k')} < 1.0::DOUBLE / {block}"
-    CTES[f"{n}_i"] = f"SELECT rep, k AS place, n, {start} AS st, {again} AS again FROM bs, range(0, 5000) t(rep)"
-    CTES[f"{n}_d"] = f"SELECT rep, place, st AS k FROM {n}_i" if block <= 1 else f"SELECT rep, place, (lst.st + place - lst.place) % n AS k FROM (SELECT *, last_value(CASE WHEN again THEN {{'place': place, 'st': st}} END IGNORE NULLS) OVER (PARTITION BY rep ORDER BY place) AS lst FROM {n}_i)"
+    most = "n" if block <= 1 else f"least(n, CAST(ceil(n / {block}::DOUBLE + 8 * sqrt(n / {block}::DOUBLE) + 8) AS BIGINT))"
+    drawn = "1" if block <= 1 else f"CASE WHEN j = most - 1 THEN n ELSE least(n, 1 + CAST(floor(ln({unit(chr(39) + 'r:0:' + chr(39) + ' || rep || ' + chr(39) + ':' + chr(39) + ' || j')}) / ln(1 - 1 / {block}::DOUBLE)) AS BIGINT)) END"
+    start = f"CAST(floor({unit(chr(39) + '0:' + chr(39) + ' || rep || ' + chr(39) + ':' + chr(39) + ' || j')} * n) AS BIGINT)"
+    CTES[f"{n}_r"] = f"SELECT rep, j, n, {start} AS st, {drawn} AS drawn FROM (SELECT rep, n, most, unnest(range(0, most)) AS j FROM (SELECT n, {most} AS most FROM bs LIMIT 1), range(0, 5000) t(rep))"
+    CTES[f"{n}_d"] = f"SELECT rep, (st + unnest(range(0, least(drawn, n - place)))) % n AS k FROM (SELECT *, CAST(sum(drawn) OVER (PARTITION BY rep ORDER BY j) - drawn AS BIGINT) AS place FROM {n}_r) WHERE place < n"
     CTES[f"{n}_s"] = f"SELECT rep, sqrt(12) * avg(net_r) / nullif(stddev_pop(net_r), 0) AS s, sqrt(12) * avg(ls_r) / nullif(stddev_pop(ls_r), 0) AS g FROM {n}_d d JOIN bs USING (k) GROUP BY rep"
 
 
