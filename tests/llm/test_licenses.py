@@ -97,3 +97,38 @@ def test_ids_null_repeated_and_long_texts(spark, docs):
     long = "plain words go on and on. " * 4000 + "\n\nReleased under the MIT License."
     rows = licenses.query(spark, docs([(None, long, "s"), (None, long, "s"), (1, long, "s"), (1, long, "s"), (2, None, "s")])).collect()
     assert sorted((r.doc_id or 0, r.families) for r in rows) == [(0, "mit")] * 2 + [(1, "mit")] * 2 + [(2, "")]
+
+
+def confirmed(model, text):
+    return [f["family"] for f in model.of(text)[1] if f["confirmed"]]
+
+
+def test_every_notice_of_a_line(model):
+    """Wordings that aren't the templates'."""
+    for text, families in (
+        ("Licensed under the MIT license. Released under the Apache 2.0 license.", ["apache", "mit"]),
+        ("You may use it under the Apache 2.0 license and the MIT license.", ["apache", "mit"]),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0", ["apache", "mit"]),
+        ("# SPDX-License-Identifier: (GPL-2.0-only WITH x) AND BSD-3-Clause", ["gpl"]),
+        ("Licensed under the MIT license.", ["mit"]),
+        ("Released under the MIT License. Some words between. Released under the MIT License.", ["mit", "mit"]),
+    ):
+        assert confirmed(model, text) == families, (text, model.of(text))
+
+
+def test_thousands_of_notices_in_a_line_take_a_second(model):
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        began = time.time()
+        got = model.of("Released under the MIT License. " * n)[1]
+        took.append(time.time() - began)
+        assert len(got) == n and all(f["confirmed"] and f["family"] == "mit" for f in got)
+    assert took[1] < 40 * max(took[0], 0.05)
+
+
+def test_the_sample_is_of_all_stretches_by_hash(spark, docs):
+    texts = [f"word{k} alone here" for k in range(500)] + ["long " * 60_000 + f"tail{k}" for k in range(3)] + ["word1 alone here", None, ""]
+    want = sorted({" ".join(w) for t in texts for line in licenses.paragraphs(t) for w in licenses.stretches(line)}, key=licenses.xxh64_intdigest)[:50]
+    assert [" ".join(w) for w in licenses.corpus_counts(docs(texts).repartition(5), 50)[1]] == want

@@ -77,3 +77,15 @@ def test_mixed_documents_stand_by_slot_and_take_any_columns(spark, sf):
     firsts = [r.source for r in rows[: len(rows) // 4]]
     shares = {s: sum(r.source == s for r in rows) / len(rows) for s in {r.source for r in rows}}
     assert all(abs(firsts.count(s) / len(firsts) - share) < 0.2 for s, share in shares.items())
+
+
+def test_rows_alike_lose_no_word(spark, docs):
+    for rows in ([(None, "a b c d e f g h i j", "s")] * 40, [(7, f"a b c d e f g h i j{k % 3}", "s") for k in range(41)] + [(k, "one two", "t") for k in range(9)], [(None, None, "s"), (None, "", "s"), (None, "x", None), (None, "y", None)]):
+        df = docs(rows).withColumns({c: F.lit("x") for c in ("__turn", "__k", "__words")})
+        for block in (16, 1024):
+            taken = {r.source: r.t for r in mixing.mix(df, block=block).groupBy("source").agg(F.sum("taken").alias("t")).collect() if r.t}
+            out = mixing.mixed_documents(df, block=block)
+            assert out.columns == df.columns
+            assert {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.n_words("text")).alias("n")).collect()} == taken
+            most = out.groupBy("doc_id", "source", "text").count().agg(F.max("count")).first()[0] or 0
+            assert most <= 2 * len(rows)

@@ -73,7 +73,7 @@ def test_links_as_brute_force(spark, groups):
                 x ^= 1 << b
             some.append(x)
     u = np.array(sorted(set(some)), np.uint64).view(np.int64)
-    nodes = spark.createDataFrame([(k, int(x)) for k, x in enumerate(u)], "least long, fp long")
+    nodes = spark.createDataFrame([(False, k, int(x)) for k, x in enumerate(u)], "none boolean, least long, fp long")
     got = [tuple(sorted((r.a.fp, r.b.fp))) for r in simhash.links(nodes, groups=groups).collect()]
     want = {(int(min(a, b)), int(max(a, b))) for i, a in enumerate(u) for b in u[i + 1 :] if np.bitwise_count(np.uint64(int(a) & (2**64 - 1)) ^ np.uint64(int(b) & (2**64 - 1))) <= 4}
     assert len(got) == len(set(got)) and set(got) == want
@@ -121,3 +121,10 @@ def test_rows_of_hot_and_other_fingerprints(spark, docs, hot, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", hot)  # none hot; those with a third of the rows
     words = "a b c d e f g h i j k l m n o p".split()
     compare(docs(["same words in this text here"] * 9 + [" ".join(words[k:]) for k in range(9)] + [None, ""]))
+
+
+def test_the_largest_id_is_no_null(spark, docs):
+    most = 2**63 - 1
+    df = docs([(most, "p q r s t", "s"), (None, "p q r s t", "s"), (None, "other words of no kin", "s"), (None, "other words of no kin", "s")])
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.query(spark, df).collect())
+    assert got == sorted([(str(most), str(most)), ("None", str(most)), ("None", "None"), ("None", "None")])

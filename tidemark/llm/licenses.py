@@ -14,6 +14,7 @@ which it begins.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator, Set
 from dataclasses import dataclass
@@ -22,6 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from tidemark.llm.common import durable
 
 UNKNOWN = "unknown"
 # Notices that the licences themselves ask for, or that are commonly written.
@@ -29,7 +33,7 @@ TEMPLATES = {
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "Released under the Apache 2.0 license.",
+        "Released under the Apache 2.0 license.", "under the Apache 2.0 license", "and the Apache 2.0 license", "or the Apache 2.0 license",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "agpl": [
@@ -39,7 +43,7 @@ TEMPLATES = {
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Licensed under the BSD 3-Clause License.",
+        "Licensed under the BSD 3-Clause License.", "under the BSD license", "and the BSD license", "or the BSD license",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause",
     ],
@@ -55,12 +59,12 @@ TEMPLATES = {
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "Licensed under the GPL, version 2 or later.",
+        "Licensed under the GPL, version 2 or later.", "under the GPL", "under the GNU General Public License",
         "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-or-later"],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License.", "This project is licensed under the MIT license.", "SPDX-License-Identifier: MIT"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License.", "This project is licensed under the MIT license.", "under the MIT license", "and the MIT license", "or the MIT license", "is open under MIT terms", "SPDX-License-Identifier: MIT"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved. No part of this work may be reproduced without written permission.", "Copyright by the authors. All rights reserved.", "All rights reserved.", "This document is confidential and proprietary and may not be distributed."],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
@@ -71,12 +75,12 @@ OTHER = [
     "She asked for permission to use the source of the river.", "The court granted the copyright claim, with costs.", "Public domain software was common at the time.",
     "The foundation gave a commons to the village, free of charge.", "Students may not use this room without permission.", "They licensed the technology to a competitor under a new contract.",
 ]
-#: Paragraphs of the corpus and variants of each template to train on; documents they come from, and up to how many characters.
-PARAGRAPHS, VARIANTS, DOCUMENTS, DOCUMENT_CHARS = 3000, 60, 400, 50_000
+#: Stretches of the corpus, those with the least hashes, and variants of each template to train on.
+PARAGRAPHS, VARIANTS = 3000, 60
 #: Words in a shingle, and the part of a template's shingles that confirms it.
 SHINGLE, CONFIRM = 5, 0.8
-#: Calibrated probability from which a stretch is of a family; below it is unknown.
-SURE = 0.5
+#: Calibrated probability of all families together from which a stretch is of some, and of one from which it is named.
+SURE, NAMED = 0.5, 0.25
 #: A longer paragraph is looked at in overlapping stretches of so many words.
 STRETCH = 24
 TOKEN = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -146,22 +150,67 @@ def similarity(words: list[str], family: str) -> float:
     return best
 
 
-def notices(words: list[str], claimed: set[int]) -> Iterator[tuple[str, float, list[int]]]:
-    """Family, similarity and places in the words of each notice that a template confirms, best first. Words are used once; ``claimed`` has those that are."""
-    while True:
-        best = (0.0, 0, "", [])
-        for family, templates in _TEMPLATE_SHINGLES.items():
-            for wanted, length in templates:
-                n, at = min(SHINGLE, length), {}
-                for k, shingle in enumerate(zip(*(words[j:] for j in range(n)))):
-                    if shingle in wanted and shingle not in at and claimed.isdisjoint(range(k, k + n)):
-                        at[shingle] = k
-                if (like := len(at) / len(wanted)) >= CONFIRM and (like, len(at)) > best[:2]:
-                    best = (like, len(at), family, sorted({k + j for k in at.values() for j in range(n)}))
-        if not best[1]:
-            return
-        claimed.update(best[3])
-        yield best[2], best[0], best[3]
+#: The templates, and where each shingle of theirs stands: (template, place).
+_LISTED = [(family, tokens(t)) for family, texts in TEMPLATES.items() for t in texts]
+_TAG = "spdx-license-identifier"
+_TAGGED = {words[1]: family for family, words in _LISTED if words[0] == _TAG}
+
+
+def _places() -> dict[int, dict[tuple, list[tuple[int, int]]]]:
+    """By length of shingle."""
+    out: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
+    for t, (_, words) in enumerate(_LISTED):
+        if words[0] == _TAG:
+            continue
+        n = min(SHINGLE, len(words))
+        for k, shingle in enumerate(zip(*(words[j:] for j in range(n)))):
+            out.setdefault(n, {}).setdefault(shingle, []).append((t, k))
+    return out
+
+
+_SHINGLE_PLACES = _places()
+
+
+def _tagged(words: list[str]) -> Iterator[tuple[str, float, list[int]]]:
+    """The identifiers that a tag lists, with or, and, with between them."""
+    for k, word in enumerate(words):
+        if word == _TAG:
+            for j in range(k + 1, len(words)):
+                if family := _TAGGED.get(words[j]):
+                    yield family, 1.0, [k, j] if j == k + 1 else [j]
+                elif words[j] not in ("or", "and", "with"):
+                    break
+
+
+def notices(words: list[str]) -> list[tuple[str, float, list[int]]]:
+    """Family, similarity and places in the words of each notice that a template confirms, in their order. Words are used once, by the most similar template and then the longest.
+
+    One pass over the words has the hits of each template; a run of them ends where a shingle comes again, or
+    twice the template's length and a stretch after it began.
+    """
+    hits: dict[int, list[tuple[int, int]]] = {}
+    for n, places in _SHINGLE_PLACES.items():
+        for k, shingle in enumerate(zip(*(words[j:] for j in range(n)))):
+            for t, at in places.get(shingle, ()):
+                hits.setdefault(t, []).append((k, at))
+    proposed = [(like, len(places), family, places) for family, like, places in _tagged(words)]
+    for t, found in hits.items():
+        family, wanted = _LISTED[t]
+        n = min(SHINGLE, len(wanted))
+        total, run = len(wanted) - n + 1, {}
+        for k, at in [*found, (len(words) + 3 * len(wanted) + STRETCH, -1)]:
+            if run and (at in run or k > min(run.values()) + 2 * len(wanted) + STRETCH):
+                if (like := len(run) / total) >= CONFIRM:
+                    proposed.append((like, len(run), family, sorted({p + j for p in run.values() for j in range(n)})))
+                run = {}
+            run[at] = k
+    claimed, kept = bytearray(len(words)), []
+    for like, _, family, places in sorted(proposed, key=lambda x: (-x[0], -len(x[3]), x[3])):
+        if not any(claimed[k] for k in places):
+            for k in places:
+                claimed[k] = 1
+            kept.append((family, like, places))
+    return sorted(kept, key=lambda x: x[2])
 
 
 def _variants(rng: np.random.Generator, words: list[str], around: list[list[str]]) -> list[str]:
@@ -207,9 +256,9 @@ class Model:
         return n, found
 
     def _named(self, words: list[str], base: int) -> list[tuple[int, int, np.ndarray]]:
-        """First and last place, and probabilities, of the stretches that are of some family."""
+        """First and last place, and probabilities, of the stretches that are of some family, by place."""
         parts = ((base + k * (STRETCH // 2), part, self.probabilities(part)) for k, part in enumerate(stretches(words)))
-        return [(at, at + len(part), p) for at, part, p in parts if p is not None and p[:-1].max() >= SURE]
+        return [(at, at + len(part), p) for at, part, p in parts if p is not None and 1 - p[-1] >= SURE]
 
     def _in_block(self, block: list[list[str]]) -> list[tuple[int, dict]]:
         begins = np.cumsum([0, *map(len, block)])
@@ -219,32 +268,32 @@ class Model:
             return []
         singly = [x for k, line in enumerate(block) for x in self._named(line, int(begins[k]))]
         joined = self._named(words, 0) if len(block) > 1 else []
-        areas = [(int(begins[k]), int(begins[k + 1])) for k in sorted({line_of(a) for a, _, _ in singly})]
-        wide: list[list[int]] = []  # a notice may reach beyond the stretches that name it
-        for a, b in sorted((max(0, a - STRETCH), b + STRETCH) for a, b, _ in singly + joined):
+        stretched = sorted([*singly, *joined], key=lambda x: x[:2])
+        # a notice may reach beyond the stretches that name it: to the ends of their lines, and a stretch further
+        wide: list[list[int]] = []
+        for a, b in sorted((max(0, min(a - STRETCH, int(begins[line_of(a)]))), min(len(words), max(b + STRETCH, int(begins[line_of(b - 1) + 1])))) for a, b, _ in stretched):
             if wide and a <= wide[-1][1]:
                 wide[-1][1] = max(wide[-1][1], b)
             else:
                 wide.append([a, b])
-        found: dict[tuple[int, str], dict] = {}
-        claimed: set[int] = set()
+        starts = [a for a, _, _ in stretched]
+        found: list[tuple[int, int, dict]] = []
         held: set[tuple[int, str]] = set()
-        for a, b in [*areas, *(wide if len(block) > 1 else [])]:
-            own = {k - a for k in claimed if a <= k < b}
-            for family, like, places in notices(words[a:b], own):
-                lines = {line_of(a + k) for k in places}
-                claimed.update(a + k for k in places)
-                held.update((k, family) for k in lines)
-                near = [p for c, d, p in singly + joined if c < a + places[-1] + 1 and d > a + places[0]] or [p for *_, p in singly + joined]
-                item = {"family": family, "probability": max(float(p[FAMILIES.index(family)]) for p in near), "similarity": like, "confirmed": True}
-                found.setdefault((line_of(a + places[0]), family), item)
-        for a, b, p in singly + joined:
-            family, lines = FAMILIES[int(p[:-1].argmax())], range(line_of(a), line_of(b - 1) + 1)
-            if not any((k, family) in held for k in lines):
-                held.update((k, family) for k in lines)
-                text = words[a:b] if len(lines) > 1 else block[lines[0]]
-                found[lines[0], family] = {"family": family, "probability": float(p.max()), "similarity": similarity(text, family), "confirmed": False}
-        return [(line, item) for (line, _), item in sorted(found.items())]
+        for a, b in wide:
+            for family, like, places in notices(words[a:b]):
+                first, last, k = a + places[0], a + places[-1], FAMILIES.index(family)
+                held.update((line_of(a + x), family) for x in places)
+                near = stretched[bisect_left(starts, first - STRETCH) : bisect_right(starts, last)] or stretched
+                found.append((line_of(first), first, {"family": family, "probability": max(float(p[k]) for *_, p in near), "similarity": like, "confirmed": True}))
+        for a, b, p in stretched:
+            lines = range(line_of(a), line_of(b - 1) + 1)
+            for k in np.flatnonzero(p[:-1] >= NAMED):
+                family = FAMILIES[k]
+                if not any((x, family) in held for x in lines):
+                    held.update((x, family) for x in lines)
+                    text = words[a:b] if len(lines) > 1 else block[lines[0]][max(0, a - int(begins[lines[0]]) - STRETCH) : b - int(begins[lines[0]]) + STRETCH]
+                    found.append((lines[0], a, {"family": family, "probability": float(p[k]), "similarity": similarity(text, family), "confirmed": False}))
+        return [(line, item) for line, _, item in sorted(found, key=lambda x: (x[0], x[2]["family"], x[1]))]
 
 
 FAMILIES = sorted(TEMPLATES)
@@ -264,9 +313,9 @@ def _plain(words: list[str]) -> bool:
     return not any(similarity(words, f) >= CONFIRM for f in FAMILIES)
 
 
-def gram_counts(texts: Iterable[str | None]) -> tuple[int, Counter]:
-    """The number of stretches that no template confirms, and of those with each n-gram of the templates."""
-    total, counts = 0, Counter()
+def gram_counts(texts: Iterable[str | None], sample: int = 0) -> tuple[int, Counter, dict[int, str]]:
+    """The number of stretches that no template confirms, of those with each n-gram of the templates, and of those the ``sample`` with the least hashes, by hash."""
+    total, counts, least, bound = 0, Counter(), {}, 1 << 64
     for text in texts:
         for words in (part for line in paragraphs(text) for part in stretches(line)):
             some = _CANDIDATE_WORDS.intersection(words)
@@ -275,22 +324,36 @@ def gram_counts(texts: Iterable[str | None]) -> tuple[int, Counter]:
             total += 1
             if some:
                 counts.update(CANDIDATES.intersection(grams_within(words, _CANDIDATE_WORDS)))
-    return total, counts
+            if sample and (h := xxh64_intdigest(joined := " ".join(words))) < bound:
+                least[h] = joined
+                if len(least) >= 2 * sample:
+                    least = dict(sorted(least.items())[:sample])
+                    bound = max(least)
+    return total, counts, dict(sorted(least.items())[:sample])
 
 
-def common_grams(docs: DataFrame) -> set[str]:
-    """The n-grams of templates that are in over 1 % of all stretches of all documents but for notices."""
+def corpus_counts(docs: DataFrame, sample: int = PARAGRAPHS) -> tuple[set[str], list[list[str]]]:
+    """The n-grams of templates that are in over 1 % of all stretches of all documents but for notices, and the words of the ``sample``
+    such stretches with the least hashes, each once: one pass over all texts, of any length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, counts = 0, Counter()
+        total, counts, least = 0, Counter(), {}
         for b in batches:
-            n, some = gram_counts(t.as_py() for t in b.column(0))
+            n, some, few = gram_counts((t.as_py() for t in b.column(0)), sample)
             total += n
             counts.update(some)
-        yield pa.RecordBatch.from_arrays([pa.array(["", *counts]), pa.array([total, *counts.values()], pa.int64())], ["gram", "n"])
+            least = dict(sorted((least | few).items())[:sample])
+        hashes = [h - (1 << 63) for h in least]  # in the same order as signed numbers
+        yield pa.RecordBatch.from_arrays([pa.array(["", *counts, *least.values()]), pa.array([total, *counts.values(), *hashes], pa.int64()), pa.array([True] * (1 + len(counts)) + [False] * len(least))], ["gram", "n", "counted"])
 
-    n = {r.gram: r.n for r in docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    return {g for g, k in n.items() if g and k > 0.01 * n[""]}
+    made = durable(docs.select("text").mapInArrow(run, "gram string, n long, counted boolean"))
+    n = {r.gram: r.n for r in made.where("counted").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # as many as the templates have
+    few = made.where("not counted").select("n", "gram").distinct().orderBy("n", "gram").limit(sample).collect()
+    return {g for g, k in n.items() if g and k > 0.01 * n[""]}, [r.gram.split(" ") for r in few]
+
+
+def common_grams(docs: DataFrame) -> set[str]:
+    return corpus_counts(docs, 1)[0]
 
 
 def fit_texts(corpus: list[list[str]], common: set[str], rounds: int = 250, ridge: float = 1e-4) -> Model:
@@ -299,7 +362,7 @@ def fit_texts(corpus: list[list[str]], common: set[str], rounds: int = 250, ridg
     plain = [w for w in corpus if _plain(w)]
     known = [(tokens(t), k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
     rows = [(w, k) for w, k in known for _ in range(5)] + [(_variants(rng, w, plain), k) for w, k in known for _ in range(VARIANTS)]
-    rows += [(w, len(FAMILIES)) for w in plain[:PARAGRAPHS]] + [(tokens(t), len(FAMILIES)) for t in OTHER for _ in range(10)]
+    rows += [(w, len(FAMILIES)) for w in plain] + [(tokens(t), len(FAMILIES)) for t in OTHER for _ in range(10)]
     rows = [(w, k) for w, k in rows if w]
     vocabulary = sorted(CANDIDATES - common)
     model = Model({g: i for i, g in enumerate(vocabulary)}, np.zeros((len(vocabulary), len(FAMILIES) + 1)), np.zeros(len(FAMILIES) + 1))
@@ -328,15 +391,10 @@ def fit_texts(corpus: list[list[str]], common: set[str], rounds: int = 250, ridg
     return model
 
 
-def fit(docs: DataFrame, sample: int = DOCUMENTS, longest: int = DOCUMENT_CHARS) -> Model:
-    """Other text comes from the ``sample`` texts with the smallest hashes, of up to ``longest`` characters each; which n-grams are too common is counted over all documents.
-
-    Only hashes are sorted; the few texts are then fetched by theirs, copies once.
-    """
-    hashed = docs.where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("hash"))
-    least = hashed.select("hash").distinct().orderBy("hash").limit(sample)  # of bounded size
-    some = hashed.join(F.broadcast(least), "hash", "left_semi").dropDuplicates(["hash"]).orderBy("hash").select("text").collect()
-    return fit_texts([w for r in some for line in paragraphs(r.text) for w in stretches(line)], common_grams(docs))
+def fit(docs: DataFrame, sample: int = PARAGRAPHS) -> Model:
+    """Other text is ``sample`` stretches of the corpus; which n-grams are too common is counted over all documents."""
+    common, corpus = corpus_counts(docs, sample)
+    return fit_texts(corpus, common)
 
 
 def scan(df: DataFrame, model: Model, text: str = "text", out: str = "licences") -> DataFrame:

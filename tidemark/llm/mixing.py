@@ -139,20 +139,30 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
     Each pass over a source takes a document once, and its copy stands at the first slot of that pass that takes words of it.
     Whole passes give whole copies; a last, partial pass gives a copy with the first
-    words only, joined by single spaces (at most one document of a source). Where rows
-    agree in doc_id, source and size, their words are shared out evenly. ``slot`` names a column to add with the slot.
+    words only, joined by single spaces (at most one document of a source). Rows that
+    agree in doc_id, source and size are numbered by their texts' hashes, and the k-th of them is the k-th that the mix takes. ``slot`` names a column to add with the slot.
     """
     sized, sources = _prepared(docs, weights, share, repeats, block)
-    each = pieces(sized, sources, block)
+    same = ("doc_id", "source", "size")
     # the k-th time that a document's first word is taken begins its k-th copy
-    copies = each.groupBy("doc_id", "source", "size").agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.count_distinct("start").alias("rows"), F.array_sort(F.collect_list(F.when(F.col("from") == 0, F.col("slot")))).alias("slots"))
-    n, cut, at, id_, source, size, slots = (free(x, docs) for x in ("__n", "__part", "__at", "__id", "__source", "__size", "__slots"))
-    took = copies.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.floor(F.col("taken") / F.col("rows")).alias(n), F.col("slots").alias(slots), F.col("rows").alias(at)).where(F.col(n) > 0)
-    counted = free("__words", docs)
-    got = docs.withColumn(counted, n_words("text")).join(took, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(counted) == F.col(size)))
+    starts = pieces(sized, sources, block).groupBy(*same, "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.array_sort(F.collect_list(F.when(F.col("from") == 0, F.col("slot")))).alias("slots"))
+    n, cut, id_, source, size, slots, counted, k = (free(x, docs) for x in ("__n", "__part", "__id", "__source", "__size", "__slots", "__words", "__k"))
+    took = durable(starts.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("start").alias(k), F.col("taken").alias(n), F.col("slots").alias(slots)))
+    alike = sized.where("size > 0").groupBy(*same).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size))
+    sizes = docs.withColumn(counted, n_words("text"))
+    keys = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(counted) == F.col(size))
+    alike = durable(alike)
+    if alike.isEmpty():
+        got = sizes.join(took.drop(k), keys)
+    else:
+        twin = _and(took[c].eqNullSafe(alike[c]) for c in (id_, source, size))
+        many = took.join(alike, twin, "left_semi").withColumn(k, F.row_number().over(W.partitionBy(id_, source, size).orderBy(k)))
+        turn = free("__turn", docs)
+        numbered = sizes.join(alike, keys, "left_semi").withColumn(turn, F.row_number().over(W.partitionBy("doc_id", "source", counted).orderBy(F.xxhash64("text"))))
+        got = sizes.join(took.join(alike, twin, "left_anti").drop(k), keys).unionByName(numbered.join(many, keys & (F.col(turn) == F.col(k))).drop(turn, k))
     passes, rest = F.floor(F.col(n) / F.col(size)).cast("int"), (F.col(n) % F.col(size)).cast("int")
     parts = F.concat(F.array_repeat(F.lit(0), passes), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    placed = F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.coalesce(F.get(F.col(slots), (i * F.col(at)).cast("int")), F.element_at(F.col(slots), -1)).alias("slot")))
+    placed = F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.coalesce(F.get(F.col(slots), i), F.element_at(F.col(slots), -1)).alias("slot")))
     got = got.withColumn(cut, F.explode(placed))
     part = F.col(cut)["part"]
     text = F.when(part > 0, F.array_join(F.slice(words("text"), F.lit(1), part), " ")).otherwise(F.col("text"))

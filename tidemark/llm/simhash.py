@@ -33,8 +33,6 @@ DISTANCE = 4
 GROUPS = ((6, 1 << 21), (8, 1 << 28), (12, None))
 #: A fingerprint is hot if one of this many rows or more has it: there are never more hot ones than this.
 HOT = 1000
-#: Stands for a null id, after all others.
-NO_ID = (1 << 63) - 1
 ODD_BITS = 0x5555555555555555
 
 
@@ -83,11 +81,11 @@ def groups_for(n: int) -> int:
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS[0][0]) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits, each pair once. A node is (least, fp), with the column ``least``."""
+    """Pairs (a, b) of distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits, each pair once. A node is (none, least, fp), with the columns ``none`` and ``least``."""
     masks = _masks(groups)
     chosen = list(combinations(range(groups), groups - distance))
     cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col("point").bitwiseAND(F.lit(sum(masks[g] for g in part))).alias("cell")) for k, part in enumerate(chosen)])
-    placed = fps.select("least", "fp", embedding(F.col("fp")).alias("point")).select("least", "fp", "point", F.explode(cells).alias("c")).select("least", "fp", "point", "c.k", "c.cell")
+    placed = fps.select("none", "least", "fp", embedding(F.col("fp")).alias("point")).select("none", "least", "fp", "point", F.explode(cells).alias("c")).select("none", "least", "fp", "point", "c.k", "c.cell")
     a, b = placed.alias("a"), placed.alias("b")
     apart = F.col("a.point").bitwiseXOR(F.col("b.point"))
     first = F  # the first cell that the two share
@@ -99,7 +97,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS[0][0])
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
         & (first == F.col("a.k"))
     )
-    return a.join(b, near).select(F.struct("a.least", "a.fp").alias("a"), F.struct("b.least", "b.fp").alias("b"))
+    return a.join(b, near).select(F.struct("a.none", "a.least", "a.fp").alias("a"), F.struct("b.none", "b.least", "b.fp").alias("b"))
 
 
 def group(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -115,18 +113,17 @@ def group(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
 def _grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """As ``group``, with ``hash`` of the text and ``root`` of the group: two groups have one component_id where texts share an id."""
     rows = durable(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp", F.xxhash64("text").alias("hash")))
-    # nodes are ordered by their smallest id, none last, so that a component's least node has the component's smallest id
-    nodes = durable(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(NO_ID)).alias("least"), F.count(F.lit(1)).alias("n")))
+    # nodes are ordered by their smallest id, those without one last, so that a component's least node has the component's smallest id
+    nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").isNull().alias("none"), F.min("doc_id").cast("long").alias("least"), F.count(F.lit(1)).alias("n")))
     n_nodes, n_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     linked = components(links(nodes, groups=groups_for(n_nodes)))
-    rooted = durable(nodes.join(linked, F.col("fp") == F.col("node.fp"), "left").select(F.col("fp").alias("__fp"), F.coalesce("root", F.struct("least", "fp")).alias("root"), (F.col("n") * HOT >= n_rows).alias("hot")))
+    rooted = durable(nodes.join(linked, F.col("fp") == F.col("node.fp"), "left").select(F.col("fp").alias("__fp"), F.coalesce("root", F.struct("none", "least", "fp")).alias("root"), (F.col("n") * HOT >= n_rows).alias("hot")))
     # rows of hot fingerprints, at most HOT ones, stay where they are; the others go to their fingerprints
     hot = F.broadcast(rooted.where("hot").select(F.col("__fp").alias("__hot"), F.col("root").alias("hot_root")))
     placed = rows.join(hot, F.col("fp") == F.col("__hot"), "left")
     cold = placed.where("__hot is null").select("doc_id", "fp", "hash").join(rooted.where("not hot"), F.col("fp") == F.col("__fp")).select("doc_id", "fp", "hash", "root")
     both = placed.where("__hot is not null").select("doc_id", "fp", "hash", F.col("hot_root").alias("root")).unionByName(cold)
-    smallest = F.when(F.col("root.least") != NO_ID, F.col("root.least")).alias("component_id")
-    return both.select("doc_id", "fp", smallest, "hash", F.col("root.fp").alias("root"))
+    return both.select("doc_id", "fp", F.col("root.least").alias("component_id"), "hash", F.col("root.fp").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
