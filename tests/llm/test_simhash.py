@@ -128,3 +128,46 @@ def test_the_largest_id_is_no_null(spark, docs):
     df = docs([(most, "p q r s t", "s"), (None, "p q r s t", "s"), (None, "other words of no kin", "s"), (None, "other words of no kin", "s")])
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.query(spark, df).collect())
     assert got == sorted([(str(most), str(most)), ("None", str(most)), ("None", "None"), ("None", "None")])
+
+
+def test_crowded_cells_make_no_pairs_and_lose_no_link(spark):
+    """Fingerprints about a few centres, and some in chains from one to the next: components as of all pairs, for any bound of a cell."""
+    rng = np.random.default_rng(12)
+    u = set()
+    for centre in rng.integers(0, 1 << 63, 3).tolist():
+        for _ in range(250):
+            flips = rng.choice(64, rng.integers(0, 5), replace=False)
+            u.add(centre ^ sum(1 << int(b) for b in flips))
+        at = centre
+        for k in range(0, 60, 4):
+            at ^= 0b1111 << k
+            u.add(at)
+    u |= set(rng.integers(0, 1 << 63, 100).tolist())
+    fps = np.array(sorted(u), dtype=np.uint64)
+    far = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    signed = fps.view(np.int64).tolist()
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(far <= 4, 1))):
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    nodes = spark.createDataFrame([(False, k, x) for k, x in enumerate(signed)], "none boolean, least long, fp long").cache()
+    for cell in (10, 100, 10_000):
+        found = simhash.links(nodes, cell=cell).cache()
+        assert cell < 10_000 or all(far[r.a.least, r.b.least] <= 4 for r in found.collect())
+        got = {r.node.least: r.root.least for r in graph.components(found).collect()}
+        assert {k: find(k) for k in range(len(fps)) if (far[k] <= 4).sum() > 1} == got
+
+
+def test_a_crowd_about_one_fingerprint_has_few_links(spark):
+    """1,500 within two bits of one: all pairs are links, over a million."""
+    rng = np.random.default_rng(13)
+    u = {0x0123456789ABCDEF} | {0x0123456789ABCDEF ^ sum(1 << int(b) for b in rng.choice(63, 2, replace=False)) for _ in range(2600)}
+    nodes = spark.createDataFrame([(False, k, x) for k, x in enumerate(sorted(u))], "none boolean, least long, fp long")
+    found = simhash.links(nodes, cell=300).cache()
+    assert len(u) > 1_400 and found.count() < 5 * len(u)
+    assert {r.root.least for r in graph.components(found).collect()} == {0}

@@ -31,6 +31,8 @@ SHINGLE, SEED = 4, 42
 DISTANCE = 4
 #: Groups of segments that make the grid, and the number of fingerprints up to which they do: more groups make more and smaller cells.
 GROUPS = ((6, 1 << 21), (8, 1 << 28), (12, None))
+#: A cell with more fingerprints links them by the points between them, not in pairs.
+CELL = 4096
 #: A fingerprint is hot if one of this many rows or more has it: there are never more hot ones than this.
 HOT = 1000
 ODD_BITS = 0x5555555555555555
@@ -80,22 +82,63 @@ def groups_for(n: int) -> int:
     return next(g for g, most in GROUPS if most is None or n <= most)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS[0][0]) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits, each pair once. A node is (none, least, fp), with the columns ``none`` and ``least``."""
+def _between(distance: int) -> list[int]:
+    """Masks of up to half of ``distance`` bits, as signed numbers."""
+    masks = [sum(1 << b for b in some) for n in range(distance // 2 + 1) for some in combinations(range(64), n)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def crowded(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) that connect what lies within ``distance``, an even one, and nothing else; not all are that near themselves.
+
+    As many rows are made as fingerprints have points about them. Each takes the least node that any of its points has as its label, and
+    the labels that meet at a point are linked to the least of them: in a crowd, labels are few.
+    """
+    node = F.struct("none", "least", "fp")
+    masks = F.array(*map(F.lit, _between(distance)))
+    about = fps.select(node.alias("b"), F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
+    least = about.groupBy("at").agg(F.min("b").alias("a"))
+    labels = durable(about.join(least, "at").groupBy("b").agg(F.min("a").alias("a")))
+    met = about.join(labels, "b").select("at", "a").distinct()
+    low = met.groupBy("at").agg(F.min("a").alias("m"), F.max("a").alias("most")).where("m < most").select("at", "m")
+    between = met.join(low, "at").where("m < a").select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()
+    return labels.where("a < b").select("a", "b").unionByName(between)
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS[0][0], cell: int = CELL) -> DataFrame:
+    """Links (a, b) of distinct fingerprints ``fp``: each pair that differs in 1 to ``distance`` bits, but for those in cells of more than ``cell``, which
+    have links enough to connect them and no others. A node is (none, least, fp), with the columns ``none`` and ``least``."""
     masks = _masks(groups)
     chosen = list(combinations(range(groups), groups - distance))
     cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col("point").bitwiseAND(F.lit(sum(masks[g] for g in part))).alias("cell")) for k, part in enumerate(chosen)])
     placed = fps.select("none", "least", "fp", embedding(F.col("fp")).alias("point")).select("none", "least", "fp", "point", F.explode(cells).alias("c")).select("none", "least", "fp", "point", "c.k", "c.cell")
+    full = durable(placed.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("k", "cell"))
+    if full.isEmpty():
+        return _pairs(placed, chosen, masks, distance)
+    # the first cell that a pair shares decides where it is looked for: in one that isn't full, or among all that stand in full ones
+    crowd = durable(placed.join(full, ["k", "cell"], "left_semi").select("none", "least", "fp").distinct())
+    inside = crowd.select(F.col("fp").alias("__fp"), F.lit(True).alias("crowded"))
+    marked = placed.join(full.withColumn("full", F.lit(True)), ["k", "cell"], "left").join(inside, F.col("fp") == F.col("__fp"), "left").drop("__fp")
+    free_ = marked.where("full is null").drop("full")
+    return _pairs(free_, chosen, masks, distance, anywhere=True).unionByName(crowded(crowd, distance)).distinct()
+
+
+def _pairs(placed: DataFrame, chosen: list, masks: list[int], distance: int, anywhere: bool = False) -> DataFrame:
+    """Pairs within the distance, each in the first cell that the two share; ``anywhere`` in all that they share, but for two that are both crowded."""
     a, b = placed.alias("a"), placed.alias("b")
     apart = F.col("a.point").bitwiseXOR(F.col("b.point"))
-    first = F  # the first cell that the two share
-    for k, part in enumerate(chosen):
-        first = first.when(apart.bitwiseAND(F.lit(sum(masks[g] for g in part))) == 0, k)
+    if anywhere:
+        once = ~(F.col("a.crowded").isNotNull() & F.col("b.crowded").isNotNull())
+    else:
+        first = F  # the first cell that the two share
+        for k, part in enumerate(chosen):
+            first = first.when(apart.bitwiseAND(F.lit(sum(masks[g] for g in part))) == 0, k)
+        once = first == F.col("a.k")
     near = (
         (F.col("a.k") == F.col("b.k")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
         & (F.bit_count(apart) <= distance)
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
-        & (first == F.col("a.k"))
+        & once
     )
     return a.join(b, near).select(F.struct("a.none", "a.least", "a.fp").alias("a"), F.struct("b.none", "b.least", "b.fp").alias("b"))
 
