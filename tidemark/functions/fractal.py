@@ -154,14 +154,16 @@ def rolling_windows(compact: DataFrame, spans: DataFrame, longest: int, scales:
     before = W.partitionBy("ticker", "end", "s", "from").orderBy("w")
     held = [f"m{k}" for k in range(order + 1)]
     differences = [(F.coalesce(F.col(k), F.lit(0.0)) - F.coalesce(F.lag(k).over(before), F.lit(0.0))).alias(k) for k in ("yy", *held)]
-    met = met.select("ticker", "end", "s", "w", (F.col("at") - F.col("block") * longest - (F.col("s") - 1) / 2.0).alias("mid"), *differences).where("w > 0")
+    # what rounding leaves in differences of running sums, however flat the window
+    met = met.select("ticker", "end", "s", "w", (1e-13 * F.coalesce("yy", F.lit(0.0))).alias("noise"), (F.col("at") - F.col("block") * longest - (F.col("s") - 1) / 2.0).alias("mid"), *differences).where("w > 0")
     moved = [sum((comb(k, j) * F.pow(-F.col("mid"), F.lit(float(k - j))) * F.col(f"m{j}") for j in range(k)), F.col(f"m{k}")).alias(f"m{k}") for k in range(order + 1)]
-    met = met.select("ticker", "end", "s", "yy", *moved)
+    met = met.select("ticker", "end", "s", "noise", "yy", *moved)
     s = F.col("s").cast("double")
     found, norms = orthogonal(s, order)
     raw = (F.col("yy") - F.col("m0") * F.col("m0") / s) / s
     projected = [sum((c * F.col(f"m{j}") for j, c in enumerate(p[1:], 1)), p[0] * F.col("m0")) for p in found]
-    return met.select("ticker", "end", "s", (raw - sum((projected[k] * projected[k] / norms[k] for k in range(1, order + 1)), F.lit(0.0)) / s).alias("f2"), raw.alias("raw"))
+    left = raw - sum((projected[k] * projected[k] / norms[k] for k in range(1, order + 1)), F.lit(0.0)) / s
+    return met.select("ticker", "end", "s", F.when(left * s > F.col("noise"), left).otherwise(0.0).alias("f2"), raw.alias("raw"))
 
 
 def spans_of(panel: DataFrame, lookback: int, step: int) -> tuple[DataFrame, DataFrame]:

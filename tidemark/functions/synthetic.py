@@ -29,11 +29,22 @@ def random_walk(spark: SparkSession, n: int, n_series: int = 1) -> DataFrame:
     return white_noise(spark, n, n_series).select("series_id", "i", F.sum("r").over(W.partitionBy("series_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)).alias("x"))
 
 
-def ar1(spark: SparkSession, n: int, phi: float = 0.5, n_series: int = 1) -> DataFrame:
-    """series_id, i, r: r of row 0 is 0, then phi times the one before plus noise. A fold over each series' noise."""
-    noise = white_noise(spark, n, n_series).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("e"))
+def ar1(spark: SparkSession, n: int, phi: float = 0.5, n_series: int = 1, block: int = 128) -> DataFrame:
+    """series_id, i, r: r of row 0 is 0, then phi times the one before plus noise.
+
+    A fold over each series' noise, by blocks: what a step appends to is a block, and what a block appends to is the list of blocks.
+    """
+    noise = white_noise(spark, n, n_series).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: F.when(x["i"] > 0, x["r"]).otherwise(0.0)).alias("e"))
     step = lambda a, e: F.concat(a, F.array(F.element_at(a, -1) * phi + e))
-    return noise.select("series_id", F.posexplode(F.aggregate(F.slice("e", 2, n), F.array(F.lit(0.0)), step)).alias("i", "r")).select("series_id", F.col("i").cast("long"), "r")
+
+    def of_block(state: Column, part: Column) -> Column:
+        made = F.slice(F.aggregate(part, F.array(state["last"]), step), 2, block)
+        return F.struct(F.element_at(made, -1).alias("last"), F.concat(state["blocks"], F.array(made)).alias("blocks"))
+
+    start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<array<double>>").alias("blocks"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // block)), lambda k: F.slice("e", k * block + 1, F.lit(block)))
+    made = noise.select("series_id", F.flatten(F.aggregate(parts, start, of_block, lambda x: x["blocks"])).alias("r"))
+    return made.select("series_id", F.posexplode("r").alias("i", "r")).select("series_id", F.col("i").cast("long"), "r")
 
 
 def fgn(spark: SparkSession, settings: list[tuple[int, float, int]]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocked import in_blocks, numbered, scans
 from tidemark.operators.frames import percentile_rank
 from tidemark.sources.kept import kept
 
@@ -37,6 +38,17 @@ def month_factor(factor: DataFrame) -> DataFrame:
     return factor.where("factor is not null").groupBy("ticker", F.last_day("date").alias("date")).agg(F.max_by("factor", "date").alias("factor"))
 
 
+def carried(factor: DataFrame, daily: DataFrame) -> DataFrame:
+    """ticker, date (month end), factor: the last factor that a ticker has had by each month of the daily panel, from its first on: a month without one keeps that before.
+
+    The grid is the product of two dimensions, months and tickers.
+    """
+    known = month_factor(factor)
+    months = numbered(daily.select(F.last_day("date").alias("date")).distinct(), "date", keys=())
+    grid = months.crossJoin(known.select("ticker").distinct()).join(known, ["ticker", "date"], "left")
+    return scans(in_blocks(grid), factor=("last", "factor")).where("factor is not null").select("ticker", "date", "factor")
+
+
 def signals(factor: DataFrame, daily: DataFrame) -> DataFrame:
     """ticker, date, r, factor of the month before. A month after the factor's last one doesn't trade."""
     monthly = month_factor(factor)
@@ -121,7 +133,16 @@ def residualize(panel: DataFrame, least: int = 20) -> DataFrame:
     return x.select("date", "ticker", "cls", "h", "vol", (F.col("hd") - F.coalesce(slope, F.lit(0.0)) * F.col("vd")).alias("residual"))
 
 
+def report_lines(bt: Backtest, cost_bps: float = 10.0) -> DataFrame:
+    """seq, line: gross, then net, each from one row of statistics; a line says so where there are none."""
+    out = []
+    for k, (name, c) in enumerate((("gross", 0.0), ("net", cost_bps))):
+        x = stats(net_returns(bt.returns, c), "net_r", c)
+        line = F.format_string(f"{name}: return %+.2f%% vol %.2f%% sharpe %.2f drawdown %.2f%% months %d", F.col("ann_return") * 100, F.col("ann_vol") * 100, F.coalesce("sharpe", F.lit(0.0)), F.col("max_drawdown") * 100, F.col("n_periods"))
+        out.append(x.agg(F.coalesce(F.max(line), F.lit(f"{name}: no returns")).alias("line")).select(F.lit(k).cast("long").alias("seq"), "line"))
+    return out[0].unionByName(out[1])
+
+
 def report(bt: Backtest, title: str, cost_bps: float = 10.0) -> str:
-    """A few lines of text from two one-row tables."""
-    rows = [(name, stats(net_returns(bt.returns, c), "net_r", c).first()) for name, c in (("gross", 0.0), ("net", cost_bps))]
-    return "\n".join([title, *(f"{name}: no returns" if r is None else f"{name}: return {r.ann_return:+.2%} vol {r.ann_vol:.2%} sharpe {r.sharpe or 0:.2f} drawdown {r.max_drawdown:.2%} months {r.n_periods}" for name, r in rows)])
+    """A few lines of text."""
+    return "\n".join([title, *(r.line for r in report_lines(bt, cost_bps).orderBy("seq").collect())])

@@ -101,6 +101,33 @@ def daily_bars(s, d):
     return panels.brand_bars(s, d)
 
 
+def _place(s, name):
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(sql("SELECT ticker, date, round(volume, 6) AS close FROM px WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-02-28'"))
+def bars_sink(s, d):
+    """Bars written by year, and a field of some days read back: other years' files are not opened."""
+    to = _place(s, "bars")
+    panels.save_bars(panels.brand_bars(s, d), to)
+    return panels.load_prices(s, to, "1996-03-01", "1997-02-28", field="volume")
+
+
+@query(pick("mom_bt", "seq date", "ls_r turnover"))
+def csv_sink(s, d):
+    """A backtest's series as CSV with a header, and read back."""
+    to = _place(s, "csv")
+    panels.save_csv(momentum(s, d).returns.select("seq", "date", "ls_r", "turnover"), to)
+    return panels.read_csv(s, to, "seq long, date date, ls_r double, turnover double")
+
+
+@query("SELECT event_type AS ticker, hour((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')::BIGINT AS hour, count(*) AS n, min((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS first FROM events GROUP BY 1, 2")
+def zone_strip(s, d):
+    """Events by the hour of a zone's wall clock."""
+    x = panels.table(s, d, "events").select(F.col("event_type").alias("ticker"), panels.local_time("ts", "America/New_York").alias("t"))
+    return x.groupBy("ticker", F.hour("t").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"))
+
+
 @query(pick("nat", "ticker asset_class date", "close volume"))
 def daily_bars_classed(s, d):
     return panels.nation_bars(s, d)
@@ -272,6 +299,16 @@ def equity_curve(s, d):
     return bt.equity(momentum(s, d).returns)
 
 
+def _line_sql(k, name, v):
+    return f"SELECT {k}::BIGINT AS seq, coalesce(max(printf('{name}: return %+.2f%% vol %.2f%% sharpe %.2f drawdown %.2f%% months %d', 1200 * m, 100 * sqrt(12) * s, coalesce(m * 12 / nullif(s * sqrt(12), 0), 0), 100 * d, n)), '{name}: no returns') AS line FROM (SELECT avg({v}) AS m, stddev_samp({v}) AS s, min(dd) AS d, count(*) AS n FROM (SELECT *, eq / max(eq) OVER (ORDER BY seq) - 1 AS dd FROM (SELECT *, product(1 + {v}) OVER (ORDER BY seq) AS eq FROM mom_bt)) HAVING count(*) >= 2)"
+
+
+@query(sql(_line_sql(0, "gross", "ls_r") + " UNION ALL " + _line_sql(1, "net", "net_r")))
+def bt_report(s, d):
+    """The report's lines of text."""
+    return bt.report_lines(momentum(s, d))
+
+
 @query(sql("SELECT leg, ticker AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY leg), 6) AS share FROM mom_legs GROUP BY leg, ticker"))
 def composition_ticker(s, d):
     return bt.composition(momentum(s, d).legs, "ticker")
@@ -666,7 +703,11 @@ def coverage_audit(s, d):
     return audit.coverage(panels.brand_bars(s, d), "1995-01-10")
 
 
-@query()
+_SUB = "(SELECT * FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n, r - avg(r) OVER (PARTITION BY ticker) AS x FROM (SELECT ticker || '|' || name AS ticker, date, r FROM ret, (VALUES ('early', DATE '1995-01-01', DATE '1998-01-01'), ('late', DATE '1998-01-01', DATE '2002-01-01')) v(name, a, b) WHERE date BETWEEN a AND b AND r IS NOT NULL)) WHERE n >= 300)"
+_SUB_NOISE = f"(SELECT n || '|' || seed AS ticker, i, n, e - avg(e) OVER (PARTITION BY n, seed) AS x FROM (SELECT n, seed, i, {normal_sql(chr(110) + ' || ' + repr(':') + ' || seed', 'i')} AS e FROM (SELECT n, seed, unnest(range(0, n)) AS i FROM (SELECT DISTINCT n FROM {_SUB}), range(0, 50) t(seed))))"
+
+
+@query(sql(f"SELECT h.ticker, l.n, round(h.h, 6) AS h, round(noise, 6) AS noise, abs(h.h - 0.5) > 1.96 * noise AS significant FROM {_dfa_sql(_SUB)} h JOIN (SELECT DISTINCT ticker, n FROM {_SUB}) l USING (ticker) JOIN (SELECT CAST(split_part(ticker, '|', 1) AS BIGINT) AS n, stddev_pop(h) AS noise FROM {_dfa_sql(_SUB_NOISE)} GROUP BY 1) z ON z.n = l.n"))
 def subperiod_audit(s, d):
     periods = [("early", "1995-01-01", "1998-01-01"), ("late", "1998-01-01", "2002-01-01")]
     return audit.subperiod_significance(frames.with_returns(index(s, d)).select("ticker", "date", "r"), periods)
@@ -692,7 +733,15 @@ def gbt_sort_backtest(s, d):
     """The predictions traded: those of a month end are the next month's signal."""
     x = feats(s, d)
     made = model.walk_forward_trees(kept(panel_of(x))).withColumnRenamed("prediction", "factor")
-    return bt.net_returns(bt.sort_backtest(made, x).returns)
+    return bt.net_returns(bt.sort_backtest(bt.carried(made, x), x).returns)
+
+
+@query(sql("SELECT ticker, date, round(factor, 6) + 0.0::DOUBLE AS factor FROM (SELECT t.ticker, m.date, last_value(f.factor IGNORE NULLS) OVER (PARTITION BY t.ticker ORDER BY m.date) AS factor FROM months m CROSS JOIN (SELECT DISTINCT ticker FROM ols) t LEFT JOIN ols f ON f.ticker = t.ticker AND last_day(f.date) = m.date) WHERE factor IS NOT NULL"))
+def prediction_factor(s, d):
+    """Predictions of the regressions as a factor for every month: one without keeps the last."""
+    x = feats(s, d)
+    made = model.walk_forward_ols(kept(panel_of(x))).withColumnRenamed("prediction", "factor")
+    return bt.carried(made, x)
 
 
 @query()

@@ -100,6 +100,7 @@ CTES: dict[str, str] = {
     "wday": "SELECT d::DATE AS d, row_number() OVER (ORDER BY d) AS k FROM range(DATE '1980-01-01', DATE '2030-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5",
     "win": "SELECT rebal, CAST(rebal - INTERVAL 60 MONTH AS DATE) AS train_start, (SELECT b.d FROM wday b WHERE b.k = (SELECT max(a.k) FROM wday a WHERE a.d < rebal) - 21) AS train_end FROM me",
     "sets": "SELECT w.*, max(p.date) AS last_used, count(*) AS n_train, (SELECT count(*) FROM panel t WHERE t.date = w.rebal) AS n_test, regr_slope(p.target, p.mom_12_1) AS slope, regr_intercept(p.target, p.mom_12_1) AS intercept FROM win w JOIN panel p ON p.date BETWEEN w.train_start AND w.train_end GROUP BY w.rebal, w.train_start, w.train_end HAVING count(*) >= 1000",
+    "ols": "SELECT p.date, p.ticker, s.intercept + s.slope * p.mom_12_1 AS factor FROM sets s JOIN panel p ON p.date = s.rebal WHERE s.n_test >= 10",
     "psd_x": "SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n, abs(r) AS x FROM (SELECT ticker, ts, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY ts) AS r FROM hb) WHERE isfinite(r)",
     "psd_l": "SELECT *, l - l // 2 AS step FROM (SELECT *, least(256, n // 2) AS l FROM psd_x WHERE n > 128)",
     "psd_s": "SELECT ticker, k, i - k * step AS j, l, x - avg(x) OVER (PARTITION BY ticker, k) AS x FROM (SELECT *, unnest([i // step - 1, i // step]) AS k FROM psd_l) WHERE k >= 0 AND k * step + l <= n AND i - k * step < l",

@@ -35,6 +35,16 @@ def finite(x: str | Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def local_time(ts: str | Column, zone: str) -> Column:
+    """The wall clock of a zone at an instant, without the zone: what bars of an exchange are dated by. An instant without a zone is taken as UTC."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker (brand), date, close (mean unit price), volume."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity", F.to_date("l_shipdate").alias("date"))
