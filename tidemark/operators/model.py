@@ -62,8 +62,8 @@ def _assembled(panel: DataFrame, features: tuple[str, ...]) -> DataFrame:
 def walk_forward_trees(panel: DataFrame, features: tuple[str, ...] = FEATURES, trees: int = 100, depth: int = 4, least: int = 50, rate: float = 0.05, bins: int = 64, **protocol) -> DataFrame:
     """date, ticker, prediction of trees that are boosted anew for each month end.
 
-    A month end is one Arrow group: the rows of its training window, five years of the panel, and those of its
-    day. So all month ends are fitted side by side, and each row goes to the 60 windows that it is in.
+    For windows that a task holds: a month end is one Arrow group, the rows of its training window and those of its
+    day, and each row goes to the 60 windows that it is in. ``forest.walk_forward`` has no such bound.
     """
     sets = train_sets(panel, **protocol).select("rebal", "train_start", "train_end")
     rows = panel.select("date", "ticker", *features, "target")

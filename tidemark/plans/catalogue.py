@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import fracdiff, fractal, spectral, synthetic
-from tidemark.operators import audit, execution, frames, inference, model
+from tidemark.operators import audit, execution, forest, frames, inference, model
 from tidemark.operators import backtest as bt
 from tidemark.plans.oracle import normal_sql, pick, scales_sql, sql
 from tidemark.sources import cache, markup, panels
@@ -725,14 +725,14 @@ def walkforward_ols(s, d):
 
 @query()
 def walkforward_gbt(s, d):
-    return model.walk_forward_trees(ml_panel(s, d))
+    return forest.walk_forward(ml_panel(s, d))
 
 
 @query()
 def gbt_sort_backtest(s, d):
     """The predictions traded: those of a month end are the next month's signal."""
     x = feats(s, d)
-    made = model.walk_forward_trees(kept(panel_of(x))).withColumnRenamed("prediction", "factor")
+    made = forest.walk_forward(kept(panel_of(x))).withColumnRenamed("prediction", "factor")
     return bt.net_returns(bt.sort_backtest(bt.carried(made, x), x).returns)
 
 
