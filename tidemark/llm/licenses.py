@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -79,6 +80,8 @@ OTHER = [
 PARAGRAPHS, VARIANTS = 3000, 60
 #: Words in a shingle, and the part of a template's shingles that confirms it.
 SHINGLE, CONFIRM = 5, 0.8
+#: Parts of the hashes that are sorted by themselves.
+PARTS = 8
 #: Calibrated probability of all families together from which a stretch is of some, and of one from which it is named.
 SURE, NAMED = 0.5, 0.25
 #: A longer paragraph is looked at in overlapping stretches of so many words.
@@ -348,7 +351,10 @@ def corpus_counts(docs: DataFrame, sample: int = PARAGRAPHS) -> tuple[set[str],
 
     made = durable(docs.select("text").mapInArrow(run, "gram string, n long, counted boolean"))
     n = {r.gram: r.n for r in made.where("counted").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # as many as the templates have
-    few = made.where("not counted").select("n", "gram").distinct().orderBy("n", "gram").limit(sample).collect()
+    # each task's sample is cut to that of its part of the hashes first, so that the driver gets as much from any number of tasks
+    order = W.partitionBy(F.pmod("n", F.lit(PARTS))).orderBy("n", "gram")
+    least = made.where("not counted").select("n", "gram").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    few = least.select("n", "gram").orderBy("n", "gram").limit(sample).collect()
     return {g for g, k in n.items() if g and k > 0.01 * n[""]}, [r.gram.split(" ") for r in few]
 
 
