@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,39 @@ def test_a_content_in_thousands_of_contexts(spark, docs, monkeypatch):
     texts = [make(rng.randrange(60)) + "-" * rng.randrange(40, 70) + make(rng.randrange(60)) for _ in range(3000)]
     texts += [texts[k] + make(9) for k in range(0, 600, 3)]
     compare(docs(texts))
+
+
+def test_the_largest_id_is_no_null(spark, docs):
+    last = (1 << 63) - 1
+    text = "".join(map(str, range(100)))
+    for rows in ([(last, text, "s")], [(None, text, "s")], [(None, text + "!", "s"), (last, text, "s")], [(None, text, "s"), (last, text, "s"), (last, text + "?", "s"), (3, "x", "s")]):
+        got = substrings.query(spark, docs(rows)).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes) for r in got) == sorted((i is None, i or 0, len(t)) for i, t, _ in rows)
+        assert all(r.n_removed == 0 for r in got if r.doc_id == last and len(rows) < 4)
+        assert [r.n_removed for r in got if r.doc_id is None and len(rows) > 1] == [len(text)] * (len(rows) > 1)
+
+
+def _around_one_sentence(n):
+    rng = random.Random(n)
+    make = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    sentence = "This site keeps cookies; read our notice before you go on..."
+    texts = [make(120) + sentence + make(120) for _ in range(n)]
+    return texts + [texts[k][:300] + make(5) for k in range(0, n, 50)]
+
+
+def test_strings_around_a_common_sentence_go_to_many_buckets(spark, docs):
+    df = docs(_around_one_sentence(8000))
+    rows, sizes = substrings.keyed(df), {}
+    whole = np.array([(0, 10**6)], substrings.RUN).tobytes()
+    left = substrings.packed(rows).select("id", "tie", "data", F.array().cast("array<binary>").alias("repeats"), F.array(F.lit(whole)).alias("unsure"))
+    crowded = substrings._crowded(left.where("id % 16 = 0").mapInArrow(substrings._sampled, "least long, n long"))
+    assert len(crowded)
+    for turn in range(substrings.TURNS):
+        for r in left.mapInArrow(substrings._suffixes(512, turn, crowded), substrings.BUCKETED).collect():
+            sizes[r.bucket] = sizes.get(r.bucket, 0) + len(r.rows)
+    assert max(sizes.values()) < 0.05 * sum(sizes.values())
+
+
+def test_a_crowded_sentence_as_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(substrings, "CROWD", 64)
+    compare(docs(_around_one_sentence(1500)))

@@ -15,10 +15,11 @@ Suffixes are sorted by buckets, with ranks of a difference cover:
 2. The suffixes that the ranks leave open: strings on the first place of a rank whose content has
    other ranks too (ends of passages, edits), unless another cover place has settled them.
    They are dealt to buckets by their own bytes (the least hash of K of them, which neighbours
-   mostly share, so that their places pack well) and sorted a bucket at a time.
+   mostly share, so that their places pack well) and sorted a bucket at a time. Strings around a
+   sentence of many documents all share its least hash: such crowded hashes are found beforehand in a sample,
+   and their strings dealt by all their bytes. The sample only says where strings meet, not which.
 
-Both times a task holds ``FLUSH`` rows, or one bucket's, whatever the size of the corpus. Tasks
-first settle what they can by themselves and pass on one row for each rank or string,
+Both times a task holds ``FLUSH`` rows, or one bucket's. Tasks first settle what they can by themselves and pass on one row for each rank or string,
 so that a passage in a third of all documents makes as many rows as there are tasks. Of a
 content with over ``HOT`` contexts in one task (a line of dashes), which is sure to
 have several, only the first go on to the buckets; the rest are left open at once.
@@ -54,6 +55,10 @@ BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 400_000, 12 << 20
 BUCKETS = 512
 #: Suffix buckets are sorted in so many turns, of which each reads the texts anew: less disk at a time.
 TURNS = 2
+#: One text in so many, and one piece in so many of longer texts, shows which least hashes are crowded.
+SAMPLE = 16
+#: Strings of one least hash, by the sample, from which they are dealt by all their bytes; and as a share of all strings, which bounds the list of such hashes to 4 MB.
+CROWD, CROWD_SHARE = 1 << 14, 1 / (1 << 20)
 #: Contexts of one content that a task sends to be ranked at a time.
 HOT = 256
 
@@ -235,7 +240,7 @@ def _together(kind: tuple, blobs: Iterable[bytes]) -> tuple[dict[str, np.ndarray
 
 def _dealt(kind: tuple, columns: dict, doc: np.ndarray, bucket: np.ndarray, buckets: int, known: Runs, unsure: Runs, ids: np.ndarray, ties: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: the rows to sort, and the runs that are known to be repeats, or left open, without it; these are dealt by their documents."""
-    parts = [(kind, columns, doc, bucket), *((SPAN, {"at": at, "n": n}, d, ids[d] % buckets) for d, at, n in (known, unsure))]
+    parts = [(kind, columns, doc, bucket), *((SPAN, {"at": at, "n": n}, d, (ids[d] + ties[d]) % buckets) for d, at, n in (known, unsure))]
     keys = np.unique(np.concatenate([of for *_, of in parts]))
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[_cells(*part, keys, ids, ties) for part in parts]], ["bucket", "rows", "known", "unsure"])
 
@@ -341,14 +346,52 @@ def _within(runs: np.ndarray, begin: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _suffixes(buckets: int, turn: int):
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes], np.ndarray, Hashes, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """Pieces of the texts with their hashes and, for each part with any, its number, its places left open and their least hashes."""
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for id_, tie, data, repeats, unsure in zip(*(b.column(k).to_pylist() for k in range(5))):
+                text = zstandard.decompress(data)
+                yield id_, tie, *(np.frombuffer(b"".join(r), RUN) for r in (repeats, unsure)), len(text), text
+
+    for keys, parts, begins in pieces(rows()):
+        hashes, base = Hashes(np.frombuffer(b"".join(parts), np.uint8)), np.cumsum([0, *map(len, parts)])
+        least, found = hashes.least() if base[-1] >= LENGTH else None, []
+        for k, (_, _, repeats, unsure, _) in enumerate(keys):
+            n = len(parts[k]) - LENGTH + 1
+            if n >= 1:
+                at = np.flatnonzero(_within(unsure, begins[k], n) & ~_within(repeats, begins[k], n))
+                found.append((k, at, least[at + base[k]]))
+        yield keys, parts, begins, hashes, found
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """least, n: different open strings by least hash, in each piece; of texts longer than a piece, one in SAMPLE."""
+    for keys, parts, begins, hashes, found in _opened(batches):
+        base = np.cumsum([0, *map(len, parts)])
+        strings, leasts = [np.zeros(0, U)], [np.zeros(0, np.uint32)]
+        for k, at, least in found:
+            piece = np.array([keys[k][0] + (int(begins[k]) << 20) & (1 << 64) - 1], U)
+            if keys[k][4] <= BUFFER or _mix(piece)[0] % U(SAMPLE) == 0:
+                start = at + base[k]
+                strings.append(hashes.of(start, start + LENGTH))
+                leasts.append(least)
+        _, one = np.unique(np.concatenate(strings), return_index=True)
+        value, n = np.unique(np.concatenate(leasts)[one], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n, pa.int64())], ["least", "n"])
+
+
+def _crowded(counts: DataFrame) -> np.ndarray:
+    """The least hashes of so many strings that these are dealt by all their bytes, in order."""
+    counts = rewritten(counts.groupBy("least").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") >= max(CROWD / SAMPLE, total * CROWD_SHARE)).select("least").toPandas()
+    return np.sort(hot["least"].to_numpy(np.uint32))
+
+
+def _suffixes(buckets: int, turn: int, crowded: np.ndarray):
     """The suffixes that are left open and whose buckets' turn it is, dealt to buckets by their first LENGTH bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                for id_, tie, data, repeats, unsure in zip(*(b.column(k).to_pylist() for k in range(5))):
-                    yield id_, tie, *(np.frombuffer(b"".join(r), RUN) for r in (repeats, unsure)), zstandard.decompress(data)
-
         held: list[tuple] = []
         texts: list[tuple] = []
         size = 0
@@ -363,16 +406,15 @@ def _suffixes(buckets: int, turn: int):
             lead, again = np.sort(order[first]), order[~first]
             yield from _dealt(SUFFIX, {"key": key[lead], "at": at[lead]}, doc[lead], bucket[lead], buckets, _joined(doc[again], at[again], 1), NO_RUNS, ids, ties)
 
-        for keys, parts, begins in pieces(rows()):
-            hashes, base = Hashes(np.frombuffer(b"".join(parts), np.uint8)), np.cumsum([0, *map(len, parts)])
-            before, least = sum(len(t[0]) for t in texts), hashes.least() if base[-1] >= LENGTH else None
+        for keys, parts, begins, hashes, found in _opened(batches):
+            base, before = np.cumsum([0, *map(len, parts)]), sum(len(t[0]) for t in texts)
             texts.append((np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)))
-            for k, (_, _, repeats, unsure) in enumerate(keys):
-                n = len(parts[k]) - LENGTH + 1
-                if n < 1:
-                    continue
-                at = np.flatnonzero(_within(unsure, begins[k], n) & ~_within(repeats, begins[k], n))
-                bucket = _bucket(least[at + base[k]], buckets)
+            for k, at, least in found:
+                bucket = _bucket(least, buckets)
+                many = np.flatnonzero(np.isin(least, crowded)) if len(crowded) else np.zeros(0, np.int64)
+                if len(many):
+                    start = at[many] + base[k]
+                    bucket[many] = _bucket(hashes.of(start, start + LENGTH), buckets)
                 at, bucket = at[bucket % TURNS == turn], bucket[bucket % TURNS == turn]
                 start = at + base[k]
                 held.append((np.full(len(at), before + k, np.int32), (at + begins[k]).astype(np.uint32), _mix(hashes.of(start, start + LENGTH)), bucket))
@@ -393,12 +435,19 @@ def _sorted(group: pd.DataFrame) -> pd.DataFrame:
     return _found(_joined(np.append(doc[again], d), np.append(x["at"][again].astype(np.int64), at), np.append(np.ones(len(again), np.int64), n)), NO_RUNS, ids, ties)
 
 
+#: Stands for a null id. Rows with this id have a negative ``tie`` if it is their own, another if they have none.
+LAST = (1 << 63) - 1
+
+
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """id, tie and data of each row: a null id is the largest one; ``tie`` tells texts of one id apart, by a 64-bit hash. It is 0 where no id comes twice."""
+    """id, tie and data of each row: a null id is after the largest one; ``tie`` tells texts of one id apart, by a 64-bit hash. It is 0 where no id comes twice."""
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).cast("long").alias("id"), data.alias("data"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("own"), data.alias("data")).select(F.coalesce("own", F.lit(LAST)).alias("id"), F.col("own").isNull().alias("none"), "data")
     alone = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    return rows.select("id", (F.lit(0) if alone else F.xxhash64("data")).cast("long").alias("tie"), "data")
+    tie = F.lit(0).cast("long") if alone else F.xxhash64("data")
+    sign = F.lit(-LAST - 1).cast("long")
+    tie = F.when(F.col("id") != LAST, tie).when(F.col("none"), tie.bitwiseAND(F.lit(LAST))).otherwise(tie.bitwiseOR(sign))
+    return rows.select("id", tie.alias("tie"), "data")
 
 
 def _compressed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -419,10 +468,15 @@ def repeats(rows: DataFrame) -> DataFrame:
     found = rewritten(rows.mapInArrow(_ranked(buckets), BUCKETED).groupBy("bucket").applyInPandas(_rank, FOUND))
     free_shuffles(rows.sparkSession)  # the places of the cover are some three times the input
     unsure = found.groupBy("id", "tie").agg(F.collect_list("repeats").alias("repeats"), F.collect_list("unsure").alias("unsure")).where(F.size("unsure") > 0)
-    joined = packed(rows).join(unsure, ["id", "tie"]).select("id", "tie", "data", "repeats", "unsure")
+
+    def joined(some: DataFrame) -> DataFrame:
+        return packed(some).join(unsure, ["id", "tie"]).select("id", "tie", "data", "repeats", "unsure")
+
+    sample = rows.where((F.octet_length("data") > BUFFER) | (F.pmod(F.xxhash64("id", "tie"), F.lit(SAMPLE)) == 0))
+    crowded = _crowded(joined(sample).mapInArrow(_sampled, "least long, n long"))
     both = found.where("repeats is not null")
     for turn in range(TURNS):
-        both = both.unionByName(rewritten(joined.mapInArrow(_suffixes(buckets, turn), BUCKETED).groupBy("bucket").applyInPandas(_sorted, FOUND)))
+        both = both.unionByName(rewritten(joined(rows).mapInArrow(_suffixes(buckets, turn, crowded), BUCKETED).groupBy("bucket").applyInPandas(_sorted, FOUND)))
         free_shuffles(rows.sparkSession)
     return both.groupBy("id", "tie").agg(F.collect_list("repeats").alias("runs"))
 
@@ -458,7 +512,7 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """
     rows = keyed(docs, text, doc_id)
     got = packed(rows).join(repeats(rows), ["id", "tie"], "left").withColumn("x", F.arrow_udf(_without, "struct<n_bytes:long,kept:binary,n_removed:long,n_spans:long>")("data", "runs"))
-    back = F.when(F.col("id") != (1 << 63) - 1, F.col("id")).alias("doc_id")
+    back = F.when((F.col("id") != LAST) | (F.col("tie") < 0), F.col("id")).alias("doc_id")
     return got.select(back, "x.n_bytes", "x.n_removed", "x.n_spans", "x.kept")
 
 
