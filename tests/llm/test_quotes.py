@@ -112,3 +112,23 @@ def test_a_walk_goes_from_each_message_to_its_replies(rows):
     assert got == want
     order = [r[1] for r in sorted(got, key=lambda r: (r[7], r[9]))]
     assert order == [0, 1, 3, 5, 4, 2, 6, 7]
+
+
+def test_helper_names_clash(spark):
+    names = ["__c", "__t", "__hot0", "__hot1", "__n", "__up", "chunk", "parent_"]
+    df = spark.createDataFrame([(1, 0, "a", "x", *names), (1, 1, "a", "> x", *names)], SCHEMA + "".join(f", {n} string" for n in names))
+    got = {r.turn: r for r in quotes.link(df).collect()}
+    assert got[1].parent == 0 and all(got[t][n] == n for t in (0, 1) for n in names)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_a_passage_and_a_message_that_all_quote(rows, monkeypatch, hot):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "HOT", hot)
+    messages = [(1, 0, "a", "the notice that all quote\n\na second one")] + [(1, t, "r", f"> the notice that all quote\nanswer {t}") for t in range(1, 60)]
+    messages += [(1, t, "r", f"> answer {t - 60}\nand {t}") for t in range(61, 100)] + [(1, t, "r", "> answer 7\nso it is") for t in range(100, 130)]
+    messages += [(None, t, "n", "> the notice that all quote") for t in range(40)] + [(2, None, "n", "> x")] * 20 + [(3, 1, "r", "many rows of one message")] * 30
+    got, want = rows(messages)
+    assert got == want
+    assert sum(r[6] == 0 for r in got) == 59 and sum(r[6] == 7 for r in got) == 31

@@ -93,6 +93,40 @@ def two_level_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     return got.withColumn(out, F.col("__inside") + F.col("__ahead")).drop("__inside", "__ahead", "__chunk", *[f"__k{i}" for i in range(len(keys))])
 
 
+#: A key is hot if one of this many rows or more has it: there are never more hot ones than this.
+HOT = 1000
+
+
+def looked_up(many: DataFrame, keys: list[str], one: DataFrame, its_keys: list[str], total: int | None = None) -> DataFrame:
+    """The rows of ``many``, each with the other columns of the row of ``one`` that has its keys; null where none has.
+
+    Any share of ``many`` may have one key. Hot keys, those of a HOT-th of its ``total`` rows
+    (counted if not given), stay where they are and meet the at most HOT rows of ``one`` with them as a broadcast, and rows with a null key meet
+    none; only the others are shuffled to their keys. ``one`` has each key once, and no column name of ``many``.
+    """
+    if total is None:
+        total = many.count()
+    values = [c for c in one.columns if c not in its_keys]
+    own = [free(f"__hot{i}", many, one) for i in range(len(keys))]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+
+    def same(a: list[str], b: list[str]) -> Column:
+        on = F.lit(True)
+        for x, y in zip(a, b):
+            on = on & (F.col(x) == F.col(y))
+        return on
+
+    n = free("__n", many, one)
+    counts = many.where(known).select(*[F.col(k).alias(o) for k, o in zip(keys, own)]).groupBy(*own).agg(F.count(F.lit(1)).alias(n))
+    hot = counts.where(F.col(n) * HOT >= total).join(one, same(own, its_keys), "left").select(*own, *values)
+    placed = many.join(F.broadcast(hot), same(keys, own), "left")
+    stays = F.col(own[0]).isNotNull() | ~known
+    cold = placed.where(~stays).select(*many.columns).join(one, same(keys, its_keys), "left")
+    return placed.where(stays).select(*many.columns, *values).unionByName(cold.select(*many.columns, *values))
+
+
 #: Bytes of texts that are scanned at once; a longer text is scanned alone.
 SLICE = 1 << 21
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, two_level_sum
+from tidemark.llm.common import durable, free, looked_up, two_level_sum
 from tidemark.llm.pii import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,9 +61,9 @@ def units(messages: DataFrame) -> DataFrame:
 
 def links(messages: DataFrame) -> DataFrame:
     """conversation, turn, level, unit, size, origin: each quoted unit that an earlier message has in its own words; origin is the turn of the first that does."""
-    quoted = units(messages.where(F.col("text").contains(">"))).where("level > 0 and turn is not null")
-    first = units(messages).where("level = 0").groupBy("conversation", "unit").agg(F.min("turn").alias("origin"))
-    return quoted.join(first, ["conversation", "unit"]).where("origin < turn")
+    quoted = durable(units(messages.where(F.col("text").contains(">"))).where("level > 0 and turn is not null"))
+    first = units(messages).where("level = 0").groupBy(F.col("conversation").alias("__c"), F.col("unit").alias("__u")).agg(F.min("turn").alias("origin"))
+    return looked_up(quoted, ["conversation", "unit"], first, ["__c", "__u"]).where("origin < turn")
 
 
 def replies(linked: DataFrame) -> DataFrame:
@@ -80,23 +80,24 @@ def _summed_upwards(replied: DataFrame, value: str) -> DataFrame:
     driver sees one count a round. A parent is always earlier, so chains end.
     """
     now = durable(replied.select("*", F.col("parent").alias("thread"), F.lit(1).cast("long").alias("depth"), F.col(value).alias("sum")))
-    on = (F.col("conversation") == F.col("__c")) & (F.col("thread") == F.col("__t"))
+    total = now.count()
     while True:
         up = now.select(F.col("conversation").alias("__c"), F.col("turn").alias("__t"), F.col("thread").alias("__up"), F.col("depth").alias("__more"), F.col("sum").alias("__sum"))
-        if not now.join(up, on, "left_semi").limit(1).count():
+        ends = now.select(F.col("conversation").alias("__c"), F.col("thread").alias("__t")).distinct()
+        if not ends.join(up, ["__c", "__t"], "left_semi").limit(1).count():
             return now
-        longer = now.join(up, on, "left").select(*replied.columns, F.coalesce("__up", "thread").alias("thread"), *[(F.col(c) + F.coalesce(m, F.lit(0))).alias(c) for c, m in (("depth", "__more"), ("sum", "__sum"))])
+        longer = looked_up(now, ["conversation", "thread"], up, ["__c", "__t"], total).select(*replied.columns, F.coalesce("__up", "thread").alias("thread"), *[(F.col(c) + F.coalesce(m, F.lit(0))).alias(c) for c, m in (("depth", "__more"), ("sum", "__sum"))])
         now = durable(longer)
 
 
 def _sizes(replied: DataFrame) -> DataFrame:
     """Adds ``size``: the message and all that follow from it. In round k a message has counted those less than 2^k replies away, and adds what the ones 2^k away have."""
     now = durable(replied.select("*", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("size")))
-    at = (F.col("conversation") == F.col("__c")) & (F.col("turn") == F.col("__t"))
+    at, total = (F.col("conversation") == F.col("__c")) & (F.col("turn") == F.col("__t")), now.count()
     while now.where("jump is not null").limit(1).count():
         below = now.where("jump is not null").groupBy(F.col("conversation").alias("__c"), F.col("jump").alias("__t")).agg(F.sum("size").alias("__size"))
         up = now.select(F.col("conversation").alias("__c2"), F.col("turn").alias("__t2"), F.col("jump").alias("__up"))
-        grown = now.join(below, at, "left").join(up, (F.col("conversation") == F.col("__c2")) & (F.col("jump") == F.col("__t2")), "left")
+        grown = looked_up(now.join(below, at, "left"), ["conversation", "jump"], up, ["__c2", "__t2"], total)
         now = durable(grown.select(*replied.columns, F.col("__up").alias("jump"), (F.col("size") + F.coalesce("__size", F.lit(0))).alias("size")))
     return now.drop("jump")
 
@@ -139,15 +140,16 @@ def link(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
 
     Rows that agree in conversation and turn are parts of one message: they share parent, thread, depth and position. A
     row without conversation or turn is linked to nothing. Null and empty texts quote nothing. Other
-    columns stay, but for those named as the added ones, which are replaced. Ordered by conversation, thread and position, a conversation
-    reads in the order of its replies. A conversation may hold any part of all rows: every join is by
-    conversation and turn, or conversation and hash with one row on one side.
+    columns stay, whatever their names, but for those named as the added ones, which are replaced. Ordered by conversation, thread and position, a conversation
+    reads in the order of its replies. A conversation may hold any part of all rows, and so may the messages that quote one passage or reply to one message:
+    every join is by conversation and turn, or conversation and hash, with one row on one side, and goes to the rows where a key is hot.
     """
     added = ("n_quotes", "n_links", "parent", "thread", "depth", "position")
     base = messages.drop(*added)
     plain = base.select(F.col(conversation).alias("conversation"), F.col(turn).alias("turn"), F.col(text).alias("text"))
-    found = threads(replies(links(plain))).select(F.col("conversation").alias("__c"), F.col("turn").alias("__t"), *added[1:])
-    both = base.join(found, (F.col(conversation) == F.col("__c")) & (F.col(turn) == F.col("__t")), "left")
+    own = [free("__c", base), free("__t", base)]
+    found = threads(replies(links(plain))).select(F.col("conversation").alias(own[0]), F.col("turn").alias(own[1]), *added[1:])
+    both = looked_up(base, [conversation, turn], found, own)
     return both.select(
         *[F.col(c) if c != text else without_quotes(F.col(c)).alias(c) for c in base.columns],
         F.coalesce(n_quotes(F.col(text)), F.lit(0).cast("long")).alias("n_quotes"),
