@@ -63,6 +63,8 @@ def links(messages: DataFrame) -> DataFrame:
     """conversation, turn, level, unit, size, origin: each quoted unit that an earlier message has in its own words; origin is the turn of the first that does."""
     quoted = durable(units(messages.where(F.col("text").contains(">"))).where("level > 0 and turn is not null"))
     first = units(messages).where("level = 0").groupBy(F.col("conversation").alias("__c"), F.col("unit").alias("__u")).agg(F.min("turn").alias("origin"))
+    asked = quoted.select(F.col("conversation").alias("__c"), F.col("unit").alias("__u")).distinct()
+    first = durable(first.join(asked, ["__c", "__u"], "left_semi"))  # it is read twice, and the most of it is never quoted
     return looked_up(quoted, ["conversation", "unit"], first, ["__c", "__u"]).where("origin < turn")
 
 
