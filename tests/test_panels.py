@@ -84,6 +84,19 @@ def test_noise_floor_has_two_hundred_seeds(spark, sf, monkeypatch):
     assert len(set(asked)) == 3000 and {n for n, _, _ in asked} == {500, 1000, 2000, 4000, 5300}
 
 
+def test_made_series_are_made_once_in_many_tasks_and_never_broadcast(spark):
+    made = synthetic.fgn(spark, [(4000, 0.5, k) for k in range(100)])
+    assert len(made.inputFiles()) == 3 and made.select("seed", "i").distinct().count() == 400_000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        got = fractal.profile(made.select(F.col("seed").cast("string").alias("ticker"), "i", "r"), 100).agg(F.count("y"), F.sum("y"))
+        assert got.collect()[0][0] == 400_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "InPandas" not in plan and "BuildLeft" not in plan  # the rows are on the left
+
+
 def test_each_backtest_scans_the_fact_table_once(spark, sf):
     for name in ("hurst_sort_backtest", "bt_stats_net", "boot_block_sharpe"):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.kept import kept
+
+#: Rows that a task makes, by and by.
+ROWS = 1 << 17
+
 
 def uniform(*key: Column | str) -> Column:
     """A number within (0, 1) from the md5 of a key."""
@@ -48,7 +53,10 @@ def ar1(spark: SparkSession, n: int, phi: float = 0.5, n_series: int = 1, block:
 
 
 def fgn(spark: SparkSession, settings: list[tuple[int, float, int]]) -> DataFrame:
-    """n, true_h, seed, i, r for each (n, H, seed): fractional Gaussian noise by circulant embedding, one series a group."""
+    """n, true_h, seed, i, r for each (n, H, seed): fractional Gaussian noise by circulant embedding, one series a group.
+
+    Written once: Spark takes what a group makes to be as small as its setting, and would broadcast millions of rows, or make them all in one task.
+    """
 
     def one(pdf):
         import pandas as pd
@@ -66,7 +74,9 @@ def fgn(spark: SparkSession, settings: list[tuple[int, float, int]]) -> DataFram
         return pd.DataFrame({"n": n, "true_h": h, "seed": seed, "i": np.arange(n), "r": r})
 
     schema = "n long, true_h double, seed long, i long, r double"
-    return spark.createDataFrame(settings, "n long, true_h double, seed long").groupBy("n", "true_h", "seed").applyInPandas(one, schema)
+    parts = max(1, min(len(settings), sum(n for n, _, _ in settings) // ROWS))
+    each = spark.createDataFrame(settings, "n long, true_h double, seed long").repartition(parts, "n", "true_h", "seed")
+    return kept(each.groupBy("n", "true_h", "seed").applyInPandas(one, schema))
 
 
 def shuffles(rows: DataFrame, reps: int) -> DataFrame:

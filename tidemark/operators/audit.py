@@ -86,7 +86,7 @@ def subperiod_significance(panel: DataFrame, edges: list[tuple[str, str, str]],
     x = fractal.series(subperiods(panel, edges)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("ticker"))).where(F.col("n") >= least)
     lengths = x.select("ticker", "n").distinct()
     made = lengths.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed")).select("n", "seed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    named = made.select(F.concat_ws("|", F.col("n").cast("string"), F.col("seed").cast("string")).alias("ticker"), "i", synthetic.normal("n", "seed", "i").alias("r"))
+    named = kept(made.select(F.concat_ws("|", F.col("n").cast("string"), F.col("seed").cast("string")).alias("ticker"), "i", synthetic.normal("n", "seed", "i").alias("r")))  # lest Spark takes it to be as small as the lengths
     noise = fractal.dfa(named).groupBy(F.substring_index("ticker", "|", 1).cast("long").alias("n")).agg(F.stddev_pop("h").alias("noise"))
     got = fractal.dfa(x.select("ticker", "i", "r")).join(lengths, "ticker").join(noise, "n")
     return got.select("ticker", "n", "h", "noise", (F.abs(F.col("h") - 0.5) > 1.96 * F.col("noise")).alias("significant"))
