@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import catalogue
 from tidemark.sources import cache, markup
 
 
@@ -92,6 +93,38 @@ def test_spans_headers_and_unclosed_cells(spark):
     assert markup.column(cells, "Other").count() == 0
 
 
+def test_a_page_is_read_once(spark, sf):
+    pages = spark.createDataFrame([(1, PAGE)], "page_id long, html string")
+    plan = markup.tables(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?is)<table") == plan.count("(?is)<tr") == 1  # no filter reads it before
+    plan = catalogue.QUERIES["html_table_column"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 4 and "regexp_extract_all" not in plan  # the cells are kept
+
+
+def test_cells_stand_beside_those_that_reach_down(spark):
+    import random
+
+    rng = random.Random(3)
+    grids = [[[(rng.randrange(1, 4), rng.randrange(1, 5)) for _ in range(rng.randrange(4))] for _ in range(rng.randrange(2, 9))] for _ in range(60)]
+    cell = lambda wide, high, name: f"<td colspan={wide} rowspan={high}>{name}</td>"
+    html = lambda rows: "<table>" + "".join("<tr>" + "".join(cell(*c, f"{r}:{k}") for k, c in enumerate(cells)) + "</tr>" for r, cells in enumerate(rows)) + "</table>"
+    want = []
+    for page, rows in enumerate(grids):
+        busy = {}  # column: the texts there, with the row that each reaches to
+        for r, cells in enumerate(rows):
+            down, at = {c: [x for x in xs if x[1] > r] for c, xs in busy.items()}, 0
+            busy = {c: list(xs) for c, xs in down.items()}
+            for k, (wide, high) in enumerate(cells):
+                while down.get(at):
+                    at += 1
+                for c in range(at, at + wide):
+                    busy.setdefault(c, []).append((f"{r}:{k}", r + high))
+                at += wide
+            want += [(page, r, c, text) for c, xs in busy.items() for text, _ in xs]
+    got = markup.tables(spark.createDataFrame([(k, html(rows)) for k, rows in enumerate(grids)], "page_id long, html string"))
+    assert sorted((x.page_id, x.row, x.col, x.text) for x in got.collect()) == sorted(want)
+
+
 def test_a_long_table(spark):
     rows = "".join(f"<tr><td>{k}</td><td>v{k}</td></tr>" for k in range(20_000))
     pages = spark.createDataFrame([(1, f"<table><tr><th>A</th><th>B</th></tr>{rows}</table>" + "<table " * 2000)], "page_id long, html string")

@@ -181,14 +181,15 @@ def _directory(s, d):
     x = panels.table(s, d, "customer").select(F.expr("c_custkey div 200").alias("page_id"), "c_mktsegment", "c_name")
     lines = x.groupBy("page_id", "c_mktsegment").agg(F.array_sort(F.collect_list("c_name")).alias("names"))
     cells = F.transform("names", lambda name, k: F.concat(F.lit("<tr>"), F.when(k == 0, F.concat(F.lit("<td rowspan='"), F.size("names").cast("string"), F.lit("'>"), F.col("c_mktsegment"), F.lit("</td>"))).otherwise(F.lit("")), F.lit("<td><a href='#'>"), name, F.lit("</a>.&amp;</td></tr>\n")))
-    made = lines.select("page_id", F.struct("c_mktsegment", F.array_join(cells, "").alias("rows")).alias("part")).groupBy("page_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    dealt = lines.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "page_id")  # by number: pages are small and much work, and by their bytes would be one task
+    made = dealt.select("page_id", F.struct("c_mktsegment", F.array_join(cells, "").alias("rows")).alias("part")).groupBy("page_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     return made.select("page_id", F.concat(F.lit("<h1>x</h1><table><tr><td>no head</td></tr></table><TABLE class=t><tr><th>Sector</th><th>Symbol</th></tr>"), F.array_join(F.transform("parts", lambda p: p["rows"]), ""), F.lit("</TABLE>")).alias("html"))
 
 
 @query("SELECT c_custkey // 200 AS page_id, 1::BIGINT AS n, row_number() OVER (PARTITION BY c_custkey // 200 ORDER BY c_mktsegment, c_name) AS row, c_name || '-&' AS value, c_mktsegment AS sector FROM customer")
 def html_table_column(s, d):
     """Two columns of a table by the names over them."""
-    cells = markup.tables(_directory(s, d))
+    cells = kept(markup.tables(_directory(s, d)))
     sector = markup.column(cells, "Sector").withColumnRenamed("value", "sector")
     return markup.column(cells, "Symbol").join(sector, ["page_id", "n", "row"])
 

@@ -15,11 +15,20 @@ CELL = r"(?is)(<t[hd]\b[^>]*>.*?)(?=<t[hd]\b|</t[hdr]\b|\z)"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def _let(value: Column, of) -> Column:
+    """``of`` a value that is worked out once, however often ``of`` names it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _plain(cell: Column) -> Column:
-    text = F.regexp_replace(cell, r"(?is)<!--.*?-->|<[^<>]*>", "")
-    for entity, sign in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+    def written_out(text: Column) -> Column:
+        plain = text
+        for entity, sign in ENTITIES:
+            plain = F.replace(plain, F.lit(entity), F.lit(sign))
+        return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+
+    text = _let(F.regexp_replace(cell, r"(?is)<!--.*?-->|<[^<>]*>", ""), written_out)
+    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
 def _span(cell: Column, name: str) -> Column:
@@ -37,27 +46,28 @@ def _cells(row: Column) -> Column:
 
 def _placed(rows: Column) -> Column:
     """Rows of cells with their columns: each cell in the first ones that no cell of an earlier row reaches down to."""
-    def cell_in(r: Column):
+    kind = "array<struct<col:int,text:string,header:boolean,until:int>>"
+
+    def cell_in(r: Column, taken: Column):
         def add(state: Column, c: Column) -> Column:
-            taken = F.transform(F.filter(state["busy"], lambda b: b["until"] > r), lambda b: b["col"])
-            at = F.array_min(F.array_except(F.sequence(state["at"], state["at"] + F.size(taken)), taken))
-            cols = F.sequence(at, at + c["wide"] - 1)
-            new = F.transform(cols, lambda k: F.struct(k.alias("col"), c["text"].alias("text"), c["header"].alias("header"), (r + c["high"]).alias("until")))
-            return F.struct((at + c["wide"]).alias("at"), F.concat(state["cells"], new).alias("cells"), state["busy"].alias("busy"))
+            free = F.array_min(F.array_except(F.sequence(state["at"], state["at"] + F.size(taken)), taken))
 
-        return add
+            def put(at: Column) -> Column:
+                new = F.transform(F.sequence(at, at + c["wide"] - 1), lambda k: F.struct(k.alias("col"), c["text"].alias("text"), c["header"].alias("header"), (r + c["high"]).alias("until")))
+                return F.struct((at + c["wide"]).alias("at"), F.concat(state["cells"], new).alias("cells"))
 
-    kind = "array<struct<col:int,text:string,header:boolean,until:int>>"
-    busy = "array<struct<col:int,text:string,header:boolean,until:int>>"
+            return _let(free, put)
+
+        return add
 
     def row(state: Column, cells: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("cells"), state["busy"].alias("busy"))
-        here = F.aggregate(cells, start, cell_in(state["r"]), lambda s: s["cells"])
-        left = F.filter(state["busy"], lambda b: b["until"] > state["r"])
-        whole = F.array_sort(F.concat(here, left))
-        return F.struct((state["r"] + 1).alias("r"), F.filter(whole, lambda b: b["until"] > state["r"] + 1).cast(busy).alias("busy"), F.concat(state["rows"], F.array(whole)).alias("rows"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("cells"))
+        r = state["r"]  # those busy reach down to it
+        here = _let(F.transform(state["busy"], lambda b: b["col"]), lambda taken: F.aggregate(cells, start, cell_in(r, taken), lambda s: s["cells"]))
+        whole = F.array_sort(F.concat(here, state["busy"]))
+        return _let(whole, lambda x: F.struct((r + 1).alias("r"), F.filter(x, lambda b: b["until"] > r + 1).cast(kind).alias("busy"), F.concat(state["rows"], F.array(x)).alias("rows")))
 
-    zero = F.struct(F.lit(0).alias("r"), F.array().cast(busy).alias("busy"), F.array().cast(f"array<{kind}>").alias("rows"))
+    zero = F.struct(F.lit(0).alias("r"), F.array().cast(kind).alias("busy"), F.array().cast(f"array<{kind}>").alias("rows"))
     return F.aggregate(rows, zero, row, lambda s: s["rows"])
 
 
@@ -70,14 +80,15 @@ def tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     """key, n (table of the page), row, col, text, header: every cell of every table, a cell with spans once for each place that it covers.
 
     Pages without a table, empty tables and null html have no rows. Texts are without marks and comments, white space is single.
+    Arrays are opened as outer ones: for others Spark asks their size first, and so works out all that is in them twice.
     """
     found = F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), "(?s)<!--.*?-->", ""), F.lit(TABLE), F.lit(1))
-    each = pages.select(key, F.posexplode(found).alias("n", "body"))
+    each = pages.select(key, F.posexplode_outer(found).alias("n", "body")).where("body is not null")
     cut = each.select(key, "n", F.transform(F.regexp_extract_all("body", F.lit(ROW), F.lit(1)), _cells).alias("rows"))
     spanned = F.exists("rows", lambda r: F.exists(r, lambda c: (c["wide"] > 1) | (c["high"] > 1)))
     whole = cut.select(key, "n", F.when(spanned, _placed(F.col("rows"))).otherwise(_plainly(F.col("rows"))).alias("rows"))
-    lines = whole.select(key, "n", F.posexplode("rows").alias("row", "cells"))
-    return lines.select(key, F.col("n").cast("long"), F.col("row").cast("long"), F.explode("cells").alias("c")).select(key, "n", "row", F.col("c.col").cast("long").alias("col"), "c.text", "c.header")
+    lines = whole.select(key, "n", F.posexplode_outer("rows").alias("row", "cells"))
+    return lines.select(key, F.col("n").cast("long"), F.col("row").cast("long"), F.explode_outer("cells").alias("c")).where("c is not null").select(key, "n", "row", F.col("c.col").cast("long").alias("col"), "c.text", "c.header")
 
 
 def column(cells: DataFrame, name: str, key: str = "page_id") -> DataFrame:
