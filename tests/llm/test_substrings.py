@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,41 @@ def test_strings_around_a_common_sentence_go_to_many_buckets(spark, docs):
 def test_a_crowded_sentence_as_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(substrings, "CROWD", 64)
     compare(docs(_around_one_sentence(1500)))
+
+
+def test_different_contents_stay_apart_in_a_large_corpus():
+    """Contents taken for one leave their strings open: of 2.2 million, 32 bits alone take some 1,100 for another."""
+    texts = [np.random.default_rng(k).bytes(1 << 20) for k in range(16)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(16), pa.int64()), pa.array([0] * 16, pa.int64()), pa.array(texts, pa.binary())], ["id", "tie", "data"])
+    blobs = {}
+    for rows in substrings._ranked(512)(iter([batch])):
+        for bucket, data in zip(rows.column("bucket").to_pylist(), rows.column("rows").to_pylist()):
+            blobs.setdefault(bucket, []).append(data)
+    n = alike = 0
+    for some in blobs.values():
+        content = substrings._together(substrings.PLACE, some)[0]["content"]
+        n += len(content)
+        alike += len(content) - len(np.unique(content))
+    assert n > 2_200_000 and alike < 30
+
+
+def test_the_first_step_keeps_a_row_or_two_of_a_copied_text(spark, docs, monkeypatch):
+    written, write = [], substrings.rewritten
+    monkeypatch.setattr(substrings, "rewritten", lambda df: written.append(write(df)) or written[-1])
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(5_000)) for _ in range(20)]
+    found = substrings.query(spark, docs(texts * 3)).collect()
+    assert sorted(r.n_removed for r in found) == [0] * 20 + [5_000] * 40
+    assert written[0].count() <= 2 * 60
+
+
+def test_many_turns_and_a_long_text_as_brute_force(spark, docs, monkeypatch):
+    turns, suffixes = set(), substrings._suffixes
+    monkeypatch.setattr(substrings, "SUFFIX_BYTES", 3_000)
+    monkeypatch.setattr(substrings, "_suffixes", lambda buckets, turn, *rest: turns.add(turn) or suffixes(buckets, turn, *rest))
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [make(rng.randrange(120, 2_000)) for _ in range(20)]
+    long = make((1 << 20) - 700) + passages[0] + make(200) + passages[1] + make(60_000)
+    compare(docs([long, *["".join(rng.choice([make(rng.randrange(200)), rng.choice(passages)]) for _ in range(8)) for _ in range(60)], long[:40] + "!" + long[41:]]))
+    assert len(turns) > 2

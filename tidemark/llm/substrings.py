@@ -24,7 +24,12 @@ so that a passage in a third of all documents makes as many rows as there are ta
 content with over ``HOT`` contexts in one task (a line of dashes), which is sure to
 have several, only the first go on to the buckets; the rest are left open at once.
 
-Places are compared by 32 bits of a hash of the content and 48 of one of the context, strings by 64-bit hashes.
+What a bucket knows of a text goes on to the part of the text, as packed runs, and is joined there once.
+The second step takes as many turns as its rows need.
+
+Places are compared by their bucket, 32 more bits of the same hash of the content, and 40 of one of the context,
+strings by 64-bit hashes. Buckets hold as many contents in any corpus, so that two different ones are taken for one, which would
+leave their strings open, in one of 2,400 places (``BUCKET_BYTES`` of text, 1.8 million places, of 2^32), whatever the size.
 """
 
 from __future__ import annotations
@@ -53,8 +58,12 @@ K = 24
 BUFFER, FLUSH, BUCKET_BYTES = 1 << 20, 400_000, 12 << 20
 #: Buckets at least: about as many as a text has cover places, so that a text's places are as scattered in a small corpus as in a large one.
 BUCKETS = 512
-#: Suffix buckets are sorted in so many turns, of which each reads the texts anew: less disk at a time.
-TURNS = 2
+#: Parts of the texts at least, in which what the buckets tell comes together.
+PARTS = 64
+#: Suffix buckets are sorted in so many turns at least, of which each reads the texts anew: less disk at a time.
+TURNS = 1
+#: Bytes of a suffix in a shuffle, about: there are turns enough that those of one are no more than the texts.
+SUFFIX_BYTES = 10
 #: One text in so many, and one piece in so many of longer texts, shows which least hashes are crowded.
 SAMPLE = 16
 #: Strings of one least hash, by the sample, from which they are dealt by all their bytes; and as a share of all strings, which bounds the list of such hashes to 4 MB.
@@ -188,7 +197,7 @@ def _joined(doc: np.ndarray, at: np.ndarray, n: np.ndarray | int) -> Runs:
 
 
 #: Columns of a row that are packed, with their type and the bytes that they need, lowest first: places of the cover, suffixes, and runs.
-PLACE = (("content", "<u4", 4), ("context", "<u8", 6), ("at", "<u4", 4), ("n", "<u4", 1))
+PLACE = (("content", "<u4", 4), ("context", "<u8", 5), ("at", "<u4", 4), ("n", "<u4", 1))
 SUFFIX = (("key", "<u8", 8), ("at", "<u4", 4))
 SPAN = (("at", "<u4", 4), ("n", "<u4", 4))
 
@@ -246,20 +255,22 @@ def _dealt(kind: tuple, columns: dict, doc: np.ndarray, bucket: np.ndarray, buck
 
 
 BUCKETED = "bucket int, rows binary, known binary, unsure binary"
-FOUND = "id long, tie long, repeats binary, unsure binary"
+SPANS = "part int, repeats binary, unsure binary"
+FOUND = "id long, tie long, repeats binary, unsure binary, starts long"
 NO_RUNS = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _found(known: Runs, unsure: Runs, ids: np.ndarray, ties: np.ndarray) -> pd.DataFrame:
-    """A row for each document with runs of a kind."""
+    """A row for each document with runs of a kind; ``starts`` in them."""
     parts = []
     for name, (doc, at, n) in (("repeats", known), ("unsure", unsure)):
         run = np.zeros(len(doc), RUN)
         run["at"], run["n"] = at, n
         blob, start = run.tobytes(), np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
         edges = (8 * np.append(start, len(doc))).tolist()
-        parts.append(pd.DataFrame({"id": ids[doc[start]], "tie": ties[doc[start]], name: pd.Series([blob[a:b] for a, b in zip(edges, edges[1:])], dtype=object)}))
-    return pd.concat(parts).reindex(columns=["id", "tie", "repeats", "unsure"]).astype({"repeats": object, "unsure": object}).where(lambda x: x.notna(), None)
+        starts = np.add.reduceat(n, start) if len(doc) else n
+        parts.append(pd.DataFrame({"id": ids[doc[start]], "tie": ties[doc[start]], name: pd.Series([blob[a:b] for a, b in zip(edges, edges[1:])], dtype=object), "starts": starts}))
+    return pd.concat(parts).reindex(columns=["id", "tie", "repeats", "unsure", "starts"]).astype({"repeats": object, "unsure": object}).where(lambda x: x.notna(), None)
 
 
 def _spans(group: pd.DataFrame, name: str, ids: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -293,10 +304,10 @@ def _ranked(buckets: int):
             if not held:
                 return
             number, ids, ties = _documents(*_gathered(texts, 2))
-            owner, at, n, content, context = _gathered(held, 5)
+            owner, at, n, content, bucket, context = _gathered(held, 6)
             doc = number[owner]
-            key, context = content | context >> U(32), context >> U(16)
-            order, first = _settle(key, context & U(0xFFFF), doc, at)
+            key, context = content | context >> U(32), context >> U(24)
+            order, first = _settle(key, bucket.astype(U) << U(8) | context & U(0xFF), doc, at)
             lead, again = order[first], order[~first]
             own = key[lead] >> U(32)
             start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -305,13 +316,14 @@ def _ranked(buckets: int):
             lead = np.sort(lead[~many])
             own = (key[lead] >> U(32)).astype(np.uint32)
             columns = {"content": own, "context": context[lead], "at": at[lead], "n": n[lead]}
-            yield from _dealt(PLACE, columns, doc[lead], _bucket(own, buckets), buckets, known, unsure, ids, ties)
+            yield from _dealt(PLACE, columns, doc[lead], bucket[lead], buckets, known, unsure, ids, ties)
 
         for keys, parts, begins in pieces(rows()):
             owner, at, n, content, context = places(parts)
             before = sum(len(t[0]) for t in texts)
             texts.append((np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)))
-            held.append((owner + before, (at + begins[owner]).astype(np.uint32), n.astype(np.uint8), content & U(0xFFFFFFFF00000000), context))
+            bucket = ((content & U(0xFFFFFFFF)) % U(buckets)).astype(np.int32)  # from other bits than those in the row, which tell apart a bucket's contents only
+            held.append((owner + before, (at + begins[owner]).astype(np.uint32), n.astype(np.uint8), content & U(0xFFFFFFFF00000000), bucket, context))
             size += len(owner)
             if size >= FLUSH:
                 yield from settled()
@@ -321,20 +333,55 @@ def _ranked(buckets: int):
     return run
 
 
-def _rank(group: pd.DataFrame) -> pd.DataFrame:
-    x, doc, ids, ties = _together(PLACE, group["rows"])
-    n = x["n"].astype(np.int64)
-    key = x["content"].astype(U) << U(32) | x["context"] >> U(16)
-    order, first = _settle(key, x["context"] & U(0xFFFF), doc, x["at"])
-    lead, again = order[first], order[~first]
-    own = key[lead] >> U(32)
-    edge = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
-    shared = lead[~(edge & np.append(edge[1:], True))]
-    runs = []
-    for name, mine in (("known", again), ("unsure", shared)):
-        d, at, count, ids, ties = _spans(group, name, ids, ties)
-        runs.append(_joined(np.append(doc[mine], d), np.append(x["at"][mine].astype(np.int64), at), np.append(n[mine], count)))
-    return _found(*runs, ids, ties)
+def _part(doc: np.ndarray, at: np.ndarray, parts: int, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Where the runs of a text come together: a longer one by pieces."""
+    return (_mix((ids[doc] + ties[doc]).view(U) + U(STEP) * (at >> 20).astype(U)) % U(parts)).astype(np.int64)
+
+
+def _rank(parts: int):
+    """A bucket of cover places; what it tells of the texts, dealt to their parts."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x, doc, ids, ties = _together(PLACE, group["rows"])
+        n = x["n"].astype(np.int64)
+        key = x["content"].astype(U) << U(32) | x["context"] >> U(8)
+        order, first = _settle(key, x["context"] & U(0xFF), doc, x["at"])
+        lead, again = order[first], order[~first]
+        own = key[lead] >> U(32)
+        edge = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+        shared = lead[~(edge & np.append(edge[1:], True))]
+        runs = []
+        for name, mine in (("known", again), ("unsure", shared)):
+            d, at, count, ids, ties = _spans(group, name, ids, ties)
+            runs.append(_joined(np.append(doc[mine], d), np.append(x["at"][mine].astype(np.int64), at), np.append(n[mine], count)))
+        of = [_part(d, at, parts, ids, ties) for d, at, _ in runs]
+        keys = np.unique(np.concatenate(of))
+        known, unsure = (_cells(SPAN, {"at": at, "n": n}, d, p, keys, ids, ties).to_pylist() for (d, at, n), p in zip(runs, of))
+        return pd.DataFrame({"part": keys.astype(np.int32), "repeats": pd.Series(known, dtype=object), "unsure": pd.Series(unsure, dtype=object)})
+
+    return run
+
+
+def _outside(runs: Runs, others: Runs) -> Runs:
+    """What is in the joined runs and not in the others."""
+    edges = []
+    for doc, at, n in (runs, others):
+        begin = (doc.astype(np.int64) << 32) + at
+        edges += [begin, begin + n]
+    step = np.repeat([1, -1, 2, -2], [len(e) for e in edges])
+    edge = np.concatenate(edges)
+    order = np.argsort(edge, kind="stable")
+    edge, inside = edge[order], np.cumsum(step[order])
+    some = np.flatnonzero((inside[:-1] == 1) & (edge[1:] > edge[:-1]))
+    return edge[some] >> 32, edge[some] & 0xFFFFFFFF, edge[some + 1] - edge[some]
+
+
+def _merged(group: pd.DataFrame) -> pd.DataFrame:
+    """What all buckets tell of a part of the texts."""
+    x, doc, ids, ties = _together(SPAN, group["repeats"])
+    d, at, n, ids, ties = _spans(group, "unsure", ids, ties)
+    number, ids, ties = _documents(ids, ties)
+    known = _joined(number[doc], x["at"], x["n"])
+    return _found(known, _outside(_joined(number[d], at, n), known), ids, ties)
 
 
 def _within(runs: np.ndarray, begin: int, n: int) -> np.ndarray:
@@ -389,7 +436,7 @@ def _crowded(counts: DataFrame) -> np.ndarray:
     return np.sort(hot["least"].to_numpy(np.uint32))
 
 
-def _suffixes(buckets: int, turn: int, crowded: np.ndarray):
+def _suffixes(buckets: int, turn: int, crowded: np.ndarray, turns: int = TURNS):
     """The suffixes that are left open and whose buckets' turn it is, dealt to buckets by their first LENGTH bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -415,7 +462,7 @@ def _suffixes(buckets: int, turn: int, crowded: np.ndarray):
                 if len(many):
                     start = at[many] + base[k]
                     bucket[many] = _bucket(hashes.of(start, start + LENGTH), buckets)
-                at, bucket = at[bucket % TURNS == turn], bucket[bucket % TURNS == turn]
+                at, bucket = at[bucket % turns == turn], bucket[bucket % turns == turn]
                 start = at + base[k]
                 held.append((np.full(len(at), before + k, np.int32), (at + begins[k]).astype(np.uint32), _mix(hashes.of(start, start + LENGTH)), bucket))
                 size += len(at)
@@ -464,10 +511,12 @@ def packed(rows: DataFrame) -> DataFrame:
 def repeats(rows: DataFrame) -> DataFrame:
     """id, tie and runs of the strings that occur earlier, for each text of ``keyed`` rows that has any."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-    buckets = max(BUCKETS, math.ceil(size / BUCKET_BYTES))
-    found = rewritten(rows.mapInArrow(_ranked(buckets), BUCKETED).groupBy("bucket").applyInPandas(_rank, FOUND))
+    buckets, parts = max(BUCKETS, math.ceil(size / BUCKET_BYTES)), max(PARTS, math.ceil(size / BUCKET_BYTES))
+    found = rewritten(rows.mapInArrow(_ranked(buckets), BUCKETED).groupBy("bucket").applyInPandas(_rank(parts), SPANS).groupBy("part").applyInPandas(_merged, FOUND))
     free_shuffles(rows.sparkSession)  # the places of the cover are some three times the input
     unsure = found.groupBy("id", "tie").agg(F.collect_list("repeats").alias("repeats"), F.collect_list("unsure").alias("unsure")).where(F.size("unsure") > 0)
+    left = found.where("unsure is not null").agg(F.coalesce(F.sum("starts"), F.lit(0))).first()[0]
+    turns = max(TURNS, math.ceil(left * SUFFIX_BYTES / max(size, 1)))
 
     def joined(some: DataFrame) -> DataFrame:
         return packed(some).join(unsure, ["id", "tie"]).select("id", "tie", "data", "repeats", "unsure")
@@ -475,8 +524,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     sample = rows.where((F.octet_length("data") > BUFFER) | (F.pmod(F.xxhash64("id", "tie"), F.lit(SAMPLE)) == 0))
     crowded = _crowded(joined(sample).mapInArrow(_sampled, "least long, n long"))
     both = found.where("repeats is not null")
-    for turn in range(TURNS):
-        both = both.unionByName(rewritten(joined(rows).mapInArrow(_suffixes(buckets, turn, crowded), BUCKETED).groupBy("bucket").applyInPandas(_sorted, FOUND)))
+    for turn in range(turns):
+        both = both.unionByName(rewritten(joined(rows).mapInArrow(_suffixes(buckets, turn, crowded, turns), BUCKETED).groupBy("bucket").applyInPandas(_sorted, FOUND)))
         free_shuffles(rows.sparkSession)
     return both.groupBy("id", "tie").agg(F.collect_list("repeats").alias("runs"))
 
